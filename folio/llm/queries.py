@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folio.llm import exact_dedup, secrets
+from folio.llm import bpe, exact_dedup, quality, secrets
 
 QUERIES = {
+    "op5_quality_ranking": quality.op5,
+    "op6_bpe_round_trip": bpe.op6,
     "op9_secret_scan": secrets.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
