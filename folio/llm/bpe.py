@@ -18,11 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from folio.llm.arrow import map_batches, texts
+from folio.llm.pieces import Pieces
 
 #: Ranks that share a word of the bitmap.
 SPAN = 256
-#: Distinct pieces of text that a worker remembers with their ids.
-CACHE = 400_000
 
 
 class Bpe:
@@ -34,7 +33,7 @@ class Bpe:
         for piece, rank in ranks.items():
             self.vocab[rank] = piece
         self.groups = len(self.vocab) // SPAN + 1
-        self._ids: dict[str, bytes] = {}
+        self._pieces = Pieces(self._packed)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the pair of least rank, the leftmost of equals."""
@@ -111,31 +110,8 @@ class Bpe:
         return [x for m in self.split.finditer(text) for x in self.merge(m[0].encode())]
 
     def packed(self, text: str) -> bytes:
-        """ids() as little-endian unsigned 32-bit integers.
-
-        A text is cut at its blanks, and each part is looked up with the blank before it: a blank
-        that no white space precedes starts a pre-token in the pattern of the installed
-        vocabularies. Texts in which white space precedes a blank take the plain way.
-        """
-        return self.packed_by(text, self._packed)
-
-    def packed_by(self, text: str, several) -> bytes:
-        """packed() with another encoder of parts: ``several`` maps a list of strings to their packed ids."""
-        first, *rest = text.split(" ")
-        if not rest or first[-1:].isspace():
-            return several([text])[0]
-        known, last = self._ids, rest.pop()
-        try:
-            middle = b"".join([known[x] for x in rest])
-        except KeyError:
-            new = list({x for x in rest if x not in known})
-            if any(not x or x[-1].isspace() for x in new):
-                return several([text])[0]
-            more = dict(zip(new, several([" " + x for x in new]), strict=True))
-            if len(known) + len(more) <= CACHE:
-                known.update(more)
-            middle = b"".join([more[x] if x in more else known[x] for x in rest])
-        return several([first])[0] + middle + (known.get(last) or several([" " + last])[0])
+        """ids() as little-endian unsigned 32-bit integers."""
+        return self._pieces.packed(text)
 
     def _packed(self, several: list[str]) -> list[bytes]:
         return [np.array(self.ids(x), "<u4").tobytes() for x in several]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folio.llm import bpe, exact_dedup, quality, secrets
+from folio.llm import attribution, bpe, exact_dedup, ids_file, quality, secrets
 
 QUERIES = {
+    "op4_token_attribution": attribution.op4,
     "op5_quality_ranking": quality.op5,
     "op6_bpe_round_trip": bpe.op6,
+    "op7_ids_file": ids_file.op7,
     "op9_secret_scan": secrets.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
