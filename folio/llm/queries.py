@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from folio.llm import attribution, bpe, exact_dedup, ids_file, quality, secrets
+from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, page_text, quality, secrets
 
 QUERIES = {
+    "op1_page_text": page_text.op1,
     "op4_token_attribution": attribution.op4,
     "op5_quality_ranking": quality.op5,
     "op6_bpe_round_trip": bpe.op6,
     "op7_ids_file": ids_file.op7,
+    "op8_benchmark_leaks": decontam.op8,
     "op9_secret_scan": secrets.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
