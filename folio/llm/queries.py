@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, page_text, quality, secrets
+from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, page_text, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_page_text": page_text.op1,
+    "op2_repeated_words": substring_dedup.op2,
     "op4_token_attribution": attribution.op4,
     "op5_quality_ranking": quality.op5,
     "op6_bpe_round_trip": bpe.op6,
