@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, page_text, quality, secrets, substring_dedup
+from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, near_dedup, page_text, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_page_text": page_text.op1,
     "op2_repeated_words": substring_dedup.op2,
+    "op3_near_duplicates": near_dedup.op3,
     "op4_token_attribution": attribution.op4,
     "op5_quality_ranking": quality.op5,
     "op6_bpe_round_trip": bpe.op6,
