@@ -1,17 +1,61 @@
-"""The corpus pipeline: stages from raw documents to encoded ones."""
+"""The corpus pipeline: five stages from raw documents to encoded ones.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns
+of documents: the rows that the stage keeps, whole. A stage decides by id, in a narrow table, and
+the documents' rows are then filtered by a join on the id. Rows without an id can't be named by a
+decision; the deciding operators keep them, and so do the stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.llm import bpe, decontam, exact_dedup, near_dedup, quality
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``rejected`` (doc_id); rows without an id stay."""
+    return docs.join(rejected.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents whose score is below 0.5 go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~quality.held_out())
+    return _without(docs, quality.score(docs, model).where("score < 0.5").select("doc_id"))
+
+
+def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of equal texts the one with the largest id stays."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id"))
+
+
+def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on five words and a similarity of 0.8: the least id of each group stays."""
+    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that repeat a test item go."""
+    return _without(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: what is left, encoded, and decoded again as a check."""
+    return bpe.encode_decode(docs, *bpe.multi_50k())
+
+
+STAGES = [("quality classifier", classify), ("exact dedup", dedup_exactly), ("minhash near-dedup", dedup_nearly), ("benchmark decontamination", decontaminate), ("bpe encoding", encode)]
 
-STAGES: list = []
 #: The classifier, MinHash and block-max retrieval have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents."""
+    """Apply STAGES to documents; each stage's rows are written and read again as the next one's."""
+    from folio.llm.shared import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
