@@ -33,7 +33,7 @@ class Bpe:
         for piece, rank in ranks.items():
             self.vocab[rank] = piece
         self.groups = len(self.vocab) // SPAN + 1
-        self._pieces = Pieces(self._packed)
+        self._pieces = Pieces(lambda several: [np.array(self.merge(x.encode()), "<u4").tobytes() for x in several], pattern)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the pair of least rank, the leftmost of equals."""
@@ -113,9 +113,6 @@ class Bpe:
         """ids() as little-endian unsigned 32-bit integers."""
         return self._pieces.packed(text)
 
-    def _packed(self, several: list[str]) -> list[bytes]:
-        return [np.array(self.ids(x), "<u4").tobytes() for x in several]
-
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for."""
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(packed, "<u4").tolist()))

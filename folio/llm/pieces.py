@@ -1,40 +1,56 @@
-"""Encoding whole texts through a cache of their blank-separated parts."""
+"""Encoding whole texts through caches of their parts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Distinct parts that a worker remembers with their ids.
-CACHE = 400_000
+import regex
+
+#: Distinct blank-separated parts, and distinct pre-tokens, that a worker remembers with their ids.
+PARTS, PRE_TOKENS = 500_000, 400_000
 
 
 class Pieces:
     """packed(text) gives a text's ids as little-endian unsigned 32-bit integers.
 
-    ``several`` encodes a list of strings that way. A text is cut at its blanks, and each part is
-    looked up with the blank before it: a blank that no white space precedes starts a pre-token in
-    the pattern of the installed vocabularies. Texts in which white space precedes a blank are
-    encoded as they are.
+    ``encode`` maps a list of pre-tokens, matches of ``pattern``, to their packed ids. A text is cut
+    at its blanks, and each part is looked up with the blank before it: a blank that no white space
+    precedes starts a pre-token in the pattern of the installed vocabularies. Texts in which white
+    space precedes a blank are matched as they are. A full cache starts anew; what is common
+    comes back at once.
     """
 
-    def __init__(self, several: Callable[[list[str]], list[bytes]], cache: int = CACHE):
-        self.several, self.cache = several, cache
-        self._known: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
+        self.encode, self.split = encode, regex.compile(pattern)
+        self._parts: dict[str, bytes] = {}
+        self._pre_tokens: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
-        several, known = self.several, self._known
+        known = self._parts
         first, *rest = text.split(" ")
         if not rest or first[-1:].isspace():
-            return several([text])[0]
+            return self.direct([text])[0]
         last = rest.pop()
         try:
             middle = b"".join([known[x] for x in rest])
         except KeyError:
             new = list({x for x in rest if x not in known})
             if any(not x or x[-1].isspace() for x in new):
-                return several([text])[0]
-            more = dict(zip(new, several([" " + x for x in new]), strict=True))
-            if len(known) + len(more) <= self.cache:
-                known.update(more)
+                return self.direct([text])[0]
+            more = dict(zip(new, self.direct([" " + x for x in new]), strict=True))
             middle = b"".join([more[x] if x in more else known[x] for x in rest])
-        return several([first])[0] + middle + (known.get(last) or several([" " + last])[0])
+            if len(known) + len(more) > PARTS:
+                known.clear()
+            known.update(more)
+        return self.direct([first])[0] + middle + (known.get(last) or self.direct([" " + last])[0])
+
+    def direct(self, several: list[str]) -> list[bytes]:
+        known = self._pre_tokens
+        cut = [self.split.findall(text) for text in several]
+        new = list({x for parts in cut for x in parts if x not in known})
+        if len(known) + len(new) > PRE_TOKENS:
+            known.clear()
+            new = list({x for parts in cut for x in parts})
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
+        return [b"".join([known[x] for x in parts]) for parts in cut]
