@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 #: Schema of a control message; one key of it is set.
 CONTROL = "phase string, stderr string, error string, result struct<ok: boolean, frame_id: string, outcome: struct<exited: struct<code: bigint, signal: bigint>, spawn_failed: string, wait_failed: string>, error: string>"
-_BY_SESSION = Window.partitionBy("session_id").orderBy("seq")
+
+
+def _by_session():
+    return Window.partitionBy("session_id").orderBy("seq")
 
 
 def phase_durations(phases: DataFrame, ends: DataFrame) -> DataFrame:
     """(session_id, seq, name, ms): each phase lasts to the next one's start, the last to the session's end; never below 0."""
     rows = phases.join(ends.select("session_id", "end_ms"), "session_id", "left")
-    until = F.coalesce(F.lead("ms").over(_BY_SESSION), "end_ms")
+    until = F.coalesce(F.lead("ms").over(_by_session()), "end_ms")
     return rows.withColumn("until", until).select("session_id", "seq", "name", F.greatest(F.lit(0), F.col("until") - F.col("ms")).cast("long").alias("ms"))
 
 
@@ -28,19 +31,19 @@ def current_phase(phases: DataFrame, finished: DataFrame) -> DataFrame:
 
 def command_parents(results: DataFrame) -> DataFrame:
     """(session_id, seq, parent): the version that the last good result before made, else the session's image."""
-    before = F.last(F.when(F.col("ok"), F.col("frame_id")), ignorenulls=True).over(_BY_SESSION.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(F.col("ok"), F.col("frame_id")), ignorenulls=True).over(_by_session().rowsBetween(Window.unboundedPreceding, -1))
     return results.withColumn("parent", F.coalesce(before, "image")).select("session_id", "seq", "parent")
 
 
 def overlaps(spans: DataFrame) -> DataFrame:
     """(session_id, seq, overlaps): whether a span starts before some earlier one has ended."""
-    ended = F.max("end_ms").over(_BY_SESSION.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.max("end_ms").over(_by_session().rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("overlaps", F.coalesce(ended > F.col("start_ms"), F.lit(False))).select("session_id", "seq", "overlaps")
 
 
 def quota(chunks: DataFrame, cap: int) -> DataFrame:
     """(session_id, seq, total): the first chunk whose running total exceeds ``cap``; exactly the cap is allowed."""
-    run = chunks.withColumn("total", F.sum("n_bytes").over(_BY_SESSION))
+    run = chunks.withColumn("total", F.sum("n_bytes").over(_by_session()))
     over = run.where(F.col("total") > cap)
     return over.groupBy("session_id").agg(F.min("seq").alias("seq"), F.min_by("total", "seq").alias("total"))
 
@@ -99,20 +102,20 @@ def conformance(messages: DataFrame) -> DataFrame:
     """
     m = messages.where("kind <> 'heartbeat'")
     terminal = F.col("kind").isin("exit", "error")
-    before = _BY_SESSION.rowsBetween(Window.unboundedPreceding, -1)
+    before = _by_session().rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.sum(terminal.cast("int")).over(before), F.lit(0))
     hellos = F.coalesce(F.sum((F.col("kind") == "hello").cast("int")).over(before), F.lit(0))
     why = (
         F.when((F.col("n") == 1) & (F.col("kind") != "hello"), "no hello").when((F.col("kind") == "hello") & (F.col("hellos") > 0), "second hello")
         .when(terminal & (F.col("done") > 0), "second terminal").when(F.col("done") > 0, "after terminal").when(F.col("next").isNull() & ~terminal, "ended early")
     )
-    rows = m.withColumns({"n": F.row_number().over(_BY_SESSION), "done": done, "hellos": hellos, "next": F.lead("seq").over(_BY_SESSION)})
+    rows = m.withColumns({"n": F.row_number().over(_by_session()), "done": done, "hellos": hellos, "next": F.lead("seq").over(_by_session())})
     return rows.select("session_id", "seq", why.alias("violation")).where("violation IS NOT NULL")
 
 
 def liveness_gaps(beats: DataFrame, limit_ms: int) -> DataFrame:
     """(session_id, seq, gap_ms) where more than ``limit_ms`` passed since the message before."""
-    gap = F.col("ms") - F.lag("ms").over(_BY_SESSION)
+    gap = F.col("ms") - F.lag("ms").over(_by_session())
     return beats.withColumn("gap_ms", gap).where(F.col("gap_ms") > limit_ms).select("session_id", "seq", "gap_ms")
 
 
@@ -145,7 +148,7 @@ def commands(lines: DataFrame) -> DataFrame:
 
 def section_headers(rows: DataFrame) -> DataFrame:
     """``rows`` with header_seq: the header at or above each; separators have none."""
-    head = F.last(F.when(F.col("part") == "header", F.col("seq")), ignorenulls=True).over(_BY_SESSION)
+    head = F.last(F.when(F.col("part") == "header", F.col("seq")), ignorenulls=True).over(_by_session())
     return rows.withColumn("header_seq", F.when(F.col("part") != "separator", head))
 
 
