@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, near_dedup, page_text, quality, secrets, substring_dedup
+from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, near_dedup, oracles, page_text, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_page_text": page_text.op1,
@@ -18,5 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_repeated_words": oracles.OP2,
+    "op3_near_duplicates": oracles.OP3,
+    "op9_secret_scan": oracles.OP9,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
