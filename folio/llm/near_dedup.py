@@ -7,16 +7,18 @@ shared half keys are combined; most sets have none and cost nothing more.
 
 Sets of one table key are not all paired. In each round a key names a pivot; a set is compared with
 the pivot that it shares most keys with, and links merge sets into components. Keys whose sets lie
-in one component are done. After the rounds, sets of different components that still share a key
-are compared one by one, if their sizes and sketches allow the similarity. So no link between
-components is lost, and a group of n copies takes n comparisons.
+in one component are done, so a group of n copies takes about n comparisons. After the rounds, sets
+of different components that still share a key, or are joined by a chain of such keys, form a
+cluster. A cluster is cut into blocks of bounded size by set size and hash; pairs of blocks whose
+sizes allow the similarity are compared on full sets inside one task, and only links come out. So no
+link between components is lost, and no pair is a row unless it is a link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -32,8 +34,8 @@ SHINGLE, SIMILARITY = 5, 80
 TABLES, ROWS = 12, 2
 #: Rounds of comparison with pivots before the rest is compared pair by pair.
 PIVOT_ROUNDS = 3
-#: Nibbles of the sketch (of 48) that a pair must share; one of similarity 0.8 shares 39 on average, and fewer than 25 once in a million.
-SKETCH_LEAST = 25
+#: Sets of a block, and shingles that are counted at a time when two blocks are compared.
+BLOCK, COLUMNS = 400, 8192
 
 _N = 2 * TABLES * ROWS
 _FACTORS = np.random.Generator(np.random.PCG64(8191)).integers(1, 1 << 63, _N, dtype=np.uint64) * U64(2) + U64(1)
@@ -61,7 +63,7 @@ def shingle_sets(batch: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set_id (a digest of the set), n, halves (2 x TABLES half keys) and sketch (48 nibbles in three numbers)."""
+    """doc_id, set_id (a digest of the set), n and halves (2 x TABLES half keys)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s for a in range(0, batch.num_rows, 1000) for s in shingle_sets(encoded(batch.column("text").slice(a, 1000)), k)]
@@ -76,15 +78,13 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 least[rows, j] = np.minimum.reduceat(flat * f, heads)
         mixed = mix(least)
         halves = mix(mixed[:, 0::2] * U64(0x2545F4914F6CDD1D) + mixed[:, 1::2] + np.arange(2 * TABLES, dtype=U64))
-        nibbles = (mixed & U64(15)).reshape(len(sets), 3, 16) << (np.arange(16, dtype=U64) * U64(4))
-        sketch = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64) if len(sets) else np.zeros((0, 3), np.int64)
         offsets = pa.array(np.arange(0, 2 * TABLES * len(sets) + 1, 2 * TABLES, dtype=np.int32))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(halves.view(np.int64).reshape(-1))), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(3))],
-            names=["doc_id", "set_id", "n", "halves", "s0", "s1", "s2"],
+            [batch.column("doc_id"), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(halves.view(np.int64).reshape(-1)))],
+            names=["doc_id", "set_id", "n", "halves"],
         )
 
-    return map_batches(docs, each, "doc_id long, set_id binary, n long, halves array<long>, s0 long, s1 long, s2 long")
+    return map_batches(docs, each, "doc_id long, set_id binary, n long, halves array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -97,20 +97,57 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs, each, "doc_id long, set_id binary, held binary")
 
 
-def _shared_nibbles(left: str, right: str) -> Column:
-    """How many of the 48 nibbles of two sketches are equal."""
-    total: Column = F.lit(48)
-    for s in ("s0", "s1", "s2"):
-        x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        total = total - F.bit_count(x)
-    return total
-
-
-def _likely(left: str, right: str, similarity: int) -> Column:
-    a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * similarity) & (_shared_nibbles(left, right) >= SKETCH_LEAST)
+def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: int) -> np.ndarray:
+    """Which sets of two blocks are similar enough, as a matrix: intersections are products of 0/1 matrices over the shingles that both sides have."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    flat = [np.concatenate(side) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    at = [np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0)) for f in flat]
+    some = [both[k] == f if len(both) else np.zeros(len(f), bool) for k, f in zip(at, flat, strict=True)]
+    at, rows = [k[m] for k, m in zip(at, some, strict=True)], [r[m] for r, m in zip(rows, some, strict=True)]
+    shared = np.zeros((len(left), len(right)), np.float32)  # counts below 2^24 are exact
+    for a in range(0, len(both), COLUMNS):
+        part = []
+        for side, k, r in zip((left, right), at, rows, strict=True):
+            m = np.zeros((len(side), COLUMNS), np.float32)
+            here = (k >= a) & (k < a + COLUMNS)
+            m[r[here], k[here] - a] = 1
+            part.append(m)
+        shared += part[0] @ part[1].T
+    shared = shared.astype(np.int64)
+    return 100 * shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def _links_within(nodes: DataFrame, similarity: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components of clusters; nodes are (node, cluster, component, n, held).
+
+    Sets are classed by size so that similar ones lie at most two classes apart; a class is cut into
+    blocks by hash. A task has two blocks, whatever the size of the cluster.
+    """
+    step = float(np.log(np.sqrt(100 / similarity)))
+    classed = nodes.withColumn("size", F.floor(F.log("n") / step))
+    counts = classed.groupBy("cluster", "size").agg(F.ceil(F.count("*") / block).cast("long").alias("k"))
+    placed = classed.join(counts, ["cluster", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k"))).drop("k")
+    blocks = counts.select("cluster", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"))
+    one, two = blocks.alias("one"), blocks.alias("two")
+    near = (F.col("one.cluster") == F.col("two.cluster")) & F.expr("two.size - one.size BETWEEN 0 AND 2") & F.expr("one.size < two.size OR one.block <= two.block")
+    tasks = one.join(two, near).select("one.cluster", F.col("one.size").alias("s1"), F.col("one.block").alias("b1"), F.col("two.size").alias("s2"), F.col("two.block").alias("b2"))
+    key = ["cluster", "s1", "b1", "s2", "b2"]
+    sides = [placed.withColumnsRenamed({"size": f"s{k}", "block": f"b{k}"}).join(tasks, ["cluster", f"s{k}", f"b{k}"]).select(*key, F.lit(k).alias("side"), "node", "component", "held") for k in (1, 2)]
+
+    def each(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+        held = [np.frombuffer(x, U64) for x in table.column("held").to_pylist()]
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        if not len(left) or not len(right) or len(np.unique(part)) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        good = _similar([held[k] for k in left], [held[k] for k in right], similarity) & (part[left][:, None] != part[right][None, :])
+        x, y = np.nonzero(good)
+        return pa.table({"a": pa.array(node[left][x]), "b": pa.array(node[right][y])})
+
+    return sides[0].unionByName(sides[1]).groupBy(*key).applyInArrow(each, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -148,7 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     classes = written(named.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
 
     # the row that stands for a class: one of those with its least id
-    stands = named.join(classes, (named.set_id == classes.set_id) & (named.doc_id == classes.node)).select(classes.node, classes.set_id, "n", "halves", "s0", "s1", "s2").dropDuplicates(["node", "set_id"])
+    stands = named.join(classes, (named.set_id == classes.set_id) & (named.doc_id == classes.node)).select(classes.node, classes.set_id, "n", "halves").dropDuplicates(["node", "set_id"])
     halves = stands.select("node", "set_id", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("times")).where("times > 1").select("half")
     of_node = halves.join(shared, "half").groupBy("node", "set_id").agg(F.collect_list(F.when(F.col("at") < TABLES, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("at") >= TABLES, F.col("half"))).alias("b")).where("size(a) > 0 AND size(b) > 0")  # at most TABLES each
@@ -157,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     many = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = written(keyed.join(many, "key").select("key", "node").distinct(), "members")
     nodes = members.select("node").distinct()
-    facts = written(stands.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "set_id", "s0", "s1", "s2")).alias("f")).select("node", "f.*"), "facts")
+    facts = written(stands.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "set_id")).alias("f")).select("node", "f.*"), "facts")
     texts_of = rows.join(nodes, rows.doc_id == nodes.node, "left_semi")
     sets = written(_sets(texts_of, shingle).join(facts.select("node", "set_id"), "set_id").where("doc_id = node").select("node", "held").dropDuplicates(["node"]), "sets")
 
@@ -172,12 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         found, parts = _merged(found, _confirmed(best, sets, similarity), facts)
     placed = members.join(parts, "node")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = placed.join(open_keys, "key").join(facts.select("node", "n", "s0", "s1", "s2"), "node")
-    rest = written(rest, "open")
-    left, right = rest.alias("l"), rest.alias("r")
-    cross = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & _likely("l", "r", similarity))
-    pairs = cross.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    found, parts = _merged(found, _confirmed(pairs, sets, similarity), facts)
+    still = written(placed.join(open_keys, "key").select("key", "node"), "open")
+    chains = still.join(still.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").distinct()
+    clusters = connected_components(chains).withColumnRenamed("component", "cluster")
+    rest = clusters.join(parts, "node").join(facts.select("node", "n"), "node").join(sets, "node")
+    found, parts = _merged(found, _links_within(rest, similarity), facts)
 
     placed = classes.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     least = placed.groupBy("set_id").agg(F.min("component_id").alias("component_id"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from folio.llm import components, near_dedup
 
 
@@ -63,6 +65,19 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_blocks_find_every_link_between_components(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 90, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 90 - k % 30, replace=False), rng.integers(0, 1 << 62, k % 17, dtype=np.uint64)])) for k in range(120)]
+    rows = [(k, k % 2, k, len(x), x.tobytes()) for k, x in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, cluster long, component long, n long, held binary")
+    got = {tuple(sorted(r)) for r in near_dedup._links_within(nodes, 80, block=7).collect()}
+    both = lambda x, y: len(np.intersect1d(x, y))
+    want = {(a, b) for a in range(120) for b in range(a + 2, 120, 2) if 100 * both(sets[a], sets[b]) >= 80 * (len(sets[a]) + len(sets[b]) - both(sets[a], sets[b]))}
+    assert got == want and 50 < len(want) < 3000
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 120)] + [(7, 7), (None, 3), (200, 150), (150, 175)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
