@@ -8,6 +8,7 @@ filters of doc_id. Reading counts or offsets never touches the ids.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,19 +29,34 @@ ORC = {"orc.stripe.size": str(32 << 20), "orc.create.index": "true", "orc.row.in
 END = 2
 
 
+def _letters() -> dict[int, str]:
+    """How the vocabulary spells bytes: those that Latin-1 prints stand for themselves, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=4)
-def _pieces(path: str) -> Pieces:
+def _pieces(path: str, pattern: str) -> Pieces:
+    """The library's model encodes each pre-token once; ``pattern`` is the one by which the vocabulary's own pre-tokeniser cuts."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Pieces(lambda several: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(several, add_special_tokens=False)])
+    tokenize, letters = Tokenizer.from_file(path).model.tokenize, _letters()
+
+    def encode(several: list[str]) -> list[bytes]:
+        out = []
+        for x in several:
+            ids = [t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
 
+    return Pieces(encode, pattern)
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
+
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the ids with ``end_id`` after each document.
 
     Texts, not ids, cross the one shuffle: they are smaller. A null text counts as empty (only the
@@ -49,11 +65,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, pieces, end = TaskContext.get().partitionId(), 0, _pieces(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        shard, start, pieces, end = TaskContext.get().partitionId(), 0, _pieces(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                packed = [pieces.packed(t) + end for t in part.column("text").to_pylist()]
+                packed = [x + end for x in pieces.packed_all(part.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 stops = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -64,35 +80,47 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     ordered.mapInArrow(encode, "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of write_ids() with start: the ids of all documents before, in order of id."""
-    rows = spark.read.schema("shard int, doc_id long, shard_start long, n_tokens long, ids array<int>").orc(path)
-    # one row a file
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+_ROWS = "shard int, doc_id long, shard_start long, n_tokens long, ids array<int>"
+
+
+def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` with start, the ids of all documents before, instead of shard and shard_start."""
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row a file
     bases = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("shard_start")).drop("base", "shard_start")
+    return rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("shard_start")).drop("base", "shard", "shard_start")
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that write_ids() wrote: doc_id, n_tokens, ids and start, the ids of all documents before, in order of id."""
+    rows = spark.read.schema(_ROWS).orc(path)
+    return _placed(rows, rows)
+
 
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, and what the ids themselves say: their number, and their unsigned crc32 as little-endian integers.
 
-def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, shard, and what the ids themselves say: their number, and their unsigned crc32 as little-endian integers."""
+    The ids are reduced where they are read; only numbers are joined.
+    """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("ids")
         offsets, flat = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
         crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "shard_start")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["shard", "doc_id", "shard_start", "n_tokens", "ids_crc32"])
 
-    return map_batches(rows.select("doc_id", "start", "ids"), each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(_ROWS).orc(path)
+    reduced = map_batches(rows.select("shard", "doc_id", "shard_start", "ids"), each, "shard int, doc_id long, shard_start long, n_tokens long, ids_crc32 long")
+    return _placed(reduced, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def byte_50k() -> str:
-    """Path of the installed vocabulary."""
+def byte_50k() -> tuple[str, str]:
+    """Path and pattern of the installed vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-ids")
-    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_50k())
-    return checksums(read_ids(spark, path))
+    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, *byte_50k())
+    return read_checksums(spark, path)

@@ -8,6 +8,8 @@ import regex
 
 #: Distinct blank-separated parts, and distinct pre-tokens, that a worker remembers with their ids.
 PARTS, PRE_TOKENS = 500_000, 400_000
+#: Parts that are cut into pre-tokens and encoded together.
+STEP = 200_000
 
 
 class Pieces:
@@ -26,23 +28,40 @@ class Pieces:
         self._pre_tokens: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
+        return self.packed_all([text])[0]
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """packed() of many texts: what none of them needed before is encoded together."""
         known = self._parts
-        first, *rest = text.split(" ")
-        if not rest or first[-1:].isspace():
-            return self.direct([text])[0]
-        last = rest.pop()
-        try:
-            middle = b"".join([known[x] for x in rest])
-        except KeyError:
-            new = list({x for x in rest if x not in known})
-            if any(not x or x[-1].isspace() for x in new):
-                return self.direct([text])[0]
-            more = dict(zip(new, self.direct([" " + x for x in new]), strict=True))
-            middle = b"".join([more[x] if x in more else known[x] for x in rest])
-            if len(known) + len(more) > PARTS:
-                known.clear()
-            known.update(more)
-        return self.direct([first])[0] + middle + (known.get(last) or self.direct([" " + last])[0])
+        if len(known) > PARTS:
+            known.clear()
+        whole, ends, new = [], {}, set()
+        for text in texts:
+            parts = text.split(" ")
+            if len(parts) < 2:
+                whole.append(text)
+                continue
+            fresh = set(parts[1:-1]).difference(known)
+            if parts[0][-1:].isspace() or any(not x or x[-1].isspace() for x in fresh):
+                whole.append(text)
+                continue
+            ends[parts[0]] = ends[" " + parts[-1]] = b""
+            new |= fresh
+        order = list(new)
+        for k in range(0, len(order), STEP):
+            step = order[k : k + STEP]
+            known.update(zip(step, self.direct([" " + x for x in step]), strict=True))
+        ends = dict(zip(ends, self.direct(list(ends)), strict=True))
+        done = dict(zip(whole, self.direct(whole), strict=True))
+        out = []
+        for text in texts:
+            if text in done:
+                out.append(done[text])
+            else:
+                first, *rest = text.split(" ")
+                last = ends[" " + rest.pop()]
+                out.append(ends[first] + b"".join([known[x] for x in rest]) + last)
+        return out
 
     def direct(self, several: list[str]) -> list[bytes]:
         known = self._pre_tokens

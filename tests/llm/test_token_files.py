@@ -27,7 +27,7 @@ def test_ids_file_odd_rows(spark, tmp_path):
     rows = [(3, "a  b \n c"), (1, None), (None, "x"), (2, ""), (2, "é" * 5000), (9, " lead"), (8, "trail ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS ids")
     path = str(tmp_path / "ids")
-    ids_file.write_ids(df, path, ids_file.byte_50k())
+    ids_file.write_ids(df, path, *ids_file.byte_50k())
     read = ids_file.read_ids(spark, path).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in read) == sorted((r.doc_id or -1, len(r.ids)) for r in read)
     order = sorted(read, key=lambda r: r.start)
@@ -36,8 +36,8 @@ def test_ids_file_odd_rows(spark, tmp_path):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert next(r.ids for r in order if r.doc_id == 3) == [*tokenizer.encode("a  b \n c", add_special_tokens=False).ids, 2]
     empty = str(tmp_path / "none")
-    ids_file.write_ids(df.where("false"), empty, ids_file.byte_50k())
-    assert ids_file.checksums(ids_file.read_ids(spark, empty)).count() == 0
+    ids_file.write_ids(df.where("false"), empty, *ids_file.byte_50k())
+    assert ids_file.read_checksums(spark, empty).count() == 0
 
 
 def test_section_tokens_against_brute_force(spark):
