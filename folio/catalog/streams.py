@@ -204,28 +204,28 @@ def _chunks(turns: DataFrame, encoded, size: int) -> DataFrame:
 _FRAMED = "(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n"
 
 
-@query("sse_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'event' AS kind, role AS name, encode(text) AS data FROM t")
+@query("sse_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'event' AS kind, role AS name, text AS data FROM t")
 def sse_reframe(spark: SparkSession, d: str) -> DataFrame:
     """Events come out as they went in, wherever chunks were cut."""
     block = F.encode(F.concat(F.lit("event: "), "role", F.lit("\ndata: "), F.replace(F.col("text"), F.lit("\n"), F.lit("\ndata: ")), F.lit("\n\n")), "utf-8")
-    return run_batch(_chunks(_turns(spark, d), block, 61), lambda: Frames("sse"))
+    return run_batch(_chunks(_turns(spark, d), block, 61), lambda: Frames("sse")).withColumn("data", F.decode("data", "utf-8"))
 
 
-@query("delim_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'frame' AS kind, NULL::VARCHAR AS name, encode(text) AS data FROM t")
+@query("delim_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'frame' AS kind, NULL::VARCHAR AS name, text AS data FROM t")
 def delim_reframe(spark: SparkSession, d: str) -> DataFrame:
-    return run_batch(_chunks(_turns(spark, d), F.encode(F.concat("text", F.lit("\0")), "utf-8"), 47), lambda: Frames(b"\0"))
+    return run_batch(_chunks(_turns(spark, d), F.encode(F.concat("text", F.lit("\0")), "utf-8"), 47), lambda: Frames(b"\0")).withColumn("data", F.decode("data", "utf-8"))
 
 
-@query("length_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'input' AS kind, NULL::VARCHAR AS name, encode(text) AS data FROM t")
+@query("length_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'input' AS kind, NULL::VARCHAR AS name, text AS data FROM t")
 def length_reframe(spark: SparkSession, d: str) -> DataFrame:
     raw = F.encode("text", "utf-8")
     head = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.octet_length(raw)), 8, "0")))
-    return run_batch(_chunks(_turns(spark, d), F.concat(head, raw), 53), lambda: Frames("length"))
+    return run_batch(_chunks(_turns(spark, d), F.concat(head, raw), 53), lambda: Frames("length")).withColumn("data", F.decode("data", "utf-8"))
 
 
-@query("line_reframe", _LINES + ", l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t) SELECT conv_id AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::BIGINT AS n, 'frame' AS kind, NULL::VARCHAR AS name, encode(line) AS data FROM l")
+@query("line_reframe", _LINES + ", l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t) SELECT conv_id AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::BIGINT AS n, 'frame' AS kind, NULL::VARCHAR AS name, line AS data FROM l")
 def line_reframe(spark: SparkSession, d: str) -> DataFrame:
-    return run_batch(_chunks(_turns(spark, d), F.encode(F.concat("text", F.lit("\n")), "utf-8"), 40), lambda: Frames(b"\n"))
+    return run_batch(_chunks(_turns(spark, d), F.encode(F.concat("text", F.lit("\n")), "utf-8"), 40), lambda: Frames(b"\n")).withColumn("data", F.decode("data", "utf-8"))
 
 
 @query("stream_concat", _LINES + "SELECT conv_id AS session_id, CASE WHEN role = 'assistant' THEN 'stdout' ELSE 'stderr' END AS stream, sha256(string_agg(text, '' ORDER BY turn)) AS hash FROM t GROUP BY 1, 2")
