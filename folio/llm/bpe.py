@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame
 from folio.llm.arrow import map_batches, texts
 from folio.llm.pieces import Pieces
 
+#: Pre-tokens from which one queue for all is faster than one for each.
+TOGETHER = 5000
+#: Texts that are encoded together; more take fewer queues and more memory.
+ROWS = 1000
 #: Ranks that share a word of the bitmap.
 SPAN = 256
 
@@ -33,7 +37,8 @@ class Bpe:
         for piece, rank in ranks.items():
             self.vocab[rank] = piece
         self.groups = len(self.vocab) // SPAN + 1
-        self._pieces = Pieces(lambda several: [np.array(self.merge(x.encode()), "<u4").tobytes() for x in several], pattern)
+        self._pieces = Pieces(lambda several: self.merge_many([x.encode() for x in several]), pattern)
+        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always the pair of least rank, the leftmost of equals."""
@@ -105,6 +110,96 @@ class Bpe:
             i = after[i]
         return out
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pairs of ids (left x number of ids + right) that merge, their ranks, and the id of each byte."""
+        if self._table is None:
+            ranks, n = self.ranks, len(self.vocab)
+            found = [(a * n + b, rank) for piece, rank in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None]
+            table = np.array(sorted(found), np.int64).reshape(-1, 2)
+            self._table = table[:, 0].copy(), table[:, 1].copy(), np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        return self._table
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of many pre-tokens, packed. One queue holds them all: a rank's bucket is an array of positions.
+
+        Of a pre-token only the leftmost position of a rank merges at a time, and the next rank is
+        sought anew, so each goes the way that merge() goes.
+        """
+        if len(pieces) < TOGETHER:
+            return [np.array(self.merge(x), "<u4").tobytes() for x in pieces]
+        keys, values, of_byte = self._pairs()
+        n_ids, ranks = len(self.vocab), self.ranks
+        out = [b"" if (r := ranks.get(x)) is None else r.to_bytes(4, "little") for x in pieces]
+        open_at = [k for k, x in enumerate(out) if not x and pieces[k]]
+        sizes = np.array([len(pieces[k]) for k in open_at], np.int64)
+        n = int(sizes.sum())
+        tok = np.append(of_byte[np.frombuffer(b"".join([pieces[k] for k in open_at]), np.uint8)], 0)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        stops = np.cumsum(sizes)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[stops - 1], before[stops - sizes] = n, -1
+        pair = np.full(n + 1, -1, np.int64)
+        alive = np.ones(n, bool)
+        buckets: dict[int, list[np.ndarray]] = {}
+        words, marked = [0] * self.groups, 0
+
+        def rank_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            key = tok[left] * n_ids + tok[right]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, values[at], -1)
+
+        def push(at: np.ndarray, found: np.ndarray) -> None:
+            nonlocal marked
+            some = found >= 0
+            if not some.any():
+                return
+            at, found = at[some], found[some]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            heads = np.flatnonzero(np.diff(found, prepend=-1)).tolist()
+            for a, b, r in zip(heads, [*heads[1:], len(at)], found[heads].tolist(), strict=True):
+                if r in buckets:
+                    buckets[r].append(at[a:b])
+                else:
+                    buckets[r] = [at[a:b]]
+                    words[r // SPAN] |= 1 << r % SPAN
+                    marked |= 1 << r // SPAN
+
+        inner = np.flatnonzero(after[:n] < n)
+        pair[inner] = rank_of(inner, after[inner])
+        push(inner, pair[inner])
+        while marked:
+            group = (marked & -marked).bit_length() - 1
+            word = words[group]
+            rank = group * SPAN + (word & -word).bit_length() - 1
+            words[group] = word = word & (word - 1)
+            if not word:
+                marked &= marked - 1
+            held = buckets.pop(rank)
+            todo = np.concatenate(held) if len(held) > 1 else held[0]
+            todo = np.unique(todo[pair[todo] == rank])  # the rest is stale
+            if not len(todo):
+                continue
+            first = np.ones(len(todo), bool)
+            first[1:] = np.diff(owner[todo]) != 0
+            if not first.all():
+                push(todo[~first], np.full(int((~first).sum()), rank))
+            i = todo[first]
+            j = after[i]
+            k = after[j]
+            tok[i], pair[j], alive[j], after[i] = rank, -1, False, k
+            before[k[k < n]] = i[k < n]
+            h = before[i]
+            right = np.where(k < n, rank_of(i, np.minimum(k, n - 1)), -1)
+            left = np.where(h >= 0, rank_of(np.maximum(h, 0), i), -1)
+            pair[i], pair[h[h >= 0]] = right, left[h >= 0]
+            push(np.concatenate([i, h[h >= 0]]), np.concatenate([right, left[h >= 0]]))
+        packed = tok[:n][alive].astype("<u4").tobytes()
+        count = np.concatenate([[0], np.cumsum(np.bincount(owner[alive], minlength=len(sizes)))]) * 4
+        for k, a, b in zip(open_at, count[:-1].tolist(), count[1:].tolist(), strict=True):
+            out[k] = packed[a:b]
+        return out
+
     def ids(self, text: str) -> list[int]:
         """Ids of a text, each match of the pattern by itself; no special tokens."""
         return [x for m in self.split.finditer(text) for x in self.merge(m[0].encode())]
@@ -113,6 +208,10 @@ class Bpe:
         """ids() as little-endian unsigned 32-bit integers."""
         return self._pieces.packed(text)
 
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """packed() of many texts; what is new to this worker is encoded together."""
+        return self._pieces.packed_all(texts)
+
     def decode(self, packed: bytes) -> bytes:
         """The bytes that packed ids stand for."""
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -141,13 +240,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoder(path, pattern)
         n, ids, back, raw = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            packed = bpe.packed(text)
-            n.append(len(packed) // 4)
-            ids.append(hashlib.sha256(packed).hexdigest())
-            back.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
-            if keep_ids:
-                raw.append(packed)
+        for at in range(0, batch.num_rows, ROWS):
+            for packed in bpe.packed_all(batch.column("text").slice(at, ROWS).to_pylist()):
+                n.append(len(packed) // 4)
+                ids.append(hashlib.sha256(packed).hexdigest())
+                back.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
+                if keep_ids:
+                    raw.append(packed)
         columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(back)}
         if keep_ids:
             columns["ids"] = pa.array(raw, pa.binary())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import regex
 
 #: Distinct blank-separated parts, and distinct pre-tokens, that a worker remembers with their ids.
-PARTS, PRE_TOKENS = 500_000, 400_000
+PARTS, PRE_TOKENS = 250_000, 200_000
 #: Parts that are cut into pre-tokens and encoded together.
 STEP = 200_000
 

@@ -21,7 +21,7 @@ def pair():
 
 
 @settings(max_examples=600, deadline=None)
-@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", " ", "é", "ß", "'s", "'ll", "12", "😀", "!!", "ing", "zz", "　", "\r\n", "<|endoftext|>", "\x1c", "\x85"]), max_size=30).map("".join) | st.text(max_size=60))
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", ".", ",", "ª", "ⅷ", "²", " ", "é", "ß", "'s", "'ll", "12", "😀", "!!", "ing", "zz", "　", "\r\n", "<|endoftext|>", "\x1c", "\x85"]), max_size=30).map("".join) | st.text(max_size=60))
 def test_ids_equal_the_library(pair, text):
     ours, theirs = pair
     want = np.array(theirs.encode_ordinary(text), "<u4").tobytes()
@@ -37,6 +37,18 @@ def test_very_long_pre_tokens(pair):
         assert ours.ids(text) == theirs.encode_ordinary(text)
 
 
+def test_many_pre_tokens_in_one_queue(pair):
+    ours, theirs = pair
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice(["th", "er", "on", "an", "é", "tion", "a", "x", "9", "😀", "!"]) for _ in range(rng.randrange(1, 14)))
+    pieces = [make().encode() for _ in range(bpe.TOGETHER + 500)] + [b"a" * 3001, b"ab" * 1500, b"", b" " * 700, b"the"]
+    got = ours.merge_many(pieces)
+    want = [np.array(theirs._encode_single_piece(p) if p else [], "<u4").tobytes() for p in pieces]
+    assert got == want == [np.array(ours.merge(p) if p else [], "<u4").tobytes() for p in pieces]
+    texts = ["a  b", "", " x", "x ", "\n y z", "t u\n v w", *[" ".join(make() for _ in range(40)) for _ in range(300)]]
+    assert ours.packed_all(texts) == [np.array(theirs.encode_ordinary(t), "<u4").tobytes() for t in texts]
+
+
 def test_encode_decode_rows(spark, pair):
     rows = [(1, "the cat"), (2, None), (3, ""), (None, "x"), (5, "é " * 3000), (5, "é " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS ids")
