@@ -209,10 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         found, parts = _merged(found, _confirmed(best, sets, similarity), facts)
     placed = members.join(parts, "node")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = written(placed.join(open_keys, "key").select("key", "node"), "open")
-    chains = still.join(still.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b").distinct()
-    clusters = connected_components(chains).withColumnRenamed("component", "cluster")
-    rest = clusters.join(parts, "node").join(facts.select("node", "n"), "node").join(sets, "node")
+    # components that share an open key, by way of the key's least one
+    still = written(placed.join(open_keys, "key").select("key", F.col("component").alias("a")).distinct(), "open")
+    chains = still.join(still.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b").distinct()
+    clusters = connected_components(chains).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    rest = parts.join(clusters, "component").join(facts.select("node", "n"), "node").join(sets, "node")
     found, parts = _merged(found, _links_within(rest, similarity), facts)
 
     placed = classes.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
