@@ -5,7 +5,8 @@ the neighbour that shares the longest beginning of the path is a page's partner.
 are aligned by a longest common subsequence; lines that they share come from the site's template
 and are deleted. Markup that states what a block is comes first: what lies in menus, footers,
 adverts and the like always goes, and what lies in a marked article always stays, since copies and
-quotations would otherwise be deleted as template.
+quotations would otherwise be deleted as template. Within an article a class, id or role must be the
+name of chrome, not hold it as a part; headings and the article itself are never chrome by name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ CHROME = frozenset("nav header footer aside form script style noscript template
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: Elements that hold the main text.
 MAIN = frozenset("article main".split())
+#: Elements that class words never make chrome; their ids are made from their text.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that don't break a line.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end tag.
@@ -37,7 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary search".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![^\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 #: Pages of a host that are sorted together; larger hosts are dealt into parts by their paths.
 HOST_PART = 20_000
@@ -61,8 +64,13 @@ class Page:
         return [x for x, m in self.lines if m] or [x for x, _ in self.lines]
 
 
-def _chrome_words(attrs: str) -> bool:
-    return any(not CHROME_WORDS.isdisjoint(w.lower() for w in _WORD.findall("".join(m))) for m in _NAMES.findall(attrs)) or bool(re.search(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
+def _chrome_words(attrs: str, whole: bool) -> bool:
+    """Whether class, id or role names chrome; with ``whole``, only by a name that stands alone, not as a part of one."""
+    return any(not CHROME_WORDS.isdisjoint(w.lower() for w in ("".join(m).split() if whole else _WORD.findall("".join(m)))) for m in _NAMES.findall(attrs))
+
+
+def _hidden(attrs: str) -> bool:
+    return bool(re.search(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
 
 
 def parse(source: str) -> Page:
@@ -104,12 +112,16 @@ def parse(source: str) -> Page:
             if held is not None:
                 close(held)
             continue
-        is_chrome = name in CHROME or (bool(m["attrs"]) and name not in ("html", "body") and _chrome_words(m["attrs"]))
+        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
+            flush()
+            close(len(open_tags) - 1)  # these end where the next one starts
+        attrs = m["attrs"] if name not in ("html", "body") else ""
+        is_chrome = name in CHROME or (bool(attrs) and _hidden(attrs))
         is_main = not is_chrome and (name in MAIN or 'role="main"' in m["attrs"] or "articleBody" in m["attrs"])
+        if attrs and not is_chrome and not is_main and name not in HEADINGS:
+            is_chrome = _chrome_words(attrs, main > 0)
         if name not in INLINE or is_chrome or is_main:
             flush()
-        if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
-            close(len(open_tags) - 1)  # these end where the next one starts
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else n

@@ -30,6 +30,15 @@ def test_parse_leaves_out_what_isnt_text():
     assert page.marked and page.text == ["Head & tail", "Onetwo é", "three", "four link"]
 
 
+def test_names_of_chrome_within_articles():
+    page = page_text.parse("""<div class="ad-slot">out</div><article class="post search-result" id="related-1"><h2 id="related-work">Related work</h2><h2 id="social">Social</h2>
+    <section id="search-and-rescue" data-id="menu"><p class="notice-board">text</p></section><div class="comments">c</div><p class="big ad">a</p><p id="comments">b<p>last</p></article>""")
+    assert page.marked and page.text == ["Related work", "Social", "text", "last"]
+    assert page_text.parse('<main class="has-sidebar">in</main>out').text == ["in"]
+    assert page_text.parse('<h2 id="social-effects">head</h2><div id="social-effects">x</div>').text == ["head"]
+    assert page_text.parse('<article hidden>x</article><article role="main" aria-hidden=true>y</article><p>z').text == ["z"]
+
+
 def test_broken_pages():
     for source, want in (("", []), ("plain", ["plain"]), ("<p>a<p>b", ["a", "b"]), ("<div>a</div><scrip", ["a"]), ("a<script>b", ["a"]), ("1 < 2 & 3 > 2", ["1 < 2 & 3 > 2"]), ("<a href=\"q", []), ("</div></article>x", ["x"]), ("<p class=ad>x<p>y", ["y"]), ("&amp &#x41;&bogus; &am", ["& A&bogus; &am"])):
         page = page_text.parse(source)
