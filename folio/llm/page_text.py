@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
@@ -42,10 +42,10 @@ CHROME_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""(?<![^\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-#: Pages of a host that are sorted together; larger hosts are dealt into parts by their paths.
+#: Pages of a host that are sorted together; larger hosts are cut into about as large ranges of (path, page_id).
 HOST_PART = 20_000
-#: Share of common lines from which two pages are copies of one page, so that nothing tells template from text.
-COPY = 0.9
+#: Keys of a range that are looked at to place its end.
+CUT_KEYS = 16
 
 
 @dataclass
@@ -164,12 +164,20 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def difference(lines: list[str], own: list[int], other: list[int] | None) -> list[str]:
-    """``lines`` without those that the partner shares; all of them if there is no partner or the pages are copies."""
-    if not other:
+def difference(lines: list[str], own: list[int], partner: list[int] | None, other: list[int] | None = None) -> list[str]:
+    """``lines`` without those that the partner shares; all of them if there is no partner or no line differs.
+
+    A partner that shares more of what ``other``, the neighbour on the other side, lacks than it
+    leaves to the page alone is a copy of the page; ``other`` decides then.
+    """
+    if not partner:
         return lines
-    shared = set(common_lines(own, other))
-    if len(shared) >= COPY * max(len(own), len(other)):
+    shared = set(common_lines(own, partner))
+    if other:
+        also = set(common_lines(own, other))
+        if len(shared - also) > len(own) - len(shared):
+            shared, partner = also, other
+    if len(shared) == len(own) == len(partner):
         return lines
     return [x for k, x in enumerate(lines) if k not in shared]
 
@@ -190,33 +198,80 @@ def _split(url: str | None, at: int) -> tuple[str, str]:
     return f"\0{at}", ""  # a page without a host has no partner
 
 
+def _key(path: str, page_id: int | None) -> tuple[str, bool, int]:
+    """Sorts as Spark sorts (path, page_id): by UTF-8 bytes, nulls first."""
+    return path, page_id is not None, page_id or 0
+
+
+def _host_cuts(rows: DataFrame, host_part: int) -> dict[str, tuple[list, list]]:
+    """For each host of more than ``host_part`` pages, the keys at which its ranges start (but the first), and the last key of each range.
+
+    One key in host_part / CUT_KEYS comes to the driver. Rows that repeat a key stay in one range.
+    """
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [(*_split(url, 0), i) for i, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)]
+        found = [x for x in found if x[0][0] != "\0"]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "page_id"])
+
+    schema = "host string, path string, page_id long"
+    keys = map_batches(rows.select("page_id", "url"), split, schema)
+    large = keys.groupBy("host").count().where(F.col("count") > host_part).select("host")
+    every = max(1, host_part // CUT_KEYS)
+    some = keys.where(F.pmod(F.xxhash64("path", "page_id"), F.lit(every)) == 0).join(F.broadcast(large), "host", "left_semi").distinct()
+    seen = defaultdict(list)
+    for r in some.collect():
+        seen[r.host].append(_key(r.path, r.page_id))
+    cuts = {host: sorted(held)[host_part // every :: host_part // every] for host, held in seen.items()}
+    cuts = {host: held for host, held in cuts.items() if held}
+    if not cuts:
+        return {}
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [(*x, bisect_right(cuts[x[0]], _key(x[1], x[2]))) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if x[0] in cuts]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["host", "path", "page_id", "part"])
+
+    ends = map_batches(keys, place, f"{schema}, part int").groupBy("host", "part").agg(F.max(F.struct("path", "page_id")).alias("last"))
+    lasts = {host: [None] * (len(held) + 1) for host, held in cuts.items()}
+    for r in ends.collect():
+        lasts[r.host][r.part] = _key(r["last"].path, r["last"].page_id)
+    return {host: (cuts[host], lasts[host]) for host in cuts}
+
+
 def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", host_part: int = HOST_PART) -> DataFrame:
     """One row per page: page_id, url, text (its main text, lines joined by a blank), marked (whether the page marks its article).
 
     A null or empty page has an empty text. A null or broken URL has no partner, so only markup
-    counts there; so has the single page of a host. Pages with the same URL may be partners; of two
-    pages that share nine lines in ten nothing is deleted. Other columns aren't read.
+    counts there; so has the single page of a host. Pages with the same URL may be partners; of pages
+    whose lines are all alike nothing is deleted. ``host_part`` changes tasks, not results. Other
+    columns aren't read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
+    cuts = _host_cuts(rows, host_part)
+
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {k: [] for k in ("host", "path", "marked", "lines", "hashes")}
+        out = {k: [] for k in ("page_id", "url", "host", "path", "marked", "lines", "hashes", "part", "edge")}
         for at, (i, url, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
             page = parse(source)
             host, path = _split(url, i or at)
-            for k, v in (("host", host), ("path", path), ("marked", page.marked), ("lines", page.text), ("hashes", [_hash(x) for x, _ in page.lines])):
-                out[k].append(v)
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out["host"]), pa.array(out["path"]), pa.array(out["marked"]), pa.array(out["lines"], pa.list_(pa.string())), pa.array(out["hashes"], pa.list_(pa.int64()))], names=["page_id", "url", *out])
-
-    lined = map_batches(rows, cut, "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>")
-    # large hosts, one row for each HOST_PART pages at most
-    names = rows.select(F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host"))
-    large = names.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > host_part).select("host", F.ceil(F.col("n") / host_part).cast("int").alias("parts"))
-    dealt = lined.join(F.broadcast(large), "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(F.expr("left(path, greatest(length(path) - 2, 0))")), F.col("parts")), F.lit(0)))
-
-    w = Window.partitionBy("host", "part").orderBy("path", "page_id", F.xxhash64("lines"))
+            part, edges = 0, []
+            if host in cuts:
+                (starts, lasts), key = cuts[host], _key(path, i)
+                part = bisect_right(starts, key)
+                # what starts or ends a range is a neighbour in the range beside it too
+                edges = [part - 1] * (part > 0 and key == starts[part - 1]) + [part + 1] * (part < len(starts) and key == lasts[part])
+            hashes = [_hash(x) for x, _ in page.lines]
+            for p, edge in ((part, False), *((p, True) for p in edges)):
+                for k, v in zip(out, (i, url, host, path, page.marked, page.text, hashes, p, edge), strict=True):
+                    out[k].append(v)
+        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=[*out])
+
+    lined = map_batches(rows, cut, "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>, part int, edge boolean")
+    w = Window.partitionBy("host", "part").orderBy("path", "page_id", F.xxhash64("lines"), F.xxhash64("hashes"))
     beside = {f"{c}_{side}": f(c).over(w) for side, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "hashes")}
-    paired = dealt.withColumns(beside)
+    paired = lined.withColumns(beside).where(~F.col("edge"))
 
     def shared_start(a: str, b: str) -> int:
         return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
@@ -227,7 +282,8 @@ def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             lines = r["lines"]
             if not r["marked"]:
                 sides = [(shared_start(r["path"], r[f"path_{s}"]), r[f"hashes_{s}"]) for s in ("before", "after") if r[f"hashes_{s}"]]
-                lines = difference(lines, r["hashes"], max(sides, key=lambda x: x[0])[1] if sides else None)
+                sides = [x[1] for x in sorted(sides, key=lambda x: -x[0])]
+                lines = difference(lines, r["hashes"], *(sides or [None]))
             out.append(" ".join(lines))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), batch.column("marked")], names=["page_id", "url", "text", "marked"])
 

@@ -61,6 +61,31 @@ def test_differencing_of_pages_without_an_article(spark):
     assert page_text.page_text(df.where("false")).count() == 0
 
 
+def test_ranges_of_a_host_give_the_same_text(spark):
+    def page(k):
+        return f"<div>Site</div><div>Part {k // 10}</div>" + (f"<p>text {k}" if k % 7 else "") + f"<div>Foot {k // 25}</div>"
+
+    rows = [(k, f"http://h.org/{k // 10}/{k // 2}" if k < 60 else f"http://h.org/view?id={k}", page(k)) for k in range(120)]
+    rows += [(None, "http://h.org/view?id=1", page(1)), (None, "http://h.org/3/16", page(2)), (70, "http://h.org/view", page(70)), (200, "http://i.org/a", page(3)), (201, None, page(4))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(map(str, page_text.page_text(df, host_part=n).collect())) for n in (20_000, 50, 4, 1)]
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2] == got[3]
+    cuts = page_text._host_cuts(df, 4)
+    assert list(cuts) == ["h.org"] and len(cuts["h.org"][0]) > 10 and sum(x[0] == "/view" for x in cuts["h.org"][0]) > 5
+
+
+def test_copies_are_told_by_the_other_neighbour():
+    template, text, strange = list(range(10)), list(range(20, 40)), list(range(50, 60))
+    kept = lambda own, *sides: page_text.difference(own, own, *sides)
+    assert kept([*template, 91], [*template, 92], [*template, 93]) == [91]
+    assert kept([*template, 91], [*template, 92]) == [91]
+    assert kept([*template, *text, 91], [*template, *text, 92], template + strange) == [*text, 91]
+    assert kept(template + text, template + text, template + strange) == text
+    assert kept(template + text, template + strange, template + text) == text
+    assert kept(template, template) == kept(template, template, template) == template
+    assert kept(template, template + text) == [] and kept(template, None) == template
+
+
 def test_whole_table_against_its_articles(spark):
     d = "/root/testdata/sf0.001"
     got = {r.page_id: r for r in page_text.op1(spark, d).collect()}
