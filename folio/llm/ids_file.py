@@ -8,6 +8,7 @@ filters of doc_id. Reading counts or offsets never touches the ids.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,28 +38,58 @@ def _letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=4)
-def _pieces(path: str, pattern: str) -> Pieces:
-    """The library's model encodes each pre-token once; ``pattern`` is the one by which the vocabulary's own pre-tokeniser cuts."""
-    import os
+#: Below this code point the pattern's classes are the same in regex and in the library, whose versions of Unicode differ.
+COMMON = 0x530
+
+
+class Encoder:
+    """The library's encoding of whole texts, without the tokens that its post-processor adds.
+
+    Each pre-token is encoded once by the library's model. ``pattern`` is the one by which the
+    vocabulary's own pre-tokeniser cuts; that one itself cuts what holds a character from COMMON on.
+    A text that holds an added token, or any text if the vocabulary normalizes, is handed to the library whole.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
+        from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
-    from tokenizers import Tokenizer
+        self.library = Tokenizer.from_file(path)
+        added = sorted((re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.whole = re.compile("" if self.library.normalizer else "|".join(added) or r"(?!)").search
+        tokenize, letters, pre = self.library.model.tokenize, _letters(), self.library.pre_tokenizer.pre_tokenize_str
+        plain, late = regex.compile(pattern).findall, re.compile(f"[^\0-{chr(COMMON - 1)}]").search
 
-    tokenize, letters = Tokenizer.from_file(path).model.tokenize, _letters()
+        def cut(text: str) -> list[str]:
+            return [text[a:b] for _, (a, b) in pre(text)] if late(text) else plain(text)
 
-    def encode(several: list[str]) -> list[bytes]:
-        out = []
-        for x in several:
-            ids = [t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+        def encode(several: list[str]) -> list[bytes]:
+            return [_packed([t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]) for x in several]
 
-    return Pieces(encode, pattern)
+        self.pieces = Pieces(encode, pattern, cut)
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        held = {k for k, x in enumerate(texts) if self.whole(x)}
+        if not held:
+            return self.pieces.packed_all(texts)
+        rest = iter(self.pieces.packed_all([x for k, x in enumerate(texts) if k not in held]))
+        return [_packed(self.library.encode(x, add_special_tokens=False).ids) if k in held else next(rest) for k, x in enumerate(texts)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One for each vocabulary in a worker."""
+    return Encoder(path, pattern)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every whole text and write the ids with ``end_id`` after each document.
+    """Encode every whole text as the library does, added tokens included, and write the ids with ``end_id`` after each document.
 
     Texts, not ids, cross the one shuffle: they are smaller. A null text counts as empty (only the
     end id). Rows with a null id come first; rows that repeat an id stand side by side in any order.
@@ -65,11 +97,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, pieces, end = TaskContext.get().partitionId(), 0, _pieces(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
+        shard, start, encoder, end = TaskContext.get().partitionId(), 0, _encoder(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                packed = [x + end for x in pieces.packed_all(part.column("text").to_pylist())]
+                packed = [x + end for x in encoder.packed_all(part.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 stops = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))

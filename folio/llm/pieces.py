@@ -15,15 +15,16 @@ STEP = 200_000
 class Pieces:
     """packed(text) gives a text's ids as little-endian unsigned 32-bit integers.
 
-    ``encode`` maps a list of pre-tokens, matches of ``pattern``, to their packed ids. A text is cut
+    ``encode`` maps a list of pre-tokens, matches of ``pattern`` or what ``cut`` makes of a text, to
+    their packed ids. A text is cut
     at its blanks, and each part is looked up with the blank before it: a blank that no white space
     precedes starts a pre-token in the pattern of the installed vocabularies. Texts in which white
     space precedes a blank are matched as they are. A full cache starts anew; what is common
     comes back at once.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
-        self.encode, self.split = encode, regex.compile(pattern)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, cut: Callable[[str], list[str]] | None = None):
+        self.encode, self.cut = encode, cut or regex.compile(pattern).findall
         self._parts: dict[str, bytes] = {}
         self._pre_tokens: dict[str, bytes] = {}
 
@@ -65,7 +66,7 @@ class Pieces:
 
     def direct(self, several: list[str]) -> list[bytes]:
         known = self._pre_tokens
-        cut = [self.split.findall(text) for text in several]
+        cut = [self.cut(text) for text in several]
         new = list({x for parts in cut for x in parts if x not in known})
         if len(known) + len(new) > PRE_TOKENS:
             known.clear()

@@ -40,6 +40,20 @@ def test_ids_file_odd_rows(spark, tmp_path):
     assert ids_file.read_checksums(spark, empty).count() == 0
 
 
+def test_added_tokens_and_late_characters_against_the_library():
+    path, pattern = ids_file.byte_50k()
+    library, encoder = Tokenizer.from_file(path), ids_file.Encoder(path, pattern)
+    late = [chr(c) for c in (0x558, 0x88F, 0xC5C, 0x208F, 0xA7CE, 0x1F600, 0x4E2D, 0x3000, 0x85, 0xA0, 0x1C)]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "plain text", "", *(f"a{c}1 {c}{c}? {c} {c}  b{c}\n{c} é" for c in late), *(f"x {c}y {c}1 z" for c in late)]
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for several in (texts, texts[::-1]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed_all(several)] == (want if several is texts else want[::-1])
+    assert want[0] == [64, 220, 50256, 275]
+    for c in range(ids_file.COMMON):
+        text = f"a{chr(c)}1 {chr(c)}{chr(c)}? {chr(c)}  b{chr(c)}\n"
+        assert encoder.pieces.cut(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)], c
+
+
 def test_section_tokens_against_brute_force(spark):
     path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     encoding, lengths = attribution._encoding(path, pattern)
