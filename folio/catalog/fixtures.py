@@ -29,6 +29,11 @@ def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.sizes(images(spark, sf_dir), P, FANOUT)
 
 
+def top(spark: SparkSession, sf_dir: str) -> int:
+    """The highest level of all trees."""
+    return tree.tallest(shape(spark, sf_dir))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.paginate(images(spark, sf_dir), P)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.catalog.fixtures import CTE, FANOUT, P, TOP, edits, holder, images, nodes, pages, shape, table
+from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, nodes, pages, shape, table, top
 from folio.operators import diff, lineage, tree
 from folio.sources import blobs
 from folio.sources.shared import shared_path, written
@@ -194,7 +194,7 @@ def artifact_hash(spark: SparkSession, d: str) -> DataFrame:
 def commit_assemble(spark: SparkSession, d: str) -> DataFrame:
     """Blobs that a commit to the holder uploads, each with its bytes; a page without bytes fails the query."""
     n, p = nodes(spark, d), pages(spark, d)
-    lacking = diff.tree_diff(n, holder(n), FANOUT, TOP).select("hash", (F.col("level") > 0).alias("inner_node")).distinct()
+    lacking = diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).select("hash", (F.col("level") > 0).alias("inner_node")).distinct()
     held = lacking.join(p.groupBy("hash").agg(F.any_value("bytes").alias("bytes")), "hash", "left")
     return held.select("hash", F.when(F.col("inner_node") | F.col("bytes").isNotNull(), F.col("inner_node")).otherwise(F.raise_error(F.concat(F.lit("page without bytes: "), "hash")).cast("boolean")).alias("inner_node"))
 

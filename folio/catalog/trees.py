@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.catalog.fixtures import CTE, FANOUT, P, TOP, edits, holder, images, leaves, nodes, pages, shape
+from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, leaves, nodes, pages, shape, top
 from folio.functions import geometry as g
 from folio.operators import diff, tree
 from folio.plans import materialize as m
@@ -39,9 +39,10 @@ def tree_geometry(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b8_node_path", CTE + f"SELECT image_id, page_no, array_to_string([page_no // {FANOUT**4} % {FANOUT}, page_no // {FANOUT**3} % {FANOUT}, page_no // {FANOUT**2} % {FANOUT}, page_no // {FANOUT} % {FANOUT}, page_no % {FANOUT}], '/') AS path FROM pages")
 def node_path(spark: SparkSession, d: str) -> DataFrame:
-    """Place of a page at each level: its number's digits to the base of the fanout."""
-    digits = [g.div(F.col("page_no"), FANOUT**k) % FANOUT for k in (4, 3, 2, 1, 0)]
-    return pages(spark, d).select("image_id", "page_no", F.concat_ws("/", *[x.cast("string") for x in digits]).alias("path"))
+    """Place of a page at each level: its number's digits to the base of the fanout, as many as the image's tree is high, but five at least."""
+    levels = F.sequence(F.greatest(F.col("height"), F.lit(5)) - 1, F.lit(0), F.lit(-1))
+    digits = F.transform(levels, lambda k: (g.div(F.col("page_no"), g.subtree_pages(k, FANOUT)) % FANOUT).cast("string"))
+    return pages(spark, d).join(shape(spark, d).select("image_id", "height"), "image_id").select("image_id", "page_no", F.concat_ws("/", digits).alias("path"))
 
 
 @query("merkle_root", CTE + "SELECT image_id, hash AS root, len, page_count, height::BIGINT AS height FROM nodes JOIN shape USING (image_id) WHERE level = height")
@@ -165,20 +166,20 @@ def dirty_errors(spark: SparkSession, d: str) -> DataFrame:
 @query("tree_diff", CTE + "SELECT image_id, level::BIGINT AS level, page_base, hash FROM missing")
 def tree_diff(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return diff.tree_diff(n, holder(n), FANOUT, TOP).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
+    return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
 
 
 @query("c2_self_diff", CTE + "SELECT image_id, level::BIGINT AS level, page_base, hash FROM nodes WHERE false")
 def self_diff(spark: SparkSession, d: str) -> DataFrame:
     """Against a holder of everything: nothing is missing."""
     n = nodes(spark, d)
-    return diff.tree_diff(n, n.select("hash"), FANOUT, TOP).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
+    return diff.tree_diff(n, n.select("hash"), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
 
 
 @query("d12_missing_hashes", CTE + "SELECT hash, count(*) AS places FROM missing GROUP BY hash")
 def missing_hashes(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return diff.tree_diff(n, holder(n), FANOUT, TOP).groupBy("hash").agg(F.count("*").alias("places"))
+    return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).groupBy("hash").agg(F.count("*").alias("places"))
 
 
 @query("o1_preorder", CTE + "SELECT image_id, level::BIGINT AS level, page_base, hash, row_number() OVER (PARTITION BY image_id ORDER BY page_base, level DESC) AS place FROM missing")
@@ -188,7 +189,7 @@ def preorder(spark: SparkSession, d: str) -> DataFrame:
 
     n = nodes(spark, d)
     w = Window.partitionBy("image_id").orderBy("page_base", F.col("level").desc())
-    return diff.tree_diff(n, holder(n), FANOUT, TOP).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash", F.row_number().over(w).cast("long").alias("place"))
+    return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("blob_difference", CTE + "SELECT DISTINCT hash FROM nodes WHERE hash NOT IN (SELECT hash FROM holder)")
@@ -202,23 +203,28 @@ def version_delta(spark: SparkSession, d: str) -> DataFrame:
     """Positions and blobs of each next version that no first version has."""
     n = nodes(spark, d)
     fresh = tree.rebuilt_nodes(n, written(edits(pages(spark, d)).select("image_id", "page_no", "hash"), "dirty"), shape(spark, d), FANOUT)
-    return diff.tree_diff(fresh, n.select("hash"), FANOUT, TOP).groupBy("image_id").agg(F.count("*").alias("positions"), F.countDistinct("hash").alias("blobs"))
+    return diff.tree_diff(fresh, n.select("hash"), FANOUT, top(spark, d)).groupBy("image_id").agg(F.count("*").alias("positions"), F.countDistinct("hash").alias("blobs"))
 
 
 _ASKED = "asked AS (SELECT hash, image_id * 1000 + node_idx AS pos FROM l0 WHERE image_id % 3 = 1)"
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """First places are found by (image_id, page_no); only the number that the SQL shows is unique up to 1000 pages an image."""
+    return found.select((F.col("pos.image_id") * 1000 + F.col("pos.node_idx")).alias("pos"), "hash")
+
+
 @query("want_hashes", CTE + f", {_ASKED} SELECT min(pos) AS pos, hash FROM asked WHERE hash NOT IN (SELECT hash FROM holder) GROUP BY hash")
 def want_hashes(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    asked = n.where("level = 0 AND image_id % 3 = 1").select("hash", (F.col("image_id") * 1000 + F.col("node_idx")).alias("pos"))
-    return diff.want(asked, holder(n))
+    asked = n.where("level = 0 AND image_id % 3 = 1").select("hash", F.struct("image_id", "node_idx").alias("pos"))
+    return _numbered(diff.want(asked, holder(n)))
 
 
 @query("o6_first_occurrence", CTE + f", {_ASKED} SELECT min(pos) AS pos, hash FROM asked GROUP BY hash")
 def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
     rows = tree.leaf_rows(pages(spark, d)).where("image_id % 3 = 1")
-    return diff.first_occurrence(rows.select("hash", (F.col("image_id") * 1000 + F.col("node_idx")).alias("pos")))
+    return _numbered(diff.first_occurrence(rows.select("hash", F.struct("image_id", "node_idx").alias("pos"))))
 
 
 @query("fetch_nodes", CTE + "SELECT DISTINCT hash FROM nodes WHERE level > 0 AND image_id % 2 = 1 AND hash NOT IN (SELECT hash FROM holder)")
@@ -242,7 +248,7 @@ def _index(n: DataFrame) -> DataFrame:
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     """Odd images from even ones."""
     n = nodes(spark, d)
-    return written(m.plan(n.where("image_id % 2 = 1"), shape(spark, d), _index(n), FANOUT, TOP), "plan")
+    return written(m.plan(n.where("image_id % 2 = 1"), shape(spark, d), _index(n), FANOUT, top(spark, d)), "plan")
 
 
 @query("location_index", CTE + "SELECT hash, level::BIGINT AS level, source, src_page_base FROM loc")
