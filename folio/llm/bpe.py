@@ -22,6 +22,10 @@ from folio.llm.pieces import Pieces
 
 #: Pre-tokens from which one queue for all is faster than one for each.
 TOGETHER = 5000
+#: Bytes from which a pre-token has a queue of its own: in the common one it would merge once a rank and turn.
+LONG = 64
+#: Distinct pre-tokens that a worker remembers with their ids.
+PRE_TOKENS = 200_000
 #: Texts that are encoded together; more take fewer queues and more memory.
 ROWS = 1000
 #: Ranks that share a word of the bitmap.
@@ -37,7 +41,8 @@ class Bpe:
         for piece, rank in ranks.items():
             self.vocab[rank] = piece
         self.groups = len(self.vocab) // SPAN + 1
-        self._pieces = Pieces(lambda several: self.merge_many([x.encode() for x in several]), pattern)
+        self._pre_tokens: dict[str, bytes] = {}
+        self._pieces = Pieces(self._cut)
         self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merge(self, piece: bytes) -> list[int]:
@@ -119,14 +124,34 @@ class Bpe:
             self._table = table[:, 0].copy(), table[:, 1].copy(), np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         return self._table
 
+    def _cut(self, several: list[str]) -> list[bytes]:
+        """Ids of texts, packed: each match of the pattern is looked up, and what is new is merged together."""
+        known, cut = self._pre_tokens, [self.split.findall(x) for x in several]
+        new = list({x for found in cut for x in found if x not in known})
+        if len(known) + len(new) > PRE_TOKENS:
+            known.clear()
+            new = list({x for found in cut for x in found})
+        if new:
+            known.update(zip(new, self.merge_many([x.encode() for x in new]), strict=True))
+        return [b"".join([known[x] for x in found]) for found in cut]
+
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """merge() of many pre-tokens, packed. One queue holds them all: a rank's bucket is an array of positions.
+        """merge() of many pre-tokens, packed.
 
-        Of a pre-token only the leftmost position of a rank merges at a time, and the next rank is
-        sought anew, so each goes the way that merge() goes.
+        Short ones share a queue: a rank's bucket is then an array of positions. Of a pre-token only
+        the leftmost position of a rank merges at a time, and the next rank is sought anew, so each
+        goes the way that merge() goes; a turn a position is bounded by LONG. Longer ones, and few
+        ones, have a queue each.
         """
-        if len(pieces) < TOGETHER:
+        long = {k for k, x in enumerate(pieces) if len(x) >= LONG}
+        if len(pieces) - len(long) < TOGETHER:
             return [np.array(self.merge(x), "<u4").tobytes() for x in pieces]
+        if long:
+            short = iter(self._merge_together([x for k, x in enumerate(pieces) if k not in long]))
+            return [np.array(self.merge(x), "<u4").tobytes() if k in long else next(short) for k, x in enumerate(pieces)]
+        return self._merge_together(pieces)
+
+    def _merge_together(self, pieces: list[bytes]) -> list[bytes]:
         keys, values, of_byte = self._pairs()
         n_ids, ranks = len(self.vocab), self.ranks
         out = [b"" if (r := ranks.get(x)) is None else r.to_bytes(4, "little") for x in pieces]

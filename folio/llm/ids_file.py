@@ -16,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,51 +30,56 @@ ORC = {"orc.stripe.size": str(32 << 20), "orc.create.index": "true", "orc.row.in
 END = 2
 
 
-def _letters() -> dict[int, str]:
-    """How the vocabulary spells bytes: those that Latin-1 prints stand for themselves, the others follow from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-#: Below this code point the pattern's classes are the same in regex and in the library, whose versions of Unicode differ.
-COMMON = 0x530
+#: Parts that a worker remembers with their ids: about 200 bytes each.
+ROOM = 600_000
+#: Bytes of parts that the library encodes as one text.
+JOINED = 100_000
 
 
 class Encoder:
     """The library's encoding of whole texts, without the tokens that its post-processor adds.
 
-    Each pre-token is encoded once by the library's model. ``pattern`` is the one by which the
-    vocabulary's own pre-tokeniser cuts; that one itself cuts what holds a character from COMMON on.
-    A text that holds an added token, or any text if the vocabulary normalizes, is handed to the library whole.
+    Parts that no text's end touches are encoded side by side, many in one call of the library; as
+    an id spells a known number of bytes, running lengths tell which ids are whose. A text that
+    holds an added token, or any text if the vocabulary normalizes or has an added token with a
+    blank, is handed to the library as it is.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = sorted((re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.whole = re.compile("" if self.library.normalizer else "|".join(added) or r"(?!)").search
-        tokenize, letters, pre = self.library.model.tokenize, _letters(), self.library.pre_tokenizer.pre_tokenize_str
-        plain, late = regex.compile(pattern).findall, re.compile(f"[^\0-{chr(COMMON - 1)}]").search
-
-        def cut(text: str) -> list[str]:
-            return [text[a:b] for _, (a, b) in pre(text)] if late(text) else plain(text)
-
-        def encode(several: list[str]) -> list[bytes]:
-            return [_packed([t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]) for x in several]
-
-        self.pieces = Pieces(encode, pattern, cut)
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        if self.library.normalizer or any(" " in x for x in added):
+            added = [""]
+        self.whole = re.compile("|".join(map(re.escape, added)) if added else r"(?!)").search
+        self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for spelt, i in self.library.get_vocab().items():
+            self.lengths[i] = len(spelt)  # byte-level: one character a byte
+        self.pieces = Pieces(self.each, self.joined, ROOM)
+
+    def each(self, several: list[str]) -> list[bytes]:
+        return [_packed(x.ids) for x in self.library.encode_batch_fast(several, add_special_tokens=False)]
+
+    def joined(self, parts: list[str]) -> list[bytes]:
+        sizes = np.array([len(x.encode()) for x in parts])
+        stops = np.cumsum(sizes)
+        edges = [0, *np.flatnonzero(np.diff(stops // JOINED)) + 1, len(parts)]
+        texts = ["".join(parts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        ids = np.concatenate([np.array(x.ids, "<u4") for x in self.library.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.concatenate([[0], np.searchsorted(np.cumsum(self.lengths[ids]), stops) + 1]) * 4
+        packed, at = ids.tobytes(), ends.tolist()
+        return [packed[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def packed_all(self, texts: list[str]) -> list[bytes]:
         held = {k for k, x in enumerate(texts) if self.whole(x)}
         if not held:
             return self.pieces.packed_all(texts)
         rest = iter(self.pieces.packed_all([x for k, x in enumerate(texts) if k not in held]))
-        return [_packed(self.library.encode(x, add_special_tokens=False).ids) if k in held else next(rest) for k, x in enumerate(texts)]
+        return [self.each([x])[0] if k in held else next(rest) for k, x in enumerate(texts)]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -83,12 +87,12 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str) -> Encoder:
+def _encoder(path: str) -> Encoder:
     """One for each vocabulary in a worker."""
-    return Encoder(path, pattern)
+    return Encoder(path)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text as the library does, added tokens included, and write the ids with ``end_id`` after each document.
 
     Texts, not ids, cross the one shuffle: they are smaller. A null text counts as empty (only the
@@ -97,7 +101,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, start, encoder, end = TaskContext.get().partitionId(), 0, _encoder(tokenizer_path, pattern), np.array([end_id], "<u4").tobytes()
+        shard, start, encoder, end = TaskContext.get().partitionId(), 0, _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -145,14 +149,14 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     return _placed(reduced, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def byte_50k() -> tuple[str, str]:
-    """Path and pattern of the installed vocabulary."""
+def byte_50k() -> str:
+    """Path of the installed vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-ids")
-    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, *byte_50k())
+    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, byte_50k())
     return read_checksums(spark, path)

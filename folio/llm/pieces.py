@@ -1,76 +1,49 @@
-"""Encoding whole texts through caches of their parts."""
+"""Encoding whole texts through a cache of their parts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import regex
-
-#: Distinct blank-separated parts, and distinct pre-tokens, that a worker remembers with their ids.
-PARTS, PRE_TOKENS = 250_000, 200_000
-#: Parts that are cut into pre-tokens and encoded together.
-STEP = 200_000
+#: Distinct blank-separated parts that a worker remembers with their ids, unless the encoder says otherwise.
+PARTS = 250_000
+#: Parts that are encoded together.
+STEP = 100_000
 
 
 class Pieces:
-    """packed(text) gives a text's ids as little-endian unsigned 32-bit integers.
-
-    ``encode`` maps a list of pre-tokens, matches of ``pattern`` or what ``cut`` makes of a text, to
-    their packed ids. A text is cut
-    at its blanks, and each part is looked up with the blank before it: a blank that no white space
-    precedes starts a pre-token in the pattern of the installed vocabularies. Texts in which white
-    space precedes a blank are matched as they are. A full cache starts anew; what is common
-    comes back at once.
+    """packed_all(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+
+    ``encode`` maps parts to their packed ids. A text is cut at its blanks, and each part is looked
+    up with the blank before it: in the pattern of the installed vocabularies a blank that no white
+    space precedes starts a pre-token, so a part's ids don't depend on what is around it. Texts in
+    which white space precedes a blank are one part. ``inner`` maps parts that start with such a
+    blank and end in no white space; it may encode them side by side. A full cache keeps what the
+    batch at hand uses; the rest starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, cut: Callable[[str], list[str]] | None = None):
-        self.encode, self.cut = encode, cut or regex.compile(pattern).findall
-        self._parts: dict[str, bytes] = {}
-        self._pre_tokens: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], inner: Callable[[list[str]], list[bytes]] | None = None, room: int = PARTS):
+        self.encode, self.inner, self.room = encode, inner or encode, room
+        self._known: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         return self.packed_all([text])[0]
 
     def packed_all(self, texts: list[str]) -> list[bytes]:
-        """packed() of many texts: what none of them needed before is encoded together."""
-        known = self._parts
-        if len(known) > PARTS:
-            known.clear()
-        whole, ends, new = [], {}, set()
-        for text in texts:
-            parts = text.split(" ")
-            if len(parts) < 2:
-                whole.append(text)
-                continue
-            fresh = set(parts[1:-1]).difference(known)
-            if parts[0][-1:].isspace() or any(not x or x[-1].isspace() for x in fresh):
-                whole.append(text)
-                continue
-            ends[parts[0]] = ends[" " + parts[-1]] = b""
-            new |= fresh
-        order = list(new)
+        known = self._known
+        cut = [text.split(" ") for text in texts]
+        used = set().union(*[parts[1:-1] for parts in cut])
+        fresh = used.difference(known)
+        bad = {x for x in fresh if not x or x[-1].isspace()}
+        whole = {k for k, parts in enumerate(cut) if len(parts) < 2 or parts[0][-1:].isspace() or bad and not bad.isdisjoint(parts[1:-1])}
+        if whole:
+            used = set().union(*[parts[1:-1] for k, parts in enumerate(cut) if k not in whole])
+            fresh = used.difference(known)
+        if len(known) + len(fresh) > self.room:
+            known = self._known = {x: known[x] for x in used if x in known}
+        order = list(fresh)
         for k in range(0, len(order), STEP):
             step = order[k : k + STEP]
-            known.update(zip(step, self.direct([" " + x for x in step]), strict=True))
-        ends = dict(zip(ends, self.direct(list(ends)), strict=True))
-        done = dict(zip(whole, self.direct(whole), strict=True))
-        out = []
-        for text in texts:
-            if text in done:
-                out.append(done[text])
-            else:
-                first, *rest = text.split(" ")
-                last = ends[" " + rest.pop()]
-                out.append(ends[first] + b"".join([known[x] for x in rest]) + last)
-        return out
-
-    def direct(self, several: list[str]) -> list[bytes]:
-        known = self._pre_tokens
-        cut = [self.cut(text) for text in several]
-        new = list({x for parts in cut for x in parts if x not in known})
-        if len(known) + len(new) > PRE_TOKENS:
-            known.clear()
-            new = list({x for parts in cut for x in parts})
-        if new:
-            known.update(zip(new, self.encode(new), strict=True))
-        return [b"".join([known[x] for x in parts]) for parts in cut]
+            known.update(zip(step, self.inner([" " + x for x in step]), strict=True))
+        ends = list({y for k, parts in enumerate(cut) for y in ((texts[k],) if k in whole else (parts[0], " " + parts[-1]))})
+        ids = dict(zip(ends, self.encode(ends), strict=True))
+        return [ids[texts[k]] if k in whole else ids[parts[0]] + b"".join([known[x] for x in parts[1:-1]]) + ids[" " + parts[-1]] for k, parts in enumerate(cut)]

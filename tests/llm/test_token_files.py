@@ -11,7 +11,6 @@ D = "/root/testdata/sf0.001"
 
 def test_ids_file_against_the_library(spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{D}/documents.parquet").collect())
     start, want = 0, []
     for i, t in docs:
@@ -27,7 +26,7 @@ def test_ids_file_odd_rows(spark, tmp_path):
     rows = [(3, "a  b \n c"), (1, None), (None, "x"), (2, ""), (2, "é" * 5000), (9, " lead"), (8, "trail ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shard", "2 AS ids")
     path = str(tmp_path / "ids")
-    ids_file.write_ids(df, path, *ids_file.byte_50k())
+    ids_file.write_ids(df, path, ids_file.byte_50k())
     read = ids_file.read_ids(spark, path).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in read) == sorted((r.doc_id or -1, len(r.ids)) for r in read)
     order = sorted(read, key=lambda r: r.start)
@@ -36,22 +35,38 @@ def test_ids_file_odd_rows(spark, tmp_path):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert next(r.ids for r in order if r.doc_id == 3) == [*tokenizer.encode("a  b \n c", add_special_tokens=False).ids, 2]
     empty = str(tmp_path / "none")
-    ids_file.write_ids(df.where("false"), empty, *ids_file.byte_50k())
+    ids_file.write_ids(df.where("false"), empty, ids_file.byte_50k())
     assert ids_file.read_checksums(spark, empty).count() == 0
 
 
 def test_added_tokens_and_late_characters_against_the_library():
-    path, pattern = ids_file.byte_50k()
-    library, encoder = Tokenizer.from_file(path), ids_file.Encoder(path, pattern)
-    late = [chr(c) for c in (0x558, 0x88F, 0xC5C, 0x208F, 0xA7CE, 0x1F600, 0x4E2D, 0x3000, 0x85, 0xA0, 0x1C)]
-    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "plain text", "", *(f"a{c}1 {c}{c}? {c} {c}  b{c}\n{c} é" for c in late), *(f"x {c}y {c}1 z" for c in late)]
+    path = ids_file.byte_50k()
+    library, encoder = Tokenizer.from_file(path), ids_file.Encoder(path)
+    late = [*map(chr, range(1, 0x530)), *(chr(c) for c in (0x558, 0x88F, 0xC5C, 0x208F, 0xA7CE, 0x1F600, 0x4E2D, 0x3000, 0x2028))]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext|", "plain text", "", " ", "  ", "x ", " x", "\n", *(f"a{c}1 {c}{c}? {c} {c}  b{c}\n{c} é" for c in late), *(f"x {c}y {c}1{c}b 'll z" for c in late), "long " + "ab" * 60_000 + " one", "é" * 250_001]
     want = [library.encode(x, add_special_tokens=False).ids for x in texts]
-    for several in (texts, texts[::-1]):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed_all(several)] == (want if several is texts else want[::-1])
+    for several in (texts, texts[::-1], texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed_all(several)] == (want[::-1] if several[0] != texts[0] else want)
     assert want[0] == [64, 220, 50256, 275]
-    for c in range(ids_file.COMMON):
-        text = f"a{chr(c)}1 {chr(c)}{chr(c)}? {chr(c)}  b{chr(c)}\n"
-        assert encoder.pieces.cut(text) == [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)], c
+
+
+def test_a_full_cache_keeps_the_ids(monkeypatch):
+    monkeypatch.setattr(ids_file, "ROOM", 5)
+    library, encoder = Tokenizer.from_file(ids_file.byte_50k()), ids_file.Encoder(ids_file.byte_50k())
+    for k in range(30):
+        texts = [f"the w{k} and w{k + j} of x{j} the end" for j in range(4)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed_all(texts)] == [library.encode(x).ids for x in texts]
+
+
+def test_a_lookup_by_id_reads_few_rows(spark, tmp_path):
+    """Stripes and row groups that can't hold the id are skipped."""
+    path = str(tmp_path / "ids")
+    ids_file.write_ids(spark.range(60_000).selectExpr("id * 2 AS doc_id", "'some text' AS text").repartition(3), path, ids_file.byte_50k())
+    found = spark.read.orc(path).where("doc_id = 80002")
+    assert [r.n_tokens for r in found.collect()] == [3]
+    plan = found.select("doc_id")._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    assert 0 < plan.collectLeaves().head().metrics().apply("numOutputRows").value() <= 10_000
 
 
 def test_section_tokens_against_brute_force(spark):
