@@ -34,7 +34,8 @@ class EntropyClass:
 HEX_CLASS = EntropyClass("entropy_hex", "0123456789abcdefABCDEF", r"[0-9a-fA-F]{20,}", 20, 3.0)
 BASE64_CLASS = EntropyClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"[A-Za-z0-9+/]{20,}", 20, 3.75)
 #: Candidates that match one of these whole are no secrets: words, numbers, paths of words, samples.
-ALLOW = (r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]*(/[A-Za-z]*)+", r".*(EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh).*")
+#: No group is repeated, since that takes the JVM a stack frame a turn; each is linear in the candidate.
+ALLOW = (r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]*/[A-Za-z/]*", r".*(EXAMPLE|example|xxxx|XXXX|0123456789|abcdefgh).*")
 #: Matches summed at a time; start positions take time in proportion to matches x BLOCK.
 BLOCK = 128
 
@@ -67,16 +68,21 @@ def _entropy(text: str, kind: EntropyClass, allow: tuple[str, ...]) -> str:
     most = f"({w} * (log2(CAST({w} AS DOUBLE)) - {kind.bits}D))"
     part = lambda c: f"IF({c} > 1, {c} * log2(CAST({c} AS DOUBLE)), 0D)"
     allowed = " OR ".join(f"c.m RLIKE {_quoted('^(?:' + a + ')$')}" for a in allow) or "FALSE"
-    zero = f"named_struct('n', array_repeat(0, {len(kind.alphabet)}), 's', 0D, 'from', -1L, 'to', -1L, 'out', CAST(array() AS ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>))"
-    enter = f"aggregate(array(instr({alphabet}, substring(c.m, k + 1, 1)) - 1), a, (q, i) -> named_struct('n', transform(q.n, (v, j) -> IF(j = i, v + 1, v)), 's', q.s + {part('(q.n[i] + 1)')} - {part('q.n[i]')}, 'from', q.from, 'to', q.to, 'out', q.out))"
-    leave = f"aggregate(IF(k >= {w}, array(instr({alphabet}, substring(c.m, k - {w} + 1, 1)) - 1), CAST(array() AS ARRAY<INT>)), {enter}, (q, i) -> named_struct('n', transform(q.n, (v, j) -> IF(j = i, v - 1, v)), 's', q.s + {part('(q.n[i] - 1)')} - {part('q.n[i]')}, 'from', q.from, 'to', q.to, 'out', q.out))"
-    mark = f"""element_at(transform(array({leave}), q -> CASE
+    state = lambda n="q.n", s="q.s", start="q.from", stop="q.to", out="q.out": f"named_struct('n', {n}, 's', {s}, 'from', {start}, 'to', {stop}, 'out', {out})"
+    zero = state(f"array_repeat(0, {len(kind.alphabet)})", "0D", "-1L", "-1L", "CAST(array() AS ARRAY<STRUCT<start: BIGINT, stop: BIGINT>>)")
+    done = "IF(q.to >= 0, concat(q.out, array(named_struct('start', q.from, 'stop', q.to))), q.out)"
+    # the character of number i enters; the one of number o leaves, or none (-1) while the window fills
+    counts = "transform(q.n, (v, j) -> CASE WHEN j = i THEN v + 1 WHEN j = o THEN v - 1 ELSE v END)"
+    total = f"q.s + {part('(q.n[i] + 1)')} - {part('q.n[i]')} + IF(o < 0, 0D, {part('(q.n[o] - 1)')} - {part('q.n[o]')})"
+    moved = f"aggregate(array(codes[k]), a, (q, i) -> aggregate(array(IF(k >= {w}, codes[k - {w}], -1)), q, (q, o) -> IF(i = o, q, {state(counts, total)})))"
+    mark = f"""element_at(transform(array({moved}), q -> CASE
         WHEN k < {w} - 1 OR q.s > {most} THEN q
-        WHEN q.to >= k - {w} + 1 THEN named_struct('n', q.n, 's', q.s, 'from', q.from, 'to', k + 1L, 'out', q.out)
-        ELSE named_struct('n', q.n, 's', q.s, 'from', k - {w} + 1L, 'to', k + 1L, 'out', IF(q.to >= 0, concat(q.out, array(named_struct('start', q.from, 'stop', q.to))), q.out)) END), 1)"""
-    close = "q -> IF(q.to >= 0, concat(q.out, array(named_struct('start', q.from, 'stop', q.to))), q.out)"
-    hulls = f"aggregate(sequence(0, length(c.m) - 1), {zero}, (a, k) -> {mark}, {close})"
-    return f"flatten(transform(filter({_matches(text, kind.pattern)}, c -> NOT ({allowed})), c -> transform({hulls}, h -> named_struct('start', h.start + c.start, 'stop', h.stop + c.start))))"
+        WHEN q.to >= k - {w} + 1 THEN {state(stop="k + 1L")}
+        ELSE {state(start=f"k - {w} + 1L", stop="k + 1L", out=done)} END), 1)"""
+    hulls = f"aggregate(sequence(0, size(codes) - 1), {zero}, (a, k) -> {mark}, q -> {done})"
+    # characters become numbers once: to seek the k-th one of a string takes time in proportion to k
+    numbers = f"transform(split(c.m, '', -1), x -> instr({alphabet}, x) - 1)"
+    return f"flatten(transform(filter({_matches(text, kind.pattern)}, c -> NOT ({allowed})), c -> transform(element_at(transform(array({numbers}), codes -> {hulls}), 1), h -> named_struct('start', h.start + c.start, 'stop', h.stop + c.start))))"
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[EntropyClass, ...] = (HEX_CLASS, BASE64_CLASS), allow: tuple[str, ...] = ALLOW) -> DataFrame:

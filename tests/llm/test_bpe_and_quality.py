@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,17 @@ def test_many_pre_tokens_in_one_queue(pair):
     assert ours.packed_all(texts) == [np.array(theirs.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
+def test_long_pre_tokens_among_many(pair):
+    """A pre-token of 200 KB costs time in proportion to its length, also beside thousands of others."""
+    ours, theirs = pair
+    rng = random.Random(7)
+    pieces = [str(k).encode() + b"th" for k in range(bpe.TOGETHER + 500)] + [bytes(rng.choice(b"abcdeinorst") for _ in range(200_000)), b"ab" * 100_000, b"e" * (bpe.LONG - 1), b"e" * bpe.LONG]
+    began = time.process_time()
+    got = ours.merge_many(pieces)
+    assert time.process_time() - began < 20
+    assert got == [np.array(theirs._encode_single_piece(p), "<u4").tobytes() for p in pieces]
+
+
 def test_encode_decode_rows(spark, pair):
     rows = [(1, "the cat"), (2, None), (3, ""), (None, "x"), (5, "é " * 3000), (5, "é " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS ids")

@@ -87,3 +87,16 @@ def test_secret_query_columns(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert r.spans == ",".join(f"{n}:{a}:{b}" for a, k, b, n in spans)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+
+
+def test_candidates_of_a_megabyte(spark):
+    """One run of a whole megabyte: no stack overflow, and time in proportion."""
+    n = 1_000_000
+    rows = ["a/" * (n // 2), "a/" * (n // 2) + "9", "/" * n, "xy" * (n // 2), "0123456789abcdef" * (n // 16), "f" * n, "token=" + "x1" * (n // 2), "AKIA" + "A1" * (n // 2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in secrets.secret_spans(df).collect()}
+    assert got[0] == got[2] == got[3] == []
+    assert got[4] == [(0, 2, n, "hex")]  # a sample, so no entropy span
+    assert got[5] == [(0, 2, n, "hex")]
+    assert got[6] == [(0, 0, n + 6, "assign")]
+    assert (0, 1, n + 4, "access") in got[7]
