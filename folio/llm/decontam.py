@@ -1,14 +1,18 @@
-"""Benchmark decontamination: a BM25 index of test items, searched by every passage with block-max WAND.
-
-Items lie in blocks. For each term the index holds its largest weight in each block, so a passage's
-sum over its terms bounds its score with any item of a block. Weights are divided by the item's own
-threshold, a share of the score that the item's full text gets, so every threshold is 1. A passage
-skips each block whose bound is below 1; the items of the other blocks are scored in full, and those
-at 1 or more are verified: the passage must repeat the question's and the answer's word sequences.
+"""Benchmark decontamination: a BM25 inverted index of test items, searched by every passage with block-max WAND.
+
+A term's inverted list names the blocks of items that hold it, each with the largest weight in that
+block, and the whole list has a largest weight too. Weights are divided by the item's own threshold,
+a share of the score that the item's full text gets, so every threshold is 1. For a passage, its
+terms in ascending order of their largest weights have a pivot: the terms before it can't reach 1
+together, so only lists from the pivot on are opened. A block they name is dropped as soon as what
+it has plus the largest weights of the terms not yet looked up there stays below 1. Items of blocks
+that are left are scored in full, and those at 1 or more are verified: the passage must repeat the
+question's and the answer's word sequences. Passages go through these steps many at once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.arrow import encoded, map_batches, texts
+from folio.llm.shared import shared_path
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -26,8 +31,10 @@ OVERLAP = 0.6
 #: Words of a sequence that is compared.
 GRAM = 3
 #: Items of a block.
-BLOCK = 16
-#: Most items of an index that is sent to all tasks; more items make more indexes, each searched by all passages.
+BLOCK = 4
+#: What rounding may take off a sum of weights.
+SLACK = 1e-9
+#: Most items of an index that is sent to all executors; more items make more indexes, each searched by all passages.
 INDEX_ITEMS = 20_000
 #: Raw words whose term a worker remembers.
 CACHE = 500_000
@@ -46,14 +53,17 @@ def terms_of(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """One block set of items. Terms are numbered; weights are divided by the item's threshold."""
+    """Items in blocks. Terms are numbered in ascending order of ``top``; weights are divided by the item's threshold."""
 
     ids: list[int]
     number: dict[str, int]
-    block_max: np.ndarray  # terms x blocks
+    top: np.ndarray  # largest weight of each term
+    start: np.ndarray  # where each term's list starts in ``held``
+    held: np.ndarray  # ascending term x blocks + block
+    most: np.ndarray  # largest weight of the term in that block
+    blocks: int
     weights: list[dict[int, float]]  # by item
     grams: list[tuple[set[tuple[int, ...]], set[tuple[int, ...]]]]  # of question and answer, by item
-    longest: int  # words of the longest item
 
 
 def grams(ids: list[int], n: int = GRAM) -> set[tuple[int, ...]]:
@@ -63,78 +73,111 @@ def grams(ids: list[int], n: int = GRAM) -> set[tuple[int, ...]]:
 def build(items: list[tuple[int, list[str], list[str]]], df: dict[str, int], n_items: int, mean_words: float, share: float = SHARE, block: int = BLOCK) -> Index:
     """Index items (id, question terms, answer terms). Items of like length share blocks; items without terms are passed over."""
     items = sorted((x for x in items if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
-    number: dict[str, int] = {}
-    weights, pairs = [], []
+    spelt: list[dict[str, float]] = []
+    top: dict[str, float] = {}
     for _, question, answer in items:
         words = question + answer
-        own: dict[int, float] = {}
-        for t in set(words):
-            tf = words.count(t)
+        own = {}
+        for t, tf in Counter(words).items():
             idf = np.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5))
-            own[number.setdefault(t, len(number))] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_words))
+            own[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_words))
         full = sum(own.values()) * share
-        weights.append({t: w / full for t, w in own.items()})
-        pairs.append((grams([number[t] for t in question]), grams([number[t] for t in answer])))
-    block_max = np.zeros((len(number), -(-len(items) // block)), np.float32)
-    for k, own in enumerate(weights):
+        spelt.append({t: w / full for t, w in own.items()})
+        for t, w in spelt[-1].items():
+            top[t] = max(top.get(t, 0.0), w)
+    number = {t: k for k, t in enumerate(sorted(top, key=lambda t: (top[t], t)))}
+    blocks = -(-len(items) // block)
+    most: dict[int, float] = {}
+    for k, own in enumerate(spelt):
         for t, w in own.items():
-            block_max[t, k // block] = max(block_max[t, k // block], np.float32(w) * np.float32(1.000001))
-    return Index([x[0] for x in items], number, block_max, weights, pairs, max((len(x[1]) + len(x[2]) for x in items), default=1))
-
-
-def _distinct(group: np.ndarray, ids: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (group, id) in order, and whether the id isn't in the group before."""
-    pairs = np.unique(group * n_terms + ids)
-    g, t = np.divmod(pairs, n_terms)
-    before = pairs - n_terms
-    at = np.minimum(np.searchsorted(pairs, before), len(pairs) - 1)
-    return g, t, pairs[at] != before
-
-
-def search(index: Index, rows: list[np.ndarray], overlap: float = OVERLAP, block: int = BLOCK) -> list[set[int]]:
+            key = number[t] * blocks + k // block
+            most[key] = max(most.get(key, 0.0), w)
+    held = np.array(sorted(most), np.int64)
+    pairs = [(grams([number[t] for t in question]), grams([number[t] for t in answer])) for _, question, answer in items]
+    return Index(
+        [x[0] for x in items], number, np.array(sorted(top.values())), np.searchsorted(held, np.arange(len(number) + 1) * blocks), held, np.array([most[k] for k in held.tolist()]), blocks,
+        [{number[t]: w for t, w in own.items()} for own in spelt], pairs,
+    )
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + n[0] - 1, start[1], ..."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def candidates(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, block) that can hold an item at its threshold; the passages' distinct terms come in order of passage and term."""
+    need = 1 - SLACK
+    heads = np.flatnonzero(np.diff(passage, prepend=-1))
+    size = np.diff(np.append(heads, len(passage)))
+    running = np.cumsum(index.top[term])
+    before = np.repeat(running[heads] - index.top[term[heads]], size)
+    opened = running - before >= need  # from the pivot on
+    pivot = heads + size - np.add.reduceat(opened.astype(np.int64), heads)
+    closed_sum = np.where(pivot > heads, running[pivot - 1] - before[heads], 0.0)
+    number = np.repeat(np.arange(len(heads)), size)  # of the passage, among these
+
+    walk = np.flatnonzero(opened)
+    n = index.start[term[walk] + 1] - index.start[term[walk]]
+    at = _ranges(index.start[term[walk]], n)
+    key = np.repeat(number[walk], n) * index.blocks + (index.held[at] - np.repeat(term[walk], n) * index.blocks)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    edge = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(edge):
+        return key, key
+    score = np.add.reduceat(index.most[at[order]], edge)
+    who, block = np.divmod(key[edge], index.blocks)
+    left, next_term = closed_sum[who], pivot[who] - 1
+    while True:
+        good = score + left >= need
+        who, block, score, left, next_term = (x[good] for x in (who, block, score, left, next_term))
+        more = np.flatnonzero(next_term >= heads[who])
+        if not len(more):
+            return passage[heads[who]], block
+        t = term[next_term[more]]
+        key = t * index.blocks + block[more]
+        at = np.minimum(np.searchsorted(index.held, key), len(index.held) - 1)
+        score[more] += np.where(index.held[at] == key, index.most[at], 0.0)
+        left[more] -= index.top[t]
+        next_term[more] -= 1
+
+
+def search(index: Index, rows: list[np.ndarray], longest: int, overlap: float = OVERLAP, block: int = BLOCK) -> list[set[int]]:
     """Item numbers that each row's text repeats. Rows are term numbers, -1 for terms that no item has.
 
     A passage is two stretches of ``longest`` words in a row, so each run of that many words lies in one.
     """
     found: list[set[int]] = [set() for _ in rows]
-    size = max(8, index.longest)
-    counts = np.array([-(-len(r) // size) + 1 for r in rows])  # one empty stretch after each row keeps rows apart
-    base = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    group = np.concatenate([np.arange(len(r)) // size + b for r, b in zip(rows, base, strict=True)] or [np.zeros(0, int)])
-    ids = np.concatenate(rows or [np.zeros(0, int)])
-    known = ids >= 0
-    if not known.any():
+    size = max(8, longest)
+    words = np.array([len(r) for r in rows], np.int64)
+    passages = np.maximum(-(-words // size) - 1, 1)
+    base = np.cumsum(passages) - passages
+    ids = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    known = np.flatnonzero(ids >= 0)
+    if not len(known):
         return found
-    g, t, new = _distinct(group[known].astype(np.int64), ids[known].astype(np.int64), len(index.number))
-    heads = np.flatnonzero(np.diff(g, prepend=-1))
-    stretches = g[heads]
-    at = {}
-    bound = np.zeros((int(base[-1] + counts[-1]) + 1, index.block_max.shape[1]), np.float32)
-    step = max(1, 4_000_000 // index.block_max.shape[1])
-    for a in range(0, len(heads), max(1, step // 32)):
-        b = min(len(heads), a + max(1, step // 32))
-        lo, hi = heads[a], heads[b] if b < len(heads) else len(g)
-        part = index.block_max[t[lo:hi]]
-        bound[stretches[a:b]] += np.add.reduceat(part, heads[a:b] - lo)
-        part[~new[lo:hi]] = 0
-        bound[stretches[a:b] - 1] += np.add.reduceat(part, heads[a:b] - lo)  # as the second stretch of the passage before
-    for p, k in np.argwhere(bound >= 1):
-        row = int(np.searchsorted(base, p, "right") - 1)
-        if p < base[row]:
-            continue
-        start = int(p - base[row]) * size
-        if (row, start) not in at:
-            words = rows[row][start : start + 2 * size].tolist()
-            at[row, start] = set(words), None, words
-        have, held, words = at[row, start]
+    row = np.repeat(np.arange(len(rows)), words)[known]
+    stretch = (np.arange(len(ids)) - np.repeat(np.cumsum(words) - words, words))[known] // size
+    n_terms = len(index.number)
+    pairs = [(base[row] + np.clip(stretch - k, 0, passages[row] - 1)) * n_terms + ids[known] for k in (0, 1)]
+    passage, term = np.divmod(np.unique(np.concatenate(pairs)), n_terms)
+    sets: dict[int, tuple[set[int], list[int]]] = {}
+    held: dict[int, dict[int, set[tuple[int, ...]]]] = {}
+    for p, k in zip(*(x.tolist() for x in candidates(index, passage, term)), strict=True):
+        r = int(np.searchsorted(base, p, "right") - 1)
+        if p not in sets:
+            at = (p - int(base[r])) * size
+            text = rows[r][at : at + 2 * size].tolist()
+            sets[p] = set(text), text
+        have, text = sets[p]
         for item in range(k * block, min(len(index.ids), (k + 1) * block)):
-            if item in found[row] or sum(w for x, w in index.weights[item].items() if x in have) < 1:
+            if item in found[r] or sum(w for x, w in index.weights[item].items() if x in have) < 1 - SLACK:
                 continue
-            if held is None:
-                held = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, GRAM + 1)}
-                at[row, start] = have, held, words
-            if all(len(part) == 0 or sum(x in held[len(x)] for x in part) >= overlap * len(part) for part in index.grams[item]):
-                found[row].add(item)
+            if p not in held:
+                held[p] = {n: {tuple(text[i : i + n]) for i in range(len(text) - n + 1)} for n in range(1, GRAM + 1)}
+            if all(len(part) == 0 or sum(x in held[p][len(x)] for x in part) >= overlap * len(part) for part in index.grams[item]):
+                found[r].add(item)
     return found
 
 
@@ -142,30 +185,61 @@ def _halves(words: list[str]) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
-def indexes(items: DataFrame, id_col: str, question_col: str, answer_col: str | None, index_items: int, share: float) -> list[Index]:
-    """Indexes of at most about ``index_items`` items, with statistics of all items. Grows in number, not in size."""
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        q = [terms_of(x.decode()) for x in encoded(batch.column("q"))]
-        a = [terms_of(x.decode()) for x in encoded(batch.column("a"))]
-        if answer_col is None:
-            q, a = map(list, zip(*map(_halves, q), strict=True))
-        kind = pa.list_(pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(q, kind), pa.array(a, kind)], names=["item_id", "q", "a"])
-
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    cut_items = map_batches(items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), text(question_col).alias("q"), (text(answer_col) if answer_col else F.lit("")).alias("a")), cut, "item_id long, q array<string>, a array<string>")
-    words = F.concat("q", "a")
-    n, mean = cut_items.where(F.size(words) > 0).agg(F.count("*"), F.avg(F.size(words))).first()
-    df = cut_items.select(F.explode(F.array_distinct(words)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    parts = max(1, -(-n // index_items))
-    out = []
-    for part in range(parts):  # each part is bounded: the driver never holds all items
-        own = cut_items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+class Items:
+    """Test items cut into terms, with statistics of all of them; index(part) builds the index of one part."""
+
+    def __init__(self, items: DataFrame, id_col: str, question_col: str, answer_col: str | None, index_items: int, share: float):
+        def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+            q = [terms_of(x.decode()) for x in encoded(batch.column("q"))]
+            a = [terms_of(x.decode()) for x in encoded(batch.column("a"))]
+            if answer_col is None:
+                q, a = map(list, zip(*map(_halves, q), strict=True))
+            kind = pa.list_(pa.string())
+            return pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(q, kind), pa.array(a, kind)], names=["item_id", "q", "a"])
+
+        text = lambda c: F.coalesce(F.col(c), F.lit(""))
+        named = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), text(question_col).alias("q"), (text(answer_col) if answer_col else F.lit("")).alias("a"))
+        self.cut = map_batches(named, cut, "item_id long, q array<string>, a array<string>")
+        words = F.concat("q", "a")
+        self.n, mean, longest = self.cut.where(F.size(words) > 0).agg(F.count("*"), F.avg(F.size(words)), F.max(F.size(words))).first()
+        self.mean, self.longest, self.share = mean or 1.0, longest or 1, share
+        self.df = self.cut.select(F.explode(F.array_distinct(words)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+        self.parts = max(1, -(-self.n // index_items))
+
+    def index(self, part: int) -> Index:
+        """At most about ``index_items`` items, and as many terms as they have, come to the driver."""
+        own = self.cut.where(F.pmod(F.xxhash64("item_id"), F.lit(self.parts)) == part)
         has = own.select(F.explode(F.concat("q", "a")).alias("t")).distinct()
-        counts = {r.t: r.n for r in df.join(has, "t", "left_semi").collect()}
-        out.append(build([(r.item_id, r.q, r.a) for r in own.collect()], counts, n, mean or 1.0, share))
-    return out
+        counts = {r.t: r.n for r in self.df.join(has, "t", "left_semi").collect()}
+        return build([(r.item_id, r.q, r.a) for r in own.collect()], counts, self.n, self.mean, self.share)
+
+
+def _searched(docs: DataFrame, index: Index, longest: int, overlap: float) -> DataFrame:
+    """``docs`` with item_ids instead of text. The index is sent to each executor once."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    rest = [c for c in docs.columns if c != "text"]
+    cache: dict[bytes, int] = {}
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held, out = sent.value, []
+        number = held.number
+        for a in range(0, batch.num_rows, 256):
+            numbered = []
+            for text in encoded(batch.column("text").slice(a, 256)):
+                words = text.split()
+                try:
+                    ids = [cache[w] for w in words]
+                except KeyError:
+                    new = {w: number.get(x, -1) if (x := term(w)) else -2 for w in set(words) if w not in cache}
+                    if len(cache) + len(new) <= CACHE:
+                        cache.update(new)
+                    ids = [new[w] if w in new else cache[w] for w in words]
+                row = np.array(ids, np.int64)
+                numbered.append(row[row != -2])  # marks that stand alone are no words
+            out += [sorted({held.ids[k] for k in x}) for x in search(held, numbered, longest, overlap)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.list_(pa.int64()))], names=[*rest, "item_ids"])
+
+    return map_batches(docs, each, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest) + ", item_ids array<long>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, share: float = SHARE, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
@@ -173,46 +247,23 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     With no ``answer_col`` the first half of an item's words is its question and the second half its
     answer. A null or empty text repeats nothing; an item without words, or with a null id, is found
-    nowhere; repeated items are found under each id. Items that are many make several indexes; every
-    one is searched by all passages, and the rows of a document are then the union over indexes.
+    nowhere; repeated items are found under each id. Passages are twice as long as the longest of
+    all items. Items beyond ``index_items`` make several indexes, one after the other: each is
+    searched by all passages and its hits are written before the next one is built, so the driver
+    holds one. ``index_items`` changes jobs, not results.
     """
     rows = texts(docs, id_col, text_col)
-    built = indexes(items, item_id_col, question_col, answer_col, index_items, share)
-
-    def searched(df: DataFrame, index: Index) -> DataFrame:
-        cache: dict[bytes, int] = {}
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            number = index.number
-            out = []
-            for a in range(0, batch.num_rows, 256):
-                numbered = []
-                for text in encoded(batch.column("text").slice(a, 256)):
-                    words = text.split()
-                    try:
-                        ids = [cache[w] for w in words]
-                    except KeyError:
-                        new = {w: number.get(x, -1) if (x := term(w)) else -2 for w in set(words) if w not in cache}
-                        if len(cache) + len(new) <= CACHE:
-                            cache.update(new)
-                        ids = [new[w] if w in new else cache[w] for w in words]
-                    row = np.array(ids, np.int32)
-                    numbered.append(row[row != -2])  # marks that stand alone are no words
-                out += [sorted({index.ids[k] for k in x}) for x in search(index, numbered, overlap)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(out, pa.list_(pa.int64()))], names=[*(c for c in batch.schema.names if c != "text"), "item_ids"])
-
-        return map_batches(df, each, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "text") + ", item_ids array<long>")
-
-    if len(built) == 1:
-        found = searched(rows, built[0])
+    known = Items(items, item_id_col, question_col, answer_col, index_items, share)
+    if known.parts == 1:
+        found = _searched(rows, known.index(0), known.longest, overlap)
     else:
-        keyed = rows.withColumn("row", F.xxhash64("doc_id", "text"))  # rows that are equal get equal items
-        parts = [searched(keyed, index) for index in built]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        hits = every.where(F.size("item_ids") > 0).select("row", F.explode("item_ids").alias("i")).groupBy("row").agg(F.array_sort(F.collect_set("i")).alias("item_ids"))
-        found = keyed.select("doc_id", "row").join(hits, "row", "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+        keyed = rows.withColumn("row", F.xxhash64("text"))  # rows of one id and text get the same items
+        path = shared_path(docs.sparkSession, "leaks")
+        for part in range(known.parts):
+            hits = _searched(keyed, known.index(part), known.longest, overlap)
+            hits.where(F.size("item_ids") > 0).select("doc_id", "row", F.explode("item_ids").alias("i")).write.mode("append").parquet(path)
+        hits = docs.sparkSession.read.schema("doc_id long, row long, i long").parquet(path).groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.array_sort(F.collect_set("i")).alias("item_ids"))
+        found = keyed.join(hits, keyed.doc_id.eqNullSafe(hits.d) & (keyed.row == hits.r), "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
