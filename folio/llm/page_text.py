@@ -18,6 +18,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,21 +136,16 @@ def parse(source: str) -> Page:
     return page
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indexes in ``a`` of a longest common subsequence of ``a`` and ``b``."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    places = defaultdict(list)
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places[b[j]].append(j)  # descending, so that one line of a takes one place
+#: Pairs of equal lines, for each line of two pages, up to which pairs are walked one by one.
+DENSE = 50
+
+
+def _chained(x: list[int], places: dict[int, list[int]]) -> list[int]:
+    """Indexes in ``x`` of a longest common subsequence, by chains of pairs; ``places`` are descending."""
     last: list[int] = []
     ends: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
+    for i, line in enumerate(x):
+        for j in places.get(line, ()):  # descending, so that one line takes one place
             k = bisect_left(last, j)
             link = (i, ends[k - 1] if k else None)
             if k == len(last):
@@ -157,11 +153,66 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
                 ends.append(link)
             else:
                 last[k], ends[k] = j, link
-    middle, link = [], ends[-1] if ends else None
+    out, link = [], ends[-1] if ends else None
     while link:
-        middle.append(link[0])
+        out.append(link[0])
         link = link[1]
-    return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
+    return out[::-1]
+
+
+def _prefix_lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``x`` and y[:j] for each j; a row of the table is one large integer."""
+    places = defaultdict(list)
+    for j, line in enumerate(y):
+        places[line].append(j)
+    masks: dict[int, int] = {}
+
+    def mask(line: int) -> int:
+        if line in masks:
+            return masks[line]
+        bits = np.zeros(len(y), np.uint8)
+        bits[places.get(line, [])] = 1
+        found = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        if len(places.get(line, ())) > DENSE:  # few lines are as frequent, so few masks are kept
+            masks[line] = found
+        return found
+
+    row = full = (1 << len(y)) - 1
+    for line in x:
+        hit = row & mask(line)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Indexes in ``a`` of a longest common subsequence of ``a`` and ``b``.
+
+    Where lines repeat so often that equal pairs are many, ``a`` is halved and ``b`` cut where both
+    halves match best, so memory stays linear and a table row costs a few operations on integers.
+    """
+    both = set(a) & set(b)
+    at = [i for i, line in enumerate(a) if line in both]
+    x, y = [a[i] for i in at], [line for line in b if line in both]
+    return [at[i] for i in _common(x, y)]
+
+
+def _common(x: list[int], y: list[int]) -> list[int]:
+    least = min(len(x), len(y))
+    head = next((k for k in range(least) if x[k] != y[k]), least)
+    tail = next((k for k in range(least - head) if x[-1 - k] != y[-1 - k]), least - head)
+    start, stop = head, len(x) - tail
+    x, y = x[head:stop], y[head : len(y) - tail]
+    places = defaultdict(list)
+    for j in range(len(y) - 1, -1, -1):
+        places[y[j]].append(j)
+    if sum(len(places.get(line, ())) for line in x) <= DENSE * (len(x) + len(y)):
+        middle = _chained(x, places)
+    else:
+        half = len(x) // 2
+        cut = int(np.argmax(_prefix_lengths(x[:half], y) + _prefix_lengths(x[half:][::-1], y[::-1])[::-1]))
+        middle = [*_common(x[:half], y[:cut]), *(half + i for i in _common(x[half:], y[cut:]))]
+    return [*range(head), *(start + i for i in middle), *range(stop, stop + tail)]
 
 
 def difference(lines: list[str], own: list[int], partner: list[int] | None, other: list[int] | None = None) -> list[str]:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -23,6 +25,22 @@ def test_common_lines_are_a_longest_common_subsequence(a, b):
     assert all(a[i] in it for i in got)
 
 
+def test_pages_of_many_equal_lines():
+    rng = random.Random(4)
+    page_text_lines = lambda n, k: [rng.randrange(k) for _ in range(n)]
+    for n, k in ((300, 2), (400, 3), (250, 60)):
+        a, b = page_text_lines(n, k), page_text_lines(n + 50, k)
+        got = page_text.common_lines(a, b)
+        it = iter(b)
+        assert len(got) == lcs(a, b) and all(a[i] in it for i in got)
+    began = time.process_time()
+    a, b = [1, *[0] * 50_000, 2, *[0] * 50_000], [2, *[0] * 60_000, 1, *[0] * 40_000]
+    assert len(page_text.common_lines(a, b)) == 100_000
+    a, b = page_text_lines(20_000, 2), page_text_lines(20_000, 2)
+    assert len(page_text.common_lines(a, b)) > 15_000
+    assert time.process_time() - began < 60
+
+
 def test_parse_leaves_out_what_isnt_text():
     page = page_text.parse("""<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="has-sidebar-x"><nav><ul><li>Menu</ul></nav>
     <!-- <article>no</article> --><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; tail</h1><p>One<b>two</b> &eacute; <br>three<p>four <a href="x>y">link</a><aside>side</aside><form>f</form>
