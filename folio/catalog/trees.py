@@ -37,10 +37,10 @@ def tree_geometry(spark: SparkSession, d: str) -> DataFrame:
     return shape(spark, d).select("image_id", "len", "page_count", level.cast("long").alias("height"), g.last_page_length(F.col("len"), P).alias("last_page_length"), g.span(level, FANOUT).alias("root_span"), g.subtree_pages(level, FANOUT).alias("root_pages"))
 
 
-@query("b8_node_path", CTE + f"SELECT image_id, page_no, array_to_string([page_no // {FANOUT**4} % {FANOUT}, page_no // {FANOUT**3} % {FANOUT}, page_no // {FANOUT**2} % {FANOUT}, page_no // {FANOUT} % {FANOUT}, page_no % {FANOUT}], '/') AS path FROM pages")
+@query("b8_node_path", CTE + f"SELECT image_id, page_no, array_to_string(list_transform(range(height - 1, -1, -1), lambda k: page_no // ({FANOUT} ** k)::BIGINT % {FANOUT}), '/') AS path FROM pages JOIN shape USING (image_id)")
 def node_path(spark: SparkSession, d: str) -> DataFrame:
-    """Place of a page at each level: its number's digits to the base of the fanout, as many as the image's tree is high, but five at least."""
-    levels = F.sequence(F.greatest(F.col("height"), F.lit(5)) - 1, F.lit(0), F.lit(-1))
+    """Place of a page at each level: its number's digits to the base of the fanout, as many as the image's tree is high."""
+    levels = F.sequence(F.col("height") - 1, F.lit(0), F.lit(-1))
     digits = F.transform(levels, lambda k: (g.div(F.col("page_no"), g.subtree_pages(k, FANOUT)) % FANOUT).cast("string"))
     return pages(spark, d).join(shape(spark, d).select("image_id", "height"), "image_id").select("image_id", "page_no", F.concat_ws("/", digits).alias("path"))
 
@@ -116,13 +116,12 @@ def patch_apply(spark: SparkSession, d: str) -> DataFrame:
     return tree.patch_apply(parent, edits(parent)).select("image_id", "page_no", F.sha2("bytes", 256).alias("hash"))
 
 
-@query("overlay_get", CTE + "SELECT l0.image_id, l0.node_idx AS page_no, coalesce(e.hash, l0.hash) AS hash, CASE WHEN e.hash IS NULL THEN 'base' ELSE 'dirty' END AS layer FROM l0 LEFT JOIN edits e ON e.image_id = l0.image_id AND e.page_no = l0.node_idx WHERE l0.node_idx % 3 = 0")
+@query("overlay_get", CTE + "SELECT l0.image_id, l0.node_idx AS page_no, coalesce(e.hash, l0.hash) AS hash, CASE WHEN e.hash IS NULL THEN 'base' ELSE 'dirty' END AS layer FROM l0 LEFT JOIN edits e ON e.image_id = l0.image_id AND e.page_no = l0.node_idx")
 def overlay_get(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the pages looked up in the dirty set first, then in the base."""
+    """Every page looked up in the dirty set first, then in the base."""
     base = pages(spark, d)
     dirty = edits(base).select("image_id", "page_no", F.col("hash").alias("new"))
-    asked = base.where("page_no % 3 = 0").select("image_id", "page_no", "hash")
-    return asked.join(dirty, ["image_id", "page_no"], "left").select("image_id", "page_no", F.coalesce("new", "hash").alias("hash"), F.when(F.col("new").isNull(), "base").otherwise("dirty").alias("layer"))
+    return base.select("image_id", "page_no", "hash").join(dirty, ["image_id", "page_no"], "left").select("image_id", "page_no", F.coalesce("new", "hash").alias("hash"), F.when(F.col("new").isNull(), "base").otherwise("dirty").alias("layer"))
 
 
 @query("image_equal", CTE + "SELECT l0.image_id, sum((l0.hash <> c0.hash)::INT)::BIGINT AS mismatches, sum((l0.hash <> c0.hash)::INT) = 0 AS equal FROM l0 JOIN c0 USING (image_id, node_idx) GROUP BY l0.image_id")
@@ -134,16 +133,15 @@ def image_equal(spark: SparkSession, d: str) -> DataFrame:
 @query("tree_update", CTE + "SELECT image_id, hash AS root FROM child JOIN shape USING (image_id) WHERE level = height")
 def tree_update(spark: SparkSession, d: str) -> DataFrame:
     """Roots of the next versions by update; the SQL builds them anew."""
-    dirty = edits(pages(spark, d)).select("image_id", "page_no", "hash")
-    return tree.root_rows(tree.updated(nodes(spark, d), written(dirty, "dirty"), shape(spark, d), FANOUT), shape(spark, d))
+    s = shape(spark, d)
+    return tree.root_rows(tree.update(nodes(spark, d), edits(pages(spark, d)), s, P, FANOUT), s)
 
 
-@query("tree_update_hashes", CTE + "SELECT image_id, level::BIGINT AS level, count(*) AS rewritten FROM (SELECT DISTINCT e.image_id, u.level, e.page_no >> (2 * u.level) AS i FROM edits e JOIN shape USING (image_id), range(1, 10) u(level) WHERE u.level <= height) GROUP BY image_id, level")
+@query("tree_update_hashes", CTE + "SELECT image_id, level::BIGINT AS level, node_idx, hash FROM child")
 def tree_update_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """How many nodes of each level an update rewrites, given hashes of dirty pages only."""
-    dirty = tree.last_write_wins(edits(pages(spark, d)).select("image_id", "seq", "page_no", "hash"))
-    fresh = tree.rebuilt_nodes(nodes(spark, d), written(dirty.select("image_id", "page_no", "hash"), "dirty"), shape(spark, d), FANOUT)
-    return fresh.where("level > 0").groupBy("image_id", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("rewritten"))
+    """All rows of the next versions, given hashes of dirty pages only; the SQL builds them anew."""
+    new = tree.update_hashes(nodes(spark, d), edits(pages(spark, d)), shape(spark, d), FANOUT)
+    return new.select("image_id", F.col("level").cast("long").alias("level"), "node_idx", "hash")
 
 
 @query("rebuilt_nodes", CTE + "SELECT c.image_id, c.level::BIGINT AS level, c.node_idx, c.hash FROM child c SEMI JOIN (SELECT DISTINCT e.image_id, u.level, e.page_no >> (2 * u.level) AS node_idx FROM edits e, range(0, 10) u(level)) t USING (image_id, level, node_idx)")
@@ -169,11 +167,12 @@ def tree_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
 
 
-@query("c2_self_diff", CTE + "SELECT image_id, level::BIGINT AS level, page_base, hash FROM nodes WHERE false")
+@query("c2_self_diff", CTE + "SELECT 'nobody' AS holder, image_id, level::BIGINT AS level, page_base, hash FROM nodes")
 def self_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Against a holder of everything: nothing is missing."""
-    n = nodes(spark, d)
-    return diff.tree_diff(n, n.select("hash"), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
+    """Against a holder of everything nothing is missing; against one of nothing every row is, and of an empty image its root."""
+    n, t = nodes(spark, d), top(spark, d)
+    both = [diff.tree_diff(n, h, FANOUT, t).withColumn("holder", F.lit(name)) for name, h in (("itself", n.select("hash")), ("nobody", n.select("hash").where("false")))]
+    return tree.union(both).select("holder", "image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
 
 
 @query("d12_missing_hashes", CTE + "SELECT hash, count(*) AS places FROM missing GROUP BY hash")
@@ -206,25 +205,20 @@ def version_delta(spark: SparkSession, d: str) -> DataFrame:
     return diff.tree_diff(fresh, n.select("hash"), FANOUT, top(spark, d)).groupBy("image_id").agg(F.count("*").alias("positions"), F.countDistinct("hash").alias("blobs"))
 
 
-_ASKED = "asked AS (SELECT hash, image_id * 1000 + node_idx AS pos FROM l0 WHERE image_id % 3 = 1)"
-
+_FIRST = "min({'image_id': image_id, 'page_no': node_idx})"
 
-def _numbered(found: DataFrame) -> DataFrame:
-    """First places are found by (image_id, page_no); only the number that the SQL shows is unique up to 1000 pages an image."""
-    return found.select((F.col("pos.image_id") * 1000 + F.col("pos.node_idx")).alias("pos"), "hash")
 
-
-@query("want_hashes", CTE + f", {_ASKED} SELECT min(pos) AS pos, hash FROM asked WHERE hash NOT IN (SELECT hash FROM holder) GROUP BY hash")
+@query("want_hashes", CTE + f" SELECT first.image_id, first.page_no, hash FROM (SELECT hash, {_FIRST} AS first FROM l0 WHERE hash NOT IN (SELECT hash FROM holder) GROUP BY hash)")
 def want_hashes(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    asked = n.where("level = 0 AND image_id % 3 = 1").select("hash", F.struct("image_id", "node_idx").alias("pos"))
-    return _numbered(diff.want(asked, holder(n)))
+    asked = n.where("level = 0").select("hash", F.struct("image_id", F.col("node_idx").alias("page_no")).alias("pos"))
+    return diff.want(asked, holder(n)).select("pos.*", "hash")
 
 
-@query("o6_first_occurrence", CTE + f", {_ASKED} SELECT min(pos) AS pos, hash FROM asked GROUP BY hash")
+@query("o6_first_occurrence", CTE + f" SELECT first.image_id, first.page_no, hash FROM (SELECT hash, {_FIRST} AS first FROM l0 GROUP BY hash)")
 def first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    rows = tree.leaf_rows(pages(spark, d)).where("image_id % 3 = 1")
-    return _numbered(diff.first_occurrence(rows.select("hash", F.struct("image_id", "node_idx").alias("pos"))))
+    rows = pages(spark, d).select("hash", F.struct("image_id", "page_no").alias("pos"))
+    return diff.first_occurrence(rows).select("pos.*", "hash")
 
 
 @query("fetch_nodes", CTE + "SELECT DISTINCT hash FROM nodes WHERE level > 0 AND image_id % 2 = 1 AND hash NOT IN (SELECT hash FROM holder)")
@@ -275,16 +269,25 @@ def materialize_plan(spark: SparkSession, d: str) -> DataFrame:
     return _steps(spark, d)
 
 
-@query("materialize_local", CTE + "SELECT s.image_id, l0.node_idx AS page_no, l0.hash FROM steps s JOIN l0 ON l0.image_id = s.image_id AND l0.node_idx >= dest_page_base AND l0.node_idx < dest_page_base + pages WHERE op = 'clone'")
+_COPIED = "SELECT image_id FROM steps GROUP BY 1 HAVING bool_and(op = 'clone')"
+
+
+@query("materialize_local", CTE + f"SELECT image_id, node_idx AS page_no, hash FROM l0 WHERE image_id IN ({_COPIED})")
 def materialize_local(spark: SparkSession, d: str) -> DataFrame:
-    """Pages that clones bring; the SQL takes them from the image itself."""
-    return m.clone_pages(_steps(spark, d), pages(spark, d).where("image_id % 2 = 0")).select("image_id", "page_no", F.sha2("bytes", 256).alias("hash"))
+    """Images that clones alone rebuild; the SQL takes their pages from the images themselves."""
+    steps = _steps(spark, d)
+    local = steps.join(steps.where("op = 'gap'").select("image_id").distinct(), "image_id", "left_anti")
+    return m.materialize(local, pages(spark, d).where("image_id % 2 = 0")).select("image_id", "page_no", F.sha2("bytes", 256).alias("hash"))
+
+
+def _central(all_pages: DataFrame) -> DataFrame:
+    """Blobs of the odd images, once each."""
+    return all_pages.where("image_id % 2 = 1").groupBy("hash").agg(F.any_value("bytes").alias("bytes"))
 
 
 def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    steps, all_pages = _steps(spark, d), pages(spark, d)
-    blobs = all_pages.where("image_id % 2 = 1").groupBy("hash").agg(F.any_value("bytes").alias("bytes"))
-    return m.clone_pages(steps, all_pages.where("image_id % 2 = 0")).unionByName(m.fetched_pages(steps, blobs))
+    all_pages = pages(spark, d)
+    return m.materialize(_steps(spark, d), all_pages.where("image_id % 2 = 0"), _central(all_pages))
 
 
 @query("materialize_fetch", CTE + "SELECT image_id, node_idx AS page_no, hash FROM l0 WHERE image_id % 2 = 1")
@@ -292,9 +295,21 @@ def materialize_fetch(spark: SparkSession, d: str) -> DataFrame:
     return _rebuilt(spark, d).select("image_id", "page_no", F.sha2("bytes", 256).alias("hash"))
 
 
-@query("reconstruct", CTE + "SELECT image_id, sha256(bytes) AS hash FROM images WHERE image_id % 2 = 1 AND octet_length(bytes) > 0")
+@query("materialize_status", CTE + "SELECT s.image_id, (sum(CASE WHEN op = 'clone' THEN pages ELSE 0 END))::BIGINT AS cloned_pages, (sum((op = 'gap' AND hash >= '4')::INT))::BIGINT AS fetched_pages, (sum((op = 'gap' AND hash < '4')::INT))::BIGINT AS failed_pages FROM steps s GROUP BY s.image_id")
+def materialize_status(spark: SparkSession, d: str) -> DataFrame:
+    """What comes of each page when the blobs named 0.. and 1.. are gone and those named 2.. and 3.. are spoilt."""
+    all_pages = pages(spark, d)
+    blobs = _central(all_pages).where("hash >= '2'").withColumn("bytes", F.when(F.col("hash") < "4", F.encode(F.lit("spoilt"), "utf-8")).otherwise(F.col("bytes")))
+    return m.page_counts(m.page_status(_steps(spark, d), all_pages.where("image_id % 2 = 0"), blobs))
+
+
+@query("reconstruct", CTE + "SELECT image_id, sha256(bytes) AS hash, octet_length(bytes)::BIGINT AS len, cloned_pages, gap_pages FROM images JOIN (SELECT image_id, sum(CASE WHEN op = 'clone' THEN pages ELSE 0 END)::BIGINT AS cloned_pages, sum(CASE WHEN op = 'gap' THEN pages ELSE 0 END)::BIGINT AS gap_pages FROM steps GROUP BY image_id) USING (image_id)")
 def reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    return tree.assemble(_rebuilt(spark, d)).select("image_id", F.sha2("bytes", 256).alias("hash"))
+    """Odd images put together again, with the counts of their plans."""
+    s = _steps(spark, d)
+    all_pages = pages(spark, d)
+    whole = tree.assemble(m.materialize(s, all_pages.where("image_id % 2 = 0"), _central(all_pages)))
+    return whole.join(m.recon_stats(s), "image_id").select("image_id", F.sha2("bytes", 256).alias("hash"), F.octet_length("bytes").cast("long").alias("len"), "cloned_pages", "gap_pages")
 
 
 @query("recon_stats", CTE + "SELECT image_id, sum(CASE WHEN op = 'clone' THEN pages ELSE 0 END)::BIGINT AS cloned_pages, sum(CASE WHEN op = 'gap' THEN pages ELSE 0 END)::BIGINT AS gap_pages, sum((op = 'clone')::INT)::BIGINT AS clones FROM steps GROUP BY image_id")

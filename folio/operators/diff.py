@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.geometry import FANOUT, div, subtree_pages
-from folio.operators.tree import NODE
+from folio.functions.geometry import div, subtree_pages
+from folio.operators.tree import NODE, node_text
 
 
 def _positions_up(nodes: DataFrame, fanout: int, proper: bool, top: int) -> DataFrame:
@@ -23,17 +25,17 @@ def _below(nodes: DataFrame, marked: DataFrame, fanout: int, proper: bool, top:
     return up.join(m, ["image_id", "up_level", "up_idx"], "left_semi").select("image_id", "level", "node_idx").distinct()
 
 
-def tree_diff(nodes: DataFrame, holder: DataFrame, fanout: int = FANOUT, top: int = 8) -> DataFrame:
+def tree_diff(nodes: DataFrame, holder: DataFrame, fanout: int, top: int) -> DataFrame:
     """Rows of ``nodes`` that the holder (hash) lacks: neither the position nor one above it is held.
 
     A held node ends the walk, even if the holder lacks what lies below; so a plain anti join would
-    say too much. ``top`` is the greatest level to look up to.
+    say too much. ``top`` is the greatest level of all trees, tree.tallest().
     """
     held = nodes.join(holder.select("hash").distinct(), "hash", "left_semi")
     return nodes.select(NODE).join(_below(nodes, held, fanout, False, top), ["image_id", "level", "node_idx"], "left_anti").select(NODE)
 
 
-def outermost(nodes: DataFrame, marked: DataFrame, fanout: int = FANOUT, top: int = 8) -> tuple[DataFrame, DataFrame]:
+def outermost(nodes: DataFrame, marked: DataFrame, fanout: int, top: int) -> tuple[DataFrame, DataFrame]:
     """Marked rows with no marked row above, and the rows of ``nodes`` at or below no marked one."""
     keys = ["image_id", "level", "node_idx"]
     first = marked.join(_below(marked, marked, fanout, True, top), keys, "left_anti")
@@ -60,3 +62,24 @@ def fetch_nodes(nodes: DataFrame, local: DataFrame, central: DataFrame) -> DataF
     """(hash) of inner nodes to fetch: those of the trees that are not local but central. Goes on below held nodes; never pages."""
     inner = nodes.where("level > 0").select("hash").distinct()
     return inner.join(local.select("hash").distinct(), "hash", "left_anti").join(central.select("hash").distinct(), "hash", "left_semi")
+
+
+def commit_blobs(missing: DataFrame, pages: DataFrame, nodes: DataFrame, artifacts: DataFrame, store: DataFrame, fanout: int) -> DataFrame:
+    """(hash, kind, bytes) to upload for ``missing``, the rows of tree_diff(): 'page', 'node' or 'artifact', each once.
+
+    Pages bring their bytes (image_id, page_no, bytes, hash); a node's bytes are written from its
+    children in ``nodes``; of ``artifacts`` (hash, bytes) go those that ``store`` (hash) lacks.
+    Reading fails at a blob without bytes, or with bytes that don't hash to its name.
+    """
+    at = missing.groupBy("hash", "level").agg(F.min(F.struct("image_id", "node_idx")).alias("at")).select("hash", "level", "at.*")
+    leaf = at.where("level = 0").select("hash", "image_id", F.col("node_idx").alias("page_no")).join(pages.select("image_id", "page_no", "bytes"), ["image_id", "page_no"], "left")
+    below = nodes.select("image_id", (F.col("level") + 1).alias("level"), div(F.col("node_idx"), fanout).alias("up"), F.struct("node_idx", "hash").alias("c"))
+    inner = at.where("level > 0").withColumnRenamed("node_idx", "up").join(below, ["image_id", "level", "up"], "left").groupBy("hash").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    parts = [
+        leaf.select("hash", F.lit("page").alias("kind"), "bytes"),
+        inner.select("hash", F.lit("node").alias("kind"), F.encode(node_text(F.col("c.hash")), "utf-8").alias("bytes")),
+        artifacts.groupBy("hash").agg(F.any_value("bytes").alias("bytes")).join(store.select("hash"), "hash", "left_anti").select("hash", F.lit("artifact").alias("kind"), "bytes"),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    good = F.sha2("bytes", 256).eqNullSafe(F.col("hash"))
+    return rows.select("hash", "kind", F.when(good, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("commit: no good bytes of "), "kind", F.lit(" "), "hash"))).alias("bytes"))

@@ -12,7 +12,7 @@ def ancestors(versions: DataFrame) -> DataFrame:
     """(id, ancestor, depth) for every version (id, parent) and each ancestor, itself at depth 0.
 
     Pointer doubling: each round joins paths of up to d steps with each other, so a chain of n
-    versions takes log2(n) rounds. A parent that isn't a version ends the chain. Chains don't loop.
+    versions takes log2(n) rounds; it has n^2 / 2 rows, so lineage() and nearest_ancestor() don't use it. A parent that isn't a version ends the chain. Chains don't loop.
     """
     step = versions.select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).join(versions.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     known = written(step.select("id", "ancestor", "depth"), "lineage")
@@ -20,21 +20,47 @@ def ancestors(versions: DataFrame) -> DataFrame:
     while True:
         far = known.where(F.col("depth") == reach)
         more = far.select("id", F.col("ancestor").alias("via"), F.col("depth").alias("d")).join(known.select(F.col("id").alias("via"), "ancestor", F.col("depth").alias("e")), "via").select("id", "ancestor", (F.col("d") + F.col("e")).alias("depth"))
-        if not more.head():
+        more = written(more, "lineage-more")
+        if not more.take(1):
             break
         known = written(known.unionByName(more), "lineage")
         reach *= 2
     return versions.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("depth")).unionByName(known)
 
 
-def lineage(closure: DataFrame) -> DataFrame:
-    """(id, root, depth): the seed that a version comes from, and its distance."""
-    return closure.groupBy("id").agg(F.max_by("ancestor", "depth").alias("root"), F.max("depth").alias("depth"))
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """Follow pointers (id, via, depth, done) to their ends by pointer jumping: a row an id, and each round doubles its reach.
+
+    ``via`` names another id, or the id itself where ``done``. Only unfinished rows are joined, so
+    the ends that many share are looked up once a round at most.
+    """
+    now = written(pointers, "jump")
+    while now.where("NOT done").take(1):
+        ends = now.select(F.col("id").alias("via"), F.col("via").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
+        moved = now.where("NOT done").join(ends, "via").select("id", F.col("next").alias("via"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"))
+        now = written(now.where("done").unionByName(moved), "jump")
+    return now.select("id", "via", "depth")
+
+
+def _pointers(versions: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Each version (id, parent) points to its parent, or to itself if it has none or is in ``ends`` (id)."""
+    known = versions.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    rows = versions.select("id", "parent").join(known, "parent", "left")
+    stop = F.col("known").isNull()
+    if ends is not None:
+        rows = rows.join(ends.select("id", F.lit(True).alias("end")).distinct(), "id", "left")
+        stop = stop | F.col("end").isNotNull()
+    return rows.select("id", F.when(stop, F.col("id")).otherwise(F.col("parent")).alias("via"), F.when(stop, 0).otherwise(1).cast("long").alias("depth"), stop.alias("done"))
+
+
+def lineage(versions: DataFrame) -> DataFrame:
+    """(id, root, depth) of every version (id, parent): the seed that it comes from, and its distance."""
+    return _jumped(_pointers(versions)).withColumnRenamed("via", "root")
 
 
-def nearest_ancestor(closure: DataFrame, local: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): the nearest ancestor that is held here, possibly the version itself."""
-    return closure.join(local.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy("id").agg(F.min_by("ancestor", "depth").alias("ancestor"), F.min("depth").alias("depth"))
+def nearest_ancestor(versions: DataFrame, local: DataFrame) -> DataFrame:
+    """(id, ancestor, depth): the nearest ancestor that is held here, possibly the version itself; none: no row."""
+    return _jumped(_pointers(versions, local)).withColumnRenamed("via", "ancestor").join(local.select(F.col("id").alias("ancestor")).distinct(), "ancestor", "left_semi").select("id", "ancestor", "depth")
 
 
 def inherit(children: DataFrame, parents: DataFrame, names: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 An image is a row (image_id, bytes). Its pages are rows (image_id, page_no, bytes, hash); the nodes
 of its tree are rows (image_id, level, node_idx, page_base, hash), pages being level 0. A node's
 hash covers the number and the hashes of its children in order. The root is never a page: an empty
-image has the empty node as its root. Only hashes cross shuffles; bytes stay with their pages.
+image has the empty node as its root. Trees are folded, compared and updated on hashes alone; only operators that return bytes move them.
 """
 
 from __future__ import annotations
@@ -23,9 +23,14 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+def node_text(children: Column) -> Column:
+    """What a node's hash covers: the number of its children, and their hashes in order."""
+    return F.concat(F.size(children).cast("string"), F.lit(":"), F.array_join(children, ""))
+
+
 def node_hash(children: Column) -> Column:
     """Hash of an ordered array of child hashes."""
-    return F.sha2(F.concat(F.size(children).cast("string"), F.lit(":"), F.array_join(children, "")), 256)
+    return F.sha2(node_text(children), 256)
 
 
 def sizes(images: DataFrame, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
@@ -114,17 +119,50 @@ def dirty_extents(extents: DataFrame, page: int = PAGE) -> DataFrame:
     return run.groupBy("image_id", "page_no").agg(F.max("file_size").alias("file_size")).select("image_id", "page_no", F.least(F.lit(page), F.col("file_size") - F.col("page_no") * page).cast("long").alias("n_bytes"))
 
 
-def dirty_errors(dirty: DataFrame, shape: DataFrame, page: int = PAGE) -> DataFrame:
-    """Rows of ``dirty`` (image_id, seq, page_no, n_bytes) that an update must refuse, with the reason."""
-    d = dirty.join(shape, "image_id", "left")
+def dirty_errors(dirty: DataFrame, shape: DataFrame, page: int | None = PAGE) -> DataFrame:
+    """Rows of ``dirty`` (image_id, seq, page_no, n_bytes) that an update must refuse, with the reason; with no ``page``, lengths aren't looked at."""
+    d = (dirty if page else dirty.withColumn("n_bytes", F.lit(None).cast("long"))).join(shape, "image_id", "left")
     last = F.col("page_no") == F.col("page_count") - 1
-    why = (
-        F.when(F.col("len").isNull(), "unknown image").when(F.col("len") == 0, "empty image").when((F.col("page_no") < 0) | (F.col("page_no") >= F.col("page_count")), "page out of range")
-        .when(last & (F.col("n_bytes") != last_page_length(F.col("len"), page)), "wrong length of last page").when(~last & (F.col("n_bytes") != page), "wrong length of page")
-    )
+    why = F.when(F.col("len").isNull(), "unknown image").when(F.col("len") == 0, "empty image").when((F.col("page_no") < 0) | (F.col("page_no") >= F.col("page_count")), "page out of range")
+    if page:
+        n = F.coalesce("n_bytes", F.lit(0))
+        why = why.when(last & (n != last_page_length(F.col("len"), page)), "wrong length of last page").when(~last & (n != page), "wrong length of page")
     return d.select("image_id", "seq", "page_no", "n_bytes", why.alias("reason")).where("reason IS NOT NULL")
 
 
+class Refused(ValueError):
+    """An update names a page that its image doesn't have, or has the wrong length."""
+
+
+def _refuse(dirty: DataFrame, shape: DataFrame, page: int | None) -> None:
+    bad = dirty_errors(dirty, shape, page).head()
+    if bad:
+        raise Refused(f"update refused: page {bad.page_no} of image {bad.image_id}: {bad.reason}")
+
+
+def update_paths(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
+    """Rows that dirty pages (image_id, seq, page_no, bytes) change. Of several writes of a page the last by seq counts.
+
+    Raises Refused before any tree is folded if a write names an unknown or empty image, a page out
+    of range, or has not the length of its page.
+    """
+    sized = written(dirty.select("image_id", "seq", "page_no", F.octet_length("bytes").cast("long").alias("n_bytes"), content_hash(F.col("bytes")).alias("hash")), "dirty")
+    _refuse(sized, shape, page)
+    return rebuilt_nodes(nodes, last_write_wins(sized.drop("n_bytes")), shape, fanout)
+
+
+def update(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
+    """All rows of the next versions: those of update_paths(), and the untouched ones. Without writes the versions stay as they are."""
+    return _over(nodes, update_paths(nodes, dirty, shape, page, fanout))
+
+
+def update_hashes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """update() from hashes (image_id, seq, page_no, hash) whose bytes are elsewhere: only ranges can be checked."""
+    kept = written(dirty.select("image_id", "seq", "page_no", "hash"), "dirty")
+    _refuse(kept, shape, None)
+    return updated(nodes, last_write_wins(kept), shape, fanout)
+
+
 def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Rows of all levels that dirty pages (image_id, page_no, hash) change: the pages, and the nodes above them.
 
@@ -144,10 +182,14 @@ def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
     return union(out).select(NODE)
 
 
+def _over(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``nodes`` with ``fresh`` in place of the rows at their positions."""
+    return nodes.select(NODE).join(fresh.select("image_id", "level", "node_idx"), ["image_id", "level", "node_idx"], "left_anti").select(NODE).unionByName(fresh)
+
+
 def updated(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """All rows of the new versions: the rebuilt ones, and those of ``nodes`` that nothing touched."""
-    fresh = rebuilt_nodes(nodes, dirty, shape, fanout)
-    return nodes.select(NODE).join(fresh.select("image_id", "level", "node_idx"), ["image_id", "level", "node_idx"], "left_anti").select(NODE).unionByName(fresh)
+    return _over(nodes, rebuilt_nodes(nodes, dirty, shape, fanout))
 
 
 def root_rows(nodes: DataFrame, shape: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ a commit that is repeated adds nothing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,32 +45,46 @@ def batch_get(request: DataFrame, store: DataFrame) -> DataFrame:
 def commit(blobs: DataFrame, record: DataFrame, path: str) -> int:
     """Commit (hash, bytes) and records (RECORD) to the folder ``path``; returns the number of blobs written.
 
-    Any blob that doesn't hash to its name fails the commit before anything is visible. Blobs and
-    records that are there already are passed over.
+    What is held already is passed over by name. The rest is checked and written aside in one pass,
+    a blob once; any blob that doesn't hash to its name fails the commit, and nothing of it is
+    visible. Else the files are moved in place, and the records follow. A commit that is repeated
+    changes nothing.
     """
     spark = blobs.sparkSession
-    bad = blobs.where(~content_hash(F.col("bytes")).eqNullSafe(F.col("hash"))).select("hash").head()
+    lacking = blobs.join(stored(spark, path).select("hash"), "hash", "left_anti")
+    checked = lacking.withColumn("good", content_hash(F.col("bytes")).eqNullSafe(F.col("hash")))
+    once = checked.groupBy("hash").agg(F.any_value("bytes").alias("bytes"), F.bool_and("good").alias("good"))
+    name = f"commit-{uuid.uuid4().hex}"
+    once.select("hash", "bytes", F.octet_length("bytes").cast("long").alias("n_bytes"), "good").write.parquet(f"{path}/aside/{name}")
+    aside = spark.read.parquet(f"{path}/aside/{name}")
+    n, bad = aside.agg(F.count("*"), F.min(F.when(~F.col("good"), F.coalesce("hash", F.lit("null"))))).first()
     if bad:
-        raise ValueError(f"commit refused: blob {bad[0]} doesn't hash to its name")
-    fresh = blobs.groupBy("hash").agg(F.any_value("bytes").alias("bytes")).join(stored(spark, path).select("hash"), "hash", "left_anti").persist()
-    n = fresh.count()
+        raise ValueError(f"commit refused: blob {bad} doesn't hash to its name")
     if n:
-        fresh.withColumn("n_bytes", F.octet_length("bytes").cast("long")).withColumn("shard", F.substring("hash", 1, 2)).write.mode("append").partitionBy("shard").parquet(f"{path}/blobs")
-    fresh.unpersist()
+        _move(spark, f"{path}/aside/{name}", f"{path}/blobs", name)
     new = record.join(records(spark, path).select("id"), "id", "left_anti")
-    if new.head():
-        new.write.mode("append").json(f"{path}/records", ignoreNullFields=True)
+    new.write.mode("append").json(f"{path}/records", ignoreNullFields=True)
     return n
 
 
+def _move(spark: SparkSession, source: str, folder: str, name: str) -> None:
+    """Make the table ``source`` a part of ``folder``: a rename, so readers see all of it or nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    if not fs.rename(path(source), path(f"{folder}/{name}")):
+        raise OSError(f"commit failed: {source} could not be moved to {folder}")
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    schema = "hash string, bytes binary, n_bytes bigint, shard string"
-    return spark.read.schema(schema).parquet(f"{path}/blobs").drop("shard") if _there(spark, f"{path}/blobs") else spark.createDataFrame([], schema).drop("shard")
+    """Blobs of all commits."""
+    schema = "hash string, bytes binary, n_bytes bigint"
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/blobs") if _there(spark, f"{path}/blobs") else spark.createDataFrame([], schema)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -89,11 +105,25 @@ def range_read(wanted: DataFrame, packs: DataFrame) -> DataFrame:
     return at.select("hash", F.expr("substring(whole, CAST(offset + 1 AS INT), CAST(len AS INT))").alias("bytes"))
 
 
+def locate(request: DataFrame, index: DataFrame) -> DataFrame:
+    """``request`` (hash, ...) with where each blob lies: pack, offset and len; null where the index has it not."""
+    return request.join(index.select("hash", "pack", "offset", "len"), "hash", "left")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, len, hash) of whole binary files."""
+    return scan_files(spark, path).select("path", "len", content_hash(F.col("bytes")).alias("hash"))
+
+
 def export(blobs: DataFrame, folder: str) -> DataFrame:
-    """Write each blob (hash, bytes) as Parquet under its shard of the shared ``folder``; returns (hash, path, len)."""
+    """Write each blob (hash, bytes) as a row of the Parquet files of its shard, ``folder``/a=aa; returns (hash, path, len).
+
+    A row's path names shard, second shard and blob, as shard_path() does. Shards are dealt to tasks
+    whole, so a shard has one file. Parquet holds the bytes, since a file a blob suits no cluster.
+    """
     rows = blobs.select("hash", "bytes", F.substring("hash", 1, 2).alias("a"), F.substring("hash", 3, 2).alias("b"))
-    rows.write.partitionBy("a", "b").parquet(folder)
-    return blobs.sparkSession.read.parquet(folder).select("hash", shard_path(F.col("hash")).alias("path"), F.octet_length("bytes").cast("long").alias("len"))
+    rows.repartition("a").sortWithinPartitions("a").write.partitionBy("a").parquet(folder)
+    return blobs.sparkSession.read.schema("hash string, bytes binary, b string, a string").parquet(folder).select("hash", F.concat_ws("/", "a", "b", "hash").alias("path"), F.octet_length("bytes").cast("long").alias("len"))
 
 
 def shard_path(h):
