@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog.fixtures import table
-from folio.operators import logs, sessions, tree
+from folio.operators import frames, logs, sessions
+from folio.sources.shared import shared_path, written
 from folio.streaming.processors import Admission, Exclusive, Frames
-from folio.streaming.run import run_batch
+from folio.streaming.run import drained, run_batch, run_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,10 +37,15 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 _E = "WITH e AS (SELECT user_id AS session_id, event_id AS seq, epoch_us(ts) // 1000 AS ms, event_type AS name, value FROM events) "
 
 
-@query("phase_durations", _E + "SELECT session_id, seq, name, greatest(0, coalesce(lead(ms) OVER (PARTITION BY session_id ORDER BY seq), (SELECT max(ms) FROM e x WHERE x.session_id = e.session_id)) - ms)::BIGINT AS ms FROM e")
+_SEEDED = "p AS (SELECT session_id, seq, ms, name FROM e UNION ALL SELECT session_id, -1, min(ms) - 500, 'starting' FROM e GROUP BY 1)"
+
+
+@query("phase_durations", _E + f", {_SEEDED} SELECT session_id, seq, name, greatest(0, coalesce(lead(ms) OVER (PARTITION BY session_id ORDER BY seq), max(ms) OVER (PARTITION BY session_id)) - ms)::BIGINT AS ms FROM p")
 def phase_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions are submitted half a second before their first event."""
     e = events(spark, d)
-    return sessions.phase_durations(e, e.groupBy("session_id").agg(F.max("ms").alias("end_ms")))
+    ends = e.groupBy("session_id").agg(F.max("ms").alias("end_ms"), (F.min("ms") - 500).alias("ms"))
+    return sessions.phase_durations(sessions.with_start(e, ends), ends)
 
 
 @query("current_phase", _E + "SELECT session_id, arg_max(name, seq) AS name, arg_max(ms, seq) AS since_ms FROM e WHERE session_id NOT IN (SELECT session_id FROM e GROUP BY 1 HAVING arg_max(name, seq) = 'purchase') GROUP BY session_id")
@@ -73,30 +79,30 @@ def overlap_reject(spark: SparkSession, d: str) -> DataFrame:
     return run_batch(_spans(spark, d), Exclusive)
 
 
-_OPS = "o AS (SELECT session_id, seq, CASE WHEN name = 'purchase' THEN 'drain' ELSE 'arrive' END AS kind, seq % 5000 AS n_bytes FROM e)"
-
-
 def _ops(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("session_id", "seq", F.when(F.col("name") == "purchase", "drain").otherwise("arrive").alias("kind"), (F.col("seq") % 5000).alias("n_bytes"))
+    """Turns of a conversation that others write arrive with the bytes of their text; the assistant's make room for as many."""
+    t = table(spark, d, "conversations")
+    return t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "drain").otherwise("arrive").alias("kind"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
 
 
 def _admit_sql(n: str, cap: int) -> str:
     fits = f"w.queued + {n} <= {cap}"
-    return "WITH RECURSIVE " + _E[5:] + f""", {_OPS}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM o),
+    return f"""WITH RECURSIVE o AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN role = 'assistant' THEN 'drain' ELSE 'arrive' END AS kind, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM o),
  w AS (SELECT session_id, 0::BIGINT AS seq, 0::BIGINT AS r, 'drain' AS kind, false AS accepted, 0::BIGINT AS queued FROM (SELECT DISTINCT session_id FROM o)
   UNION ALL SELECT n.session_id, n.seq, n.r, n.kind, n.kind = 'arrive' AND {fits}, (CASE WHEN n.kind = 'drain' THEN greatest(0, w.queued - {n}) WHEN {fits} THEN w.queued + {n} ELSE w.queued END)::BIGINT FROM w JOIN n ON n.session_id = w.session_id AND n.r = w.r + 1)
  SELECT session_id, seq, accepted, queued FROM w WHERE kind = 'arrive'"""
 
 
-@query("buffer_admit", _admit_sql("n.n_bytes", 8000))
+@query("buffer_admit", _admit_sql("n.n_bytes", 800))
 def buffer_admit(spark: SparkSession, d: str) -> DataFrame:
-    return run_batch(_ops(spark, d), lambda: Admission(8000))
+    """Which turns fit a budget of bytes; each decision needs the one before."""
+    return run_batch(_ops(spark, d), lambda: Admission(800))
 
 
-@query("s11_queue_admit", _admit_sql("1", 3))
+@query("s11_queue_admit", _admit_sql("1", 2))
 def queue_admit(spark: SparkSession, d: str) -> DataFrame:
-    """The same by count: three places."""
-    return run_batch(_ops(spark, d).withColumn("n_bytes", F.lit(1).cast("long")), lambda: Admission(3))
+    """The same by count: two places."""
+    return run_batch(_ops(spark, d).withColumn("n_bytes", F.lit(1).cast("long")), lambda: Admission(2))
 
 
 @query("log_tail", _E + "SELECT session_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM e) WHERE r <= 20")
@@ -119,6 +125,38 @@ def liveness_gaps(spark: SparkSession, d: str) -> DataFrame:
     return sessions.liveness_gaps(events(spark, d), 3_600_000)
 
 
+_LIMITS = {"click": 3_600_000, "purchase": 7_200_000, "signup": 36_000_000}
+
+
+@query("s12_deadlines", _E + ", s AS (SELECT session_id, min(ms) AS start_ms FROM e GROUP BY 1), l AS (" + " UNION ALL ".join(f"SELECT '{k}' AS milestone, {v} AS most" for k, v in _LIMITS.items()) + "), f AS (SELECT session_id, name AS milestone, min(ms) AS at_ms FROM e GROUP BY 1, 2) SELECT session_id, milestone, (coalesce(at_ms, (SELECT max(ms) FROM e)) - start_ms - most)::BIGINT AS late_ms FROM s CROSS JOIN l LEFT JOIN f USING (session_id, milestone) WHERE coalesce(at_ms, (SELECT max(ms) FROM e)) - start_ms - most > 0")
+def deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """First events of three kinds as milestones; now is the last event of all."""
+    e = events(spark, d)
+    now = e.agg(F.max("ms")).first()[0]
+    return sessions.deadlines(e.groupBy("session_id").agg(F.min("ms").alias("start_ms")), e.select("session_id", F.col("name").alias("milestone"), "ms"), _LIMITS, now)
+
+
+@query("b20_result_text", _E + """SELECT session_id, seq, CASE WHEN name = 'error' THEN '{"result":{"ok":false,"error":"no room"}}' WHEN seq % 5 = 0 THEN '{"result":{"ok":true,"frame_id":"frm_' || seq || '","outcome":{"exited":{"signal":9}}}}' ELSE '{"result":{"ok":true,"frame_id":"frm_' || seq || '","outcome":{"exited":{"code":' || seq % 3 || '}}}}' END AS json, name <> 'error' AS ok, CASE WHEN name <> 'error' THEN 'frm_' || seq END AS frame_id FROM e""")
+def result_text(spark: SparkSession, d: str) -> DataFrame:
+    """Results written as JSON and read back."""
+    frame = F.concat(F.lit("frm_"), "seq")
+    signal = F.when(F.col("seq") % 5 == 0, F.lit(9))
+    text = F.when(F.col("name") == "error", sessions.result_err(F.lit("no room"))).otherwise(sessions.result_ok(frame, F.col("seq") % 3, signal))
+    return sessions.results(events(spark, d).select("session_id", "seq", text.alias("json")), "json").select("session_id", "seq", "json", "ok", "frame_id")
+
+
+@query("a16_event_source", "SELECT conv_id AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n, role AS name, coalesce(text, '') AS data FROM conversations")
+def event_source(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as event streams whose chunks come in two parts; frames that lie across both come out whole."""
+    block = F.encode(F.concat(F.lit("event: "), "role", F.lit("\ndata: "), F.replace(F.col("text"), F.lit("\n"), F.lit("\ndata: ")), F.lit("\n\n")), "utf-8")
+    path, chunks = shared_path(spark, "source"), written(_chunks(spark, d, block, 61), "chunks")
+    for part in ("seq < 3", "seq >= 3"):
+        chunks.where(part).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(chunks.schema).parquet(f"{path}/in")
+        out = drained(run_stream(source, lambda: Frames("sse")), path)
+    return out.select("session_id", "n", "name", F.decode("data", "utf-8").alias("data"))
+
+
 @query("ready_gate", _E + ", s AS (SELECT session_id AS key, CASE WHEN arg_max(name, seq) IN ('purchase', 'signup') THEN 'ready' WHEN arg_max(name, seq) = 'error' THEN 'failed' ELSE 'pending' END AS status FROM e GROUP BY 1) SELECT key, CASE WHEN status = 'pending' AND key % 2 = 0 THEN 'failed' ELSE status END AS status FROM s")
 def ready_gate(spark: SparkSession, d: str) -> DataFrame:
     """Producers with even numbers have closed."""
@@ -195,10 +233,10 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _chunks(turns: DataFrame, encoded, size: int) -> DataFrame:
+def _chunks(spark: SparkSession, d: str, encoded, size: int) -> DataFrame:
     """A conversation's encoded turns as one byte stream, cut into chunks of ``size`` bytes that ignore all boundaries."""
-    whole = turns.groupBy("conv_id").agg(F.expr("listagg(b) WITHIN GROUP (ORDER BY turn)").alias("bytes")) if encoded is None else turns.withColumn("b", encoded).groupBy("conv_id").agg(F.expr("listagg(b) WITHIN GROUP (ORDER BY turn)").alias("bytes"))
-    return tree.paginate(whole.withColumnRenamed("conv_id", "image_id"), size).select(F.col("image_id").alias("session_id"), F.col("page_no").alias("seq"), "bytes")
+    t = _turns(spark, d)
+    return frames.chunks_of(t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), encoded.alias("bytes")), size)
 
 
 _FRAMED = "(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n"
@@ -208,24 +246,24 @@ _FRAMED = "(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT
 def sse_reframe(spark: SparkSession, d: str) -> DataFrame:
     """Events come out as they went in, wherever chunks were cut."""
     block = F.encode(F.concat(F.lit("event: "), "role", F.lit("\ndata: "), F.replace(F.col("text"), F.lit("\n"), F.lit("\ndata: ")), F.lit("\n\n")), "utf-8")
-    return run_batch(_chunks(_turns(spark, d), block, 61), lambda: Frames("sse")).withColumn("data", F.decode("data", "utf-8"))
+    return frames.server_events(_chunks(spark, d, block, 61))
 
 
-@query("delim_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'frame' AS kind, NULL::VARCHAR AS name, text AS data FROM t")
+@query("delim_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, text AS data FROM t")
 def delim_reframe(spark: SparkSession, d: str) -> DataFrame:
-    return run_batch(_chunks(_turns(spark, d), F.encode(F.concat("text", F.lit("\0")), "utf-8"), 47), lambda: Frames(b"\0")).withColumn("data", F.decode("data", "utf-8"))
+    return frames.delimited(_chunks(spark, d, F.encode(F.concat("text", F.lit("\0")), "utf-8"), 47), b"\0").select("session_id", "n", F.decode("data", "utf-8").alias("data"))
 
 
 @query("length_reframe", _LINES + f"SELECT conv_id AS session_id, {_FRAMED}, 'input' AS kind, NULL::VARCHAR AS name, text AS data FROM t")
 def length_reframe(spark: SparkSession, d: str) -> DataFrame:
     raw = F.encode("text", "utf-8")
     head = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.octet_length(raw)), 8, "0")))
-    return run_batch(_chunks(_turns(spark, d), F.concat(head, raw), 53), lambda: Frames("length")).withColumn("data", F.decode("data", "utf-8"))
+    return run_batch(_chunks(spark, d, F.concat(head, raw), 53), lambda: Frames("length")).withColumn("data", F.decode("data", "utf-8"))
 
 
-@query("line_reframe", _LINES + ", l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t) SELECT conv_id AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::BIGINT AS n, 'frame' AS kind, NULL::VARCHAR AS name, line AS data FROM l")
+@query("line_reframe", _LINES + ", l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t) SELECT conv_id AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::BIGINT AS n, line FROM l")
 def line_reframe(spark: SparkSession, d: str) -> DataFrame:
-    return run_batch(_chunks(_turns(spark, d), F.encode(F.concat("text", F.lit("\n")), "utf-8"), 40), lambda: Frames(b"\n")).withColumn("data", F.decode("data", "utf-8"))
+    return frames.lines(_chunks(spark, d, F.encode(F.concat("text", F.lit("\n")), "utf-8"), 40))
 
 
 @query("stream_concat", _LINES + "SELECT conv_id AS session_id, CASE WHEN role = 'assistant' THEN 'stdout' ELSE 'stderr' END AS stream, sha256(string_agg(text, '' ORDER BY turn)) AS hash FROM t GROUP BY 1, 2")
@@ -234,31 +272,29 @@ def stream_concat(spark: SparkSession, d: str) -> DataFrame:
     return sessions.stream_concat(c).select("session_id", "stream", F.sha2("bytes", 256).alias("hash"))
 
 
-@query("stderr_lines", _LINES + ", s AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS b FROM t WHERE role <> 'assistant' AND conv_id % 3 <> 0 GROUP BY 1), l AS (SELECT conv_id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) - 1 AS k FROM s) SELECT conv_id AS session_id, k::BIGINT AS line_no, 'stderr: ' || rtrim(line, chr(13)) AS line FROM l WHERE trim(line) <> ''")
+@query("stderr_lines", _LINES + ", s AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS b FROM t WHERE role <> 'assistant' AND conv_id % 3 <> 0 GROUP BY 1), l AS (SELECT conv_id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) - 1 AS k FROM s) SELECT conv_id AS session_id, k::BIGINT AS line_no, 'stderr: ' || rtrim(line, chr(13)) AS line FROM l WHERE trim(line) <> ''")
 def stderr_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Two sessions in three ended badly."""
+    """Turns that the assistant didn't write are chunks of stderr; two sessions in three ended badly."""
     t = _turns(spark, d).where("role <> 'assistant'")
-    s = t.groupBy(F.col("conv_id").alias("session_id")).agg(F.encode(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY turn)"), "utf-8").alias("bytes")).withColumn("stream", F.lit("stderr"))
-    return sessions.stderr_lines(s, s.select("session_id", (F.col("session_id") % 3 == 0).alias("ok")))
+    chunks = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.encode(F.concat("text", F.lit("\n")), "utf-8").alias("bytes"))
+    return sessions.stderr_lines(chunks, t.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") % 3 == 0).alias("ok")).distinct())
 
 
-@query("command_filter", _LINES + ", c AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn = 3 AND conv_id % 2 = 0 THEN ':q' ELSE trim(split_part(text, chr(10), 1)) END AS command FROM t), q AS (SELECT session_id, min(seq) AS quit FROM c WHERE command = ':q' GROUP BY 1) SELECT session_id, seq, command FROM c LEFT JOIN q USING (session_id) WHERE command <> '' AND (quit IS NULL OR seq < quit)")
+@query("command_filter", _LINES + ", c AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN turn = 3 AND conv_id % 2 = 0 THEN ':q' ELSE trim(text, ' ') END AS command FROM t), q AS (SELECT session_id, min(seq) AS quit FROM c WHERE command = ':q' GROUP BY 1) SELECT session_id, seq, command FROM c LEFT JOIN q USING (session_id) WHERE command <> '' AND (quit IS NULL OR seq < quit)")
 def command_filter(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of turns as commands; even conversations quit at their fourth turn."""
-    text = F.when((F.col("turn") == 3) & (F.col("conv_id") % 2 == 0), ":q").otherwise(F.split_part("text", F.lit("\n"), F.lit(1)))
+    """Turns as commands; even conversations quit at their fourth turn."""
+    text = F.when((F.col("turn") == 3) & (F.col("conv_id") % 2 == 0), ":q").otherwise(F.col("text"))
     return sessions.commands(_turns(spark, d).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), text.alias("text")))
 
 
-_PARTS = _LINES + ", p AS (SELECT conv_id AS session_id, turn, 0 AS k, 'header' AS part, role AS text FROM t UNION ALL SELECT conv_id, turn, 1, 'body', text FROM t UNION ALL SELECT conv_id, turn, 2, 'footer', length(text) || ' characters' FROM t UNION ALL SELECT conv_id, turn, 3, 'separator', '' FROM t), r AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY turn, k))::BIGINT AS seq FROM p)"
+_PARTS = _LINES + ", p AS (SELECT conv_id AS session_id, turn, 0 AS k, 'header' AS part, role AS text FROM t UNION ALL SELECT conv_id, turn, 1, 'body', text FROM t UNION ALL SELECT conv_id, turn, 2, 'footer', length(text) || ' characters' FROM t UNION ALL SELECT conv_id, turn, 3, 'breakdown', 'turn ' || turn FROM t WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 4, 'separator', '' FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS most FROM t) WHERE turn < most), r AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY turn, k))::BIGINT AS seq FROM p)"
 
 
 def _transcript(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Turns as entries; the assistant's have a breakdown."""
     t = _turns(spark, d)
-    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("part"), x.alias("text")) for k, (p, x) in enumerate((("header", F.col("role")), ("body", F.col("text")), ("footer", F.concat(F.length("text").cast("string"), F.lit(" characters"))), ("separator", F.lit(""))))])
-    rows = t.select(F.col("conv_id").alias("session_id"), "turn", F.explode(parts).alias("p")).select("session_id", "turn", "p.*")
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "k")).cast("long"))
+    entry = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("entry"), F.col("role").alias("header"), F.col("text").alias("body"), F.concat(F.length("text").cast("string"), F.lit(" characters")).alias("footer"), F.when(F.col("role") == "assistant", F.concat(F.lit("turn "), "turn")).alias("breakdown"))
+    return sessions.transcript(entry)
 
 
 @query("transcript", _PARTS + " SELECT session_id, seq, part, text FROM r")
@@ -271,9 +307,15 @@ def section_header(spark: SparkSession, d: str) -> DataFrame:
     return sessions.section_headers(_transcript(spark, d)).select("session_id", "seq", "part", "header_seq")
 
 
-@query("log_format", _E + "SELECT session_id, seq, (ms * 1000) || 'us [' || name || '] value ' || seq AS line FROM e")
+@query("log_format", _E + "SELECT session_id, (ms * 1000) || 'us [' || name || '] value ' || seq AS line FROM e")
 def log_format(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("session_id", "seq", logs.log_format(F.col("ms") * 1000, F.col("name"), F.concat(F.lit("value "), "seq")).alias("line"))
+    """Log lines of sessions appended to their files by two writers, and read back."""
+    path = shared_path(spark, "log")
+    line = logs.log_format(F.col("ms") * 1000, F.col("name"), F.concat(F.lit("value "), "seq"))
+    e = events(spark, d).select("session_id", "seq", line.alias("line"))
+    for k in range(2):
+        logs.append_log(e.where(f"seq % 2 = {k}"), path)
+    return spark.read.schema("value string, session_id long").text(path).select("session_id", F.col("value").alias("line"))
 
 
 @query("log_parse", _E + "SELECT session_id, seq, ms * 1000 AS ts_us, name AS prefix, 'value ' || seq AS line FROM e WHERE seq % 10 <> 0")
@@ -335,17 +377,21 @@ def hex_validate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", logs.hex_decode(text).alias("x")).select("event_id", F.lower(F.hex("x.raw")).alias("hash"), "x.reason")
 
 
-@query("b4_base64", "SELECT page_id, sha256(html) AS hash, to_base64(encode(substr(url, 1, 20))) AS head FROM pages WHERE html IS NOT NULL")
+@query("b4_base64", "SELECT page_id, sha256(html) AS hash, to_base64(encode(url)) AS head FROM pages WHERE html IS NOT NULL AND page_id % 3 <> 0")
 def base64(spark: SparkSession, d: str) -> DataFrame:
-    """Pages through base64 and back; what doesn't decode is dropped."""
-    p = table(spark, d, "pages").withColumn("raw", F.expr("try_to_binary(base64(encode(html, 'utf-8')), 'base64')")).where("raw IS NOT NULL")
-    return p.select("page_id", F.sha2("raw", 256).alias("hash"), F.base64(F.encode(F.substring("url", 1, 20), "utf-8")).alias("head"))
+    """Pages through base64 and back; every third payload is broken, and what doesn't decode is dropped."""
+    sent = F.base64(F.encode("html", "utf-8"))
+    sent = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("*"), sent)).otherwise(sent)
+    p = table(spark, d, "pages").withColumn("raw", F.try_to_binary(sent, F.lit("base64"))).where("raw IS NOT NULL")
+    return p.select("page_id", F.sha2("raw", 256).alias("hash"), F.base64(F.encode("url", "utf-8")).alias("head"))
 
 
-@query("b12_lossy_text", "SELECT doc_id, length(coalesce(text, '')) AS n_chars FROM documents")
+@query("b12_lossy_text", "SELECT doc_id, sha256(chr(65533) || coalesce(text, '') || chr(65533) || '!') AS hash, length(coalesce(text, '')) + 3 AS n_chars FROM documents")
 def lossy_text(spark: SparkSession, d: str) -> DataFrame:
-    """Text from bytes that may be broken; whole ones come through unchanged."""
-    return table(spark, d, "documents").select("doc_id", F.length(F.expr("make_valid_utf8(encode(coalesce(text, ''), 'utf-8'))")).cast("long").alias("n_chars"))
+    """Text from bytes with a bad one before and after it: what is whole comes through unchanged, a bad byte as U+FFFD."""
+    raw = F.concat(F.unhex(F.lit("FF")), F.encode(F.coalesce("text", F.lit("")), "utf-8"), F.unhex(F.lit("C3")), F.encode(F.lit("!"), "utf-8"))
+    text = F.call_function("make_valid_utf8", raw.cast("string"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("hash"), F.length(text).cast("long").alias("n_chars"))
 
 
 @query("span_summary", "SELECT o_orderpriority AS component, count(*) AS n, round(avg(o_totalprice), 4) AS mean_ms, max(o_totalprice) AS most_ms, sum((o_totalprice > 200000)::INT)::BIGINT AS beyond FROM orders GROUP BY 1")

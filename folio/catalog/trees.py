@@ -269,6 +269,15 @@ def materialize_plan(spark: SparkSession, d: str) -> DataFrame:
     return _steps(spark, d)
 
 
+@query("o2_step_order", CTE + "SELECT image_id, dest_page_base, op, row_number() OVER (PARTITION BY image_id ORDER BY dest_page_base) AS place FROM steps")
+def step_order(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of a plan in order of their destination."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("image_id").orderBy("dest_page_base")
+    return _steps(spark, d).select("image_id", "dest_page_base", "op", F.row_number().over(w).cast("long").alias("place"))
+
+
 _COPIED = "SELECT image_id FROM steps GROUP BY 1 HAVING bool_and(op = 'clone')"
 
 

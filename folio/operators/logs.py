@@ -21,6 +21,11 @@ def log_format(ts_us: Column, prefix: Column, line: Column) -> Column:
     return F.concat(ts_us.cast("string"), F.lit("us ["), prefix, F.lit("] "), line)
 
 
+def append_log(lines: DataFrame, path: str) -> None:
+    """Append (session_id, line) to text files below ``path``, a folder a session; whole lines only, whoever else appends."""
+    lines.select("session_id", F.col("line").alias("value")).repartition("session_id").write.mode("append").partitionBy("session_id").text(path)
+
+
 def log_parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """(ts_us, prefix, line) of lines in that form; others are dropped. Works on a stream."""
     return lines.where(F.col(column).rlike(LINE)).select(*[c for c in lines.columns if c != column], *[F.regexp_extract(column, LINE, k).cast(t).alias(n) for k, (n, t) in enumerate((("ts_us", "long"), ("prefix", "string"), ("line", "string")), 1)])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators import frames
+
 #: Schema of a control message; one key of it is set.
 CONTROL = "phase string, stderr string, error string, result struct<ok: boolean, frame_id: string, outcome: struct<exited: struct<code: bigint, signal: bigint>, spawn_failed: string, wait_failed: string>, error: string>"
 
@@ -24,6 +26,12 @@ def phase_durations(phases: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.withColumn("until", until).select("session_id", "seq", "name", F.greatest(F.lit(0), F.col("until") - F.col("ms")).cast("long").alias("ms"))
 
 
+def with_start(phases: DataFrame, submitted: DataFrame, name: str = "starting") -> DataFrame:
+    """``phases`` (session_id, seq, name, ms) with the phase that every session of ``submitted`` (session_id, ms) begins in, before all others."""
+    seed = submitted.select("session_id", F.lit(-1).cast("long").alias("seq"), F.lit(name).alias("name"), "ms")
+    return seed.unionByName(phases.select("session_id", "seq", "name", "ms"))
+
+
 def current_phase(phases: DataFrame, finished: DataFrame) -> DataFrame:
     """(session_id, name, since_ms) of sessions that haven't finished."""
     return phases.join(finished.select("session_id"), "session_id", "left_anti").groupBy("session_id").agg(F.max_by("name", "seq").alias("name"), F.max_by("ms", "seq").alias("since_ms"))
@@ -86,6 +94,41 @@ def event_encode(session: Column, name: Column, body: Column) -> Column:
     return F.to_json(F.map_from_arrays(F.array(name), F.array(body)))
 
 
+def result_ok(frame_id: Column, code: Column, signal: Column) -> Column:
+    """JSON of a step's good result."""
+    exited = F.when(signal.isNotNull(), F.struct(F.lit(None).cast("bigint").alias("code"), signal.cast("bigint").alias("signal"))).otherwise(F.struct(code.cast("bigint").alias("code"), F.lit(None).cast("bigint").alias("signal")))
+    return F.to_json(F.struct(F.struct(F.lit(True).alias("ok"), frame_id.alias("frame_id"), F.struct(exited.alias("exited")).alias("outcome")).alias("result")))
+
+
+def result_err(error: Column) -> Column:
+    """JSON of a step's failure; an error must say something."""
+    return F.to_json(F.struct(F.struct(F.lit(False).alias("ok"), F.coalesce(error, F.lit("unknown error")).alias("error")).alias("result")))
+
+
+def deadlines(sessions: DataFrame, reached: DataFrame, limits: dict[str, int], now_ms: int | Column) -> DataFrame:
+    """(session_id, milestone, late_ms): milestones (``limits``: milliseconds after the start) that a session reached late, or hasn't reached though its time is over.
+
+    ``sessions`` (session_id, start_ms); ``reached`` (session_id, milestone, ms), of which the first counts.
+    """
+    due = sessions.select("session_id", F.explode(F.create_map(*[F.lit(x) for p in limits.items() for x in p])).alias("milestone", "limit"), "start_ms")
+    first = reached.groupBy("session_id", "milestone").agg(F.min("ms").alias("at_ms"))
+    now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
+    late = F.coalesce("at_ms", now) - F.col("start_ms") - F.col("limit")
+    return due.join(first, ["session_id", "milestone"], "left").withColumn("late_ms", late.cast("long")).where("late_ms > 0").select("session_id", "milestone", "late_ms")
+
+
+def transcript(entries: DataFrame) -> DataFrame:
+    """(session_id, entry, part, text, seq): header, body, footer, breakdown (if there is one) and a separator between entries, numbered from 1.
+
+    ``entries`` are (session_id, entry, header, body, footer, breakdown); body lines are one text.
+    """
+    last = F.col("entry") == F.max("entry").over(Window.partitionBy("session_id"))
+    parts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("part"), x.alias("text")) for k, (p, x) in enumerate([*((p, F.col(p)) for p in ("header", "body", "footer", "breakdown")), ("separator", F.when(~F.col("last"), ""))])])
+    rows = entries.withColumn("last", last).select("session_id", "entry", F.explode(parts).alias("p")).select("session_id", "entry", "p.*").where("text IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("entry", "k"))
+    return rows.withColumn("seq", place.cast("long")).drop("k")
+
+
 def finalize(sessions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(session_id, state, at_ms, note): the first result ends a session; one that closed without a result is an error, one that was aborted is aborted, others run."""
     first = outcomes.groupBy("session_id").agg(F.min_by(F.struct("ok", "ms", "error"), "seq").alias("r"))
@@ -130,13 +173,11 @@ def stream_concat(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("session_id", "stream").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY seq)").alias("bytes"))
 
 
-def stderr_lines(streams: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(session_id, line_no, line): lines of stderr that say something, prefixed; only of sessions that didn't end well."""
+def stderr_lines(chunks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(session_id, line_no, line): lines of stderr chunks that say something, prefixed; only of sessions that didn't end well."""
     bad = outcomes.where("NOT ok").select("session_id")
-    lines = F.posexplode(F.split(F.expr("make_valid_utf8(bytes)"), "\n", -1)).alias("line_no", "raw")
-    cut = streams.where("stream = 'stderr'").join(bad, "session_id", "left_semi").select("session_id", lines)
-    trimmed = F.regexp_replace("raw", r"\r+$", "")
-    return cut.withColumn("line", trimmed).where("trim(line) <> ''").select("session_id", F.col("line_no").cast("long").alias("line_no"), F.concat(F.lit("stderr: "), "line").alias("line"))
+    said = frames.lines(chunks.join(bad, "session_id", "left_semi")).where("trim(line) <> ''")
+    return said.select("session_id", F.col("n").alias("line_no"), F.concat(F.lit("stderr: "), "line").alias("line"))
 
 
 def commands(lines: DataFrame) -> DataFrame:

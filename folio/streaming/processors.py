@@ -83,8 +83,10 @@ class Frames:
                 data.append(value)
         if name is None and not data:
             return []
-        if name is None:
+        if not name:
             return [self._out("error", None, b"data without event")]
+        while data and not data[0]:
+            data.pop(0)
         return [self._out("event", name, b"\n".join(data))]
 
     def end(self) -> list[tuple]:
@@ -92,7 +94,7 @@ class Frames:
             return []
         if self.mode == b"\n":
             return [self._out("frame", None, self._trim(self.tail))]
-        return [self._out("error", None, b"unfinished")] if self.mode == "sse" else []
+        return [self._out("error", None, b"unfinished")] if self.mode == "sse" and self.tail.strip(b"\r\n") else []
 
 
 class Admission:

@@ -57,8 +57,13 @@ def _arrow(schema: str) -> list[pa.DataType]:
     return [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema)]
 
 
-def run_stream(df: DataFrame, make: Callable[[], object]) -> DataFrame:
-    """The same on a stream; rows of a micro-batch are put in order of seq. A session's end is never known, so end() isn't called."""
+def run_stream(df: DataFrame, make: Callable[[], object], idle_ms: int | None = None, lateness: str = "1 minute") -> DataFrame:
+    """The same on a stream; rows of a micro-batch are put in order of seq.
+
+    With ``idle_ms`` the stream has event times (ts): a session from which nothing came for that
+    long, by the watermark, has ended; end() gives its last rows, and its state goes. Without it
+    sessions never end, and each keeps a tail of bytes.
+    """
     sample = make()
     names = ["seq", *sample.columns]
     columns = [f.name for f in _parse_datatype_string(sample.schema)]
@@ -67,12 +72,27 @@ def run_stream(df: DataFrame, make: Callable[[], object]) -> DataFrame:
         current = make()
         if state.exists:
             current.load(state.get[0])
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], *x) for x in current.end()], columns=columns)
+            return
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = [(key[0], *x) for seq, *rest in rows[names].itertuples(index=False, name=None) for x in current.feed((*rest, seq))]
         state.update((current.dump(),))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(int(rows["at_ms"].max()) + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)
 
-    return df.select("session_id", *names).groupBy("session_id").applyInPandasWithState(each, sample.schema, "dump string", "append", "NoTimeout")
+    if idle_ms is None:
+        return df.select("session_id", *names).groupBy("session_id").applyInPandasWithState(each, sample.schema, "dump string", "append", "NoTimeout")
+    timed = df.withWatermark("ts", lateness).select("session_id", *names, "ts", F.unix_millis("ts").alias("at_ms"))
+    return timed.groupBy("session_id").applyInPandasWithState(each, sample.schema, "dump string", "append", "EventTimeTimeout")
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """What a stream gives of all that has come so far, appended to the table below ``path``; a call after more has come goes on where the last one ended."""
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def liveness_alarms(beats: DataFrame, limit_ms: int, lateness: str = "1 minute") -> DataFrame:

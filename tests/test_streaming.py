@@ -2,9 +2,12 @@
 
 import random
 
+from pyspark.sql.functions import lit
+
+from folio.operators import frames as framing
 from folio.operators import tree
 from folio.streaming.processors import Admission, Frames
-from folio.streaming.run import capture, liveness_alarms, replay_dedup, run_batch, run_stream
+from folio.streaming.run import capture, drained, liveness_alarms, replay_dedup, run_batch, run_stream
 
 SSE = b": hi\n\nevent: phase\ndata: one\ndata:two\n\nevent:log\r\ndata: x\r\n\r\ndata: lost\n\nevent: ready\n\nevent: tail\ndata: y"
 LENGTH = b"\x00\x00\x00\x00\x03abc\x01\x00\x00\x00\x04\x00\x18\x00\x50\x07\x00\x00\x00\x01z\x00\x00\x00\x00\x00\x00\x00\x00\x00\x09short"
@@ -39,6 +42,46 @@ def test_admission_drops_whole_chunks():
     assert [x[0][1] for x in seen if x] == [True, False, True, True, False]
 
 
+def test_frames_by_columns_equal_the_processor(spark):
+    """Frames by counting delimiters are those of the processor, for any cut of the bytes and any size of a range."""
+    rng = random.Random(9)
+    odd = [SSE, b"\n\nevent: a\r\ndata: 1\r\ndata: 2\r\n\r\nevent: b\ndata\n\n\n\ndata:  two\n\nid: 7\n\n", b"", b"\n", b"event: only\n\n", b"event:\ndata: x\n\nevent: k\ndata:\ndata: y\ndata:\ndata: z\n\n", b"x\xff\xfe\ny\xc3\n\nlast\r"]
+    rows = []
+    for s, data in enumerate([*odd, b"event: e\ndata: v\n\n" * 300]):
+        cuts = sorted(rng.choices(range(len(data) + 1), k=len(data) // 4))
+        rows += [(s, k, data[a:b]) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(data)], strict=True))]
+    rows += [(None, 0, b"q\n"), (3, 10_000, None)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, bytes binary").withColumn("n", lit(5)).withColumn("data", lit("clash"))
+    for size in (4096, 3):
+        framing.running_before.__defaults__ = (size,)
+        for mode, got in (("sse", framing.server_events(df)), (b"\n", framing.lines(df).selectExpr("session_id", "n", "'frame' AS kind", "NULL AS name", "line AS data")), (b"\0", framing.delimited(df, b"\0"))):
+            if mode == b"\0":
+                assert sorted((r.session_id, bytes(r.data)) for r in got.collect()) == [(s, x) for s, x in enumerate([*odd, b"event: e\ndata: v\n\n" * 300]) if x]
+                continue
+            want = [(s, n, kind, name, data.decode(errors="replace")) for s, n, kind, name, data in map(tuple, run_batch(df, lambda m=mode: Frames(m)).collect())]
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), (mode, size)
+    framing.running_before.__defaults__ = (framing.RANGE,)
+    assert framing.server_events(df.where("false")).count() == 0
+
+
+def test_chunks_of_frames_are_cut_by_offset(spark):
+    rows = [(1, 0, b"abc"), (1, 1, b""), (1, 2, None), (1, 3, b"defghijklmno"), (1, 7, b"p"), (2, 0, b"")]
+    got = framing.chunks_of(spark.createDataFrame(rows, "session_id long, seq long, bytes binary"), 5)
+    assert sorted((r.session_id, r.seq, bytes(r.bytes)) for r in got.collect()) == [(1, 0, b"abcde"), (1, 1, b"fghij"), (1, 2, b"klmno"), (1, 3, b"p")]
+
+
+def test_idle_sessions_end(spark, tmp_path):
+    """A session that falls silent gives its last, unfinished frame, and its state goes."""
+    rows = [(1, 0, b"one\ntw", 0), (2, 0, b"a\nb", 500), (1, 1, b"o\nthree", 10)]
+    later = [(3, 0, b"z\n", 5000)]
+    schema = "session_id long, seq long, bytes binary, s long"
+    for part in (rows, later, [(3, 1, b"end", 5001)]):
+        spark.createDataFrame(part, schema).selectExpr("session_id", "seq", "bytes", "timestamp_seconds(s + 1000) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id long, seq long, bytes binary, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(run_stream(stream, lambda: Frames(b"\n"), idle_ms=60_000), str(tmp_path))
+    assert sorted((r.session_id, r.n, bytes(r.data)) for r in got.collect()) == [(1, 0, b"one"), (1, 1, b"two"), (1, 2, b"three"), (2, 0, b"a"), (2, 1, b"b"), (3, 0, b"z")]
+
+
 def test_stream_equals_table(spark, tmp_path):
     rng = random.Random(8)
     rows = []
