@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import written
+from folio.llm.shared import remove, shared_path, written, written_to
+
+
+def _labels(df: DataFrame) -> tuple[DataFrame, str]:
+    path = shared_path(df.sparkSession, "labels")
+    return written_to(df, path), path
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,11 +23,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"), F.lit(True).alias("changed"))
-    labels = written(labels, "labels")
+    labels, path = _labels(labels)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("next"))
-        labels = written(least.join(jump, "via").select("node", F.least("via", "next").alias("component"), (F.least("via", "next") < F.col("was")).alias("changed")), "labels")
+        labels, new = _labels(least.join(jump, "via").select("node", F.least("via", "next").alias("component"), (F.least("via", "next") < F.col("was")).alias("changed")))
+        remove(labels.sparkSession, path)
+        path = new
         if not labels.where("changed").take(1):
             return labels.select("node", "component")

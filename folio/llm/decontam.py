@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.arrow import encoded, map_batches, texts
+from folio.llm.arrow import encoded, map_batches, text_hash, texts
 from folio.llm.shared import shared_path
 
 K1, B = 1.2, 0.75
@@ -243,7 +243,7 @@ def _searched(docs: DataFrame, index: Index, longest: int, overlap: float) -> Da
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, share: float = SHARE, overlap: float = OVERLAP, index_items: int = INDEX_ITEMS) -> DataFrame:
-    """One row per input row: doc_id, contaminated, n_items and item_ids, the items (ascending) that its text repeats.
+    """One row per input row: doc_id, contaminated, n_items, item_ids, the items (ascending) that its text repeats, and text_hash.
 
     With no ``answer_col`` the first half of an item's words is its question and the second half its
     answer. A null or empty text repeats nothing; an item without words, or with a null id, is found
@@ -252,19 +252,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     searched by all passages and its hits are written before the next one is built, so the driver
     holds one. ``index_items`` changes jobs, not results.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col, text_hash(text_col).alias("text_hash"))  # rows of one id and text get the same items
     known = Items(items, item_id_col, question_col, answer_col, index_items, share)
     if known.parts == 1:
         found = _searched(rows, known.index(0), known.longest, overlap)
     else:
-        keyed = rows.withColumn("row", F.xxhash64("text"))  # rows of one id and text get the same items
         path = shared_path(docs.sparkSession, "leaks")
         for part in range(known.parts):
-            hits = _searched(keyed, known.index(part), known.longest, overlap)
-            hits.where(F.size("item_ids") > 0).select("doc_id", "row", F.explode("item_ids").alias("i")).write.mode("append").parquet(path)
-        hits = docs.sparkSession.read.schema("doc_id long, row long, i long").parquet(path).groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.array_sort(F.collect_set("i")).alias("item_ids"))
-        found = keyed.join(hits, keyed.doc_id.eqNullSafe(hits.d) & (keyed.row == hits.r), "left").select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+            hits = _searched(rows, known.index(part), known.longest, overlap)
+            hits.where(F.size("item_ids") > 0).select("doc_id", "text_hash", F.explode("item_ids").alias("i")).write.mode("append").parquet(path)
+        hits = docs.sparkSession.read.schema("doc_id long, text_hash long, i long").parquet(path).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_set("i")).alias("item_ids"))
+        found = rows.join(hits, rows.doc_id.eqNullSafe(hits.d) & (rows.text_hash == hits.h), "left").select("doc_id", "text_hash", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "text_hash")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from folio.llm.arrow import encoded, map_batches, texts
+from folio.llm.arrow import encoded, map_batches, text_hash, texts
 from folio.llm.components import connected_components
 from folio.llm.shared import written
 from folio.llm.words import U64, mix, words_of
@@ -63,7 +63,7 @@ def shingle_sets(batch: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set_id (a digest of the set), n and halves (2 x TABLES half keys)."""
+    """doc_id, text_hash, set_id (a digest of the set), n and halves (2 x TABLES half keys)."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s for a in range(0, batch.num_rows, 1000) for s in shingle_sets(encoded(batch.column("text").slice(a, 1000)), k)]
@@ -80,11 +80,11 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
         halves = mix(mixed[:, 0::2] * U64(0x2545F4914F6CDD1D) + mixed[:, 1::2] + np.arange(2 * TABLES, dtype=U64))
         offsets = pa.array(np.arange(0, 2 * TABLES * len(sets) + 1, 2 * TABLES, dtype=np.int32))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(halves.view(np.int64).reshape(-1)))],
-            names=["doc_id", "set_id", "n", "halves"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(halves.view(np.int64).reshape(-1)))],
+            names=["doc_id", "text_hash", "set_id", "n", "halves"],
         )
 
-    return map_batches(docs, each, "doc_id long, set_id binary, n long, halves array<long>")
+    return map_batches(docs, each, "doc_id long, text_hash long, set_id binary, n long, halves array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -170,7 +170,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, text_hash, kept.
 
     Sets are linked when 100 x intersection >= similarity x union; component_id is the least id
     reachable by links, kept whether it is the row's own. Null and empty texts have an empty set,
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     is compared with others. Equal sets are one class and compared once. An empty table gives no
     rows; other columns aren't read.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col, text_hash(text_col).alias("text_hash"))
     signed = written(_signatures(rows, shingle), "signatures")
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(named.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
@@ -218,8 +218,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 
     placed = classes.join(parts, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     least = placed.groupBy("set_id").agg(F.min("component_id").alias("component_id"))
-    out = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "set_id", "n").join(written(least, "placed"), "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "set_id", "n").join(written(least, "placed"), "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -231,4 +231,4 @@ def _merged(found: DataFrame, new: DataFrame, facts: DataFrame) -> tuple[DataFra
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("text_hash")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +14,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of tables that operators have written, while kept_only() watches.
+_made: list[str] | None = None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, name)
+    return written_to(df, shared_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    if _made is not None:
+        _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table, or nothing if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_only(df: Callable[[], DataFrame], spark: SparkSession, name: str) -> tuple[DataFrame, str]:
+    """What ``df()`` gives, written, and its path; the tables that operators wrote for it are removed then."""
+    global _made
+    _made = []
+    try:
+        path = shared_path(spark, name)
+        out = df()
+        out.write.option("compression", "zstd").parquet(path)
+        for made in _made:
+            remove(spark, made)
+    finally:
+        _made = None
+    return spark.read.schema(out.schema).parquet(path), path

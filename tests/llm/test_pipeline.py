@@ -38,10 +38,44 @@ def test_stages_against_brute_force(spark):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, D).collect()) == sorted(tuple(r) for r in state.collect())
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+SIX = "one two three four five six"
+
+
 def test_stages_keep_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "one two three four five six", None, "s", 3), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, SIX, None, "s", 3), (None, None, None, None, None), (2, "", "en", "s", 0), (3, SIX, "en", None, 1)], COLUMNS)
     state = docs
     for _, stage in corpus_pipeline.STAGES[1:4]:
         state = stage(spark, state, D)
         assert state.columns == docs.columns
     assert {r.doc_id for r in state.collect()} == {None, 2, 3}
+
+
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    """Of the rows of id 1 only the copies go, with clashing extra columns in place."""
+    item = spark.read.parquet(f"{D}/benchmark.parquet").first().text
+    rows = [(1, SIX), (1, "a text of its own that nobody else has"), (3, SIX), (1, item), (None, item), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS digest", "5 AS id", "true AS kept", "9 AS text_hash")
+    stages = dict(corpus_pipeline.STAGES)
+    left = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, D).collect()), key=str)
+    without = lambda *gone: sorted((r for r in rows if r not in gone), key=str)
+    assert left("exact dedup") == without((1, SIX))
+    assert left("minhash near-dedup") == without((3, SIX))
+    assert left("benchmark decontamination") == without((1, item))
+    assert left("quality classifier") and set(left("quality classifier")) <= set(rows)
+    assert stages["bpe encoding"](spark, docs, D).count() == len(rows)
+
+
+def test_empty_tables_stay_empty(spark):
+    docs = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, D).count() == 0
+
+
+def test_run_leaves_one_table_behind(spark):
+    from pathlib import Path
+
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(top.iterdir()) if top.exists() else set()
+    assert corpus_pipeline.run(spark, D).count()
+    assert [p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before] == ["benchmark-decontamination"]
