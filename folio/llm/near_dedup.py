@@ -169,8 +169,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return map_batches(two.select("a", "b", "held_a", "held_b"), each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, text_hash, kept.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = PIVOT_ROUNDS, with_hash: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept and, if asked, text_hash, which tells apart rows that share an id.
 
     Sets are linked when 100 x intersection >= similarity x union; component_id is the least id
     reachable by links, kept whether it is the row's own. Null and empty texts have an empty set,
@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     least = placed.groupBy("set_id").agg(F.min("component_id").alias("component_id"))
     out = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "set_id", "n").join(written(least, "placed"), "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
     alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    both = out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return both if with_hash else both.drop("text_hash")
 
 
 def _merged(found: DataFrame, new: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -231,4 +232,4 @@ def _merged(found: DataFrame, new: DataFrame, facts: DataFrame) -> tuple[DataFra
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4).drop("text_hash")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
