@@ -37,7 +37,7 @@ def dedup_exactly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_nearly(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five words and a similarity of 0.8: the least id of each group stays; empty texts are in no group."""
-    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash"), text_hash())
+    return _without(docs, near_dedup.near_duplicates(docs, with_hash=True).where("NOT kept").select("doc_id", "text_hash"), text_hash())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
