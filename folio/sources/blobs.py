@@ -19,8 +19,14 @@ RECORD = "id string, parent string, mem_tree struct<root: string, len: bigint>,
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, len, bytes) of binary files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("len"), F.col("content").alias("bytes"))
+    """(path, len, bytes) of binary files, those without bytes included, which Spark's readers pass over."""
+    found = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("len"), F.col("content").alias("bytes"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    tops = list(fs.globStatus(p) or [])
+    files = [x for t in tops for x in (fs.listStatus(t.getPath()) if t.isDirectory() else [t])]
+    none = [(x.getPath().toString(), 0, b"") for x in files if x.isFile() and not x.getLen() and x.getPath().getName()[0] not in "._"]
+    return found.unionByName(spark.createDataFrame(none, found.schema)) if none else found
 
 
 def put(data: DataFrame, store: DataFrame) -> DataFrame:
