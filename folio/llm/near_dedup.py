@@ -7,11 +7,12 @@ shared half keys are combined; most sets have none and cost nothing more.
 
 Sets of one table key are not all paired. In each round a key names a pivot; a set is compared with
 the pivot that it shares most keys with, and links merge sets into components. Keys whose sets lie
-in one component are done, so a group of n copies takes about n comparisons. After the rounds, sets
-of different components that still share a key, or are joined by a chain of such keys, form a
-cluster. A cluster is cut into blocks of bounded size by set size and hash; pairs of blocks whose
-sizes allow the similarity are compared on full sets inside one task, and only links come out. So no
-link between components is lost, and no pair is a row unless it is a link.
+in one component are done, so a group of n copies takes about n comparisons. After the rounds, keys
+of at most FEW sets, which chance makes, have their few pairs compared one by one. Sets of different
+components that share a larger key, or are joined by a chain of such keys, form a cluster: texts
+with much in common, which share keys pair by pair. A cluster is cut into blocks of bounded size by
+set size and hash; pairs of blocks whose sizes allow the similarity are compared on full sets inside
+one task, and one link of two components comes out. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 80
 TABLES, ROWS = 12, 2
 #: Rounds of comparison with pivots before the rest is compared pair by pair.
 PIVOT_ROUNDS = 3
+#: Most sets of a key whose pairs, at most 28, are compared singly and don't chain clusters.
+FEW = 8
 #: Sets of a block, and shingles that are counted at a time when two blocks are compared.
 BLOCK, COLUMNS = 400, 8192
 
@@ -120,7 +123,7 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], similarity: int) -
 
 
 def _links_within(nodes: DataFrame, similarity: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between components of clusters; nodes are (node, cluster, component, n, held).
+    """Links (a, b) between components of clusters, of two components one a task; nodes are (node, cluster, component, n, held).
 
     Sets are classed by size so that similar ones lie at most two classes apart; a class is cut into
     blocks by hash. A task has two blocks, whatever the size of the cluster.
@@ -145,11 +148,23 @@ def _links_within(nodes: DataFrame, similarity: int, block: int = BLOCK) -> Data
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         good = _similar([held[k] for k in left], [held[k] for k in right], similarity) & (part[left][:, None] != part[right][None, :])
         x, y = np.nonzero(good)
+        ends = np.sort(np.stack([part[left][x], part[right][y]], 1), 1)
+        one = np.unique(ends, axis=0, return_index=True)[1]
+        x, y = x[one], y[one]
         return pa.table({"a": pa.array(node[left][x]), "b": pa.array(node[right][y])})
 
     return sides[0].unionByName(sides[1]).groupBy(*key).applyInArrow(each, "a long, b long")
 
 
+def _few_pairs(placed: DataFrame, facts: DataFrame, similarity: int, few: int = FEW) -> DataFrame:
+    """Pairs (a, b) of different components in keys of at most ``few`` sets, where sizes allow the similarity."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where(f"low < high AND c <= {few}").select("key")
+    held = placed.join(keys, "key").join(facts.select("node", "n"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "component", "n")).alias("m"))  # at most ``few``
+    near = f"x.node < y.node AND x.component <> y.component AND 100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
+    pairs = held.select(F.expr(f"explode(flatten(transform(m, x -> transform(filter(m, y -> {near}), y -> struct(x.node AS a, y.node AS b)))))").alias("p"))
+    return pairs.select("p.*").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough. Each pair carries two sets, never a group's."""
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("held_a")), "a")
@@ -207,8 +222,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         asked = placed.join(pivots, "key").where("component <> to").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("times"))
         best = asked.groupBy("a").agg(F.max(F.struct("times", "b")).alias("p")).select("a", "p.b")
         found, parts = _merged(found, _confirmed(best, sets, similarity), facts)
+    found, parts = _merged(found, _confirmed(_few_pairs(members.join(parts, "node"), facts, similarity), sets, similarity), facts)
     placed = members.join(parts, "node")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where(f"low < high AND c > {FEW}").select("key")
     # components that share an open key, by way of the key's least one
     still = written(placed.join(open_keys, "key").select("key", F.col("component").alias("a")).distinct(), "open")
     chains = still.join(still.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b").distinct()
