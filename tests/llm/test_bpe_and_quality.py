@@ -87,6 +87,30 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([[(g > b) + (g == b) / 2 for b in bad] for g in good]) > 0.97
 
 
+def test_fit_equals_gradient_descent_over_all_pairs():
+    """Eleven rows a label with eleven opponents each are all pairs once; plain descent over them finds the same weights."""
+    rng = np.random.default_rng(3)
+    n = len(quality.FEATURES)
+    good, bad = rng.normal(0.3, 1, (11, n)), rng.normal(-0.3, 1, (11, n))
+    both = np.concatenate([good, bad])
+    x = (both - both.mean(0)) / both.std(0)
+    w = np.zeros(n)
+    for _ in range(3000):
+        grad = -0.05 * w
+        for g in x[:11]:
+            for b in x[11:]:
+                grad = grad + (g - b) / (1 + np.exp((g - b) @ w)) / 121
+        w = w + 0.3 * grad
+        if np.abs(grad).max() < 1e-7:
+            break
+    model = quality.fit_pairs(good, bad, opponents=11, ridge=0.05)
+    assert np.abs(model.weights - w).max() < 1e-4
+    worth = sorted(x @ w)
+    assert worth[10] - 1e-3 <= model.threshold <= worth[11] + 1e-3
+    want = 1 / (1 + np.exp(model.threshold - x @ w))
+    assert np.abs(model.score(both) - want).max() < 1e-3
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A fine text."), (2, None), (None, ""), (4, "X!! " * 20000), (4, "X!! ")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
