@@ -165,10 +165,14 @@ def _high(keys: np.ndarray) -> np.ndarray:
     return keys["a"] if keys.dtype == _KEY else keys
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Ends of the buckets among sorted keys: bucket b holds an equal share of the range of hashes."""
-    tops = [((k << 64) // buckets) for k in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(_high(keys), np.array(tops, U64)), [len(keys)]])
+def _cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys lie in, in order, and where each starts among them, with the end of all last.
+
+    A bucket holds an equal share of the range of hashes; the cost follows the keys, not the buckets.
+    """
+    of = ((_high(keys) >> U64(32)) * U64(buckets)) >> U64(32)
+    starts = np.flatnonzero(np.diff(of, prepend=~of[:1]) != 0)
+    return of[starts].astype(np.int64), np.append(starts, len(keys))
 
 
 class Chunk:
@@ -253,10 +257,11 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 def _told(flags: list[dict] | None, plane: str, turn: int, kind: int, distinct: np.ndarray, n_buckets: int) -> np.ndarray:
     """For every distinct key, the bit that came back for it."""
     out = np.zeros(len(distinct), bool)
-    cuts = _cuts(distinct, n_buckets)
+    buckets, ends = _cuts(distinct, n_buckets)
+    place = {b: k for k, b in enumerate(buckets.tolist())}
     for f in flags or ():
         if f["turn"] == turn and f["kind"] == kind:
-            a, b = cuts[f["bucket"]], cuts[f["bucket"] + 1]
+            a, b = ends[place[f["bucket"]]], ends[place[f["bucket"]] + 1]
             out[a:b] = np.unpackbits(np.frombuffer(f[plane], np.uint8), count=b - a)
     return out
 
@@ -270,11 +275,11 @@ def _send(chunk: int, turn: int, kind: int, keys: np.ndarray, n_buckets: int, su
     distinct, place, many = _distinct(keys)
     if sure is not None:
         many[place[sure]] = True
-    cuts = _cuts(distinct, n_buckets)
-    full = np.flatnonzero(np.diff(cuts))
-    if not len(full):
+    buckets, ends = _cuts(distinct, n_buckets)
+    if not len(buckets):
         return
-    rows = [[chunk] * len(full), [turn] * len(full), [kind] * len(full), full.tolist(), [distinct[cuts[b] : cuts[b + 1]].tobytes() for b in full], [np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes() for b in full]]
+    spans = [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    rows = [[chunk] * len(spans), [turn] * len(spans), [kind] * len(spans), buckets.tolist(), [distinct[x].tobytes() for x in spans], [np.packbits(many[x]).tobytes() for x in spans]]
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=["chunk", "turn", "kind", "bucket", "keys", "many"])
 
