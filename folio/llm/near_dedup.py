@@ -7,7 +7,7 @@ shared half keys are combined; most sets have none and cost nothing more.
 
 Sets of one table key are not all paired. In each round a key names a pivot; a set is compared with
 the pivot that it shares most keys with, and links merge sets into components. Keys whose sets lie
-in one component are done, so a group of n copies takes about n comparisons. After the rounds, keys
+in one component are done, so a group of n copies takes about n comparisons. In the last round, keys
 of at most FEW sets, which chance makes, have their few pairs compared one by one. Sets of different
 components that share a larger key, or are joined by a chain of such keys, form a cluster: texts
 with much in common, which share keys pair by pair. A cluster is cut into blocks of bounded size by
@@ -215,14 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 
     found = written(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
     parts = facts.select("node", F.col("node").alias("component"))
-    for turn in range(pivot_rounds):
+    for turn in range(max(pivot_rounds, 1)):
         placed = members.join(parts, "node")
         pivots = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("pivot")).where("low < high")
         pivots = pivots.select("key", F.col("pivot.node").alias("b"), F.col("pivot.component").alias("to"))
         asked = placed.join(pivots, "key").where("component <> to").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("times"))
         best = asked.groupBy("a").agg(F.max(F.struct("times", "b")).alias("p")).select("a", "p.b")
-        found, parts = _merged(found, _confirmed(best, sets, similarity), facts)
-    found, parts = _merged(found, _confirmed(_few_pairs(members.join(parts, "node"), facts, similarity), sets, similarity), facts)
+        pairs = best if pivot_rounds else best.limit(0)
+        if turn >= pivot_rounds - 1:
+            pairs = pairs.unionByName(_few_pairs(placed, facts, similarity)).distinct()
+        found, parts = _merged(found, _confirmed(pairs, sets, similarity), facts)
     placed = members.join(parts, "node")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where(f"low < high AND c > {FEW}").select("key")
     # components that share an open key, by way of the key's least one
