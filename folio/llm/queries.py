@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import attribution, bpe, decontam, exact_dedup, ids_file, near_dedup, oracles, page_text, quality, secrets, substring_dedup
+from folio.llm import attribution, bpe, conversations, decontam, embedding_dedup, exact_dedup, ids_file, near_dedup, oracles, page_text, periodic_runs, quality, secrets, substring_dedup
 
 QUERIES = {
     "op1_page_text": page_text.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_benchmark_leaks": decontam.op8,
     "op9_secret_scan": secrets.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_conversation_repair": conversations.op11,
+    "op12_near_embeddings": embedding_dedup.op12,
+    "op13_periodic_runs": periodic_runs.op13,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_near_duplicates": oracles.OP3,
     "op9_secret_scan": oracles.OP9,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_conversation_repair": oracles.OP11,
+    "op12_near_embeddings": oracles.OP12,
+    "op13_periodic_runs": oracles.OP13,
 }
