@@ -63,20 +63,62 @@ def test_leaks_against_brute_force(spark):
     assert decontam.leaks(df.where("false"), bench).count() == 0
 
 
-def test_few_blocks_are_left():
-    """Of the blocks with a term in common, pivot and bounds leave few; none that holds an item at its threshold is lost."""
-    docs, items = corpus()
+def indexed(items, block=4):
     cut = [(i, *decontam._halves(decontam.terms_of(t or ""))) for i, t in items if i is not None]
     df = Counter(t for _, q, a in cut for t in {*q, *a})
-    index = decontam.build(cut, df, 61, 20.0, block=4)
+    return decontam.build(cut, df, len(cut), 20.0, block=block)
+
+
+def by_passage(index, docs):
     rows = [np.array([index.number.get(t, -1) for t in decontam.terms_of(t or "")], np.int64) for _, t in docs]
     rows = [np.unique(r[r >= 0]) for r in rows]
-    passage = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    p, b = decontam.candidates(index, passage, np.concatenate(rows))
-    left = set(zip(p.tolist(), b.tolist(), strict=True))
-    touched = {(k, i // 4) for k, r in enumerate(rows) for i, w in enumerate(index.weights) if not w.keys().isdisjoint(r.tolist())}
-    reach = {(k, i // 4) for k, r in enumerate(rows) for i, w in enumerate(index.weights) if sum(x for t, x in w.items() if t in set(r.tolist())) >= 1}
-    assert reach and reach <= left <= touched and len(left) < len(touched)
+    return rows, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+
+
+def test_few_blocks_are_left_and_the_rest_is_not_read():
+    """Blocks come out if and only if their largest weights reach the threshold; of the others most postings are never read."""
+    docs, items = corpus()
+    for block, ranges in ((4, 8), (1, 2)):
+        decontam.RANGE = ranges
+        index = indexed(items, block)
+        rows, passage, term = by_passage(index, docs)
+        low = index.levels[0]
+        want, touched = set(), set()
+        for k, r in enumerate(rows):
+            sums = Counter()
+            for t in r.tolist():
+                at = slice(*low.find(np.array([t, t]), np.array([0, low.width])))
+                for place, w in zip((low.held[at] % low.width).tolist(), low.most[at].tolist(), strict=True):
+                    sums[place] += w
+            touched |= {(k, x) for x in sums}
+            want |= {(k, x) for x, w in sums.items() if w >= 1 - 1e-9}
+        for cursors in (1 << 18, 7):
+            read = []
+            p, b = decontam.candidates(index, passage, term, read, cursors)
+            assert sorted(zip(p.tolist(), b.tolist(), strict=True)) == sorted(want)
+            n_read = sum(map(len, read))
+            assert n_read < sum(int(np.diff(low.find(np.array([t, t]), np.array([0, low.width])))[0]) for t in term.tolist()) / (2 if block == 1 else 1)
+        assert 0 < len(want) < len(touched)
+    decontam.RANGE = 8
+
+
+def test_many_items_and_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(11)
+    words = [f"v{k}" for k in range(30_000)] + [f"c{k}" for k in range(200)] * 100
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(20, 60)))) for i in range(20_000)]
+    index = indexed(items)
+    texts = [rng.choices(words, k=n) for n in [2000] * 64 + [20_000]]
+    texts[-1][7000:7000] = items[123][1].split()
+    texts[3][10:10] = items[77][1].split()
+    rows = [np.array([index.number.get(t, -1) for t in x], np.int64) for x in texts]
+    tracemalloc.start()
+    got = decontam.search(index, rows, 60)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {k: {int(index.ids[i]) for i in x} for k, x in enumerate(got) if x} == {64: {123}, 3: {77}}
+    assert most < 500e6
 
 
 def test_verbatim_items_of_the_tables(spark):
