@@ -5,25 +5,29 @@ the neighbour that shares the longest beginning of the path is a page's partner.
 are aligned by a longest common subsequence; lines that they share come from the site's template
 and are deleted. Markup that states what a block is comes first: what lies in menus, footers,
 adverts and the like always goes, and what lies in a marked article always stays, since copies and
-quotations would otherwise be deleted as template. Within an article a class, id or role must be the
-name of chrome, not hold it as a part; headings and the article itself are never chrome by name.
+quotations would otherwise be deleted as template. A class, id or role names chrome only as a whole:
+each of its words is one of chrome or says where or how it stands, and headings, the article itself
+and, but for comments, what holds most of the page's text are never chrome by name.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.arrow import map_batches
+from folio.llm.shared import written
 
 #: Elements that are never main text.
 CHROME = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea menu dialog head object canvas audio video".split())
@@ -42,11 +46,13 @@ CHROME_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""(?<![^\s/"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z]+")
-#: Pages of a host that are sorted together; larger hosts are cut into about as large ranges of (path, page_id).
-HOST_PART = 20_000
-#: Keys of a range that are looked at to place its end.
-CUT_KEYS = 16
+#: Those of them that name comments, however long.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Words beside those in such a name that say where or how a block stands.
+PLACES = frozenset("area bar block bottom box center col column container content fixed floating footer global header holder inner item items left list main outer overlay page panel primary region right row secondary section site slot sticky top unit wrap wrapper".split())
+_WORDS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 
 
 @dataclass
@@ -65,35 +71,50 @@ class Page:
         return [x for x, m in self.lines if m] or [x for x, _ in self.lines]
 
 
-def _chrome_words(attrs: str, whole: bool) -> bool:
-    """Whether class, id or role names chrome; with ``whole``, only by a name that stands alone, not as a part of one."""
-    return any(not CHROME_WORDS.isdisjoint(w.lower() for w in ("".join(m).split() if whole else _WORD.findall("".join(m)))) for m in _NAMES.findall(attrs))
+def _named_chrome(name: str) -> set[str]:
+    """The words by which a class, id or role, as a whole, names chrome: those of cookie-notice, adSlot or site-footer, but none of has-comments."""
+    words = {w.lower() for w in _WORDS.findall(name.lower() if name.isupper() else name) if not w.isdigit()}
+    return words & CHROME_WORDS if words <= CHROME_WORDS | PLACES else set()
+
+
+def _chrome_names(attrs: str) -> set[str]:
+    return {w for m in _NAMES.findall(attrs) for x in "".join(m).split() for w in _named_chrome(x)}
 
 
 def _hidden(attrs: str) -> bool:
-    return bool(re.search(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)))
+    """Whether attributes hide an element: hidden or aria-hidden, or a style that shows nothing."""
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
 
 
 def parse(source: str) -> Page:
     """Cut a page into lines. Broken and truncated markup is read as far as it goes, never an error."""
     page, parts = Page(), []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, whether it starts chrome, whether it starts main text
+    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, whether it starts chrome, main text, chrome by name
     opened: Counter[str] = Counter()
-    chrome = main = 0
+    named: list[int] = []  # elements around that are chrome by name
+    found: list[tuple[str, bool, tuple[int, ...]]] = []
+    chrome = main = n_named = 0
+    comments: set[int] = set()
     at, n = 0, len(source)
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if line and not chrome:
-            page.lines.append((line, main > 0))
+            found.append((line, main > 0, tuple(named)))
 
     def close(upto: int) -> None:
         nonlocal chrome, main
         while len(open_tags) > upto:
-            tag, c, m = open_tags.pop()
+            tag, c, m, x = open_tags.pop()
             opened[tag] -= 1
             chrome, main = chrome - c, main - m
+            if x:
+                named.pop()
 
     while at < n:
         m = _TAG.search(source, at)
@@ -108,7 +129,7 @@ def parse(source: str) -> Page:
         name = m["name"].lower()
         if m["end"]:
             held = next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name) if opened[name] else None
-            if name not in INLINE or (held is not None and any(x[1] or x[2] for x in open_tags[held:])):
+            if name not in INLINE or (held is not None and any(x[1] or x[2] or x[3] for x in open_tags[held:])):
                 flush()
             if held is not None:
                 close(held)
@@ -119,9 +140,9 @@ def parse(source: str) -> Page:
         attrs = m["attrs"] if name not in ("html", "body") else ""
         is_chrome = name in CHROME or (bool(attrs) and _hidden(attrs))
         is_main = not is_chrome and (name in MAIN or 'role="main"' in m["attrs"] or "articleBody" in m["attrs"])
-        if attrs and not is_chrome and not is_main and name not in HEADINGS:
-            is_chrome = _chrome_words(attrs, main > 0)
-        if name not in INLINE or is_chrome or is_main:
+        names = _chrome_names(attrs) if attrs and not is_chrome and not is_main and name not in HEADINGS else set()
+        is_named = bool(names)
+        if name not in INLINE or is_chrome or is_main or is_named:
             flush()
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -129,10 +150,21 @@ def parse(source: str) -> Page:
             continue
         if name in VOID or m["attrs"].endswith("/"):
             continue
-        open_tags.append((name, is_chrome, is_main))
+        open_tags.append((name, is_chrome, is_main, is_named))
         opened[name] += 1
         chrome, main = chrome + is_chrome, main + is_main
+        if is_named:
+            n_named += 1
+            named.append(n_named)
+            if not names.isdisjoint(COMMENT_WORDS):
+                comments.add(n_named)
     flush()
+    size: Counter[int] = Counter()
+    for line, _, inside in found:
+        for x in inside:
+            size[x] += len(line)
+    most = sum(len(line) for line, *_ in found) / 2
+    page.lines = [(line, m) for line, m, inside in found if all(size[x] > most and x not in comments for x in inside)]
     return page
 
 
@@ -249,96 +281,109 @@ def _split(url: str | None, at: int) -> tuple[str, str]:
     return f"\0{at}", ""  # a page without a host has no partner
 
 
-def _key(path: str, page_id: int | None) -> tuple[str, bool, int]:
-    """Sorts as Spark sorts (path, page_id): by UTF-8 bytes, nulls first."""
-    return path, page_id is not None, page_id or 0
+_LINED = "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>"
+_CUT = f"part int, n long, text string, {_LINED}, path_before string, hashes_before array<long>, path_after string, hashes_after array<long>"
+_SIDES = ("before", "after")
 
 
-def _host_cuts(rows: DataFrame, host_part: int) -> dict[str, tuple[list, list]]:
-    """For each host of more than ``host_part`` pages, the keys at which its ranges start (but the first), and the last key of each range.
+def _own_text(row: dict) -> str:
+    """Text of a row that knows its neighbours (path, hashes) on both sides; null hashes: no neighbour of its host."""
+    lines = row["lines"]
+    if not row["marked"]:
+        start = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        sides = [(start(row["path"], row[f"path_{s}"]), row[f"hashes_{s}"]) for s in _SIDES if row[f"hashes_{s}"]]
+        lines = difference(lines, row["hashes"], *([x[1] for x in sorted(sides, key=lambda x: -x[0])] or [None]))
+    return " ".join(lines)
 
-    One key in host_part / CUT_KEYS comes to the driver. Rows that repeat a key stay in one range.
-    """
 
-    def split(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [(*_split(url, 0), i) for i, url in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-        found = [x for x in found if x[0][0] != "\0"]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "page_id"])
-
-    schema = "host string, path string, page_id long"
-    keys = map_batches(rows.select("page_id", "url"), split, schema)
-    large = keys.groupBy("host").count().where(F.col("count") > host_part).select("host")
-    every = max(1, host_part // CUT_KEYS)
-    some = keys.where(F.pmod(F.xxhash64("path", "page_id"), F.lit(every)) == 0).join(F.broadcast(large), "host", "left_semi").distinct()
-    seen = defaultdict(list)
-    for r in some.collect():
-        seen[r.host].append(_key(r.path, r.page_id))
-    cuts = {host: sorted(held)[host_part // every :: host_part // every] for host, held in seen.items()}
-    cuts = {host: held for host, held in cuts.items() if held}
-    if not cuts:
-        return {}
-
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [(*x, bisect_right(cuts[x[0]], _key(x[1], x[2]))) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if x[0] in cuts]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["host", "path", "page_id", "part"])
-
-    ends = map_batches(keys, place, f"{schema}, part int").groupBy("host", "part").agg(F.max(F.struct("path", "page_id")).alias("last"))
-    lasts = {host: [None] * (len(held) + 1) for host, held in cuts.items()}
-    for r in ends.collect():
-        lasts[r.host][r.part] = _key(r["last"].path, r["last"].page_id)
-    return {host: (cuts[host], lasts[host]) for host in cuts}
-
-
-def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", host_part: int = HOST_PART) -> DataFrame:
+def _lined(rows: DataFrame) -> DataFrame:
+    """Pages cut into lines."""
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for at, (i, url, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
+            page = parse(source)
+            host, path = _split(url, i or at)
+            out.append((i, url, host, path, page.marked, page.text, [_hash(x) for x, _ in page.lines]))
+        return _batch(out, _LINED)
+
+    return map_batches(rows, cut, _LINED)
+
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    named = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _TYPES[t]) for k, (_, t) in enumerate(named)], names=[n for n, _ in named])
+
+
+def _walked(lined: DataFrame, parts: int | None) -> DataFrame:
+    """Rows of _CUT: each page with its text, or, at the ends of a range, with what is known of its neighbours instead.
+
+    All pages are dealt by ranges of (host, path, page_id), so no host is one task; a task walks its
+    range in order and holds three pages.
+    """
+    order = ["host", "path", "page_id", F.xxhash64("lines"), F.xxhash64("hashes")]
+    ranges = lined.repartitionByRange(parts, *order) if parts else lined.repartitionByRange(*order)
+    names = [x.split(" ")[0] for x in _LINED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, out, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def close(before: dict | None, row: dict, after: dict | None) -> None:
+            nonlocal n, size
+            for s, x in zip(_SIDES, (before, after), strict=True):
+                near = x is not None and x["host"] == row["host"]
+                row |= {f"path_{s}": x["path"] if near else None, f"hashes_{s}": x["hashes"] if near else None}
+            ends = before is None or after is None
+            text = None if ends else _own_text(row)
+            keep = names + [f"{c}_{s}" for s in _SIDES for c in ("path", "hashes")]
+            out.append((part, n, text, *(row[c] if ends or c in ("page_id", "url", "marked") else None for c in keep)))
+            n += 1
+            size += len(text or "") + 100
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(row)
+                if len(held) == 2:
+                    close(None, {**held[0]}, held[1])
+                elif len(held) > 2:
+                    close(held[-3], {**held[-2]}, held[-1])
+                    del held[0]
+                if size > 1 << 22:
+                    yield _batch(out, _CUT)
+                    out, size = [], 0
+        if held:
+            close(held[-2] if len(held) > 1 else None, {**held[-1]}, None)
+        if out:
+            yield _batch(out, _CUT)
+
+    return ranges.sortWithinPartitions(*order).mapInArrow(run, _CUT)
+
+
+def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None) -> DataFrame:
     """One row per page: page_id, url, text (its main text, lines joined by a blank), marked (whether the page marks its article).
 
     A null or empty page has an empty text. A null or broken URL has no partner, so only markup
     counts there; so has the single page of a host. Pages with the same URL may be partners; of pages
-    whose lines are all alike nothing is deleted. ``host_part`` changes tasks, not results. Other
-    columns aren't read.
+    whose lines are all alike nothing is deleted. ``parts``, the number of ranges that pages are dealt
+    to, changes tasks, not results. Other columns aren't read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-
-    cuts = _host_cuts(rows, host_part)
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = {k: [] for k in ("page_id", "url", "host", "path", "marked", "lines", "hashes", "part", "edge")}
-        for at, (i, url, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
-            page = parse(source)
-            host, path = _split(url, i or at)
-            part, edges = 0, []
-            if host in cuts:
-                (starts, lasts), key = cuts[host], _key(path, i)
-                part = bisect_right(starts, key)
-                # what starts or ends a range is a neighbour in the range beside it too
-                edges = [part - 1] * (part > 0 and key == starts[part - 1]) + [part + 1] * (part < len(starts) and key == lasts[part])
-            hashes = [_hash(x) for x, _ in page.lines]
-            for p, edge in ((part, False), *((p, True) for p in edges)):
-                for k, v in zip(out, (i, url, host, path, page.marked, page.text, hashes, p, edge), strict=True):
-                    out[k].append(v)
-        types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=[*out])
-
-    lined = map_batches(rows, cut, "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>, part int, edge boolean")
-    w = Window.partitionBy("host", "part").orderBy("path", "page_id", F.xxhash64("lines"), F.xxhash64("hashes"))
-    beside = {f"{c}_{side}": f(c).over(w) for side, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "hashes")}
-    paired = lined.withColumns(beside).where(~F.col("edge"))
-
-    def shared_start(a: str, b: str) -> int:
-        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    walked = written(_walked(_lined(rows), parts), "walked")
+    # two pages a range at most: their missing neighbours are the ends of the ranges beside
+    edges = walked.where("text IS NULL").withColumn("k", F.row_number().over(Window.orderBy("part", "n")))
+    for side, f in zip(_SIDES, (F.lag, F.lead), strict=True):
+        near = f(F.struct("host", "path", "hashes", "part")).over(Window.orderBy("k"))
+        other = F.col("near.host").eqNullSafe(F.col("host")) & (F.col("near.part") != F.col("part"))
+        edges = edges.withColumn("near", near).withColumns({f"{c}_{side}": F.when(other, F.col(f"near.{c}")).otherwise(F.col(f"{c}_{side}")) for c in ("path", "hashes")}).drop("near")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for r in batch.select(["path", "marked", "lines", "hashes", "path_before", "hashes_before", "path_after", "hashes_after"]).to_pylist():
-            lines = r["lines"]
-            if not r["marked"]:
-                sides = [(shared_start(r["path"], r[f"path_{s}"]), r[f"hashes_{s}"]) for s in ("before", "after") if r[f"hashes_{s}"]]
-                sides = [x[1] for x in sorted(sides, key=lambda x: -x[0])]
-                lines = difference(lines, r["hashes"], *(sides or [None]))
-            out.append(" ".join(lines))
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), batch.column("marked")], names=["page_id", "url", "text", "marked"])
-
-    return map_batches(paired, finish, "page_id long, url string, text string, marked boolean")
+        return _batch([(r["page_id"], r["url"], _own_text(r), r["marked"]) for r in batch.to_pylist()], "page_id long, url string, text string, marked boolean")
+
+    done = walked.where("text IS NOT NULL").select("page_id", "url", "text", "marked")
+    return done.unionByName(map_batches(edges, finish, "page_id long, url string, text string, marked boolean"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
