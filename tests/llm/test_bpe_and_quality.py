@@ -61,6 +61,23 @@ def test_long_pre_tokens_among_many(pair):
     assert got == [np.array(theirs._encode_single_piece(p), "<u4").tobytes() for p in pieces]
 
 
+def test_ranks_that_fall_as_pieces_grow():
+    """Each merge yields a pair of lesser rank: the rest of a bucket isn't sorted anew each time."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 299, b"abcabc": 280, b"cab": 290}
+    ours = bpe.Bpe(ranks, P.PATTERN)
+    theirs = tiktoken.Encoding("fall", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in (b"abc" * 400, b"ab" * 301, b"cabab" * 77, b"abcab" * 50):
+        assert ours.merge(text) == theirs._encode_single_piece(text)
+
+    def seconds(n):
+        began = time.process_time()
+        assert ours.merge(b"abc" * n) == [280] * (n // 2)
+        return time.process_time() - began
+
+    few = min(seconds(20_000) for _ in range(3))
+    assert seconds(160_000) < 16 * few + 1
+
+
 def test_encode_decode_rows(spark, pair):
     rows = [(1, "the cat"), (2, None), (3, ""), (None, "x"), (5, "é " * 3000), (5, "é " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS ids")
