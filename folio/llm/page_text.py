@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -281,18 +282,31 @@ def _split(url: str | None, at: int) -> tuple[str, str]:
     return f"\0{at}", ""  # a page without a host has no partner
 
 
-_LINED = "page_id long, url string, host string, path string, marked boolean, lines array<string>, hashes array<long>"
-_CUT = f"part int, n long, text string, {_LINED}, path_before string, hashes_before array<long>, path_after string, hashes_after array<long>"
+_LINED = "page_id long, url string, host string, path string, marked boolean, packed binary"
+_CUT = f"part int, n long, text string, {_LINED}, path_before string, packed_before binary, path_after string, packed_after binary"
 _SIDES = ("before", "after")
 
 
+def _packed(page: Page) -> bytes:
+    """Lines, each behind a + if it lies in a marked article, compressed; a line holds no line end."""
+    return zlib.compress("\n".join("-+"[m] + x for x, m in page.lines).encode(), 1)
+
+
+def _unpacked(packed: bytes) -> Page:
+    text = zlib.decompress(packed).decode()
+    return Page([(x[1:], x[0] == "+") for x in text.split("\n")] if text else [])
+
+
 def _own_text(row: dict) -> str:
-    """Text of a row that knows its neighbours (path, hashes) on both sides; null hashes: no neighbour of its host."""
-    lines = row["lines"]
+    """Text of a row that knows its neighbours (path, packed lines) on both sides; null: no neighbour of its host."""
+    page = _unpacked(row["packed"])
+    lines = page.text
     if not row["marked"]:
         start = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        sides = [(start(row["path"], row[f"path_{s}"]), row[f"hashes_{s}"]) for s in _SIDES if row[f"hashes_{s}"]]
-        lines = difference(lines, row["hashes"], *([x[1] for x in sorted(sides, key=lambda x: -x[0])] or [None]))
+        hashes = lambda packed: [_hash(x) for x, _ in _unpacked(packed).lines]
+        sides = [(start(row["path"], row[f"path_{s}"]), hashes(row[f"packed_{s}"])) for s in _SIDES if row[f"packed_{s}"]]
+        sides = [x for x in sides if x[1]]
+        lines = difference(lines, [_hash(x) for x, _ in page.lines], *([x[1] for x in sorted(sides, key=lambda x: -x[0])] or [None]))
     return " ".join(lines)
 
 
@@ -303,14 +317,13 @@ def _lined(rows: DataFrame) -> DataFrame:
         out = []
         for at, (i, url, source) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)):
             page = parse(source)
-            host, path = _split(url, i or at)
-            out.append((i, url, host, path, page.marked, page.text, [_hash(x) for x, _ in page.lines]))
+            out.append((i, url, *_split(url, i or at), page.marked, _packed(page)))
         return _batch(out, _LINED)
 
     return map_batches(rows, cut, _LINED)
 
 
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -324,7 +337,7 @@ def _walked(lined: DataFrame, parts: int | None) -> DataFrame:
     All pages are dealt by ranges of (host, path, page_id), so no host is one task; a task walks its
     range in order and holds three pages.
     """
-    order = ["host", "path", "page_id", F.xxhash64("lines"), F.xxhash64("hashes")]
+    order = ["host", "path", "page_id", F.xxhash64("packed")]
     ranges = lined.repartitionByRange(parts, *order) if parts else lined.repartitionByRange(*order)
     names = [x.split(" ")[0] for x in _LINED.split(", ")]
 
@@ -335,10 +348,10 @@ def _walked(lined: DataFrame, parts: int | None) -> DataFrame:
             nonlocal n, size
             for s, x in zip(_SIDES, (before, after), strict=True):
                 near = x is not None and x["host"] == row["host"]
-                row |= {f"path_{s}": x["path"] if near else None, f"hashes_{s}": x["hashes"] if near else None}
+                row |= {f"path_{s}": x["path"] if near else None, f"packed_{s}": x["packed"] if near else None}
             ends = before is None or after is None
             text = None if ends else _own_text(row)
-            keep = names + [f"{c}_{s}" for s in _SIDES for c in ("path", "hashes")]
+            keep = names + [f"{c}_{s}" for s in _SIDES for c in ("path", "packed")]
             out.append((part, n, text, *(row[c] if ends or c in ("page_id", "url", "marked") else None for c in keep)))
             n += 1
             size += len(text or "") + 100
@@ -375,9 +388,9 @@ def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # two pages a range at most: their missing neighbours are the ends of the ranges beside
     edges = walked.where("text IS NULL").withColumn("k", F.row_number().over(Window.orderBy("part", "n")))
     for side, f in zip(_SIDES, (F.lag, F.lead), strict=True):
-        near = f(F.struct("host", "path", "hashes", "part")).over(Window.orderBy("k"))
+        near = f(F.struct("host", "path", "packed", "part")).over(Window.orderBy("k"))
         other = F.col("near.host").eqNullSafe(F.col("host")) & (F.col("near.part") != F.col("part"))
-        edges = edges.withColumn("near", near).withColumns({f"{c}_{side}": F.when(other, F.col(f"near.{c}")).otherwise(F.col(f"{c}_{side}")) for c in ("path", "hashes")}).drop("near")
+        edges = edges.withColumn("near", near).withColumns({f"{c}_{side}": F.when(other, F.col(f"near.{c}")).otherwise(F.col(f"{c}_{side}")) for c in ("path", "packed")}).drop("near")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         return _batch([(r["page_id"], r["url"], _own_text(r), r["marked"]) for r in batch.to_pylist()], "page_id long, url string, text string, marked boolean")
