@@ -57,10 +57,23 @@ def delimited(chunks: DataFrame, delimiter: bytes) -> DataFrame:
 
 def lines(chunks: DataFrame) -> DataFrame:
     """(session_id, n, line): text lines, without line ends; bad UTF-8 becomes U+FFFD; a last line without an end counts."""
-    text = F.regexp_replace(F.expr("make_valid_utf8(data)"), r"\r+$", "")
+    text = F.rtrim(F.expr("make_valid_utf8(data)"), F.lit("\r"))  # a pattern's $ would also stand before other line ends
     return delimited(chunks, b"\n").select("session_id", "n", text.alias("line"))
 
 
+def _with_neighbours(rows: DataFrame, column: str, size: int | None = None) -> DataFrame:
+    """``rows`` (session_id, n, ...) with ``above`` and ``below``: ``column`` of the rows of the session numbered one less and one more.
+
+    Windows of a range of n; what ends or starts a range is dealt to the range beside it too.
+    """
+    size = size or running_before.__defaults__[0]
+    at = F.floor(F.col("n") / size)
+    ranges = F.array_compact(F.array(at, F.when(F.col("n") % size == 0, at - 1), F.when(F.col("n") % size == size - 1, at + 1)))
+    w = Window.partitionBy("session_id", "_range").orderBy("n")
+    dealt = rows.withColumn("_at", at).withColumn("_range", F.explode(F.array_distinct(ranges)))
+    return dealt.withColumns({"above": F.lag(column).over(w), "below": F.lead(column).over(w)}).where("_range = _at").drop("_at", "_range")
+
+
 def server_events(chunks: DataFrame) -> DataFrame:
     """(session_id, n, kind, name, data) of an event stream: blocks of ``event:`` and ``data:`` lines.
 
@@ -70,12 +83,12 @@ def server_events(chunks: DataFrame) -> DataFrame:
     is an unfinished block at the end. n numbers the rows of a session from 0.
     """
     raw = delimited(chunks, b"\n")
-    rows = raw.select("session_id", "n", "closed", F.expr("make_valid_utf8(data)").alias("line"))
-    before = rows.select("session_id", (F.col("n") + 1).alias("n"), F.col("line").alias("above"))
-    above = rows.join(before, ["session_id", "n"], "left")
+    rows = _with_neighbours(raw.select("session_id", "n", "closed", F.expr("make_valid_utf8(data)").alias("line")), "line")
     ends = F.col("closed") & (((F.col("line") == "") & F.col("above").isNotNull()) | ((F.col("line") == "\r") & F.col("above").endswith("\r")))
-    placed = running_before(above.withColumn("ends", F.coalesce(ends, F.lit(False)).cast("int")), "session_id", "n", "ends", "block")
-    line = F.regexp_replace("line", r"\r$", "")
+    placed = running_before(rows.withColumn("ends", F.coalesce(ends, F.lit(False)).cast("int")), "session_id", "n", "ends", "block")
+    # CR LF ends a line; the CR of a block's last line belongs to it if LF LF follows
+    cr = F.col("line").endswith("\r") & ~F.coalesce(F.col("below") == "", F.lit(False))
+    line = F.when(cr, F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
     key, value = F.substring_index("line", ":", 1), F.regexp_replace(F.regexp_extract("line", r"(?s)^[^:]*:(.*)$", 1), "^ ", "")
     fielded = placed.withColumn("line", line).withColumn("key", F.when(F.col("line").contains(":"), key)).withColumn("value", value)
     blocks = fielded.groupBy("session_id", "block").agg(

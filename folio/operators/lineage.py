@@ -12,7 +12,8 @@ def ancestors(versions: DataFrame) -> DataFrame:
     """(id, ancestor, depth) for every version (id, parent) and each ancestor, itself at depth 0.
 
     Pointer doubling: each round joins paths of up to d steps with each other, so a chain of n
-    versions takes log2(n) rounds; it has n^2 / 2 rows, so lineage() and nearest_ancestor() don't use it. A parent that isn't a version ends the chain. Chains don't loop.
+    versions takes log2(n) rounds; it has n^2 / 2 rows, so lineage() and nearest_ancestor() don't use it. A parent that isn't a version ends the chain. Raises ValueError if
+    parents form a circle.
     """
     step = versions.select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).join(versions.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     known = written(step.select("id", "ancestor", "depth"), "lineage")
@@ -21,6 +22,8 @@ def ancestors(versions: DataFrame) -> DataFrame:
         far = known.where(F.col("depth") == reach)
         more = far.select("id", F.col("ancestor").alias("via"), F.col("depth").alias("d")).join(known.select(F.col("id").alias("via"), "ancestor", F.col("depth").alias("e")), "via").select("id", "ancestor", (F.col("d") + F.col("e")).alias("depth"))
         more = written(more, "lineage-more")
+        if more.where("id = ancestor").take(1) or known.where("id = ancestor").take(1):
+            raise ValueError("lineage: parents form a circle")
         if not more.take(1):
             break
         known = written(known.unionByName(more), "lineage")
@@ -32,10 +35,14 @@ def _jumped(pointers: DataFrame) -> DataFrame:
     """Follow pointers (id, via, depth, done) to their ends by pointer jumping: a row an id, and each round doubles its reach.
 
     ``via`` names another id, or the id itself where ``done``. Only unfinished rows are joined, so
-    the ends that many share are looked up once a round at most.
+    the ends that many share are looked up once a round at most. A round finishes some row of every
+    chain that has an end, so one that finishes none has come to a circle: ValueError.
     """
-    now = written(pointers, "jump")
-    while now.where("NOT done").take(1):
+    now, before = written(pointers, "jump"), None
+    while left := now.where("NOT done").count():
+        if left == before:
+            raise ValueError("lineage: parents form a circle")
+        before = left
         ends = now.select(F.col("id").alias("via"), F.col("via").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ended"))
         moved = now.where("NOT done").join(ends, "via").select("id", F.col("next").alias("via"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ended").alias("done"))
         now = written(now.where("done").unionByName(moved), "jump")

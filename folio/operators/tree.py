@@ -8,8 +8,10 @@ image has the empty node as its root. Trees are folded, compared and updated on
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,16 @@ def leaf_rows(pages: DataFrame) -> DataFrame:
     return pages.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), F.col("page_no").alias("page_base"), "hash")
 
 
-def _group(rows: DataFrame, level: int, fanout: int) -> DataFrame:
-    """Fold rows (image_id, node_idx, hash) of one level into the nodes above. A group holds ``fanout`` hashes at most."""
-    up = rows.groupBy("image_id", div(F.col("node_idx"), fanout).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node_idx", "hash"))).alias("c"))
-    return up.select("image_id", F.lit(level).alias("level"), F.col("up").alias("node_idx"), (F.col("up") * fanout**level).alias("page_base"), node_hash(F.col("c.hash")).alias("hash"))
+#: Most nodes of a level whose subtree is folded in one step.
+CHUNK = 4096
+
+
+def steps(fanout: int) -> int:
+    """Levels of a subtree that are folded in one step: as many as keep it within CHUNK nodes below."""
+    s = 1
+    while fanout ** (s + 1) <= CHUNK:
+        s += 1
+    return s
 
 
 def tallest(shape: DataFrame) -> int:
@@ -62,16 +70,40 @@ def tallest(shape: DataFrame) -> int:
     return shape.agg(F.max("height")).first()[0] or 0
 
 
+def _folded(rows: DataFrame, base: int, s: int, fanout: int) -> DataFrame:
+    """(image_id, height, level, node_idx, hash): the nodes of levels base + 1 .. base + s above rows (image_id, height, node_idx, hash) of level ``base``.
+
+    A group is a subtree of fanout ** s rows at most; its levels are arrays, each made of slices of
+    the one below, so all of them come from one aggregate. They end at the height of the tree.
+    """
+    cut = rows.groupBy("image_id", "height", div(F.col("node_idx"), fanout**s).alias("part")).agg(F.array_sort(F.collect_list(F.struct("node_idx", "hash"))).alias("c")).withColumn("l0", F.col("c.hash")).drop("c")
+
+    def above(k: int) -> Column:
+        below = F.col(f"l{k - 1}")
+        up = F.transform(F.sequence(F.lit(0), F.size(below) - 1, F.lit(fanout)), lambda i: node_hash(F.slice(below, i + 1, fanout)))
+        return F.when(F.col("height") >= base + k, up).otherwise(F.array().cast("array<string>"))
+
+    def placed(k: int) -> Column:
+        return F.transform(f"l{k}", lambda h, i: F.struct(F.lit(base + k).alias("level"), (F.col("part") * fanout ** (s - k) + i).cast("long").alias("node_idx"), h.alias("hash")))
+
+    for k in range(1, s + 1):
+        cut = cut.withColumn(f"l{k}", above(k))
+    return cut.select("image_id", "height", F.explode(F.concat(*map(placed, range(1, s + 1)))).alias("n")).select("image_id", "height", "n.level", "n.node_idx", "n.hash")
+
+
 def fold(leaves: DataFrame, shape: DataFrame, fanout: int = FANOUT, top: int | None = None) -> list[DataFrame]:
-    """Nodes of levels 1, 2, ... of all images at once; each level is ``fanout`` times smaller and holds only trees that high."""
+    """Nodes of levels 1, 2, ... of all images at once, several levels a step; a step holds only trees that high."""
     top = tallest(shape) if top is None else top
-    high = shape.select("image_id", "height")
-    rows, levels = leaves.join(high, "image_id").select("image_id", "node_idx", "hash", "height"), []
-    for level in range(1, top + 1):
-        up = rows.where(F.col("height") >= level).groupBy("image_id", "height", div(F.col("node_idx"), fanout).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node_idx", "hash"))).alias("c"))
-        rows = up.select("image_id", F.col("up").alias("node_idx"), node_hash(F.col("c.hash")).alias("hash"), "height")
-        levels.append(rows.select("image_id", F.lit(level).alias("level"), "node_idx", (F.col("node_idx") * fanout**level).alias("page_base"), "hash"))
-    return levels
+    s = steps(fanout)
+    rows, out = leaves.join(shape.select("image_id", "height"), "image_id").select("image_id", "height", "node_idx", "hash"), []
+    for base in range(0, top, s):
+        found = _folded(rows.where(F.col("height") > base), base, s, fanout)
+        if base + s < top:
+            found = written(found, "fold")  # a step smaller by fanout ** s, and read by the next one
+        power = F.element_at(F.array(*[F.lit(fanout**k).cast("long") for k in range(base + 1, base + s + 1)]), F.col("level") - base)
+        out.append(found.select("image_id", "level", "node_idx", (F.col("node_idx") * power).alias("page_base"), "hash"))
+        rows = found.where(F.col("level") == base + s).select("image_id", "height", "node_idx", "hash")
+    return out
 
 
 def empty_roots(shape: DataFrame) -> DataFrame:
@@ -88,21 +120,19 @@ def index_blobs(leaves: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> Da
 
 
 def roots(leaves: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(image_id, root, len, page_count, height). One chain of aggregates; trees leave it at their own height."""
-    top = tallest(shape)
-    rows = leaves.join(shape.select("image_id", "height"), "image_id").select("image_id", "node_idx", "hash", "height")
-    for level in range(1, top + 1):
-        up = rows.groupBy("image_id", "height", F.when(F.col("height") >= level, div(F.col("node_idx"), fanout)).otherwise(F.col("node_idx")).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node_idx", "hash"))).alias("c"))
-        h = F.when(F.col("height") >= level, node_hash(F.col("c.hash"))).otherwise(F.element_at("c.hash", 1))
-        rows = up.select("image_id", F.col("up").alias("node_idx"), h.alias("hash"), "height")
-    found = union([rows.select("image_id", F.col("hash").alias("root")), empty_roots(shape).select("image_id", F.col("hash").alias("root"))])
-    return shape.join(found, "image_id").select("image_id", "root", "len", "page_count", "height")
+    """(image_id, root, len, page_count, height)."""
+    top = [x.join(shape.select("image_id", F.col("height").alias("level")), ["image_id", "level"]).select("image_id", F.col("hash").alias("root")) for x in (*fold(leaves, shape, fanout), empty_roots(shape))]
+    return shape.join(union(top), "image_id").select("image_id", "root", "len", "page_count", "height")
 
 
 def last_write_wins(dirty: DataFrame) -> DataFrame:
-    """Of the rows for one page the one with the largest seq; an aggregate, so repeated writes of a hot page combine early."""
+    """Of the rows for one page the one with the largest seq; an aggregate, so repeated writes of a hot page combine early.
+
+    A null seq is the least. Rows that share a seq are told apart by a hash of their values, so a
+    repeated run keeps the same one.
+    """
     rest = [c for c in dirty.columns if c not in ("image_id", "page_no", "seq")]
-    best = dirty.groupBy("image_id", "page_no").agg(F.max_by(F.struct("seq", *rest), "seq").alias("r"))
+    best = dirty.groupBy("image_id", "page_no").agg(F.max_by(F.struct("seq", *rest), F.struct("seq", F.xxhash64(F.lit(0), *rest))).alias("r"))
     return best.select("image_id", "page_no", "r.*")
 
 
@@ -120,13 +150,20 @@ def dirty_extents(extents: DataFrame, page: int = PAGE) -> DataFrame:
 
 
 def dirty_errors(dirty: DataFrame, shape: DataFrame, page: int | None = PAGE) -> DataFrame:
-    """Rows of ``dirty`` (image_id, seq, page_no, n_bytes) that an update must refuse, with the reason; with no ``page``, lengths aren't looked at."""
+    """Rows of ``dirty`` (image_id, seq, page_no, n_bytes) that an update must refuse, with the reason; with no ``page``, lengths aren't looked at.
+
+    A row without an image, a page, an order or bytes is refused as such: a null seq would leave open
+    which of several writes is the last.
+    """
     d = (dirty if page else dirty.withColumn("n_bytes", F.lit(None).cast("long"))).join(shape, "image_id", "left")
     last = F.col("page_no") == F.col("page_count") - 1
-    why = F.when(F.col("len").isNull(), "unknown image").when(F.col("len") == 0, "empty image").when((F.col("page_no") < 0) | (F.col("page_no") >= F.col("page_count")), "page out of range")
+    why = F.when(F.col("image_id").isNull(), "no image").when(F.col("page_no").isNull(), "no page").when(F.col("seq").isNull(), "no seq")
+    why = why.when(F.col("len").isNull(), "unknown image").when(F.col("len") == 0, "empty image").when((F.col("page_no") < 0) | (F.col("page_no") >= F.col("page_count")), "page out of range")
     if page:
-        n = F.coalesce("n_bytes", F.lit(0))
-        why = why.when(last & (n != last_page_length(F.col("len"), page)), "wrong length of last page").when(~last & (n != page), "wrong length of page")
+        n = F.col("n_bytes")
+        why = why.when(n.isNull(), "no bytes").when(last & (n != last_page_length(F.col("len"), page)), "wrong length of last page").when(~last & (n != page), "wrong length of page")
+    elif "hash" in dirty.columns:
+        why = why.when(F.col("hash").isNull(), "no hash")
     return d.select("image_id", "seq", "page_no", "n_bytes", why.alias("reason")).where("reason IS NOT NULL")
 
 
@@ -163,23 +200,62 @@ def update_hashes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
     return updated(nodes, last_write_wins(kept), shape, fanout)
 
 
+def _refold(base: int, s: int, fanout: int):
+    """From rows (image_id, height, level, node_idx, hash, fresh) of a subtree, levels base .. base + s - 1, to its fresh nodes above."""
+
+    def each(table: pa.Table) -> pa.Table:
+        image, height = table.column("image_id")[0].as_py(), table.column("height")[0].as_py()
+        held: dict[int, dict[int, str]] = {k: {} for k in range(base, base + s + 1)}
+        fresh: dict[int, set[int]] = {k: set() for k in range(base, base + s + 1)}
+        for level, node, h, new in zip(*(table.column(c).to_pylist() for c in ("level", "node_idx", "hash", "fresh")), strict=True):
+            held[level][node] = h
+            if new:
+                fresh[level].add(node)
+        out = []
+        for level in range(base + 1, min(base + s, height) + 1):
+            below = held[level - 1]
+            for up in sorted({k // fanout for k in fresh[level - 1]}):
+                kids = [below[k] for k in range(up * fanout, (up + 1) * fanout) if k in below]
+                h = hashlib.sha256(f"{len(kids)}:{''.join(kids)}".encode()).hexdigest()
+                held[level][up] = h
+                fresh[level].add(up)
+                out.append((image, height, level, up, up * fanout**level, h))
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["image_id", "height", "level", "node_idx", "page_base", "hash"])
+
+    return each
+
+
 def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Rows of all levels that dirty pages (image_id, page_no, hash) change: the pages, and the nodes above them.
 
-    Work follows the dirty pages, not the image: each level reads the siblings of touched nodes by a semi join.
-    The new nodes of a level are written, since the level above needs them three times.
+    Work follows the dirty pages, not the image: one join takes the siblings of all touched nodes, and
+    a step folds several levels of each touched subtree, a group of bounded size.
     """
+    top, s = tallest(shape.join(dirty.select("image_id"), "image_id", "left_semi")), steps(fanout)
     high = shape.select("image_id", "height")
-    fresh = dirty.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), F.col("page_no").alias("page_base"), "hash")
-    out = [fresh]
-    for level in range(1, tallest(shape) + 1):
-        touched = fresh.join(high.where(F.col("height") >= level), "image_id", "left_semi")
-        below = nodes.where(F.col("level") == level - 1)
-        parents = touched.select("image_id", div(F.col("node_idx"), fanout).alias("up")).distinct()
-        old = below.withColumn("up", div(F.col("node_idx"), fanout)).join(parents, ["image_id", "up"], "left_semi").join(touched.select("image_id", "node_idx"), ["image_id", "node_idx"], "left_anti")
-        fresh = written(_group(touched.select("image_id", "node_idx", "hash").unionByName(old.select("image_id", "node_idx", "hash")), level, fanout), f"level-{level}")
-        out.append(fresh)
-    return union(out).select(NODE)
+    touched = dirty.join(high, "image_id").select("image_id", "height", "page_no", "hash")
+    levels = F.explode(F.sequence(F.lit(1), F.col("height")))
+    power = F.element_at(F.array(*[F.lit(fanout**k).cast("long") for k in range(1, max(top, 1) + 1)]), F.col("up_level"))
+    paths = touched.withColumn("up_level", levels).select("image_id", "height", "up_level", div(F.col("page_no"), power).alias("up")).distinct()
+    # children of touched nodes that aren't touched themselves
+    kids = nodes.select("image_id", "level", "node_idx", "hash").withColumns({"up_level": F.col("level") + 1, "up": div(F.col("node_idx"), fanout)})
+    inner = paths.select("image_id", F.col("up_level").alias("level"), F.col("up").alias("node_idx"))
+    changed = inner.unionByName(touched.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx")))
+    old = kids.join(paths, ["image_id", "up_level", "up"]).join(changed, ["image_id", "level", "node_idx"], "left_anti").select("image_id", "height", "level", "node_idx", "hash", F.lit(False).alias("fresh"))
+    now = touched.select("image_id", "height", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), "hash", F.lit(True).alias("fresh"))
+    out = [dirty.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), F.col("page_no").alias("page_base"), "hash")]
+    if top > s:
+        old = written(old, "siblings")  # each step reads its own levels
+    for base in range(0, top, s):
+        mine = now.unionByName(old.where((F.col("level") >= base) & (F.col("level") < base + s)) if top > s else old).where(F.col("height") > base)
+        size = F.element_at(F.array(*[F.lit(fanout ** (s - k)).cast("long") for k in range(s)]), F.col("level") - base + 1)
+        made = mine.groupBy("image_id", div(F.col("node_idx"), size).alias("part")).applyInArrow(_refold(base, s, fanout), "image_id long, height int, level int, node_idx long, page_base long, hash string")
+        if base + s < top:
+            made = written(made, "refold")
+        out.append(made)
+        now = made.where(F.col("level") == base + s).select("image_id", "height", "level", "node_idx", "hash", F.lit(True).alias("fresh"))
+    return union([x.select(NODE) for x in out])
 
 
 def _over(nodes: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """What must fail, fails before anything is lost or invented."""
 
 import hashlib
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -20,18 +21,31 @@ def image(spark):
     return pages, shape, tree.index_blobs(tree.leaf_rows(pages), shape, FAN).cache()
 
 
-@pytest.mark.parametrize(("row", "why"), [((1, 0, 0, b"x"), "empty image"), ((0, 0, 99, b"y" * P), "out of range"), ((0, 0, -1, b"y" * P), "out of range"), ((0, 0, 1, b"short"), "wrong length of page"), ((0, 0, 4, b"y" * P), "wrong length of last"), ((0, 0, 1, None), "wrong length"), ((7, 0, 0, b"y" * P), "unknown image")])
+@pytest.mark.parametrize(("row", "why"), [((1, 0, 0, b"x"), "empty image"), ((0, 0, 99, b"y" * P), "out of range"), ((0, 0, -1, b"y" * P), "out of range"), ((0, 0, 1, b"short"), "wrong length of page"), ((0, 0, 4, b"y" * P), "wrong length of last"), ((0, 0, 1, None), "no bytes"), ((7, 0, 0, b"y" * P), "unknown image"), ((None, 0, 0, b"y" * P), "no image"), ((0, None, 1, b"y" * P), "no seq"), ((0, 0, None, b"y" * P), "no page")])
 def test_bad_writes_are_refused(spark, image, row, why):
     _, shape, nodes = image
     good = (0, 5, 2, b"g" * P)
     d = spark.createDataFrame([good, row], "image_id long, seq long, page_no long, bytes binary")
     with pytest.raises(tree.Refused, match=why):
         tree.update(nodes, d, shape, P, FAN)
-    if row[2] in (99, -1):
+    if row[2] in (99, -1, None) or None in row[:2]:
         with pytest.raises(tree.Refused, match=why):
             tree.update_hashes(nodes, d.withColumn("hash", F.sha2("bytes", 256)), shape, FAN)
 
 
+def test_last_write_of_rows_without_order(spark):
+    rows = [(0, None, 1, "a"), (0, None, 1, "b"), (0, 3, 2, "c"), (0, None, 2, "d"), (0, 3, 2, "c")]
+    got = {(r.page_no, r.seq): r.hash for r in tree.last_write_wins(spark.createDataFrame(rows, "image_id long, seq long, page_no long, hash string")).collect()}
+    assert got[2, 3] == "c" and got[1, None] in "ab" and len(got) == 2
+
+
+def test_lineage_of_a_circle_is_refused(spark):
+    v = spark.createDataFrame([(1, None), (2, 1), (3, 2), (7, 8), (8, 9), (9, 7)], "id long, parent long")
+    for f in (lineage.lineage, lineage.ancestors):
+        with pytest.raises(ValueError, match="circle"):
+            f(v).collect()
+
+
 def test_no_writes_change_nothing(spark, image):
     _, shape, nodes = image
     none = spark.createDataFrame([], "image_id long, seq long, page_no long, bytes binary")
@@ -78,7 +92,7 @@ def test_commit_checks_every_copy_of_a_name(spark, tmp_path):
     path = str(tmp_path / "store")
     with pytest.raises(ValueError, match="refused"):
         blobs.commit(spark.createDataFrame([(name, b"one"), (name, b"other")], "hash string, bytes binary"), record, path)
-    assert blobs.stored(spark, path).count() == 0
+    assert blobs.stored(spark, path).count() == 0 and not os.listdir(f"{path}/aside")
     assert blobs.commit(spark.createDataFrame([(name, b"one")] * 3, "hash string, bytes binary"), record, path) == 1
     assert blobs.commit(spark.createDataFrame([(name, b"held already, so not looked at")], "hash string, bytes binary"), record, path) == 0
 

@@ -64,6 +64,24 @@ def test_frames_by_columns_equal_the_processor(spark):
     assert framing.server_events(df.where("false")).count() == 0
 
 
+def test_random_streams_by_columns_and_by_the_processor(spark):
+    """Line ends of all kinds in random places: both forms of framing give the same rows."""
+    rng = random.Random(12)
+    parts = [b"\n", b"\n\n", b"\r\n", b"\r\n\r\n", b"\r", b"event:", b"event: a", b"data:", b"data: x", b":", b" ", "\u0085".encode(), "\u2028".encode(), b"\xff", b"y\r"]
+    rows = []
+    for s in range(400):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        cut = rng.randrange(len(data) + 1)
+        rows += [(s, 0, data[:cut]), (s, 1, data[cut:])]
+    df = spark.createDataFrame(rows, "session_id long, seq long, bytes binary")
+    for size in (4096, 2):
+        framing.running_before.__defaults__ = (size,)
+        for mode, got in (("sse", framing.server_events(df)), (b"\n", framing.lines(df).selectExpr("session_id", "n", "'frame' AS kind", "NULL AS name", "line AS data"))):
+            want = [(s, n, kind, name, data.decode(errors="replace")) for s, n, kind, name, data in map(tuple, run_batch(df, lambda m=mode: Frames(m)).collect())]
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), (mode, size)
+    framing.running_before.__defaults__ = (framing.RANGE,)
+
+
 def test_chunks_of_frames_are_cut_by_offset(spark):
     rows = [(1, 0, b"abc"), (1, 1, b""), (1, 2, None), (1, 3, b"defghijklmno"), (1, 7, b"p"), (2, 0, b"")]
     got = framing.chunks_of(spark.createDataFrame(rows, "session_id long, seq long, bytes binary"), 5)
