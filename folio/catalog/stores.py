@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, nodes, pages, shape, table, top
+from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, nodes, pages, shape, table
 from folio.operators import diff, lineage, tree
 from folio.sources import blobs
 from folio.sources.shared import shared_path, written
@@ -213,18 +213,42 @@ def commit_assemble(spark: SparkSession, d: str) -> DataFrame:
     n, text = nodes(spark, d), F.encode("t", "utf-8")
     made = shape(spark, d).select(F.explode(F.array(F.concat(F.lit("snapshot:"), "image_id"), F.lit("kernel"))).alias("t")).distinct()
     artifacts = made.select(tree.content_hash(text).alias("hash"), text.alias("bytes"))
-    up = diff.commit_blobs(diff.tree_diff(n, holder(n), FANOUT, top(spark, d)), pages(spark, d), n, artifacts, holder(n), FANOUT)
+    up = diff.commit_blobs(diff.tree_diff(n, holder(n), FANOUT), pages(spark, d), n, artifacts, holder(n), FANOUT)
     return up.select("hash", "kind", F.octet_length("bytes").cast("long").alias("n_bytes"))
 
 
-@query("capture_stream", CTE + "SELECT image_id, hash AS root FROM child JOIN shape USING (image_id) WHERE level = height")
-def capture_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Roots of the next versions when their dirty pages arrive as a stream of three batches, each a version of its own."""
+def _captured(spark: SparkSession, d: str):
+    """Dirty pages of the next versions as a stream of three batches, each a version of its own; the second call finds nothing new."""
     path, s = shared_path(spark, "capture"), shape(spark, d)
-    e = edits(pages(spark, d)).select("image_id", "seq", "page_no", "bytes")
+    e = written(edits(pages(spark, d)).select("image_id", "seq", "page_no", "bytes"), "edits")
     for k in range(3):
-        e.where(f"(image_id + page_no) % 3 = {k}").write.mode("append").parquet(f"{path}/in")
-    return tree.root_rows(versioned(spark, nodes(spark, d), s, f"{path}/in", path, P, FANOUT), s)
+        e.where(f"(image_id + page_no) % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    n = nodes(spark, d)
+    for _ in range(2):
+        table = versioned(spark, n, s, f"{path}/in", path, P, FANOUT, buckets=8)
+    return table, s, f"{path}/store"
+
+
+@query("capture_stream", CTE + """, e AS (SELECT image_id, count(DISTINCT (image_id + page_no) % 3) AS versions, count(*) AS dirty_pages FROM edits GROUP BY 1)
+ SELECT image_id, hash AS root, versions, dirty_pages, (versions - 1)::BIGINT AS depth FROM child JOIN shape USING (image_id) JOIN e USING (image_id) WHERE level = height""")
+def capture_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Each image's root after all batches, from the version records: how many versions it has, and how deep its chain of parents is."""
+    table, _, store = _captured(spark, d)
+    records = blobs.records(spark, store).select("id", "parent", F.col("mem_tree.root").alias("root"))
+    depth = lineage.lineage(records)
+    heads = table.heads().select("image_id", "id", "root").join(depth.select("id", F.col("root").alias("seed"), "depth"), "id").join(records.select("id", F.col("root").alias("recorded")), "id").where("root = recorded")
+    sizes = depth.join(records, "id").groupBy(depth.root.alias("seed")).agg(F.count("*").alias("versions"))
+    dirty = edits(pages(spark, d)).groupBy("image_id").agg(F.count("*").alias("dirty_pages"))
+    return heads.join(sizes, "seed").join(dirty, "image_id").select("image_id", "root", "versions", "dirty_pages", "depth")
+
+
+@query("capture_blobs", CTE + f""", t AS (SELECT DISTINCT e.image_id, u.level, e.page_no >> (2 * u.level) AS node_idx FROM edits e, range(0, 10) u(level)),
+ kids AS (SELECT n.image_id, n.level, n.node_idx, n.hash, count(c.hash) AS k FROM child n LEFT JOIN child c ON c.image_id = n.image_id AND c.level = n.level - 1 AND c.node_idx // {FANOUT} = n.node_idx WHERE n.level > 0 GROUP BY ALL)
+ SELECT hash, any_value(n)::BIGINT AS n_bytes FROM edits GROUP BY hash UNION ALL SELECT hash, any_value(length(k::VARCHAR) + 1 + 64 * k)::BIGINT FROM kids SEMI JOIN t USING (image_id, level, node_idx) GROUP BY hash""")
+def capture_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Blobs that the batches uploaded and the last versions have: changed pages, and the nodes above them."""
+    table, _, store = _captured(spark, d)
+    return blobs.stored(spark, store).join(table.rows().select("hash").distinct(), "hash", "left_semi").select("hash", "n_bytes")
 
 
 @query("orphan_blobs", CTE + "SELECT DISTINCT hash FROM l0 WHERE hash NOT IN (SELECT hash FROM child)")

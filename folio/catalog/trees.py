@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, leaves, nodes, pages, shape, top
+from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, leaves, nodes, pages, shape
 from folio.functions import geometry as g
 from folio.operators import diff, tree
 from folio.plans import materialize as m
@@ -164,31 +164,28 @@ def dirty_errors(spark: SparkSession, d: str) -> DataFrame:
 @query("tree_diff", CTE + "SELECT image_id, level::BIGINT AS level, page_base, hash FROM missing")
 def tree_diff(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
+    return diff.tree_diff(n, holder(n), FANOUT).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
 
 
 @query("c2_self_diff", CTE + "SELECT 'nobody' AS holder, image_id, level::BIGINT AS level, page_base, hash FROM nodes")
 def self_diff(spark: SparkSession, d: str) -> DataFrame:
     """Against a holder of everything nothing is missing; against one of nothing every row is, and of an empty image its root."""
-    n, t = nodes(spark, d), top(spark, d)
-    both = [diff.tree_diff(n, h, FANOUT, t).withColumn("holder", F.lit(name)) for name, h in (("itself", n.select("hash")), ("nobody", n.select("hash").where("false")))]
+    n = nodes(spark, d)
+    both = [diff.tree_diff(n, h, FANOUT).withColumn("holder", F.lit(name)) for name, h in (("itself", n.select("hash")), ("nobody", n.select("hash").where("false")))]
     return tree.union(both).select("holder", "image_id", F.col("level").cast("long").alias("level"), "page_base", "hash")
 
 
 @query("d12_missing_hashes", CTE + "SELECT hash, count(*) AS places FROM missing GROUP BY hash")
 def missing_hashes(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).groupBy("hash").agg(F.count("*").alias("places"))
+    return diff.tree_diff(n, holder(n), FANOUT).groupBy("hash").agg(F.count("*").alias("places"))
 
 
 @query("o1_preorder", CTE + "SELECT image_id, level::BIGINT AS level, page_base, hash, row_number() OVER (PARTITION BY image_id ORDER BY page_base, level DESC) AS place FROM missing")
 def preorder(spark: SparkSession, d: str) -> DataFrame:
     """Missing positions with their place in a walk that meets parents before children."""
-    from pyspark.sql import Window
-
     n = nodes(spark, d)
-    w = Window.partitionBy("image_id").orderBy("page_base", F.col("level").desc())
-    return diff.tree_diff(n, holder(n), FANOUT, top(spark, d)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash", F.row_number().over(w).cast("long").alias("place"))
+    return diff.preorder(diff.tree_diff(n, holder(n), FANOUT)).select("image_id", F.col("level").cast("long").alias("level"), "page_base", "hash", "place")
 
 
 @query("blob_difference", CTE + "SELECT DISTINCT hash FROM nodes WHERE hash NOT IN (SELECT hash FROM holder)")
@@ -202,7 +199,7 @@ def version_delta(spark: SparkSession, d: str) -> DataFrame:
     """Positions and blobs of each next version that no first version has."""
     n = nodes(spark, d)
     fresh = tree.rebuilt_nodes(n, written(edits(pages(spark, d)).select("image_id", "page_no", "hash"), "dirty"), shape(spark, d), FANOUT)
-    return diff.tree_diff(fresh, n.select("hash"), FANOUT, top(spark, d)).groupBy("image_id").agg(F.count("*").alias("positions"), F.countDistinct("hash").alias("blobs"))
+    return diff.tree_diff(fresh, n.select("hash"), FANOUT).groupBy("image_id").agg(F.count("*").alias("positions"), F.countDistinct("hash").alias("blobs"))
 
 
 _FIRST = "min({'image_id': image_id, 'page_no': node_idx})"
@@ -242,7 +239,7 @@ def _index(n: DataFrame) -> DataFrame:
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     """Odd images from even ones."""
     n = nodes(spark, d)
-    return written(m.plan(n.where("image_id % 2 = 1"), shape(spark, d), _index(n), FANOUT, top(spark, d)), "plan")
+    return written(m.plan(n.where("image_id % 2 = 1"), shape(spark, d), _index(n), FANOUT), "plan")
 
 
 @query("location_index", CTE + "SELECT hash, level::BIGINT AS level, source, src_page_base FROM loc")

@@ -4,42 +4,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import div, subtree_pages
+from folio.operators.scans import before
 from folio.operators.tree import NODE, node_text
 
 
-def _positions_up(nodes: DataFrame, fanout: int, proper: bool, top: int) -> DataFrame:
-    """``nodes`` with up_level, up_idx: each position above (and, unless ``proper``, its own)."""
-    first = F.col("level") + (1 if proper else 0)
-    up = nodes.where(first <= top).withColumn("up_level", F.explode(F.sequence(first, F.lit(top))))
-    return up.withColumn("up_idx", div(F.col("node_idx"), subtree_pages(F.col("up_level") - F.col("level"), fanout)))
+def with_marked_above(nodes: DataFrame, marked: Column, fanout: int) -> DataFrame:
+    """``nodes`` with ``marked`` and ``above``: whether a marked position lies properly above.
 
-
-def _below(nodes: DataFrame, marked: DataFrame, fanout: int, proper: bool, top: int) -> DataFrame:
-    """Keys of ``nodes`` at or below a marked position."""
-    up = _positions_up(nodes.select("image_id", "level", "node_idx"), fanout, proper, top)
-    m = marked.select("image_id", F.col("level").alias("up_level"), F.col("node_idx").alias("up_idx"))
-    return up.join(m, ["image_id", "up_level", "up_idx"], "left_semi").select("image_id", "level", "node_idx").distinct()
+    A position stands for an interval of pages, and intervals of a tree are nested or apart. In
+    pre-order, by first page and from the root down, a marked position lies above one that comes
+    later if and only if it ends after the other begins: one running maximum of ends, scanned by
+    ranges of pages. No row is multiplied by the height of its tree.
+    """
+    end = (F.col("node_idx") + 1) * subtree_pages(F.col("level"), fanout)
+    flagged = nodes.withColumn("marked", F.coalesce(marked, F.lit(False)))
+    reached = before(flagged, ["image_id"], "page_base", F.when(F.col("marked"), end), "reach", "max", [F.col("level").desc()])
+    return reached.withColumn("above", F.coalesce(F.col("reach") > F.col("page_base"), F.lit(False))).drop("reach")
 
 
-def tree_diff(nodes: DataFrame, holder: DataFrame, fanout: int, top: int) -> DataFrame:
+def tree_diff(nodes: DataFrame, holder: DataFrame, fanout: int, top: int | None = None) -> DataFrame:
     """Rows of ``nodes`` that the holder (hash) lacks: neither the position nor one above it is held.
 
     A held node ends the walk, even if the holder lacks what lies below; so a plain anti join would
-    say too much. ``top`` is the greatest level of all trees, tree.tallest().
+    say too much. Each position of an image is one row. ``top`` isn't needed.
     """
-    held = nodes.join(holder.select("hash").distinct(), "hash", "left_semi")
-    return nodes.select(NODE).join(_below(nodes, held, fanout, False, top), ["image_id", "level", "node_idx"], "left_anti").select(NODE)
+    held = holder.where("hash IS NOT NULL").select("hash", F.lit(True).alias("held")).distinct()
+    return with_marked_above(nodes.select(NODE).join(held, "hash", "left"), F.col("held"), fanout).where("NOT marked AND NOT above").select(NODE)
 
 
-def outermost(nodes: DataFrame, marked: DataFrame, fanout: int, top: int) -> tuple[DataFrame, DataFrame]:
-    """Marked rows with no marked row above, and the rows of ``nodes`` at or below no marked one."""
-    keys = ["image_id", "level", "node_idx"]
-    first = marked.join(_below(marked, marked, fanout, True, top), keys, "left_anti")
-    return first, nodes.join(_below(nodes, marked, fanout, False, top), keys, "left_anti")
+def preorder(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``place``, from 1, in a walk of their image that meets parents before children; counted by ranges of pages."""
+    placed = before(nodes, ["image_id"], "page_base", F.lit(1), "place", "sum", [F.col("level").desc()])
+    return placed.withColumn("place", (F.coalesce("place", F.lit(0)) + 1).cast("long"))
 
 
 def blob_difference(nodes: DataFrame, holder: DataFrame) -> DataFrame:

@@ -10,20 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a session whose running sum is one window's work.
-RANGE = 4096
+from folio.operators.scans import RANGE, before
 
 
 def running_before(rows: DataFrame, key: str, place: str, value: str, out: str, size: int = RANGE) -> DataFrame:
-    """``rows`` with ``out``, the sum of ``value`` over the rows of ``key`` with a lesser ``place`` (a whole number; no two rows of a key share it).
-
-    Sums of ranges of ``size`` places, running sums of those, then of the rows within a range.
-    """
-    ranged = rows.withColumn("_range", F.floor(F.col(place) / size))
-    sums = ranged.groupBy(key, "_range").agg(F.sum(value).alias("_sum"))
-    ranges = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    inner = F.coalesce(F.sum(value).over(Window.partitionBy(key, "_range").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_inner", inner).join(ranges, [key, "_range"]).withColumn(out, (F.col("_base") + F.col("_inner")).cast("long")).drop("_range", "_base", "_inner")
+    """``rows`` with ``out``, the sum of ``value`` over the rows of ``key`` with a lesser ``place`` (a whole number; no two rows of a key share it)."""
+    return before(rows, [key], place, F.col(value), out, size=size).withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
 def chunks_of(frames: DataFrame, size: int, key: str = "session_id", place: str = "seq") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import FANOUT, PAGE, div, height, last_page_length, page_count
+from folio.operators.scans import before
 from folio.sources.shared import written
 
 NODE = ["image_id", "level", "node_idx", "page_base", "hash"]
@@ -143,10 +144,19 @@ def dirty_pages(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 
 def dirty_extents(extents: DataFrame, page: int = PAGE) -> DataFrame:
-    """(image_id, page_no, n_bytes): each page that some extent [data_off, hole_off) touches, once, clipped to the file."""
+    """(image_id, page_no, n_bytes): each page that some extent [data_off, hole_off) touches, once, clipped to the file.
+
+    Extents become ranges of pages, of which each gives only the pages beyond the farthest one before
+    it; so pages are made once, however many extents cover them. An image's file has one size, the
+    largest that its rows name.
+    """
     stop = F.least("hole_off", "file_size")
-    run = extents.where(F.col("data_off") < stop).select("image_id", "file_size", F.explode(F.sequence(div(F.col("data_off"), page), div(stop + (page - 1), page) - 1)).alias("page_no"))
-    return run.groupBy("image_id", "page_no").agg(F.max("file_size").alias("file_size")).select("image_id", "page_no", F.least(F.lit(page), F.col("file_size") - F.col("page_no") * page).cast("long").alias("n_bytes"))
+    some = extents.where(F.col("data_off") < stop).select("image_id", "file_size", div(F.col("data_off"), page).alias("first"), (div(stop + (page - 1), page) - 1).alias("last"))
+    ranges = some.groupBy("image_id", "first").agg(F.max("last").alias("last"), F.max("file_size").alias("size"))
+    sizes = ranges.groupBy("image_id").agg(F.max("size").alias("file_size"))
+    reached = before(ranges, ["image_id"], "first", F.col("last"), "reach", "max").withColumn("first", F.greatest("first", F.col("reach") + 1)).where("first <= last")
+    run = reached.join(sizes, "image_id").select("image_id", "file_size", F.explode(F.sequence("first", "last")).alias("page_no"))
+    return run.select("image_id", "page_no", F.least(F.lit(page), F.col("file_size") - F.col("page_no") * page).cast("long").alias("n_bytes"))
 
 
 def dirty_errors(dirty: DataFrame, shape: DataFrame, page: int | None = PAGE) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.geometry import run_pages
-from folio.operators.diff import outermost
+from folio.operators.diff import with_marked_above
 
 
 def location_index(nodes: DataFrame, order: DataFrame) -> DataFrame:
@@ -19,18 +19,18 @@ def location_index(nodes: DataFrame, order: DataFrame) -> DataFrame:
     return best.select("hash", F.col("b.image_id").alias("source"), F.col("b.page_base").alias("src_page_base"), "level")
 
 
-def plan(nodes: DataFrame, shape: DataFrame, index: DataFrame, fanout: int, top: int) -> DataFrame:
+def plan(nodes: DataFrame, shape: DataFrame, index: DataFrame, fanout: int, top: int | None = None) -> DataFrame:
     """(image_id, op, dest_page_base, pages, hash, source, src_page_base).
 
     The largest located subtrees become clones, from any source and offset; pages that no clone
     covers become gaps of one page. Neighbouring clones aren't merged. An empty image has no step.
+    One join locates positions, one scan finds those below none; ``top`` isn't needed.
     """
     full = nodes.join(shape.where("page_count > 0").select("image_id", "page_count"), "image_id")
-    located = full.join(index.select("hash", "level", "source", "src_page_base"), ["hash", "level"])
-    clones, rest = outermost(full, located, fanout, top)
-    clone = clones.select("image_id", F.lit("clone").alias("op"), F.col("page_base").alias("dest_page_base"), run_pages(F.col("level"), F.col("page_base"), F.col("page_count"), fanout).alias("pages"), "hash", "source", "src_page_base")
-    gap = rest.where("level = 0").select("image_id", F.lit("gap").alias("op"), F.col("page_base").alias("dest_page_base"), F.lit(1).cast("long").alias("pages"), "hash", F.lit(None).cast("long").alias("source"), F.lit(None).cast("long").alias("src_page_base"))
-    return clone.unionByName(gap)
+    located = full.join(index.select("hash", "level", "source", "src_page_base"), ["hash", "level"], "left")
+    walked = with_marked_above(located, F.col("source").isNotNull(), fanout).where("NOT above AND (marked OR level = 0)")
+    pages = F.when(F.col("marked"), run_pages(F.col("level"), F.col("page_base"), F.col("page_count"), fanout)).otherwise(1).cast("long")
+    return walked.select("image_id", F.when(F.col("marked"), "clone").otherwise("gap").alias("op"), F.col("page_base").alias("dest_page_base"), pages.alias("pages"), "hash", "source", "src_page_base")
 
 
 def page_status(steps: DataFrame, sources: DataFrame, blobs: DataFrame | None = None) -> DataFrame:

@@ -1,17 +1,16 @@
 """A store of blobs named by their hash, with version records. Tables in, tables out; folders for what is kept.
 
-Data is written before its record, so readers who start from records never meet half a commit, and
-a commit that is repeated adds nothing.
+Data is staged before the entry of the log that names it, so readers never meet half a commit, and a
+commit that is repeated, or made twice at the same time, adds nothing.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators.tree import content_hash
+from folio.sources.commits import CommitLog, Entry
 
 #: The hashes of a version record besides its tree.
 ARTIFACTS = ("kernel", "initrd", "store_disk", "cmdline", "snapshot")
@@ -48,54 +47,100 @@ def batch_get(request: DataFrame, store: DataFrame) -> DataFrame:
     return found.select("pos", "hash", F.when(F.col("status") == "ok", F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("batch get: "), "status", F.lit(" "), "hash"))).alias("bytes"))
 
 
-def commit(blobs: DataFrame, record: DataFrame, path: str) -> int:
+STORED = "hash string, bytes binary, n_bytes bigint"
+
+
+def _once(record: DataFrame) -> DataFrame:
+    """Records with each id once; ids that two different records share fail when they are read."""
+    rest = [c for c in record.columns if c != "id"]
+    whole = F.to_json(F.struct(*rest))
+    one = record.groupBy("id").agg(F.any_value(F.struct(*rest)).alias("r"), F.min(whole).alias("least"), F.max(whole).alias("most"))
+    same = F.when(F.col("least") == F.col("most"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("commit refused: two records of "), "id")))
+    return one.select(same.alias("id"), "r.*").select(record.columns)
+
+
+def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = None) -> int:
     """Commit (hash, bytes) and records (RECORD) to the folder ``path``; returns the number of blobs written.
 
-    What is held already is passed over by name. The rest is checked and written aside in one pass,
-    a blob once; any blob that doesn't hash to its name fails the commit, and nothing of it is
-    visible. Else the files are moved in place, and the records follow. A commit that is repeated
-    changes nothing.
+    What is held already is passed over by name. The rest is checked and staged in one pass, a blob
+    once and a record once; any blob that doesn't hash to its name fails the commit, nothing of it is
+    visible, and what was staged goes. Else an entry of the log makes blobs and records visible together.
+    A commit that is repeated changes nothing; one whose ``batch`` has been committed isn't even read.
+    Of writers at the same time the later one drops what the earlier ones brought.
     """
-    spark = blobs.sparkSession
-    lacking = blobs.join(stored(spark, path).select("hash"), "hash", "left_anti")
-    checked = lacking.withColumn("good", content_hash(F.col("bytes")).eqNullSafe(F.col("hash")))
-    once = checked.groupBy("hash").agg(F.any_value("bytes").alias("bytes"), F.bool_and("good").alias("good"))
-    name = f"commit-{uuid.uuid4().hex}"
-    once.select("hash", "bytes", F.octet_length("bytes").cast("long").alias("n_bytes"), "good").write.parquet(f"{path}/aside/{name}")
-    aside = spark.read.parquet(f"{path}/aside/{name}")
-    n, bad = aside.agg(F.count("*"), F.min(F.when(~F.col("good"), F.coalesce("hash", F.lit("null"))))).first()
-    if bad:
-        raise ValueError(f"commit refused: blob {bad} doesn't hash to its name")
-    if n:
-        _move(spark, f"{path}/aside/{name}", f"{path}/blobs", name)
-    new = record.join(records(spark, path).select("id"), "id", "left_anti")
-    new.write.mode("append").json(f"{path}/records", ignoreNullFields=True)
-    return n
-
-
-def _move(spark: SparkSession, source: str, folder: str, name: str) -> None:
-    """Make the table ``source`` a part of ``folder``: a rename, so readers see all of it or nothing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(path(folder))
-    if not fs.rename(path(source), path(f"{folder}/{name}")):
-        raise OSError(f"commit failed: {source} could not be moved to {folder}")
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    spark, log = blobs.sparkSession, CommitLog(blobs.sparkSession, path)
+    seen = log.entries()
+    if batch is not None and any(e.batch == batch for e in seen):
+        return 0
+    part, at = log.new_part()
+    try:
+        lacking = blobs.join(_blobs(spark, log, seen).select("hash"), "hash", "left_anti")
+        checked = lacking.withColumn("good", content_hash(F.col("bytes")).eqNullSafe(F.col("hash")))
+        once = checked.groupBy("hash").agg(F.any_value("bytes").alias("bytes"), F.bool_and("good").alias("good"))
+        once.select("hash", "bytes", F.octet_length("bytes").cast("long").alias("n_bytes"), "good").write.parquet(f"{at}/blobs")
+        n, bad = spark.read.parquet(f"{at}/blobs").agg(F.count("*"), F.min(F.when(~F.col("good"), F.coalesce("hash", F.lit("null"))))).first()
+        if bad:
+            raise ValueError(f"commit refused: blob {bad} doesn't hash to its name")
+        _once(record).join(_records(spark, log, seen).select("id"), "id", "left_anti").write.json(f"{at}/records", ignoreNullFields=True)
+    except Exception:
+        log.drop(part)
+        raise
+    while True:
+        number = seen[-1].number + 1 if seen else 0
+        if log.publish(Entry(number, batch, part, "data", n)):
+            return n
+        before, seen = part, log.entries()
+        later = [e for e in seen if e.number >= number]
+        if batch is not None and any(e.batch == batch for e in later):
+            log.drop(before)
+            return 0
+        part, to = log.new_part()
+        spark.read.parquet(f"{at}/blobs").join(_blobs(spark, log, later).select("hash"), "hash", "left_anti").write.parquet(f"{to}/blobs")
+        spark.read.schema(RECORD).json(f"{at}/records").join(_records(spark, log, later).select("id"), "id", "left_anti").write.json(f"{to}/records", ignoreNullFields=True)
+        log.drop(before)
+        n, at = spark.read.parquet(f"{to}/blobs").count(), to
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Rewrite a store of many small commits as one part; returns how many parts it takes the place of. Readers see the same before and after."""
+    log = CommitLog(spark, path)
+    seen = log.entries()
+    live = [e for e in log.live(seen) if e.kind in ("data", "compact")]
+    if len(live) < 2:
+        return 0
+    part, at = log.new_part()
+    _blobs(spark, log, seen).withColumn("good", F.lit(True)).write.parquet(f"{at}/blobs")
+    _records(spark, log, seen).write.json(f"{at}/records", ignoreNullFields=True)
+    number = seen[-1].number + 1
+    while not log.publish(Entry(number, None, part, "compact", sum(e.rows for e in live), [e.part for e in live])):
+        later = [e for e in log.entries() if e.number >= number]
+        if any(e.replaces for e in later):  # another one has compacted meanwhile
+            log.drop(part)
+            return 0
+        number = later[-1].number + 1  # what has come since stays beside the new part
+    return len(live)
+
+
+def _blobs(spark: SparkSession, log: CommitLog, entries: list[Entry]) -> DataFrame:
+    paths = [f"{log.folder(e.part)}/blobs" for e in log.live(entries) if e.rows]
+    return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
+
+
+def _records(spark: SparkSession, log: CommitLog, entries: list[Entry]) -> DataFrame:
+    paths = [f"{log.folder(e.part)}/records" for e in log.live(entries)]
+    return spark.read.schema(RECORD).json(paths) if paths else spark.createDataFrame([], RECORD)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """Blobs of all commits."""
-    schema = "hash string, bytes binary, n_bytes bigint"
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/blobs") if _there(spark, f"{path}/blobs") else spark.createDataFrame([], schema)
+    log = CommitLog(spark, path)
+    return _blobs(spark, log, log.entries())
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Version records; an unknown id is no row."""
-    return spark.read.schema(RECORD).json(f"{path}/records") if _there(spark, f"{path}/records") else spark.createDataFrame([], RECORD)
+    log = CommitLog(spark, path)
+    return _records(spark, log, log.entries())
 
 
 def pack_index(entries: DataFrame, packs: DataFrame) -> DataFrame:

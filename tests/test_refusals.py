@@ -92,7 +92,7 @@ def test_commit_checks_every_copy_of_a_name(spark, tmp_path):
     path = str(tmp_path / "store")
     with pytest.raises(ValueError, match="refused"):
         blobs.commit(spark.createDataFrame([(name, b"one"), (name, b"other")], "hash string, bytes binary"), record, path)
-    assert blobs.stored(spark, path).count() == 0 and not os.listdir(f"{path}/aside")
+    assert blobs.stored(spark, path).count() == 0 and not os.listdir(f"{path}/parts")
     assert blobs.commit(spark.createDataFrame([(name, b"one")] * 3, "hash string, bytes binary"), record, path) == 1
     assert blobs.commit(spark.createDataFrame([(name, b"held already, so not looked at")], "hash string, bytes binary"), record, path) == 0
 
