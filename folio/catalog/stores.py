@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, nodes, pages, shape, table
-from folio.operators import diff, lineage, tree
+from folio.operators import diff, lineage, reach, tree
 from folio.sources import blobs
 from folio.sources.shared import shared_path, written
 from folio.streaming.capture import versioned
@@ -251,11 +251,34 @@ def capture_blobs(spark: SparkSession, d: str) -> DataFrame:
     return blobs.stored(spark, store).join(table.rows().select("hash").distinct(), "hash", "left_semi").select("hash", "n_bytes")
 
 
-@query("orphan_blobs", CTE + "SELECT DISTINCT hash FROM l0 WHERE hash NOT IN (SELECT hash FROM child)")
+def _tree_blobs(spark: SparkSession, d: str, n: DataFrame, p: DataFrame) -> DataFrame:
+    """(hash, bytes) of all pages and nodes of ``n``, each once."""
+    none = spark.createDataFrame([], "hash string, bytes binary")
+    return diff.commit_blobs(n, p, n, none, none.select("hash"), FANOUT).select("hash", "bytes")
+
+
+@query("orphan_blobs", CTE + "SELECT DISTINCT hash FROM nodes WHERE hash NOT IN (SELECT hash FROM child)")
 def orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of the first versions that no next version reaches."""
-    p = pages(spark, d)
-    return blobs.orphans(p.select("hash").distinct(), tree.patch_apply(p, edits(p)).select("hash").distinct())
+    """Pages and nodes that no record reaches, when only the next versions have records: found by walking stored nodes from the records' roots."""
+    p, s = pages(spark, d), shape(spark, d)
+    n, path = nodes(spark, d), shared_path(spark, "store")
+    e = written(edits(p), "edits")
+    after = written(tree.updated(n, e.select("image_id", "page_no", "hash"), s, FANOUT), "next")
+    root = tree.root_rows(after, s).join(s, "image_id")
+    record = root.select(F.concat(F.lit("img_"), "image_id").alias("id"), F.lit(None).cast("string").alias("parent"), F.struct("root", "len").alias("mem_tree"), F.col("image_id").alias("created_unix_ms"), *[F.lit(None).cast("string").alias(a) for a in blobs.ARTIFACTS])
+    blobs.commit(_tree_blobs(spark, d, n, p), record.where("false"), path)
+    blobs.commit(_tree_blobs(spark, d, after, tree.patch_apply(p, e)), record, path)
+    return reach.orphans(blobs.stored(spark, path), blobs.records(spark, path), list(blobs.ARTIFACTS), P, FANOUT)
+
+
+@query("c4_level_fetch", CTE + "SELECT level::BIGINT AS level, count(DISTINCT hash) AS asked, count(DISTINCT CASE WHEN hash NOT IN (SELECT hash FROM holder) THEN hash END) AS fetched FROM nodes WHERE level > 0 AND image_id % 2 = 1 GROUP BY level")
+def level_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Inner nodes of odd images fetched by the holder level by level, each checked; how many each level asked for, and how many came."""
+    n = nodes(spark, d)
+    central = written(_tree_blobs(spark, d, n, pages(spark, d)), "central")
+    roots = tree.root_rows(n, shape(spark, d)).where("image_id % 2 = 1").join(shape(spark, d).select("image_id", "height"), "image_id").select(F.col("root").alias("hash"), F.col("height").alias("level"))
+    local = central.join(holder(n), "hash", "left_semi")
+    return reach.level_fetch(roots, local, central)[1].select(F.col("level").cast("long").alias("level"), "asked", "fetched")
 
 
 _P = ", patch AS (SELECT c.image_id, c.level, c.node_idx, c.hash FROM child c SEMI JOIN (SELECT DISTINCT e.image_id, u.level, e.page_no >> (2 * u.level) AS node_idx FROM edits e, range(0, 10) u(level)) t USING (image_id, level, node_idx))"

@@ -193,11 +193,6 @@ def tiered(request: DataFrame, local: DataFrame, central: DataFrame) -> DataFram
     return two.select("id", F.coalesce("l", "c").alias("value"), F.when(F.col("l").isNotNull(), "local").when(F.col("c").isNotNull(), "central").otherwise("none").alias("tier"))
 
 
-def orphans(blobs: DataFrame, reachable: DataFrame) -> DataFrame:
-    """Blobs that no record reaches."""
-    return blobs.join(reachable.select("hash"), "hash", "left_anti")
-
-
 def running_offsets(blobs: DataFrame) -> DataFrame:
     """(pack, hash, offset, len): blobs (pack, hash, n_bytes) laid end to end in each pack, in order of hash. Packs are of bounded size."""
     w = Window.partitionBy("pack").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
