@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from folio.catalog.fixtures import table
 from folio.operators import frames, logs, sessions
 from folio.sources.shared import shared_path, written
-from folio.streaming.processors import Admission, Exclusive, Frames
+from folio.streaming.processors import Deadlines, Exclusive, Finalizer, Frames, Gate, Protocol
+from folio.streaming import run
 from folio.streaming.run import drained, run_batch, run_stream
+from folio.streaming.timers import drained_timed, run_timed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -79,32 +81,6 @@ def overlap_reject(spark: SparkSession, d: str) -> DataFrame:
     return run_batch(_spans(spark, d), Exclusive)
 
 
-def _ops(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation that others write arrive with the bytes of their text; the assistant's make room for as many."""
-    t = table(spark, d, "conversations")
-    return t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "drain").otherwise("arrive").alias("kind"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-
-
-def _admit_sql(n: str, cap: int) -> str:
-    fits = f"w.queued + {n} <= {cap}"
-    return f"""WITH RECURSIVE o AS (SELECT conv_id AS session_id, turn AS seq, CASE WHEN role = 'assistant' THEN 'drain' ELSE 'arrive' END AS kind, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM o),
- w AS (SELECT session_id, 0::BIGINT AS seq, 0::BIGINT AS r, 'drain' AS kind, false AS accepted, 0::BIGINT AS queued FROM (SELECT DISTINCT session_id FROM o)
-  UNION ALL SELECT n.session_id, n.seq, n.r, n.kind, n.kind = 'arrive' AND {fits}, (CASE WHEN n.kind = 'drain' THEN greatest(0, w.queued - {n}) WHEN {fits} THEN w.queued + {n} ELSE w.queued END)::BIGINT FROM w JOIN n ON n.session_id = w.session_id AND n.r = w.r + 1)
- SELECT session_id, seq, accepted, queued FROM w WHERE kind = 'arrive'"""
-
-
-@query("buffer_admit", _admit_sql("n.n_bytes", 800))
-def buffer_admit(spark: SparkSession, d: str) -> DataFrame:
-    """Which turns fit a budget of bytes; each decision needs the one before."""
-    return run_batch(_ops(spark, d), lambda: Admission(800))
-
-
-@query("s11_queue_admit", _admit_sql("1", 2))
-def queue_admit(spark: SparkSession, d: str) -> DataFrame:
-    """The same by count: two places."""
-    return run_batch(_ops(spark, d).withColumn("n_bytes", F.lit(1).cast("long")), lambda: Admission(2))
-
-
 @query("log_tail", _E + "SELECT session_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM e) WHERE r <= 20")
 def log_tail(spark: SparkSession, d: str) -> DataFrame:
     return sessions.tail(events(spark, d), 20).select("session_id", "seq")
@@ -170,9 +146,13 @@ def ready_gate(spark: SparkSession, d: str) -> DataFrame:
  r AS (SELECT *, row_number() OVER w AS n, coalesce(sum((kind = 'exit')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, coalesce(sum((kind = 'hello')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hellos, lead(seq) OVER w AS nxt FROM m WHERE kind <> 'heartbeat' WINDOW w AS (PARTITION BY session_id ORDER BY seq))
  SELECT session_id, seq, violation FROM (SELECT *, CASE WHEN n = 1 AND kind <> 'hello' THEN 'no hello' WHEN kind = 'hello' AND hellos > 0 THEN 'second hello' WHEN kind = 'exit' AND done > 0 THEN 'second terminal' WHEN done > 0 THEN 'after terminal' WHEN nxt IS NULL AND kind <> 'exit' THEN 'ended early' END AS violation FROM r) WHERE violation IS NOT NULL""")
 def protocol_check(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.conformance(_messages(spark, d).select("session_id", "seq", "kind"))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"view": "hello", "click": "chunk", "signup": "heartbeat", "purchase": "chunk"}
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("name")), F.lit("exit"))
-    return sessions.conformance(events(spark, d).select("session_id", "seq", kind.alias("kind")))
+    return events(spark, d).withColumn("kind", kind)
 
 
 _CONTROL = """c AS (SELECT session_id, seq, ms, CASE WHEN name = 'error' AND seq % 2 = 0 THEN '{"error":"agent closed"}' WHEN name = 'error' THEN 'not json' WHEN name = 'purchase' AND seq % 3 = 0 THEN '{"result":{"ok":true}}' WHEN name = 'purchase' THEN '{"result":{"ok":true,"frame_id":"frm_' || seq || '"}}' WHEN name = 'signup' AND seq % 2 = 0 THEN '{"result":{"ok":false}}' WHEN name = 'signup' THEN '{"result":{"ok":false,"error":"no room"}}' ELSE '{"phase":"' || name || '"}' END AS data FROM e),
@@ -203,6 +183,63 @@ def session_finalize(spark: SparkSession, d: str) -> DataFrame:
     return sessions.finalize(s, sessions.results(_control(spark, d)))
 
 
+def _streamed(spark: SparkSession, df: DataFrame, make, name: str) -> DataFrame:
+    """What a processor with timers gives of ``df`` (session_id, seq, ms, ...) when it comes as a stream of three files; a session far in the future moves the clock on."""
+    path = shared_path(spark, name)
+    rows = df.withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    low, high = df.agg(F.min("ms"), F.max("ms")).first()
+    later = rows.limit(1).withColumns({"session_id": F.lit(-1).cast("long"), "ts": F.timestamp_millis(F.lit(high) + 10 * 365 * 86_400_000)})
+    cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rows.where((F.unix_millis("ts") > a) & (F.unix_millis("ts") <= b)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    later.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = lambda: run_timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), make, 400 * 86_400_000)
+    return drained_timed(stream, spark, path).where("session_id <> -1")
+
+
+@query("s8_stream", _E + f""", {_CONTROL}, f AS (SELECT session_id, arg_min(ok, seq) AS ok, arg_min(ms, seq) AS ms, arg_min(coalesce(error, ''), seq) AS error FROM r GROUP BY 1), s AS (SELECT session_id, session_id % 7 = 0 AS aborted, CASE WHEN session_id % 3 = 0 THEN max(ms) END AS closed_ms FROM e GROUP BY 1)
+ SELECT session_id, CASE WHEN ok THEN 'ok' WHEN ok IS NOT NULL THEN 'error' WHEN aborted THEN 'aborted' WHEN closed_ms IS NOT NULL THEN 'error' ELSE 'running' END AS state, CASE WHEN ok IS NOT NULL THEN f.ms ELSE closed_ms END AS at_ms, CASE WHEN ok IS NOT NULL THEN nullif(error, '') WHEN aborted THEN NULL WHEN closed_ms IS NOT NULL THEN 'session closed without result' END AS note FROM s LEFT JOIN f USING (session_id)""")
+def finalize_stream(spark: SparkSession, d: str) -> DataFrame:
+    """session_finalize on a stream: results as they come, the rest when a session has been silent."""
+    said = sessions.results(_control(spark, d)).select("session_id", "seq", "ms", F.lit("result").alias("kind"), "ok", "error")
+    ended = events(spark, d).groupBy("session_id").agg(F.max("seq").alias("seq"), F.max("ms").alias("ms"))
+    none = [F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("string").alias("error")]
+    kinds = F.filter(F.array(F.lit("open"), F.when(F.col("session_id") % 7 == 0, "abort"), F.when(F.col("session_id") % 3 == 0, "close")), lambda k: k.isNotNull())
+    marks = ended.select("session_id", (F.col("seq") + 1).alias("seq"), "ms", F.explode(kinds).alias("kind"), *none)
+    return _streamed(spark, said.unionByName(marks), Finalizer, "finalize")
+
+
+@query("s9_stream", ORACLES["protocol_check"])
+def protocol_stream(spark: SparkSession, d: str) -> DataFrame:
+    """protocol_check on a stream."""
+    return _streamed(spark, _messages(spark, d).select("session_id", "seq", "ms", "kind"), Protocol, "protocol")
+
+
+@query("s12_stream", ORACLES["s12_deadlines"].replace("SELECT session_id, milestone, (coalesce(at_ms, (SELECT max(ms) FROM e)) - start_ms - most)::BIGINT AS late_ms FROM", "SELECT session_id, milestone, (start_ms + most)::BIGINT AS due_ms FROM").replace("coalesce(at_ms, (SELECT max(ms) FROM e)) - start_ms - most > 0", "coalesce(at_ms, 1 << 60) > start_ms + most"))
+def deadline_stream(spark: SparkSession, d: str) -> DataFrame:
+    """s12_deadlines on a stream: timers fire where a milestone isn't reached in time."""
+    return _streamed(spark, events(spark, d).select("session_id", "seq", "ms", F.col("name").alias("kind")), lambda: Deadlines(_LIMITS), "deadlines")
+
+
+@query("s13_stream", ORACLES["ready_gate"].replace("SELECT key,", "SELECT key AS session_id,"))
+def gate_stream(spark: SparkSession, d: str) -> DataFrame:
+    """ready_gate on a stream; producers with even numbers close after their last event."""
+    e = events(spark, d)
+    status = F.when(F.col("name").isin("purchase", "signup"), "ready").when(F.col("name") == "error", "failed").otherwise("pending")
+    closed = e.where("session_id % 2 = 0").groupBy("session_id").agg((F.max("seq") + 1).alias("seq"), F.max("ms").alias("ms")).withColumn("kind", F.lit("close"))
+    return _streamed(spark, e.select("session_id", "seq", "ms", status.alias("kind")).unionByName(closed), Gate, "gate")
+
+
+@query("s15_stream", "SELECT hash, count(*) AS n FROM (SELECT DISTINCT sha256(event_type || ':' || (event_id % 100)) AS hash FROM events) GROUP BY hash")
+def replay_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Commits that come again and again as a stream: each hash once."""
+    path = shared_path(spark, "replays")
+    e = table(spark, d, "events").select(F.sha2(F.concat("event_type", F.lit(":"), F.col("event_id") % 100), 256).alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
+    e.write.parquet(f"{path}/in")
+    once = drained(run.replay_dedup(spark.readStream.schema(e.schema).parquet(f"{path}/in"), "3650 days"), path)
+    return once.groupBy("hash").agg(F.count("*").alias("n"))
+
+
 @query("outcome_class", _E + "SELECT session_id, seq, CASE WHEN seq % 11 = 0 THEN 'error: spawn failed: ENOENT' WHEN seq % 13 = 0 THEN 'error: wait failed: unknown' WHEN seq % 5 = 0 THEN 'signal 9' WHEN seq % 3 = 0 THEN 'ok' ELSE 'exit ' || (seq % 3) END AS outcome, CASE WHEN seq % 5 = 0 THEN 9 ELSE seq % 3 END AS status FROM e")
 def outcome_class(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("seq")

@@ -97,58 +97,156 @@ class Frames:
         return [self._out("error", None, b"unfinished")] if self.mode == "sse" and self.tail.strip(b"\r\n") else []
 
 
-class Admission:
-    """Accept a chunk if it fits what is queued, else drop it whole; drains make room, a close ends input."""
+class Exclusive:
+    """Accept a span if the last accepted one has ended when it starts."""
+
+    columns = ("start_ms", "end_ms")
+    schema = "session_id long, seq long, accepted boolean"
+
+    def __init__(self):
+        self.until: int | None = None
+
+    def dump(self) -> str:
+        return json.dumps(self.until)
+
+    def load(self, text: str) -> None:
+        self.until = json.loads(text)
+
+    def feed(self, row: tuple) -> list[tuple]:
+        start, end, seq = row
+        ok = self.until is None or start >= self.until
+        if ok:
+            self.until = int(end)
+        return [(seq, ok)]
 
-    columns = ("kind", "n_bytes")
-    schema = "session_id long, seq long, accepted boolean, queued long"
+    def end(self) -> list[tuple]:
+        return []
 
-    def __init__(self, cap: int):
-        self.cap, self.queued, self.closed = cap, 0, False
+
+class Finalizer:
+    """How a session ends: by its first result; else aborted, closed without a result, or still running. kind: 'result', 'close', 'abort' or anything else."""
+
+    columns = ("kind", "at_ms", "ok", "error")
+    schema = "session_id long, state string, at_ms long, note string"
+
+    def __init__(self):
+        self.decided, self.aborted, self.closed = False, False, None
 
     def dump(self) -> str:
-        return json.dumps([self.queued, self.closed])
+        return json.dumps([self.decided, self.aborted, self.closed])
 
     def load(self, text: str) -> None:
-        self.queued, self.closed = json.loads(text)
+        self.decided, self.aborted, self.closed = json.loads(text)
 
     def feed(self, row: tuple) -> list[tuple]:
-        kind, n, seq = row[0], int(row[1] or 0), row[-1]
-        if kind == "drain":
-            self.queued = max(0, self.queued - n)
+        kind, at, ok, error = row[:4]
+        if kind == "result" and not self.decided:
+            self.decided = True
+            return [("ok" if ok else "error", int(at), error)]
+        if kind == "abort":
+            self.aborted = True
+        elif kind == "close":
+            self.closed = int(at)
+        return []
+
+    def end(self) -> list[tuple]:
+        if self.decided:
             return []
-        if kind == "close":
-            self.closed = True
+        if self.aborted:
+            return [("aborted", self.closed, None)]
+        return [("running", None, None) if self.closed is None else ("error", self.closed, "session closed without result")]
+
+
+class Protocol:
+    """Violations of the order of messages: hello first and once, one terminal (exit or error), and only heartbeats after it."""
+
+    columns = ("kind",)
+    schema = "session_id long, seq long, violation string"
+
+    def __init__(self):
+        self.n, self.hellos, self.done, self.last = 0, 0, 0, None
+
+    def dump(self) -> str:
+        return json.dumps([self.n, self.hellos, self.done, self.last])
+
+    def load(self, text: str) -> None:
+        self.n, self.hellos, self.done, self.last = json.loads(text)
+
+    def feed(self, row: tuple) -> list[tuple]:
+        kind, seq = row[0], int(row[-1])
+        if kind == "heartbeat":
             return []
-        fits = not self.closed and self.queued + n <= self.cap
-        self.queued += n * fits
-        return [(seq, fits, self.queued)]
+        terminal, why = kind in ("exit", "error"), None
+        if not self.n and kind != "hello":
+            why = "no hello"
+        elif kind == "hello" and self.hellos:
+            why = "second hello"
+        elif self.done:
+            why = "second terminal" if terminal else "after terminal"
+        self.n, self.hellos, self.done = 1, self.hellos + (kind == "hello"), self.done + terminal
+        # a last message that breaks no other rule and ends nothing is known as such when the session is over
+        self.last = None if why or terminal else seq
+        return [(seq, why)] if why else []
 
     def end(self) -> list[tuple]:
+        return [] if self.last is None else [(self.last, "ended early")]
+
+
+class Deadlines:
+    """Milestones that a session hasn't reached in time. ``limits``: milliseconds after its first message."""
+
+    columns = ("kind", "at_ms")
+    schema = "session_id long, milestone string, due_ms long"
+
+    def __init__(self, limits: dict[str, int]):
+        self.limits, self.start, self.reached = limits, None, {}
+
+    def dump(self) -> str:
+        return json.dumps([self.start, self.reached])
+
+    def load(self, text: str) -> None:
+        self.start, self.reached = json.loads(text)
+
+    def feed(self, row: tuple) -> list[tuple]:
+        kind, at = row[0], int(row[1])
+        self.start = at if self.start is None else self.start
+        if kind in self.limits:
+            self.reached.setdefault(kind, at)
         return []
 
+    def timers(self) -> list[int]:
+        """Times at which on_time() must be called."""
+        return [] if self.start is None else sorted({self.start + x for x in self.limits.values()})
 
-class Exclusive:
-    """Accept a span if the last accepted one has ended when it starts."""
+    def on_time(self, now: int) -> list[tuple]:
+        due = [(k, self.start + x) for k, x in sorted(self.limits.items()) if self.start + x == now]
+        return [(k, at) for k, at in due if self.reached.get(k, at + 1) > at]
+
+    def end(self) -> list[tuple]:
+        return []
 
-    columns = ("start_ms", "end_ms")
-    schema = "session_id long, seq long, accepted boolean"
+
+class Gate:
+    """The last of a producer's states pending, ready and failed; one that has closed and is still pending has failed."""
+
+    columns = ("kind",)
+    schema = "session_id long, status string"
 
     def __init__(self):
-        self.until: int | None = None
+        self.status, self.closed = None, False
 
     def dump(self) -> str:
-        return json.dumps(self.until)
+        return json.dumps([self.status, self.closed])
 
     def load(self, text: str) -> None:
-        self.until = json.loads(text)
+        self.status, self.closed = json.loads(text)
 
     def feed(self, row: tuple) -> list[tuple]:
-        start, end, seq = row
-        ok = self.until is None or start >= self.until
-        if ok:
-            self.until = int(end)
-        return [(seq, ok)]
+        if row[0] == "close":
+            self.closed = True
+        elif row[0] in ("pending", "ready", "failed"):
+            self.status = row[0]
+        return []
 
     def end(self) -> list[tuple]:
-        return []
+        return [] if self.status is None else [("failed" if self.closed and self.status == "pending" else self.status,)]

@@ -6,7 +6,7 @@ from pyspark.sql.functions import lit
 
 from folio.operators import frames as framing
 from folio.operators import tree
-from folio.streaming.processors import Admission, Frames
+from folio.streaming.processors import Frames
 from folio.streaming.run import capture, drained, liveness_alarms, replay_dedup, run_batch, run_stream
 
 SSE = b": hi\n\nevent: phase\ndata: one\ndata:two\n\nevent:log\r\ndata: x\r\n\r\ndata: lost\n\nevent: ready\n\nevent: tail\ndata: y"
@@ -36,12 +36,6 @@ def test_any_cut_gives_the_same_frames():
     assert frames("length", b"\x00\x7f\x00\x00\x00zz\x00\x00\x00\x00\x00", [])[0][3] == b"frame too long"
 
 
-def test_admission_drops_whole_chunks():
-    a = Admission(10)
-    seen = [a.feed((k, n, s)) for s, (k, n) in enumerate([("arrive", 6), ("arrive", 5), ("arrive", 4), ("drain", 3), ("arrive", 3), ("close", 0), ("arrive", 0)])]
-    assert [x[0][1] for x in seen if x] == [True, False, True, True, False]
-
-
 def test_frames_by_columns_equal_the_processor(spark):
     """Frames by counting delimiters are those of the processor, for any cut of the bytes and any size of a range."""
     rng = random.Random(9)
