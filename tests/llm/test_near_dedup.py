@@ -80,5 +80,14 @@ def test_blocks_find_every_link_between_components(spark, monkeypatch):
 
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 120)] + [(7, 7), (None, 3), (200, 150), (150, 175)]
-    got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
-    assert got == {k: 0 for k in range(51)} | {k: 100 for k in range(100, 120)} | {150: 150, 175: 150, 200: 150}
+    df = spark.createDataFrame(links, "a long, b long")
+    want = {k: 0 for k in range(51)} | {k: 100 for k in range(100, 120)} | {150: 150, 175: 150, 200: 150}
+    for small in (components.SMALL, 0):  # in one task, and in rounds
+        got = [tuple(r) for r in components.connected_components(df.repartition(7), small).collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert components.connected_components(df.where("false"), small).count() == 0
+    rng = np.random.default_rng(9)
+    ends = rng.integers(0, 900, (600, 2))
+    df = spark.createDataFrame([tuple(map(int, e)) for e in ends], "a long, b long").repartition(5)
+    one, many = ({tuple(r) for r in components.connected_components(df, small).collect()} for small in (10_000, 0))
+    assert one == many and len({c for _, c in one}) > 50
