@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog.fixtures import CTE, FANOUT, P, edits, holder, images, nodes, pages, shape, table
-from folio.operators import diff, lineage, reach, tree
-from folio.sources import blobs
+from folio.operators import bloom, diff, lineage, reach, tree
+from folio.sources import blobs, packs
 from folio.sources.shared import shared_path, written
 from folio.streaming.capture import versioned
 
@@ -190,6 +190,23 @@ def range_read(spark: SparkSession, d: str) -> DataFrame:
     return blobs.range_read(asked, whole).select("hash.page_no", F.col("hash.image_id").alias("pack"), F.sha2("bytes", 256).alias("hash"))
 
 
+@query("pack_ranges", CTE + "SELECT hash, hash AS found, min(n)::BIGINT AS len FROM l0 GROUP BY hash")
+def pack_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Blobs written to pack files, found by the packs' own indexes, and read range by range."""
+    spark.dataSource.register(packs.PackSource)
+    path = shared_path(spark, "packs")
+    blobs.put(pages(spark, d).select("bytes"), spark.createDataFrame([], "hash string")).select("hash", "bytes").write.format("folio-packs").mode("append").save(path)
+    return packs.range_read(packs.index(spark, path), path).select("hash", F.sha2("bytes", 256).alias("found"), "len")
+
+
+@query("a15_file_hash", "SELECT page_id, sha256(coalesce(html, '')) AS hash, octet_length(encode(coalesce(html, '')))::BIGINT AS len FROM pages")
+def file_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of the web as files of a folder, hashed whole, empty ones too."""
+    path = shared_path(spark, "files")
+    packs.write_files(table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("name"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("bytes")), path)
+    return blobs.file_hashes(spark, path).select(F.regexp_extract("path", "page-(-?[0-9]+)$", 1).cast("long").alias("page_id"), "hash", "len")
+
+
 @query("a12_export", CTE + "SELECT hash, substr(hash, 1, 2) || '/' || substr(hash, 3, 2) || '/' || hash AS path, min(n)::BIGINT AS len FROM l0 GROUP BY hash")
 def blob_export(spark: SparkSession, d: str) -> DataFrame:
     chosen = pages(spark, d).groupBy("hash").agg(F.any_value("bytes").alias("bytes"))
@@ -304,21 +321,35 @@ def patch_ancestor(spark: SparkSession, d: str) -> DataFrame:
     return had.groupBy("image_id").agg(F.countDistinct("hash").alias("sent"), F.countDistinct("had").alias("redundant"))
 
 
-@query("patch_bloom", CTE + _P + "SELECT DISTINCT hash FROM patch WHERE hash NOT IN (SELECT hash FROM holder)")
-def patch_bloom(spark: SparkSession, d: str, bits: int = 1 << 20, k: int = 3) -> DataFrame:
-    """One round against a Bloom filter of the holder, of ``bits`` bits, and a repair of what it withheld wrongly."""
+_BLOOM = """, owned AS (SELECT DISTINCT hash FROM holder), size AS (SELECT bits, greatest(1, round(bits / n * ln(2)))::BIGINT AS k FROM (SELECT greatest(8, ceil(-n * ln(0.05) / (ln(2) * ln(2))))::BIGINT AS bits, n FROM (SELECT count(*) AS n FROM owned))),
+ spots AS (SELECT hash, (('0x' || substr(hash, 1, 14))::BIGINT + i * ('0x' || substr(hash, 15, 14))::BIGINT) % bits AS spot FROM (SELECT hash, bits, unnest(range(k)) AS i FROM (SELECT hash FROM owned UNION SELECT hash FROM patch) CROSS JOIN size)),
+ filled AS (SELECT DISTINCT spot FROM spots SEMI JOIN owned USING (hash)), said AS (SELECT hash, bool_and(f.spot IS NOT NULL) AS present FROM spots s LEFT JOIN filled f ON f.spot = s.spot WHERE hash IN (SELECT hash FROM patch) GROUP BY hash) """
+
+
+@query("patch_bloom", CTE + _P + _BLOOM + "SELECT hash, CASE WHEN present THEN 'repair' ELSE 'sent' END AS round FROM said WHERE NOT present OR hash NOT IN (SELECT hash FROM owned)")
+def patch_bloom(spark: SparkSession, d: str) -> DataFrame:
+    """One round against a Bloom filter of the holder that errs once in twenty, and a repair of what it withheld wrongly."""
     n, fresh = _patch(spark, d)
-    places = lambda: F.explode(F.array(*[F.pmod(F.xxhash64("hash", F.lit(i)), F.lit(bits)) for i in range(k)]))
-    held = holder(n)
-    filter_bits = F.broadcast(held.select(places().alias("bit")).distinct())  # at most ``bits`` numbers
-    hits = fresh.select("hash").distinct().withColumn("bit", places()).join(filter_bits.withColumn("hit", F.lit(1)), "bit", "left").groupBy("hash").agg(F.count("hit").alias("hits"))
-    sent, withheld = hits.where(F.col("hits") < k).select("hash"), hits.where(F.col("hits") == k).select("hash")
-    return sent.unionByName(diff.blob_difference(withheld, held))
+    return bloom.patch(fresh, holder(n), 0.05)[0]
 
 
-@query("affinity_rank", "WITH w AS (SELECT DISTINCT o_custkey AS version, l_partkey AS hash FROM orders JOIN lineitem ON l_orderkey = o_orderkey), h AS (SELECT DISTINCT l_suppkey AS holder, l_partkey AS hash FROM lineitem), n AS (SELECT version, holder, count(*) AS overlap FROM w JOIN h USING (hash) GROUP BY 1, 2) SELECT version, holder, overlap, row_number() OVER (PARTITION BY version ORDER BY overlap DESC, holder) AS place FROM n")
-def affinity_rank(spark: SparkSession, d: str) -> DataFrame:
+_AFFINITY = "WITH w AS (SELECT DISTINCT o_custkey AS version, l_partkey AS hash FROM orders JOIN lineitem ON l_orderkey = o_orderkey), h AS (SELECT DISTINCT l_suppkey AS holder, l_partkey AS hash FROM lineitem), n AS (SELECT version, holder, count(*) AS overlap FROM w JOIN h USING (hash) GROUP BY 1, 2) SELECT version, holder, overlap, row_number() OVER (PARTITION BY version ORDER BY overlap DESC, holder) AS place FROM n QUALIFY place <= 5"
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers as machines that hold parts, customers as versions that need them."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     wanted = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("version"), F.col("l_partkey").alias("hash")).distinct()
-    return lineage.affinity(wanted, li.select(F.col("l_suppkey").alias("holder"), F.col("l_partkey").alias("hash")).distinct())
+    return wanted, li.select(F.col("l_suppkey").alias("holder"), F.col("l_partkey").alias("hash")).distinct()
+
+
+@query("affinity_rank", _AFFINITY)
+def affinity_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The five machines that hold most of each version, from exact counts of all."""
+    return lineage.affinity(*_parts(spark, d), top=5)
+
+
+@query("affinity_sketch", _AFFINITY)
+def affinity_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """The same by sketches as large as the largest set, which miss nothing; exact counts of the five best alone."""
+    return lineage.affinity_sketched(*_parts(spark, d), top=5, k=4096, candidates=5)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog.fixtures import table
-from folio.operators import frames, logs, sessions
+from folio.operators import frames, logs, sessions, spans
 from folio.sources.shared import shared_path, written
 from folio.streaming.processors import Deadlines, Exclusive, Finalizer, Frames, Gate, Protocol
 from folio.streaming import run
@@ -303,6 +303,14 @@ def line_reframe(spark: SparkSession, d: str) -> DataFrame:
     return frames.lines(_chunks(spark, d, F.encode(F.concat("text", F.lit("\n")), "utf-8"), 40))
 
 
+@query("b13_trim", "WITH t AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), chr(13) || chr(10)) || chr(13) || chr(133) || chr(10) || 'x' || chr(13) || chr(8232) || chr(10) || 'end' || chr(13) || chr(13), chr(10)) AS p FROM documents) SELECT doc_id AS session_id, (k - 1)::BIGINT AS n, rtrim(line, chr(13)) AS line FROM (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) AS k FROM t)")
+def trimmed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that end in CR LF, and carriage returns before other line ends, which stay."""
+    text = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\r\n")), F.lit("\r\u0085\nx\r\u2028\nend\r\r"))
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("session_id"), F.lit(0).cast("long").alias("seq"), F.encode(text, "utf-8").alias("bytes"))
+    return frames.lines(chunks)
+
+
 @query("stream_concat", _LINES + "SELECT conv_id AS session_id, CASE WHEN role = 'assistant' THEN 'stdout' ELSE 'stderr' END AS stream, sha256(string_agg(text, '' ORDER BY turn)) AS hash FROM t GROUP BY 1, 2")
 def stream_concat(spark: SparkSession, d: str) -> DataFrame:
     c = _turns(spark, d).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "stdout").otherwise("stderr").alias("stream"), F.encode("text", "utf-8").alias("bytes"))
@@ -438,6 +446,15 @@ def span_summary(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("component")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_ms"), F.max("o_totalprice").alias("most_ms"), F.sum((F.col("o_totalprice") > 200000).cast("int")).cast("long").alias("beyond"))
 
 
+@query("d11_version_spans", _E + """, s AS (SELECT session_id AS version, name AS component, seq % 97 AS ms FROM e), r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY version, component) AS n FROM s WINDOW w AS (PARTITION BY version, component ORDER BY ms)),
+ c AS (SELECT version, component, count(*) AS n, sum(ms)::BIGINT AS total_ms, max(ms) AS most_ms, min(CASE WHEN r >= 0.5 * n THEN ms END)::DOUBLE AS p50, min(CASE WHEN r >= 0.95 * n THEN ms END)::DOUBLE AS p95 FROM r GROUP BY 1, 2)
+ SELECT *, total_ms / nullif(sum(total_ms) OVER (PARTITION BY version), 0) AS share, sum(total_ms) OVER (PARTITION BY version) > 500 AS over FROM c""")
+def version_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Events as spans of their user's version: time by component, its percentiles, and whether the version takes longer than half a second."""
+    e = events(spark, d)
+    return spans.version_report(e.select(F.col("session_id").alias("version"), F.col("name").alias("component"), (F.col("seq") % 97).alias("ms")))
+
+
 @query("session_summary_text", _E + ", p AS (SELECT session_id, name, count(*) * 10 AS ms FROM e GROUP BY 1, 2) SELECT session_id, 'ok ' || printf('%.2f', sum(ms) / 1000.0) || 's · ' || string_agg(name || ' ' || ms || 'ms', ' · ' ORDER BY name) AS line FROM p GROUP BY 1")
 def session_summary_text(spark: SparkSession, d: str) -> DataFrame:
     p = events(spark, d).groupBy("session_id", "name").agg((F.count("*") * 10).alias("ms"))

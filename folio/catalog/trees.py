@@ -150,14 +150,16 @@ def rebuilt_nodes(spark: SparkSession, d: str) -> DataFrame:
     return tree.rebuilt_nodes(nodes(spark, d), written(dirty, "dirty"), shape(spark, d), FANOUT).select("image_id", F.col("level").cast("long").alias("level"), "node_idx", "hash")
 
 
-@query("d4_dirty_errors", f"""WITH d AS (SELECT e.user_id AS image_id, event_id AS seq, event_id % 9 AS page_no, CASE WHEN event_id % 3 = 0 THEN {P} ELSE event_id % {P + 1} END AS n_bytes FROM events e),
+@query("d4_dirty_errors", f"""WITH d AS (SELECT e.user_id AS image_id, CASE WHEN event_id % 11 <> 0 THEN event_id END AS seq, CASE WHEN event_id % 13 <> 0 THEN event_id % 9 END AS page_no, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 3 = 0 THEN {P} ELSE event_id % {P + 1} END AS n_bytes FROM events e),
  s AS (SELECT doc_id AS image_id, octet_length(encode(coalesce(text, '')))::BIGINT AS len FROM documents)
- SELECT * FROM (SELECT image_id, seq, page_no, n_bytes, CASE WHEN len IS NULL THEN 'unknown image' WHEN len = 0 THEN 'empty image' WHEN page_no >= (len + {P - 1}) // {P} THEN 'page out of range'
+ SELECT * FROM (SELECT image_id, seq, page_no, n_bytes, CASE WHEN page_no IS NULL THEN 'no page' WHEN seq IS NULL THEN 'no seq' WHEN len IS NULL THEN 'unknown image' WHEN len = 0 THEN 'empty image' WHEN page_no >= (len + {P - 1}) // {P} THEN 'page out of range' WHEN n_bytes IS NULL THEN 'no bytes'
   WHEN page_no = (len + {P - 1}) // {P} - 1 AND n_bytes <> len - page_no * {P} THEN 'wrong length of last page' WHEN page_no <> (len + {P - 1}) // {P} - 1 AND n_bytes <> {P} THEN 'wrong length of page' END AS reason
  FROM d LEFT JOIN s USING (image_id)) WHERE reason IS NOT NULL""")
 def dirty_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Events as writes to the document with the user's number."""
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 9).alias("page_no"), F.when(F.col("event_id") % 3 == 0, P).otherwise(F.col("event_id") % (P + 1)).cast("long").alias("n_bytes"))
+    """Events as writes to the document with the user's number; some lack their order, page or bytes."""
+    i = F.col("event_id")
+    n = F.when(i % 17 == 0, None).when(i % 3 == 0, P).otherwise(i % (P + 1)).cast("long")
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("image_id"), F.when(i % 11 != 0, i).alias("seq"), F.when(i % 13 != 0, i % 9).alias("page_no"), n.alias("n_bytes"))
     return tree.dirty_errors(e, shape(spark, d), P)
 
 

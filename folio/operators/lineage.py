@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.sources.shared import written
@@ -77,13 +77,53 @@ def inherit(children: DataFrame, parents: DataFrame, names: list[str]) -> DataFr
     return children.join(p, "parent", "left").select(*rest, *[F.coalesce(n, f"p_{n}").alias(n) for n in names])
 
 
-def affinity(wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """(version, holder, overlap, place): holders in order of how many of a version's blobs they have."""
-    from pyspark.sql import Window
+def _ranked(counts: DataFrame, score: str, top: int | None) -> DataFrame:
+    placed = counts.withColumn("place", F.row_number().over(Window.partitionBy("version").orderBy(F.col(score).desc(), "holder")).cast("long"))
+    return placed if top is None else placed.where(F.col("place") <= top)
 
-    n = wanted.join(held, "hash").groupBy("version", "holder").agg(F.countDistinct("hash").alias("overlap"))
-    w = Window.partitionBy("version").orderBy(F.col("overlap").desc(), "holder")
-    return n.withColumn("place", F.row_number().over(w).cast("long"))
+
+def affinity(wanted: DataFrame, held: DataFrame, top: int | None = None) -> DataFrame:
+    """(version, holder, overlap, place): holders in order of how many of a version's blobs they have, the first ``top`` of each.
+
+    Exact: counts every pair that shares a blob. wanted (version, hash) and held (holder, hash) have a
+    pair once. affinity_sketched() looks at sketches first.
+    """
+    return _ranked(wanted.join(held, "hash").groupBy("version", "holder").agg(F.count("*").alias("overlap")), "overlap", top)
+
+
+#: Hashes of a sketch; ranges in which a large set's are sought first.
+SKETCH, SALTS = 256, 64
+#: A blob that more holders have than this tells them apart too little to be searched by; it counts in the overlap all the same.
+COMMON = 1000
+
+
+def bottom_hashes(sets: DataFrame, by: str, k: int = SKETCH) -> DataFrame:
+    """(by, hash, v, tau): the k least hash values v of each set, as numbers from 0 to 1, and the value below which all are there.
+
+    First within salted parts of a set, then of what is left, so no set is one task.
+    """
+    v = (F.xxhash64("hash").cast("double") + float(1 << 63)) / float(1 << 64)
+    rows = sets.select(by, "hash", v.alias("v"), F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for key in ([by, "salt"], [by]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("v", "hash"))).where(F.col("r") <= k)
+    tau = rows.groupBy(by).agg(F.when(F.count("*") < k, 1.0).otherwise(F.max("v")).alias("tau"))
+    return rows.join(tau, by).select(by, "hash", "v", "tau")
+
+
+def affinity_sketched(wanted: DataFrame, held: DataFrame, top: int, k: int = SKETCH, candidates: int | None = None, common: int = COMMON) -> DataFrame:
+    """As affinity(), but exact overlaps are counted for the most promising ``candidates`` of a version alone (4 x top, unless given).
+
+    Sketches keep the k least hash values of a set, so those of two sets overlap as the sets do below
+    the lesser of their bounds. Overlaps are exact; a holder that the sketches rank too low may be
+    missing. With k above the size of every set nothing is.
+    """
+    w, h = bottom_hashes(wanted, "version", k), bottom_hashes(held, "holder", k)
+    rare = h.groupBy("hash").agg(F.count("*").alias("holders")).where(F.col("holders") <= common).select("hash")
+    h = h.join(rare, "hash", "left_semi").select("holder", "hash", F.col("tau").alias("other"))
+    likely = w.join(h, "hash").groupBy("version", "holder").agg((F.count("*") / F.min(F.least("tau", "other"))).alias("about"))
+    few = _ranked(likely, "about", candidates or 4 * top).select("version", "holder")
+    exact = wanted.join(few, "version").join(held, ["holder", "hash"], "left_semi").groupBy("version", "holder").agg(F.count("*").alias("overlap"))
+    return _ranked(exact, "overlap", top)
 
 
 def evict(lineages: DataFrame, budget: int) -> DataFrame:
@@ -91,8 +131,6 @@ def evict(lineages: DataFrame, budget: int) -> DataFrame:
 
     Running sums by day first, then within the day that the limit falls on, so no task gets all rows.
     """
-    from pyspark.sql import Window
-
     days = lineages.groupBy(F.to_date("last_used").alias("day")).agg(F.sum("n_bytes").alias("n"))
     later = days.withColumn("after", F.coalesce(F.sum("n").over(Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     dated = lineages.withColumn("day", F.to_date("last_used")).join(later.select("day", "after"), "day")
