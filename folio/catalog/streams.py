@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog.fixtures import table
-from folio.operators import frames, logs, sessions, spans
+from folio.operators import frames, logs, prefixed, sessions, spans
 from folio.sources.shared import shared_path, written
 from folio.streaming.processors import Deadlines, Exclusive, Finalizer, Frames, Gate, Protocol
 from folio.streaming import run
@@ -295,7 +295,7 @@ def delim_reframe(spark: SparkSession, d: str) -> DataFrame:
 def length_reframe(spark: SparkSession, d: str) -> DataFrame:
     raw = F.encode("text", "utf-8")
     head = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.octet_length(raw)), 8, "0")))
-    return run_batch(_chunks(spark, d, F.concat(head, raw), 53), lambda: Frames("length")).withColumn("data", F.decode("data", "utf-8"))
+    return prefixed.length_frames(_chunks(spark, d, F.concat(head, raw), 53), 512).withColumn("data", F.decode("data", "utf-8"))
 
 
 @query("line_reframe", _LINES + ", l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t) SELECT conv_id AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::BIGINT AS n, line FROM l")

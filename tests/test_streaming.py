@@ -5,7 +5,7 @@ import random
 from pyspark.sql.functions import lit
 
 from folio.operators import frames as framing
-from folio.operators import tree
+from folio.operators import prefixed, tree
 from folio.streaming.processors import Frames
 from folio.streaming.run import capture, drained, liveness_alarms, replay_dedup, run_batch, run_stream
 
@@ -76,6 +76,26 @@ def test_random_streams_by_columns_and_by_the_processor(spark):
     framing.running_before.__defaults__ = (framing.RANGE,)
 
 
+def test_length_frames_by_ranges_and_by_the_processor(spark):
+    """Streams of frames, broken and cut off ones too, in ranges of any size: the rows that one walk from the start gives."""
+    rng = random.Random(21)
+    frame = lambda kind, body: bytes([kind]) + len(body).to_bytes(4, "big") + body
+    streams = [LENGTH, b"", b"\x00", b"\x00\x7f\x00\x00\x00zz", b"\0" * 700, frame(0, b"x" * 3000), frame(0, b"") * 90]
+    for k in range(40):
+        data = b"".join(frame(rng.choice([0, 0, 1, 1, 9]), rng.randbytes(rng.choice([0, 1, 3, 4, 9, 200, 900]))) for _ in range(rng.randrange(30)))
+        streams.append(data + (b"", b"\x00\xff\xff\xff\xff" + b"tail", b"\x00\x00\x00\x01\x00short", b"\x00\x00")[k % 4])
+    rows = []
+    for s, data in enumerate(streams):
+        cuts = sorted(rng.choices(range(len(data) + 1), k=len(data) // 40))
+        rows += [(s, 3 * k, data[a:b]) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(data)], strict=True))]
+    df = spark.createDataFrame([*rows, (None, 0, b"q"), (2, 10_000, None)], "session_id long, seq long, bytes binary").withColumn("k", lit(5))
+    want = sorted(map(str, run_batch(df, lambda: Frames("length")).collect()))
+    assert sum("error" in w for w in want) > 5 and sum("resize" in w for w in want) > 50
+    for size in (7, 300, 1 << 16):
+        assert sorted(map(str, prefixed.length_frames(df, size).collect())) == want, size
+    assert prefixed.length_frames(df.where("false")).count() == 0
+
+
 def test_chunks_of_frames_are_cut_by_offset(spark):
     rows = [(1, 0, b"abc"), (1, 1, b""), (1, 2, None), (1, 3, b"defghijklmno"), (1, 7, b"p"), (2, 0, b"")]
     got = framing.chunks_of(spark.createDataFrame(rows, "session_id long, seq long, bytes binary"), 5)
