@@ -187,7 +187,7 @@ def _refuse(dirty: DataFrame, shape: DataFrame, page: int | None) -> None:
         raise Refused(f"update refused: page {bad.page_no} of image {bad.image_id}: {bad.reason}")
 
 
-def update_paths(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
+def update_paths(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT, top: int | None = None) -> DataFrame:
     """Rows that dirty pages (image_id, seq, page_no, bytes) change. Of several writes of a page the last by seq counts.
 
     Raises Refused before any tree is folded if a write names an unknown or empty image, a page out
@@ -195,7 +195,7 @@ def update_paths(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int
     """
     sized = written(dirty.select("image_id", "seq", "page_no", F.octet_length("bytes").cast("long").alias("n_bytes"), content_hash(F.col("bytes")).alias("hash")), "dirty")
     _refuse(sized, shape, page)
-    return rebuilt_nodes(nodes, last_write_wins(sized.drop("n_bytes")), shape, fanout)
+    return rebuilt_nodes(nodes, last_write_wins(sized.drop("n_bytes")), shape, fanout, top)
 
 
 def update(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
@@ -236,13 +236,14 @@ def _refold(base: int, s: int, fanout: int):
     return each
 
 
-def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int = FANOUT) -> DataFrame:
+def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int = FANOUT, top: int | None = None) -> DataFrame:
     """Rows of all levels that dirty pages (image_id, page_no, hash) change: the pages, and the nodes above them.
 
     Work follows the dirty pages, not the image: one join takes the siblings of all touched nodes, and
-    a step folds several levels of each touched subtree, a group of bounded size.
+    a step folds several levels of each touched subtree, a group of bounded size. ``top`` is the height
+    of the tallest tree, if it is known.
     """
-    top, s = tallest(shape.join(dirty.select("image_id"), "image_id", "left_semi")), steps(fanout)
+    top, s = tallest(shape) if top is None else top, steps(fanout)
     high = shape.select("image_id", "height")
     touched = dirty.join(high, "image_id").select("image_id", "height", "page_no", "hash")
     levels = F.explode(F.sequence(F.lit(1), F.col("height")))

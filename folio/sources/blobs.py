@@ -59,7 +59,7 @@ def _once(record: DataFrame) -> DataFrame:
     return one.select(same.alias("id"), "r.*").select(record.columns)
 
 
-def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = None) -> int:
+def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = None, log: CommitLog | None = None) -> int:
     """Commit (hash, bytes) and records (RECORD) to the folder ``path``; returns the number of blobs written.
 
     What is held already is passed over by name. The rest is checked and staged in one pass, a blob
@@ -68,7 +68,7 @@ def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = N
     A commit that is repeated changes nothing; one whose ``batch`` has been committed isn't even read.
     Of writers at the same time the later one drops what the earlier ones brought.
     """
-    spark, log = blobs.sparkSession, CommitLog(blobs.sparkSession, path)
+    spark, log = blobs.sparkSession, log or CommitLog(blobs.sparkSession, path)
     seen = log.entries()
     if batch is not None and any(e.batch == batch for e in seen):
         return 0
@@ -131,15 +131,15 @@ def _records(spark: SparkSession, log: CommitLog, entries: list[Entry]) -> DataF
     return spark.read.schema(RECORD).json(paths) if paths else spark.createDataFrame([], RECORD)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame:
+def stored(spark: SparkSession, path: str, log: CommitLog | None = None) -> DataFrame:
     """Blobs of all commits."""
-    log = CommitLog(spark, path)
+    log = log or CommitLog(spark, path)
     return _blobs(spark, log, log.entries())
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, log: CommitLog | None = None) -> DataFrame:
     """Version records; an unknown id is no row."""
-    log = CommitLog(spark, path)
+    log = log or CommitLog(spark, path)
     return _records(spark, log, log.entries())
 
 

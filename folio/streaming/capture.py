@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import diff, tree
 from folio.sources import blobs
+from folio.sources.commits import CommitLog
 from folio.sources.shared import written
 from folio.sources.versions import BUCKETS, Versions, bucket_of
 from folio.streaming.run import capture
@@ -14,10 +15,10 @@ from folio.streaming.run import capture
 DIRTY = "image_id long, seq long, page_no long, bytes binary"
 
 
-def capture_batch(table: Versions, store: str, shape: DataFrame, dirty: DataFrame, batch: str, number: int, page: int, fanout: int) -> bool:
+def capture_batch(table: Versions, store: CommitLog, shape: DataFrame, dirty: DataFrame, batch: str, number: int, page: int, fanout: int, top: int | None = None) -> bool:
     """Apply one batch of dirty pages (DIRTY); False if it has been applied.
 
-    Only buckets of the batch's images are read. Blobs and version records are committed to the folder
+    Only buckets of the batch's images are read. Blobs and version records are committed to
     ``store`` before the table's entry makes the versions visible; a batch that is repeated, after
     whatever part of it was done, leaves each blob, record and version once. Raises tree.Refused as
     update_paths() does, before anything is written to table or store.
@@ -29,7 +30,7 @@ def capture_batch(table: Versions, store: str, shape: DataFrame, dirty: DataFram
     buckets = sorted(r.b for r in dirty.where("image_id IS NOT NULL").select(bucket_of("image_id", table.buckets).alias("b")).distinct().collect())  # at most table.buckets
     seen = table.log.entries()
     before = table.rows(buckets, seen)
-    fresh = written(tree.update_paths(before, dirty, shape, page, fanout), "fresh")
+    fresh = written(tree.update_paths(before, dirty, shape, page, fanout, top), "fresh")
     touched = dirty.groupBy("image_id").agg(F.countDistinct("page_no").alias("dirty_pages"))
     now = tree.root_rows(fresh, shape).join(touched, "image_id")
     old = table.heads(buckets, seen).select("image_id", F.col("id").alias("parent"))
@@ -38,15 +39,15 @@ def capture_batch(table: Versions, store: str, shape: DataFrame, dirty: DataFram
     heads = written(heads, "heads")
 
     last = tree.last_write_wins(dirty).select("image_id", "page_no", "bytes")
-    held = blobs.stored(spark, store).select("hash")
+    held = blobs.stored(spark, store.path, store).select("hash")
     none = spark.createDataFrame([], "hash string, bytes binary")
     after = before.join(fresh.select("image_id", "level", "node_idx"), ["image_id", "level", "node_idx"], "left_anti").unionByName(fresh)
     up = diff.commit_blobs(fresh.join(held, "hash", "left_anti"), last, after, none, held, fanout)
     record = heads.join(shape.select("image_id", "len"), "image_id").select("id", "parent", F.struct("root", "len").alias("mem_tree"), F.lit(number).cast("long").alias("created_unix_ms"), F.sha2(F.concat(F.lit("snapshot:"), "id"), 256).alias("snapshot"))
     # a version has its parent's artifacts but for its own snapshot
-    parents = blobs.records(spark, store).select(F.col("id").alias("parent"), *[a for a in blobs.ARTIFACTS if a != "snapshot"])
+    parents = blobs.records(spark, store.path, store).select(F.col("id").alias("parent"), *[a for a in blobs.ARTIFACTS if a != "snapshot"])
     record = record.join(parents, "parent", "left").select("id", "parent", "mem_tree", "created_unix_ms", *blobs.ARTIFACTS)
-    blobs.commit(up.select("hash", "bytes"), record, store, batch)
+    blobs.commit(up.select("hash", "bytes"), record, store.path, batch, store)
     return table.append(fresh, heads, batch)
 
 
@@ -58,7 +59,8 @@ def versioned(spark: SparkSession, nodes: DataFrame, shape: DataFrame, source: s
     """
     table = Versions(spark, f"{path}/versions", buckets)
     table.start(nodes)
-    shape = written(shape, "shape")
+    shape, store = written(shape, "shape"), CommitLog(spark, f"{path}/store")
+    top = tree.tallest(shape)
     stream = spark.readStream.schema(DIRTY).option("maxFilesPerTrigger", 1).parquet(source)
-    capture(stream, lambda dirty, n: capture_batch(table, f"{path}/store", shape, dirty, f"{name}-{n}", n, page, fanout), f"{path}/checkpoint").awaitTermination()
+    capture(stream, lambda dirty, n: capture_batch(table, store, shape, dirty, f"{name}-{n}", n, page, fanout, top), f"{path}/checkpoint").awaitTermination()
     return table

@@ -126,9 +126,9 @@ def test_captured_versions_survive_restarts_and_repeats(spark, tmp_path, trees):
     table = call()
     check(table, 3)
     last = spark.createDataFrame([(0, 0, 0, b"d" * P)], DIRTY)
-    assert not capture_batch(table, f"{path}/store", shape, last, "capture-1", 1, P, FAN)  # a repeated batch
+    assert not capture_batch(table, CommitLog(spark, f"{path}/store"), shape, last, "capture-1", 1, P, FAN)  # a repeated batch
     with pytest.raises(tree.Refused):
-        capture_batch(table, f"{path}/store", shape, spark.createDataFrame([(2, 0, 0, b"x")], DIRTY), "bad", 9, P, FAN)
+        capture_batch(table, CommitLog(spark, f"{path}/store"), shape, spark.createDataFrame([(2, 0, 0, b"x")], DIRTY), "bad", 9, P, FAN)
     check(table, 3)
     assert table.compact()
     check(Versions(spark, f"{path}/versions", 4), 3)
