@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.catalog.fixtures import table
-from folio.operators import frames, logs, prefixed, sessions, spans
+from folio.operators import exclusive, frames, logs, prefixed, sessions, spans
 from folio.sources.shared import shared_path, written
-from folio.streaming.processors import Deadlines, Exclusive, Finalizer, Frames, Gate, Protocol
+from folio.streaming.processors import Deadlines, Finalizer, Frames, Gate, Protocol
 from folio.streaming import run
 from folio.streaming.run import drained, run_batch, run_stream
 from folio.streaming.timers import drained_timed, run_timed
@@ -78,7 +78,7 @@ def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("overlap_reject", "WITH RECURSIVE " + _E[5:] + f", {_SPAN}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM s), w AS (SELECT session_id, seq, r, true AS accepted, end_ms AS until FROM n WHERE r = 1 UNION ALL SELECT n.session_id, n.seq, n.r, n.start_ms >= w.until, CASE WHEN n.start_ms >= w.until THEN n.end_ms ELSE w.until END FROM w JOIN n ON n.session_id = w.session_id AND n.r = w.r + 1) SELECT session_id, seq, accepted FROM w")
 def overlap_reject(spark: SparkSession, d: str) -> DataFrame:
     """Only accepted spans count, so each decision needs the one before."""
-    return run_batch(_spans(spark, d), Exclusive)
+    return exclusive.accepted(_spans(spark, d))
 
 
 @query("log_tail", _E + "SELECT session_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM e) WHERE r <= 20")

@@ -73,7 +73,7 @@ def _jumps(ranges: DataFrame, size: int) -> DataFrame:
     return ranges.mapInArrow(run, "session_id long, a long, b long")
 
 
-def _passed(jumps: DataFrame, sessions: DataFrame) -> DataFrame:
+def passed(jumps: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session_id, at): byte 0 of each session, and every place that jumps lead to from there."""
     known = written(sessions.select("session_id", F.lit(0).cast("long").alias("at")), "passed")
     n = known.count()
@@ -122,8 +122,8 @@ def length_frames(chunks: DataFrame, size: int = SIZE) -> DataFrame:
     off at the end is nothing. ``seq`` orders the chunks of a session (session_id, seq, bytes), each once.
     """
     ranges = written(_ranges(chunks, size), "ranges")
-    passed = _passed(written(_jumps(ranges, size), "jumps"), ranges.select("session_id").distinct())
-    entries = passed.select("session_id", F.floor(F.col("at") / size).alias("k"), F.col("at").alias("entry"))
+    entered = passed(written(_jumps(ranges, size), "jumps"), ranges.select("session_id").distinct())
+    entries = entered.select("session_id", F.floor(F.col("at") / size).alias("k"), F.col("at").alias("entry"))
     found = written(_walked(ranges.join(entries, ["session_id", "k"]), size), "found")
     # frames that end in a later range: their pieces are taken from each range that they lie in
     open_ = found.where("data IS NULL").withColumn("first", F.col("at") + _HEAD).withColumn("last", F.col("first") + F.col("length") - 1)

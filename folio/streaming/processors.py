@@ -97,8 +97,20 @@ class Frames:
         return [self._out("error", None, b"unfinished")] if self.mode == "sse" and self.tail.strip(b"\r\n") else []
 
 
+#: The end of a span that hasn't ended.
+NEVER = (1 << 63) - 1
+
+
+def _none(x: object) -> bool:
+    """Null, which a micro-batch's numbers show as NaN."""
+    return x is None or x != x
+
+
 class Exclusive:
-    """Accept a span if the last accepted one has ended when it starts."""
+    """Accept a span if the last accepted one has ended when it starts.
+
+    A span without start is refused, one without end stays open; one that ends before it starts lasts no time.
+    """
 
     columns = ("start_ms", "end_ms")
     schema = "session_id long, seq long, accepted boolean"
@@ -114,9 +126,9 @@ class Exclusive:
 
     def feed(self, row: tuple) -> list[tuple]:
         start, end, seq = row
-        ok = self.until is None or start >= self.until
+        ok = not _none(start) and (self.until is None or start >= self.until)
         if ok:
-            self.until = int(end)
+            self.until = NEVER if _none(end) else max(int(start), int(end))
         return [(seq, ok)]
 
     def end(self) -> list[tuple]:
