@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, or, where that is unset, in the warehouse."""
+    """A new path in the application's own part of the folder that spark.checkpoint.dir names, or, where that is unset, of the warehouse.
+
+    That part goes with the application: Hadoop removes it when the driver ends. Until then a DataFrame
+    whose lineage ends in a table there can be computed again.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{top.rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
