@@ -105,10 +105,12 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "first"
 def field_tokens(docs: DataFrame, path: str, pattern: str, fields: list[str], rule: str = "first", id_col: str = "doc_id") -> DataFrame:
     """Sections are the named columns, joined by a newline that belongs to the field before it; null fields are empty.
 
-    The row of a document is doc_id, n_tokens and a map from field to tokens.
+    The row of a document is doc_id, n_tokens and a map from field to tokens. A field that is named
+    again counts once; without fields there are no tokens and the map is empty. A null id stays null;
+    repeated rows come out again; other columns aren't read.
     """
-    names = list(fields)
-    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("parts"))
+    names = list(dict.fromkeys(fields))
+    joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).cast("array<string>").alias("parts"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, total = [], []

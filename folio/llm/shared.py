@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +15,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of tables that operators have written, while kept_only() watches.
-_made: list[str] | None = None
+#: Paths of tables that operators have written, while kept_only() watches; each thread has its own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -24,8 +25,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_to(df: DataFrame, path: str) -> DataFrame:
-    if _made is not None:
-        _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,14 +39,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def kept_only(df: Callable[[], DataFrame], spark: SparkSession, name: str) -> tuple[DataFrame, str]:
     """What ``df()`` gives, written, and its path; the tables that operators wrote for it are removed then."""
-    global _made
-    _made = []
+    made: list[str] = []
+    before = _made.set(made)
     try:
         path = shared_path(spark, name)
         out = df()
         out.write.option("compression", "zstd").parquet(path)
-        for made in _made:
-            remove(spark, made)
     finally:
-        _made = None
+        _made.reset(before)
+        for table in made:
+            remove(spark, table)
     return spark.read.schema(out.schema).parquet(path), path

@@ -137,3 +137,15 @@ def test_quality_odd_rows(spark):
     none = quality.fit(docs, labels.where("false"), quality.F.lit(True))
     assert all(r.score >= 0.5 for r in quality.score(docs, none).collect())
     assert quality.score(docs.where("false"), model).count() == 0
+
+
+def test_quality_beside_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "A fine text."), (2, None), (None, ""), (4, "X!! X!! X!!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    more = lambda df, *names: df.selectExpr("*", *[f"'q' AS {n}" for n in names])
+    names = ("score", "predicted", "held_out", "text_hash", "features", "label", "lang", "source", "id", "hash")
+    plain = quality.score(docs, quality.fit(docs, labels, quality.F.lit(True)))
+    wide = more(docs, "quality", *names)
+    clashing = quality.score(wide, quality.fit(wide, more(labels, "text", *names), quality.F.lit(True)))
+    assert clashing.columns == plain.columns
+    assert sorted(map(str, clashing.collect())) == sorted(map(str, plain.collect()))

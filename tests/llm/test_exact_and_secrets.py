@@ -100,3 +100,12 @@ def test_candidates_of_a_megabyte(spark):
     assert got[5] == [(0, 2, n, "hex")]
     assert got[6] == [(0, 0, n + 6, "assign")]
     assert (0, 1, n + 4, "access") in got[7]
+
+
+def test_secrets_without_ids_and_beside_columns_of_their_names(spark):
+    token = "token=24be64439e3e49cf46b2d7c90f3602a3"
+    rows = [(None, token), (None, token), (3, None), (3, token), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = df.selectExpr("*", *[f"'q' AS {n}" for n in ("found", "spans", "id", "start", "stop", "kind", "c", "chars", "text_hash")])
+    got = [sorted(((r.doc_id, [tuple(x) for x in r.found]) for r in secrets.secret_spans(d).collect()), key=str) for d in (df, wide)]
+    assert got[0] == got[1] == sorted(((i, brute(t or "")) for i, t in rows), key=str)

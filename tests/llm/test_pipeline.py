@@ -79,3 +79,43 @@ def test_run_leaves_one_table_behind(spark):
     before = set(top.iterdir()) if top.exists() else set()
     assert corpus_pipeline.run(spark, D).count()
     assert [p.name.rsplit("-", 1)[0] for p in set(top.iterdir()) - before] == ["benchmark-decontamination"]
+
+
+def test_stages_take_very_long_texts_whole(spark):
+    """Copies, near copies and test items are found at the far end of texts of a megabyte, and the texts stay whole."""
+    item = spark.read.parquet(f"{D}/benchmark.parquet").first().text
+    long_ = " ".join(f"w{i * 7919 % 99991}" for i in range(150_000))
+    other = " ".join(f"v{i * 104729 % 99989}" for i in range(150_000))
+    rows = [(1, long_), (2, long_ + " end"), (3, long_), (4, other + " " + item), (5, other[: len(other) // 2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS)
+    stages, texts = dict(corpus_pipeline.STAGES), dict(rows)
+    for name, want in (("exact dedup", {2, 3, 4, 5}), ("minhash near-dedup", {1, 4, 5}), ("benchmark decontamination", {1, 2, 3, 5})):
+        kept = {r.doc_id: r.text for r in stages[name](spark, docs, D).collect()}
+        assert kept.keys() == want and all(texts[i] == t for i, t in kept.items()), name
+    assert all(texts[r.doc_id] == r.text for r in stages["quality classifier"](spark, docs, D).collect())
+    got = {r.doc_id: r.decoded_sha256 for r in stages["bpe encoding"](spark, docs, D).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+
+
+def test_tables_of_another_thread_stay(spark):
+    from threading import Event, Thread
+
+    from folio.llm import shared
+
+    watching, wrote, kept = Event(), Event(), []
+
+    def other():
+        watching.wait(60)
+        kept.append(shared.written(spark.range(3), "other"))
+        wrote.set()
+
+    def mine():
+        watching.set()
+        assert wrote.wait(60)
+        return shared.written(spark.range(5), "mine")
+
+    beside = Thread(target=other)
+    beside.start()
+    assert shared.kept_only(mine, spark, "both")[0].count() == 5
+    beside.join()
+    assert kept[0].count() == 3

@@ -104,3 +104,17 @@ def test_field_tokens_add_up(spark):
     got = {r.doc_id: r for r in attribution.field_tokens(df, path, pattern, ["head", "body"]).collect()}
     assert all(sum(r.fields.values()) == r.n_tokens for r in got.values())
     assert got[1].fields == {"head": 3, "body": 3} and got[3].n_tokens == 1
+
+
+def test_field_tokens_odd_rows(spark):
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    rows = [(1, "a b", "c d e", "x"), (None, "a b", None, None), (2, "é😀 " * 30000, "", "y"), (1, "a b", "c d e", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, parts string, fields string, n_tokens string")
+    got = attribution.field_tokens(df, path, pattern, ["parts", "fields", "parts"]).collect()
+    once = attribution.field_tokens(df, path, pattern, ["parts", "fields"]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, once)) and len(got) == 4
+    assert all(set(r.fields) == {"parts", "fields"} and sum(r.fields.values()) == r.n_tokens for r in got)
+    assert next(r for r in got if r.doc_id is None).fields == {"parts": 3, "fields": 0}
+    none = attribution.field_tokens(df, path, pattern, []).collect()
+    assert sorted((r.doc_id, r.n_tokens, len(r.fields)) for r in none if r.doc_id) == [(1, 0, 0), (1, 0, 0), (2, 0, 0)]
+    assert attribution.field_tokens(df.where("false"), path, pattern, ["parts"]).collect() == []
