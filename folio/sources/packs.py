@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 MARK = b"FOLIOPK1"
 #: Bytes of a pack, unless one blob has more, and of a stretch that a partition reads.
@@ -126,7 +126,7 @@ class _StreamReader(DataSourceStreamReader):
         yield from _read(self.path, partition)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """A task fills packs of about PACK bytes; they get their names when all tasks are done."""
 
     def __init__(self, path: str, overwrite: bool):
@@ -146,18 +146,18 @@ class _Writer(DataSourceWriter):
             out.close()
             out, index, at = None, [], 0
 
-        for row in iterator:
-            if row["bytes"] is None or row["hash"] is None:
-                continue
-            if out is None:
-                made.append(f"{self.job}-{uuid.uuid4().hex}")
-                out = disk.open_output_stream(f"{top}/{made[-1]}.part")
-            data = bytes(row["bytes"])
-            out.write(data)
-            index.append((row["hash"], at, len(data)))
-            at += len(data)
-            if at >= PACK:
-                close()
+        for batch in iterator:
+            for name, data in zip(batch.column("hash").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                if data is None or name is None:
+                    continue
+                if out is None:
+                    made.append(f"{self.job}-{uuid.uuid4().hex}")
+                    out = disk.open_output_stream(f"{top}/{made[-1]}.part", buffer_size=1 << 20)
+                out.write(data)
+                index.append((name, at, len(data)))
+                at += len(data)
+                if at >= PACK:
+                    close()
         if out is not None:
             close()
         return Written(made)
@@ -230,17 +230,18 @@ def range_read(wanted: DataFrame, path: str, gap: int = GAP) -> DataFrame:
             return _batch(rows)
 
         held: list[tuple] = []
+        stop = 0  # where the farthest range held ends
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "pack", "offset", "len")), strict=True):
-                stop = max((r[2] + r[3] for r in held), default=0)
                 if held and (row[1] != name or row[2] - stop > gap or stop - held[0][2] > 1 << 24):
                     yield flush(held)
-                    held = []
+                    held, stop = [], 0
                 if row[1] != name:
                     if file:
                         file.close()
                     name, file = row[1], disk.open_input_file(f"{top}/{row[1]}")
                 held.append(row)
+                stop = max(stop, row[2] + row[3])
         if held:
             yield flush(held)
         if file:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,17 @@ def test_ranges_read_only_what_they_need(spark, folder, monkeypatch):
         assert counted.read < 16 + 200 * len(found) < size / 10
 
 
+def test_many_small_ranges_of_a_pack_take_a_step_each(spark, tmp_path):
+    """Ranges that are read as one aren't gone through again for each further one."""
+    spark.dataSource.register(packs.PackSource)
+    path, n = str(tmp_path / "packs"), 40_000
+    rows = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.encode(F.col("id").cast("string"), "utf-8").alias("bytes"))
+    rows.coalesce(1).write.format("folio-packs").mode("append").save(path)
+    start = time.monotonic()
+    assert packs.range_read(packs.index(spark, path), path).where(F.sha2("bytes", 256) == F.col("hash")).count() == n
+    assert time.monotonic() - start < 15
+
+
 def test_a_stream_meets_packs_as_they_come(spark, tmp_path):
     spark.dataSource.register(packs.PackSource)
     path = str(tmp_path / "packs")
