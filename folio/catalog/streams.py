@@ -184,17 +184,17 @@ def session_finalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, df: DataFrame, make, name: str) -> DataFrame:
-    """What a processor with timers gives of ``df`` (session_id, seq, ms, ...) when it comes as a stream of three files; a session far in the future moves the clock on."""
+    """What a processor with timers gives of ``df`` (session_id, seq, ms, ...) when it comes as a stream in three parts; a session far in the future moves the clock on."""
     path = shared_path(spark, name)
-    rows = df.withColumn("ts", F.timestamp_millis("ms")).drop("ms")
-    low, high = df.agg(F.min("ms"), F.max("ms")).first()
+    rows = written(df.withColumn("ts", F.timestamp_millis("ms")).drop("ms"), name)
+    low, high = rows.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
     later = rows.limit(1).withColumns({"session_id": F.lit(-1).cast("long"), "ts": F.timestamp_millis(F.lit(high) + 10 * 365 * 86_400_000)})
     cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        rows.where((F.unix_millis("ts") > a) & (F.unix_millis("ts") <= b)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    later.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = lambda: run_timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), make, 400 * 86_400_000)
-    return drained_timed(stream, spark, path).where("session_id <> -1")
+    stream = lambda: run_timed(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), make, 400 * 86_400_000)
+    for part in (*(rows.where((F.unix_millis("ts") > a) & (F.unix_millis("ts") <= b)) for a, b in zip(cuts, cuts[1:], strict=False)), later):
+        part.write.mode("append").parquet(f"{path}/in")
+        out = drained_timed(stream, spark, path)
+    return out.where("session_id <> -1")
 
 
 @query("s8_stream", _E + f""", {_CONTROL}, f AS (SELECT session_id, arg_min(ok, seq) AS ok, arg_min(ms, seq) AS ms, arg_min(coalesce(error, ''), seq) AS error FROM r GROUP BY 1), s AS (SELECT session_id, session_id % 7 = 0 AS aborted, CASE WHEN session_id % 3 = 0 THEN max(ms) END AS closed_ms FROM e GROUP BY 1)
