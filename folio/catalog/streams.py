@@ -354,13 +354,13 @@ def section_header(spark: SparkSession, d: str) -> DataFrame:
 
 @query("log_format", _E + "SELECT session_id, (ms * 1000) || 'us [' || name || '] value ' || seq AS line FROM e")
 def log_format(spark: SparkSession, d: str) -> DataFrame:
-    """Log lines of sessions appended to their files by two writers, and read back."""
+    """Log lines of sessions appended to their logs by two writers, and read back."""
     path = shared_path(spark, "log")
     line = logs.log_format(F.col("ms") * 1000, F.col("name"), F.concat(F.lit("value "), "seq"))
     e = events(spark, d).select("session_id", "seq", line.alias("line"))
     for k in range(2):
         logs.append_log(e.where(f"seq % 2 = {k}"), path)
-    return spark.read.schema("value string, session_id long").text(path).select("session_id", F.col("value").alias("line"))
+    return logs.read_log(spark, path).select("session_id", "line")
 
 
 @query("log_parse", _E + "SELECT session_id, seq, ms * 1000 AS ts_us, name AS prefix, 'value ' || seq AS line FROM e WHERE seq % 10 <> 0")
