@@ -250,7 +250,7 @@ def outcome_class(spark: SparkSession, d: str) -> DataFrame:
 
 @query("event_encode", _E + "SELECT session_id, seq, '{\"' || name || '\":\"' || to_base64(encode(name || ':' || seq)) || '\"}' AS json FROM e")
 def event_encode(spark: SparkSession, d: str) -> DataFrame:
-    body = F.base64(F.encode(F.concat("name", F.lit(":"), "seq"), "utf-8"))
+    body = sessions.base64_text(F.encode(F.concat("name", F.lit(":"), "seq"), "utf-8"))
     return events(spark, d).select("session_id", "seq", sessions.event_encode(F.col("session_id"), F.col("name"), body).alias("json"))
 
 
@@ -425,10 +425,10 @@ def hex_validate(spark: SparkSession, d: str) -> DataFrame:
 @query("b4_base64", "SELECT page_id, sha256(html) AS hash, to_base64(encode(url)) AS head FROM pages WHERE html IS NOT NULL AND page_id % 3 <> 0")
 def base64(spark: SparkSession, d: str) -> DataFrame:
     """Pages through base64 and back; every third payload is broken, and what doesn't decode is dropped."""
-    sent = F.base64(F.encode("html", "utf-8"))
+    sent = sessions.base64_text(F.encode("html", "utf-8"))
     sent = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("*"), sent)).otherwise(sent)
     p = table(spark, d, "pages").withColumn("raw", F.try_to_binary(sent, F.lit("base64"))).where("raw IS NOT NULL")
-    return p.select("page_id", F.sha2("raw", 256).alias("hash"), F.base64(F.encode("url", "utf-8")).alias("head"))
+    return p.select("page_id", F.sha2("raw", 256).alias("hash"), sessions.base64_text(F.encode("url", "utf-8")).alias("head"))
 
 
 @query("b12_lossy_text", "SELECT doc_id, sha256(chr(65533) || coalesce(text, '') || chr(65533) || '!') AS hash, length(coalesce(text, '')) + 3 AS n_chars FROM documents")

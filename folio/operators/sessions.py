@@ -89,6 +89,11 @@ def event_decode(events: DataFrame) -> DataFrame:
     return events.withColumn("d", parsed).withColumn("kind", kind).where("kind IS NOT NULL").select("session_id", "seq", "kind", text.alias("text"))
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 on one line, however long; Spark's own function breaks it after 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def event_encode(session: Column, name: Column, body: Column) -> Column:
     """JSON of an event: one key, the event's name."""
     return F.to_json(F.map_from_arrays(F.array(name), F.array(body)))

@@ -1,5 +1,6 @@
 """Cases that the tables don't hold, and invariants that need no SQL."""
 
+import base64
 import hashlib
 import random
 
@@ -185,3 +186,18 @@ def test_finalise_every_state(spark):
     m = spark.createDataFrame([(4, 2, 7, '{"result":{"ok":true,"frame_id":"f"}}'), (4, 3, 8, '{"error":"late"}'), (5, 1, 3, '{"result":{"ok":false,"error":"no"}}'), (1, 1, 1, "junk"), (2, 1, 1, '{"phase":"x"}')], "session_id long, seq long, ms long, data string")
     got = {r.session_id: tuple(r)[1:] for r in sessions.finalize(s, sessions.results(m)).collect()}
     assert got == {1: ("running", None, None), 2: ("error", 9, "session closed without result"), 3: ("aborted", 9, None), 4: ("ok", 7, None), 5: ("error", 3, "no")}
+
+
+def test_long_base64_is_one_line(spark):
+    rows = spark.createDataFrame([(b"x" * n,) for n in (0, 57, 58, 5000)], "b binary")
+    got = {bytes(r.b): r.t for r in rows.select("b", sessions.base64_text(F.col("b")).alias("t")).collect()}
+    assert got == {b: base64.b64encode(b).decode() for b in got} and len(got) == 4
+
+
+def test_a_log_of_many_sessions_is_few_files(spark, tmp_path):
+    path = str(tmp_path / "log")
+    lines = spark.range(2000).selectExpr("CASE WHEN id > 5 THEN id END AS session_id", "concat('l', id, '\n') AS line")
+    for k in range(2):
+        logs.append_log(lines.where(f"pmod(hash(line), 2) = {k}"), path, 8)
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 16
+    assert sorted(map(str, logs.read_log(spark, path).select("session_id", "line").collect())) == sorted(map(str, lines.collect()))
