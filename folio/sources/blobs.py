@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.operators.tree import content_hash
 from folio.sources.commits import CommitLog, Entry
+from folio.sources.shared import written
 
 #: The hashes of a version record besides its tree.
 ARTIFACTS = ("kernel", "initrd", "store_disk", "cmdline", "snapshot")
@@ -50,20 +51,31 @@ def batch_get(request: DataFrame, store: DataFrame) -> DataFrame:
 STORED = "hash string, bytes binary, n_bytes bigint"
 
 
-def _once(record: DataFrame) -> DataFrame:
-    """Records with each id once; ids that two different records share fail when they are read."""
+def _new_records(record: DataFrame, known: DataFrame) -> DataFrame:
+    """Records whose id isn't ``known``, each id once; ids that two different records share fail.
+
+    Ids and short hashes go first, so records themselves move only if some are known or come again.
+    ``record`` is read twice.
+    """
     rest = [c for c in record.columns if c != "id"]
-    whole = F.to_json(F.struct(*rest))
-    one = record.groupBy("id").agg(F.any_value(F.struct(*rest)).alias("r"), F.min(whole).alias("least"), F.max(whole).alias("most"))
+    mark = F.unhex(F.sha2(F.to_json(F.struct(*rest)), 256)).alias("mark")
+    one = record.select("id", mark).groupBy("id").agg(F.count("*").alias("n"), F.min("mark").alias("least"), F.max("mark").alias("most"))
     same = F.when(F.col("least") == F.col("most"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("commit refused: two records of "), "id")))
-    return one.select(same.alias("id"), "r.*").select(record.columns)
+    ids = one.join(known.select("id", F.lit(True).alias("there")), "id", "left").select(same.alias("id"), "n", F.col("there").isNotNull().alias("there"))
+    ids = written(ids, "ids")
+    n_known, n_new, most = ids.agg(F.count_if("there"), F.count_if(~F.col("there")), F.max("n")).first()
+    if not n_new:
+        return record.where("false")
+    if n_known:
+        record = record.join(ids.where("NOT there").select(F.col("id").alias("fresh")), F.expr("id <=> fresh"), "left_semi")
+    return record if most == 1 else record.groupBy("id").agg(F.any_value(F.struct(*rest)).alias("r")).select("id", "r.*")
 
 
 def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = None, log: CommitLog | None = None) -> int:
     """Commit (hash, bytes) and records (RECORD) to the folder ``path``; returns the number of blobs written.
 
-    What is held already is passed over by name. The rest is checked and staged in one pass, a blob
-    once and a record once; any blob that doesn't hash to its name fails the commit, nothing of it is
+    What is held already is passed over by name. The rest is checked and staged, a blob in one pass and a
+    record after its id, each once; any blob that doesn't hash to its name fails the commit, nothing of it is
     visible, and what was staged goes. Else an entry of the log makes blobs and records visible together.
     A commit that is repeated changes nothing; one whose ``batch`` has been committed isn't even read.
     Of writers at the same time the later one drops what the earlier ones brought.
@@ -81,7 +93,7 @@ def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = N
         n, bad = spark.read.parquet(f"{at}/blobs").agg(F.count("*"), F.min(F.when(~F.col("good"), F.coalesce("hash", F.lit("null"))))).first()
         if bad:
             raise ValueError(f"commit refused: blob {bad} doesn't hash to its name")
-        _once(record).join(_records(spark, log, seen).select("id"), "id", "left_anti").write.json(f"{at}/records", ignoreNullFields=True)
+        _new_records(record, _records(spark, log, seen)).write.json(f"{at}/records", ignoreNullFields=True, compression="gzip")
     except Exception:
         log.drop(part)
         raise
@@ -96,7 +108,7 @@ def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = N
             return 0
         part, to = log.new_part()
         spark.read.parquet(f"{at}/blobs").join(_blobs(spark, log, later).select("hash"), "hash", "left_anti").write.parquet(f"{to}/blobs")
-        spark.read.schema(RECORD).json(f"{at}/records").join(_records(spark, log, later).select("id"), "id", "left_anti").write.json(f"{to}/records", ignoreNullFields=True)
+        spark.read.schema(RECORD).json(f"{at}/records").join(_records(spark, log, later).select("id"), "id", "left_anti").write.json(f"{to}/records", ignoreNullFields=True, compression="gzip")
         log.drop(before)
         n, at = spark.read.parquet(f"{to}/blobs").count(), to
 
@@ -110,7 +122,7 @@ def compact(spark: SparkSession, path: str) -> int:
         return 0
     part, at = log.new_part()
     _blobs(spark, log, seen).withColumn("good", F.lit(True)).write.parquet(f"{at}/blobs")
-    _records(spark, log, seen).write.json(f"{at}/records", ignoreNullFields=True)
+    _records(spark, log, seen).write.json(f"{at}/records", ignoreNullFields=True, compression="gzip")
     number = seen[-1].number + 1
     while not log.publish(Entry(number, None, part, "compact", sum(e.rows for e in live), [e.part for e in live])):
         later = [e for e in log.entries() if e.number >= number]
