@@ -40,18 +40,32 @@ def _next(frontier: DataFrame, seen: DataFrame) -> DataFrame:
     return below.join(seen.select("hash", "level"), ["hash", "level"], "left_anti")
 
 
+def _inner(blobs: DataFrame) -> DataFrame:
+    """Blobs (hash, bytes) whose bytes may be a node's, written once: what rounds of a walk look at, instead of all pages each time."""
+    text = F.decode("bytes", "ISO-8859-1")
+    return written(blobs.where(text.rlike("^[0-9]{1,18}:[0-9a-f]*$")).select("hash", "bytes"), "inner")
+
+
+def _found(new: DataFrame, inner: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``new`` (hash, ...) with bytes and ``there``: from ``inner``, and only where these lack a node from all ``blobs``."""
+    held = lambda x: x.select("hash", "bytes", F.lit(True).alias("there"))
+    lost = new.join(inner.select("hash"), "hash", "left_anti")
+    if not lost.take(1):
+        return new.join(held(inner), "hash", "left")
+    return new.join(held(inner), "hash").unionByName(lost.join(held(blobs), "hash", "left"))
+
+
 def reached(roots: DataFrame, blobs: DataFrame) -> DataFrame:
     """(hash, level, status) of every blob below roots (hash, level): 'ok', or, for inner nodes, 'missing' or 'corrupt'; below these nothing is known.
 
     ``blobs`` are (hash, bytes), each hash once. Pages are level 0 and aren't read. A node that many
     trees share is met once.
     """
-    seen = None
+    seen, inner = None, _inner(blobs)
     new = written(roots.where("hash IS NOT NULL").select("hash", F.col("level").cast("int").alias("level")).distinct(), "frontier")
     out = []
     while new.take(1):
-        held = blobs.select("hash", "bytes", F.lit(True).alias("there"))
-        found = new.where("level > 0").join(held, "hash", "left")
+        found = _found(new.where("level > 0"), inner, blobs)
         status = F.when(F.col("there").isNull(), "missing").when(~content_hash(F.col("bytes")).eqNullSafe(F.col("hash")), "corrupt").otherwise("ok")
         now = written(found.select("hash", "level", status.alias("status"), "bytes"), "walked")
         out += [now.select("hash", "level", "status"), new.where("level = 0").select("hash", "level", F.lit("ok").alias("status"))]
@@ -87,11 +101,11 @@ def level_fetch(roots: DataFrame, local: DataFrame, central: DataFrame) -> tuple
     fetched. Raises Broken at a node that is nowhere or whose bytes don't hash to its name.
     """
     new = written(roots.where("hash IS NOT NULL AND level > 0").select("hash", F.col("level").cast("int").alias("level")).distinct(), "frontier")
-    seen, fetched, counts = new, [], []
+    seen, fetched, counts, mine, theirs = new, [], [], _inner(local), _inner(central)
     while new.take(1):
-        here = local.select("hash", F.col("bytes").alias("mine"), F.lit(True).alias("held"))
-        there = central.select("hash", F.col("bytes").alias("sent"))
-        rows = new.join(here, "hash", "left").join(there, "hash", "left").select("hash", "level", F.col("held").isNotNull().alias("held"), F.when(F.col("held"), F.col("mine")).otherwise(F.col("sent")).alias("bytes"))
+        here = new.join(mine.withColumn("there", F.lit(True)), "hash", "left")
+        lacking = here.where("there IS NULL").select("hash", "level")
+        rows = here.where("there").select("hash", "level", F.lit(True).alias("held"), "bytes").unionByName(_found(lacking, theirs, central).select("hash", "level", F.lit(False).alias("held"), "bytes"))
         rows = written(rows.withColumn("good", content_hash(F.col("bytes")).eqNullSafe(F.col("hash"))), "fetch")
         bad = rows.where("NOT good").head()
         if bad:
@@ -106,4 +120,8 @@ def level_fetch(roots: DataFrame, local: DataFrame, central: DataFrame) -> tuple
     rows, sums = fetched[0], counts[0]
     for x, y in zip(fetched[1:], counts[1:], strict=True):
         rows, sums = rows.unionByName(x), sums.unionByName(y)
+    # what local holds under a node's name, though no node, was passed over by the walk
+    spoilt = rows.select("hash").join(local.select("hash"), "hash", "left_semi").head()
+    if spoilt:
+        raise Broken(f"fetch: node {spoilt.hash} is corrupt")
     return rows, sums.groupBy("level").agg(F.sum("asked").alias("asked"), F.sum("fetched").alias("fetched"))

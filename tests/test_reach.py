@@ -1,6 +1,7 @@
 """Walks from records through stored nodes, and commits that meet."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,22 @@ def test_captured_versions_survive_restarts_and_repeats(spark, tmp_path, trees):
     check(Versions(spark, f"{path}/versions", 4), 3)
     write([(3, 0, 8, b"e" * 6)])
     check(call(), 4)
+
+
+def test_walks_read_all_blobs_a_few_times_only(spark, monkeypatch):
+    """Rounds look at the blobs that may be nodes; all blobs, pages among them, are read once, whatever the height."""
+    rng, page, fan = random.Random(2), 8, 2
+    images = spark.createDataFrame([(0, rng.randbytes(page * 40))], "image_id long, bytes binary")
+    shape, p = tree.sizes(images, page, fan), tree.paginate(images, page)
+    n = tree.index_blobs(tree.leaf_rows(p), shape, fan)
+    none = spark.createDataFrame([], "hash string, bytes binary")
+    store = diff.commit_blobs(n, p, n, none, none.select("hash"), fan).select("hash", "bytes").cache()
+    assert reach._inner(store).count() == n.where("level > 0").select("hash").distinct().count()
+    asked = []
+    monkeypatch.setattr(reach, "_inner", lambda blobs, plain=reach._inner: asked.append(1) or plain(blobs))
+    root = tree.root_rows(n, shape).join(shape, "image_id").select(F.col("root").alias("hash"), F.col("height").alias("level"))
+    got = reach.reached(root, store).collect()
+    assert {r.hash for r in got} == {r.hash for r in n.collect()} and {r.status for r in got} == {"ok"} and len(asked) == 1
+    spoilt = store.where("false").unionByName(n.where("level = 2").limit(1).select("hash", F.encode(F.lit("no node"), "utf-8").alias("bytes")))
+    with pytest.raises(reach.Broken, match="corrupt"):
+        reach.level_fetch(root, spoilt, store)
