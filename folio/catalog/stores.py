@@ -333,7 +333,7 @@ def patch_bloom(spark: SparkSession, d: str) -> DataFrame:
     return bloom.patch(fresh, holder(n), 0.05)[0]
 
 
-_AFFINITY = "WITH w AS (SELECT DISTINCT o_custkey AS version, l_partkey AS hash FROM orders JOIN lineitem ON l_orderkey = o_orderkey), h AS (SELECT DISTINCT l_suppkey AS holder, l_partkey AS hash FROM lineitem), n AS (SELECT version, holder, count(*) AS overlap FROM w JOIN h USING (hash) GROUP BY 1, 2) SELECT version, holder, overlap, row_number() OVER (PARTITION BY version ORDER BY overlap DESC, holder) AS place FROM n QUALIFY place <= 5"
+_AFFINITY = "WITH w AS (SELECT DISTINCT o_custkey AS version, l_partkey AS hash FROM orders JOIN lineitem ON l_orderkey = o_orderkey), h AS (SELECT DISTINCT l_suppkey AS holder, l_partkey AS hash FROM lineitem), n AS (SELECT version, holder, count(*) AS overlap FROM w JOIN h USING (hash) GROUP BY 1, 2) SELECT version, holder, overlap, row_number() OVER (PARTITION BY version ORDER BY overlap DESC, holder) AS place FROM n"
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -345,11 +345,11 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("affinity_rank", _AFFINITY)
 def affinity_rank(spark: SparkSession, d: str) -> DataFrame:
-    """The five machines that hold most of each version, from exact counts of all."""
-    return lineage.affinity(*_parts(spark, d), top=5)
+    """All machines that hold some of each version, those that hold most of it first, from exact counts."""
+    return lineage.affinity(*_parts(spark, d))
 
 
-@query("affinity_sketch", _AFFINITY)
+@query("affinity_sketch", _AFFINITY + " QUALIFY place <= 5")
 def affinity_sketch(spark: SparkSession, d: str) -> DataFrame:
-    """The same by sketches as large as the largest set, which miss nothing; exact counts of the five best alone."""
+    """The five first of each version by sketches as large as the largest set, which miss nothing; exact counts of the five best alone."""
     return lineage.affinity_sketched(*_parts(spark, d), top=5, k=4096, candidates=5)

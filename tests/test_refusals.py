@@ -97,6 +97,17 @@ def test_commit_checks_every_copy_of_a_name(spark, tmp_path):
     assert blobs.commit(spark.createDataFrame([(name, b"held already, so not looked at")], "hash string, bytes binary"), record, path) == 0
 
 
+def test_records_that_are_known_do_not_move(spark, tmp_path):
+    """A commit of records that are all held looks at their ids alone, and stages none."""
+    record = spark.createDataFrame([(f"r{k}", None, ("r", 1), k, *"abcde") for k in range(9)], blobs.RECORD)
+    known = record.select("id")
+    assert "Join" not in blobs._new_records(record, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert blobs._new_records(record, known).count() == 0
+    fresh = blobs._new_records(record, known.where("id < 'r4'"))
+    assert sorted(r.id for r in fresh.collect()) == [f"r{k}" for k in range(4, 9)]
+    assert blobs._new_records(record.unionByName(record), known.where("false")).count() == 9
+
+
 def test_files_are_scanned_and_hashed(spark, tmp_path):
     for name, data in (("a", b""), ("b", b"xyz" * 1000)):
         (tmp_path / name).write_bytes(data)

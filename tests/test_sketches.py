@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from folio.catalog import stores
 from folio.operators import bloom, diff, lineage, scans, spans, tree
 
 
@@ -92,3 +93,11 @@ def test_a_diff_multiplies_no_row(spark):
     nodes = spark.createDataFrame([], "image_id long, level int, node_idx long, page_base long, hash string")
     plan = diff.preorder(diff.tree_diff(nodes, nodes.select("hash"), 4))._jdf.queryExecution().toString()
     assert "Generate" not in plan and "explode" not in plan
+
+
+def test_affinity_rank_keeps_every_machine(spark):
+    """The ranking is whole: a place for each pair that shares a blob, beyond the fifth too."""
+    got = stores.affinity_rank(spark, "/root/testdata/sf0.001")
+    wanted, held = stores._parts(spark, "/root/testdata/sf0.001")
+    assert got.count() == wanted.join(held, "hash").select("version", "holder").distinct().count()
+    assert got.where("place > 5").count() > 0
