@@ -82,13 +82,29 @@ def _ranked(counts: DataFrame, score: str, top: int | None) -> DataFrame:
     return placed if top is None else placed.where(F.col("place") <= top)
 
 
+#: Holders of a blob that travel as one value.
+TOGETHER = 4096
+
+
+def _pairs(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(version, holder, ...) for each blob that both have, dealt by version; ``held`` (holder, hash, ...).
+
+    A blob's holders travel to its versions as arrays of about TOGETHER at most, so pairs are only made
+    where they are counted, and counting and ranking by version move nothing.
+    """
+    rest = [c for c in held.columns if c != "hash"]
+    size = held.groupBy("hash").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("parts"))
+    lists = held.join(size, "hash").groupBy("hash", F.pmod(F.xxhash64("holder"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(*rest)).alias("holders")).drop("part")
+    return wanted.join(lists, "hash").drop("hash").repartition("version").select(*[c for c in wanted.columns if c != "hash"], F.explode("holders").alias("h")).select("*", "h.*").drop("h")
+
+
 def affinity(wanted: DataFrame, held: DataFrame, top: int | None = None) -> DataFrame:
     """(version, holder, overlap, place): holders in order of how many of a version's blobs they have, the first ``top`` of each.
 
     Exact: counts every pair that shares a blob. wanted (version, hash) and held (holder, hash) have a
     pair once. affinity_sketched() looks at sketches first.
     """
-    return _ranked(wanted.join(held, "hash").groupBy("version", "holder").agg(F.count("*").alias("overlap")), "overlap", top)
+    return _ranked(_pairs(wanted, held).groupBy("version", "holder").agg(F.count("*").alias("overlap")), "overlap", top)
 
 
 #: Hashes of a sketch; ranges in which a large set's are sought first.

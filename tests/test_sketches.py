@@ -101,3 +101,16 @@ def test_affinity_rank_keeps_every_machine(spark):
     wanted, held = stores._parts(spark, "/root/testdata/sf0.001")
     assert got.count() == wanted.join(held, "hash").select("version", "holder").distinct().count()
     assert got.where("place > 5").count() > 0
+
+
+def test_pairs_of_a_blob_with_many_holders_travel_in_parts(spark, monkeypatch):
+    """However holders are put together, each pair is counted; pairs themselves aren't shuffled."""
+    wanted = spark.range(30).selectExpr("id % 3 AS version", "id % 5 AS hash").distinct()
+    held = spark.range(200).selectExpr("id AS holder", "id % 7 AS hash")
+    want = sorted(map(tuple, wanted.join(held, "hash").groupBy("version", "holder").count().collect()))
+    for size in (1, 3, 4096):
+        monkeypatch.setattr(lineage, "TOGETHER", size)
+        got = lineage.affinity(wanted, held)
+        assert sorted((r.version, r.holder, r.overlap) for r in got.collect()) == want
+    keys = [x.split(")")[0] for x in got._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    assert any("version#" in k for k in keys) and not any("version#" in k and "holder#" in k for k in keys)
