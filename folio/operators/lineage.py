@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,14 +121,70 @@ COMMON = 1000
 def bottom_hashes(sets: DataFrame, by: str, k: int = SKETCH) -> DataFrame:
     """(by, hash, v, tau): the k least hash values v of each set, as numbers from 0 to 1, and the value below which all are there.
 
-    First within salted parts of a set, then of what is left, so no set is one task.
+    A set of at most k is its own sketch, with a tau of 1; that of a larger one is less. Of larger sets the least are sought first
+    within salted parts, then in what is left, so no set is one task. ``sets`` is read three times.
     """
     v = (F.xxhash64("hash").cast("double") + float(1 << 63)) / float(1 << 64)
-    rows = sets.select(by, "hash", v.alias("v"), F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    large = written(sets.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col(by).alias("large")), "large")  # one in k rows at most
+    of_large = F.col(by).eqNullSafe(F.col("large"))
+    rows = sets.join(large, of_large, "left_semi").select(by, "hash", v.alias("v"), F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(SALTS)).alias("salt"))
     for key in ([by, "salt"], [by]):
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("v", "hash"))).where(F.col("r") <= k)
-    tau = rows.groupBy(by).agg(F.when(F.count("*") < k, 1.0).otherwise(F.max("v")).alias("tau"))
-    return rows.join(tau, by).select(by, "hash", "v", "tau")
+    tau = rows.groupBy(F.col(by).alias("large")).agg(F.least(F.max("v"), F.lit(1 - 2.0**-53)).alias("tau"))
+    return sets.join(large, of_large, "left_anti").select(by, "hash", v.alias("v"), F.lit(1.0).alias("tau")).unionByName(rows.join(tau, of_large).select(by, "hash", "v", "tau"))
+
+
+#: Pairs that are counted together, at least.
+STEP = 1 << 18
+
+
+def _likeliest(most: int):
+    """From pairs (version, holder, bound), sorted by version, to each version's ``most`` likeliest holders: version, holder, overlap, about, whole.
+
+    A pair's bound is the same at each blob; a null bound is a blob that was left out. Versions are counted
+    as they come, about STEP pairs at a time; the pairs of the one that breaks off wait for the next.
+    """
+
+    def counted(rows: pa.Table) -> pa.RecordBatch:
+        version, holder = (rows.column(c).combine_chunks().dictionary_encode("encode") for c in ("version", "holder"))
+        run, order = version.indices.to_numpy().astype(np.int64), pc.array_sort_indices(holder.dictionary, null_placement="at_start").to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        bound = rows.column("bound").to_numpy()  # null: NaN
+        there = ~np.isnan(bound)
+        left_out = np.zeros(len(version.dictionary), bool)
+        left_out[run[~there]] = True
+        keys = (run * len(order) + place[holder.indices.to_numpy()])[there]
+        if (bound[there] == 1).all():
+            keys, n = np.unique(keys, return_counts=True)
+            bound = np.ones(len(keys))
+        else:
+            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            bound = bound[there][at]
+        v, h = np.divmod(keys, len(order))
+        best = np.lexsort((-(n / bound), v))  # stable: equal ones stay in order of holder
+        best = best[np.arange(len(v)) - np.searchsorted(v, v) < most]
+        v, h, n, bound = v[best], h[best], n[best], bound[best]
+        columns = [version.dictionary.take(pa.array(v)), holder.dictionary.take(pa.array(order[h])), pa.array(n.astype(np.int64)), pa.array(n / bound), pa.array((bound == 1) & ~left_out[v])]
+        return pa.RecordBatch.from_arrays(columns, names=["version", "holder", "overlap", "about", "whole"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n, enough = [], 0, STEP
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= enough:
+                rows = pa.Table.from_batches(waiting).combine_chunks()
+                code = rows.column("version").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                last = int(np.searchsorted(code, code[-1]))  # this version may go on
+                if last:
+                    yield counted(rows.slice(0, last))
+                waiting, n = rows.slice(last).to_batches(), rows.num_rows - last
+                enough = max(STEP, 2 * n)
+        if n:
+            yield counted(pa.Table.from_batches(waiting))
+
+    return each
 
 
 def affinity_sketched(wanted: DataFrame, held: DataFrame, top: int, k: int = SKETCH, candidates: int | None = None, common: int = COMMON) -> DataFrame:
@@ -131,14 +192,27 @@ def affinity_sketched(wanted: DataFrame, held: DataFrame, top: int, k: int = SKE
 
     Sketches keep the k least hash values of a set, so those of two sets overlap as the sets do below
     the lesser of their bounds. Overlaps are exact; a holder that the sketches rank too low may be
-    missing. With k above the size of every set nothing is.
+    missing. With k above the size of every set nothing is. Holders of a blob travel to its versions as one
+    array, and a version's pairs, k x ``common`` at most, are counted where they are made. Where
+    both sketches are whole sets that count is exact, and isn't made again.
     """
-    w, h = bottom_hashes(wanted, "version", k), bottom_hashes(held, "holder", k)
-    rare = h.groupBy("hash").agg(F.count("*").alias("holders")).where(F.col("holders") <= common).select("hash")
-    h = h.join(rare, "hash", "left_semi").select("holder", "hash", F.col("tau").alias("other"))
-    likely = w.join(h, "hash").groupBy("version", "holder").agg((F.count("*") / F.min(F.least("tau", "other"))).alias("about"))
-    few = _ranked(likely, "about", candidates or 4 * top).select("version", "holder")
-    exact = wanted.join(few, "version").join(held, ["holder", "hash"], "left_semi").groupBy("version", "holder").agg(F.count("*").alias("overlap"))
+    wanted, held = written(wanted.select("version", "hash"), "wanted"), written(held.select("holder", "hash"), "held")
+    w, h = bottom_hashes(wanted, "version", k).select("version", "hash", "tau"), bottom_hashes(held, "holder", k)
+    frequent = written(h.groupBy("hash").agg(F.count("*").alias("holders")).where(F.col("holders") > common).select("hash"), "common")  # one in ``common`` rows at most
+    lists = h.join(frequent, "hash", "left_anti").groupBy("hash").agg(F.collect_list(F.struct("holder", "tau")).alias("l"))
+    lists = lists.select("hash", F.col("l.holder").alias("holders"), F.when(F.exists("l.tau", lambda t: t < 1), F.col("l.tau")).alias("others"))
+    none = frequent.select("hash", F.array().cast(lists.schema["holders"].dataType).alias("holders"), F.lit(None).cast("array<double>").alias("others"))
+    rows = w.join(lists.unionByName(none), "hash").select("version", "tau", "holders", "others").repartition("version").sortWithinPartitions("version")
+    pairs = rows.select("version", "tau", "others", F.posexplode_outer("holders").alias("pos", "holder"))
+    pairs = pairs.select("version", "holder", F.when(F.col("pos").isNotNull(), F.least("tau", F.coalesce(F.get("others", "pos"), F.lit(1.0)))).alias("bound"))
+    types = {c: df.schema[c].dataType.simpleString() for c, df in (("version", wanted), ("holder", held))}
+    likely = pairs.mapInArrow(_likeliest(candidates or 4 * top), f"version {types['version']}, holder {types['holder']}, overlap long, about double, whole boolean")
+    likely = written(likely.select("version", "holder", "overlap", "whole"), "likely")
+    exact, few = likely.where("whole").select("version", "holder", "overlap"), likely.where("NOT whole").select("version", "holder")
+    if not few.isEmpty():
+        both = wanted.join(few.withColumnRenamed("version", "of"), F.expr("version <=> of")).select("version", F.col("holder").alias("by"), "hash")
+        there = both.join(held.withColumnRenamed("hash", "has"), F.expr("holder <=> by AND hash = has"), "left_semi")
+        exact = exact.unionByName(there.groupBy("version", F.col("by").alias("holder")).agg(F.count("*").alias("overlap")))
     return _ranked(exact, "overlap", top)
 
 

@@ -114,3 +114,27 @@ def test_pairs_of_a_blob_with_many_holders_travel_in_parts(spark, monkeypatch):
         assert sorted((r.version, r.holder, r.overlap) for r in got.collect()) == want
     keys = [x.split(")")[0] for x in got._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
     assert any("version#" in k for k in keys) and not any("version#" in k and "holder#" in k for k in keys)
+
+
+def test_sketched_pairs_are_counted_where_they_are_made(spark, monkeypatch):
+    """Whole sets give what affinity() does, without a version or holder too, however pairs come in batches; pairs aren't shuffled."""
+    rng = random.Random(8)
+    w = {(rng.choice([None, *range(9)]), rng.randrange(50)) for _ in range(300)}
+    h = {(rng.choice([None, "a", "é", *map(str, range(12))]), rng.randrange(50)) for _ in range(250)}
+    wanted, held = spark.createDataFrame(sorted(w, key=str), "version long, hash long"), spark.createDataFrame(sorted(h, key=str), "holder string, hash long")
+    want = sorted(map(str, lineage.affinity(wanted, held, 4).collect()))
+    for step, batch in ((1, 3), (1 << 18, 10_000)):
+        monkeypatch.setattr(lineage, "STEP", step)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = lineage.affinity_sketched(wanted, held, 4, k=100, candidates=4)
+            assert sorted(map(str, got.collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exact = {(r.version, r.holder): r.overlap for r in lineage.affinity(wanted, held).collect()}
+    assert all(exact[r.version, r.holder] == r.overlap for r in lineage.affinity_sketched(wanted, held, 4, k=5).collect())
+    made = []
+    monkeypatch.setattr(lineage, "written", lambda df, name: made.append((name, df)) or df)
+    lineage.affinity_sketched(wanted, held, 4, k=100)
+    plan = dict(made)["likely"]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not any("version#" in x.split(")")[0] and "holder#" in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
