@@ -9,6 +9,7 @@ image has the empty node as its root. Trees are folded, compared and updated on
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -211,17 +212,18 @@ def update_hashes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
 
 
 def _refold(base: int, s: int, fanout: int):
-    """From rows (image_id, height, level, node_idx, hash, fresh) of a subtree, levels base .. base + s - 1, to its fresh nodes above."""
+    """From rows (image_id, height, part, level, node_idx, hash, fresh), sorted by image and part, to the fresh nodes of levels base + 1 .. base + s above them.
 
-    def each(table: pa.Table) -> pa.Table:
-        image, height = table.column("image_id")[0].as_py(), table.column("height")[0].as_py()
+    A part of an image is a subtree, a bounded number of rows; those of a task are folded one after the other.
+    """
+
+    def folded(image: int, height: int, rows: list, out: list) -> None:
         held: dict[int, dict[int, str]] = {k: {} for k in range(base, base + s + 1)}
         fresh: dict[int, set[int]] = {k: set() for k in range(base, base + s + 1)}
-        for level, node, h, new in zip(*(table.column(c).to_pylist() for c in ("level", "node_idx", "hash", "fresh")), strict=True):
+        for level, node, h, new in rows:
             held[level][node] = h
             if new:
                 fresh[level].add(node)
-        out = []
         for level in range(base + 1, min(base + s, height) + 1):
             below = held[level - 1]
             for up in sorted({k // fanout for k in fresh[level - 1]}):
@@ -230,8 +232,27 @@ def _refold(base: int, s: int, fanout: int):
                 held[level][up] = h
                 fresh[level].add(up)
                 out.append((image, height, level, up, up * fanout**level, h))
+
+    def batch_of(out: list) -> pa.RecordBatch:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["image_id", "height", "level", "node_idx", "page_base", "hash"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["image_id", "height", "level", "node_idx", "page_base", "hash"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, out = None, [], []
+        for batch in batches:
+            for image, height, part, *row in zip(*(batch.column(c).to_pylist() for c in ("image_id", "height", "part", "level", "node_idx", "hash", "fresh")), strict=True):
+                if at != (image, part, height):
+                    if rows:
+                        folded(at[0], at[2], rows, out)
+                    at, rows = (image, part, height), []
+                rows.append(row)
+            if out:
+                yield batch_of(out)
+                out = []
+        if rows:
+            folded(at[0], at[2], rows, out)
+        if out:
+            yield batch_of(out)
 
     return each
 
@@ -261,7 +282,8 @@ def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
     for base in range(0, top, s):
         mine = now.unionByName(old.where((F.col("level") >= base) & (F.col("level") < base + s)) if top > s else old).where(F.col("height") > base)
         size = F.element_at(F.array(*[F.lit(fanout ** (s - k)).cast("long") for k in range(s)]), F.col("level") - base + 1)
-        made = mine.groupBy("image_id", div(F.col("node_idx"), size).alias("part")).applyInArrow(_refold(base, s, fanout), "image_id long, height int, level int, node_idx long, page_base long, hash string")
+        parts = mine.withColumn("part", div(F.col("node_idx"), size)).repartition("image_id", "part").sortWithinPartitions("image_id", "part")
+        made = parts.mapInArrow(_refold(base, s, fanout), "image_id long, height int, level int, node_idx long, page_base long, hash string")
         if base + s < top:
             made = written(made, "refold")
         out.append(made)
@@ -270,7 +292,8 @@ def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
 
 
 def _over(nodes: DataFrame, fresh: DataFrame) -> DataFrame:
-    """``nodes`` with ``fresh`` in place of the rows at their positions."""
+    """``nodes`` with ``fresh`` in place of the rows at their positions. ``fresh`` is read twice, so it is written once."""
+    fresh = written(fresh, "fresh")
     return nodes.select(NODE).join(fresh.select("image_id", "level", "node_idx"), ["image_id", "level", "node_idx"], "left_anti").select(NODE).unionByName(fresh)
 
 
