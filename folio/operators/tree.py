@@ -194,9 +194,14 @@ def update_paths(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int
     Raises Refused before any tree is folded if a write names an unknown or empty image, a page out
     of range, or has not the length of its page.
     """
+    return update_parts(nodes, dirty, shape, page, fanout, top)[0]
+
+
+def update_parts(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """update_paths(), and the untouched children (image_id, level, node_idx, hash) of the nodes that it changes: all that their bytes need."""
     sized = written(dirty.select("image_id", "seq", "page_no", F.octet_length("bytes").cast("long").alias("n_bytes"), content_hash(F.col("bytes")).alias("hash")), "dirty")
     _refuse(sized, shape, page)
-    return rebuilt_nodes(nodes, last_write_wins(sized.drop("n_bytes")), shape, fanout, top)
+    return _rebuilt(nodes, last_write_wins(sized.drop("n_bytes")), shape, fanout, top, True)
 
 
 def update(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, page: int = PAGE, fanout: int = FANOUT) -> DataFrame:
@@ -264,6 +269,11 @@ def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
     a step folds several levels of each touched subtree, a group of bounded size. ``top`` is the height
     of the tallest tree, if it is known.
     """
+    return _rebuilt(nodes, dirty, shape, fanout, top, False)[0]
+
+
+def _rebuilt(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int, top: int | None, both: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of rebuilt_nodes(), and the siblings they are made with, written if ``both`` are read."""
     top, s = tallest(shape) if top is None else top, steps(fanout)
     high = shape.select("image_id", "height")
     touched = dirty.join(high, "image_id").select("image_id", "height", "page_no", "hash")
@@ -277,7 +287,7 @@ def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
     old = kids.join(paths, ["image_id", "up_level", "up"]).join(changed, ["image_id", "level", "node_idx"], "left_anti").select("image_id", "height", "level", "node_idx", "hash", F.lit(False).alias("fresh"))
     now = touched.select("image_id", "height", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), "hash", F.lit(True).alias("fresh"))
     out = [dirty.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), F.col("page_no").alias("page_base"), "hash")]
-    if top > s:
+    if top > s or both:
         old = written(old, "siblings")  # each step reads its own levels
     for base in range(0, top, s):
         mine = now.unionByName(old.where((F.col("level") >= base) & (F.col("level") < base + s)) if top > s else old).where(F.col("height") > base)
@@ -288,7 +298,7 @@ def rebuilt_nodes(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout:
             made = written(made, "refold")
         out.append(made)
         now = made.where(F.col("level") == base + s).select("image_id", "height", "level", "node_idx", "hash", F.lit(True).alias("fresh"))
-    return union([x.select(NODE) for x in out])
+    return union([x.select(NODE) for x in out]), old.select("image_id", "level", "node_idx", "hash")
 
 
 def _over(nodes: DataFrame, fresh: DataFrame) -> DataFrame:

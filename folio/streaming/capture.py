@@ -30,7 +30,8 @@ def capture_batch(table: Versions, store: CommitLog, shape: DataFrame, dirty: Da
     buckets = sorted(r.b for r in dirty.where("image_id IS NOT NULL").select(bucket_of("image_id", table.buckets).alias("b")).distinct().collect())  # at most table.buckets
     seen = table.log.entries()
     before = table.rows(buckets, seen)
-    fresh = written(tree.update_paths(before, dirty, shape, page, fanout, top), "fresh")
+    fresh, siblings = tree.update_parts(before, dirty, shape, page, fanout, top)
+    fresh = written(fresh, "fresh")
     touched = dirty.groupBy("image_id").agg(F.countDistinct("page_no").alias("dirty_pages"))
     now = tree.root_rows(fresh, shape).join(touched, "image_id")
     old = table.heads(buckets, seen).select("image_id", F.col("id").alias("parent"))
@@ -41,8 +42,8 @@ def capture_batch(table: Versions, store: CommitLog, shape: DataFrame, dirty: Da
     last = tree.last_write_wins(dirty).select("image_id", "page_no", "bytes")
     held = blobs.stored(spark, store.path, store).select("hash")
     none = spark.createDataFrame([], "hash string, bytes binary")
-    after = before.join(fresh.select("image_id", "level", "node_idx"), ["image_id", "level", "node_idx"], "left_anti").unionByName(fresh)
-    up = diff.commit_blobs(fresh.join(held, "hash", "left_anti"), last, after, none, held, fanout)
+    children = siblings.unionByName(fresh.drop("page_base"))  # versions before are merged once
+    up = diff.commit_blobs(fresh.join(held, "hash", "left_anti"), last, children, none, held, fanout)
     record = heads.join(shape.select("image_id", "len"), "image_id").select("id", "parent", F.struct("root", "len").alias("mem_tree"), F.lit(number).cast("long").alias("created_unix_ms"), F.sha2(F.concat(F.lit("snapshot:"), "id"), 256).alias("snapshot"))
     # a version has its parent's artifacts but for its own snapshot
     parents = blobs.records(spark, store.path, store).select(F.col("id").alias("parent"), *[a for a in blobs.ARTIFACTS if a != "snapshot"])
