@@ -35,7 +35,8 @@ def capture_batch(table: Versions, store: CommitLog, shape: DataFrame, dirty: Da
     touched = dirty.groupBy("image_id").agg(F.countDistinct("page_no").alias("dirty_pages"))
     now = tree.root_rows(fresh, shape).join(touched, "image_id")
     old = table.heads(buckets, seen).select("image_id", F.col("id").alias("parent"))
-    tail = F.substring(F.sha2(F.concat_ws(":", F.coalesce("parent", F.lit("")), "root", F.col("image_id").cast("string"), F.lit(batch)), 256), 1, 10)
+    # 128 bits: of ten digits, two in some million images of a batch are the same
+    tail = F.substring(F.sha2(F.concat_ws(":", F.coalesce("parent", F.lit("")), "root", F.col("image_id").cast("string"), F.lit(batch)), 256), 1, 32)
     heads = now.join(old, "image_id", "left").select("image_id", F.concat(F.lit("frm_"), F.lpad(F.hex(F.lit(number)), 12, "0"), tail).alias("id"), "parent", "root", "dirty_pages", F.lit(number).cast("long").alias("version"))
     heads = written(heads, "heads")
 

@@ -154,3 +154,16 @@ def test_walks_read_all_blobs_a_few_times_only(spark, monkeypatch):
     spoilt = store.where("false").unionByName(n.where("level = 2").limit(1).select("hash", F.encode(F.lit("no node"), "utf-8").alias("bytes")))
     with pytest.raises(reach.Broken, match="corrupt"):
         reach.level_fetch(root, spoilt, store)
+
+
+def test_versions_of_a_large_batch_have_ids_of_their_own(spark, tmp_path):
+    """The hashes that these two versions' ids are cut from begin with the same ten digits."""
+    twins = [280147, 312054]
+    images = spark.createDataFrame([(i, b"." * P) for i in twins], "image_id long, bytes binary")
+    shape, table, store = tree.sizes(images, P, FAN), Versions(spark, f"{tmp_path}/versions", 4), CommitLog(spark, f"{tmp_path}/store")
+    table.start(tree.index_blobs(tree.leaf_rows(tree.paginate(images, P)), shape, FAN))
+    dirty = spark.createDataFrame([(i, 0, 0, b"%08d" % i) for i in twins], DIRTY)
+    assert capture_batch(table, store, shape, dirty, "capture-0", 0, P, FAN)
+    heads = table.heads().collect()
+    assert len({r.root for r in heads}) == 2 == len({r.id for r in heads})
+    assert sorted(r.id for r in blobs.records(spark, store.path, store).collect()) == sorted(r.id for r in heads)
