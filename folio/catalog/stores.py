@@ -277,14 +277,18 @@ def _tree_blobs(spark: SparkSession, d: str, n: DataFrame, p: DataFrame) -> Data
 @query("orphan_blobs", CTE + "SELECT DISTINCT hash FROM nodes WHERE hash NOT IN (SELECT hash FROM child)")
 def orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
     """Pages and nodes that no record reaches, when only the next versions have records: found by walking stored nodes from the records' roots."""
-    p, s = pages(spark, d), shape(spark, d)
+    p, s = pages(spark, d), written(shape(spark, d), "shape")
     n, path = nodes(spark, d), shared_path(spark, "store")
     e = written(edits(p), "edits")
-    after = written(tree.updated(n, e.select("image_id", "page_no", "hash"), s, FANOUT), "next")
-    root = tree.root_rows(after, s).join(s, "image_id")
+    fresh, siblings = tree.update_parts(n, e, s, P, FANOUT)
+    fresh = written(fresh, "fresh")
+    new = tree.root_rows(fresh, s).withColumnRenamed("root", "new")
+    root = tree.root_rows(n, s).join(new, "image_id", "left").select("image_id", F.coalesce("new", "root").alias("root")).join(s, "image_id")
     record = root.select(F.concat(F.lit("img_"), "image_id").alias("id"), F.lit(None).cast("string").alias("parent"), F.struct("root", "len").alias("mem_tree"), F.col("image_id").alias("created_unix_ms"), *[F.lit(None).cast("string").alias(a) for a in blobs.ARTIFACTS])
-    blobs.commit(_tree_blobs(spark, d, n, p), record.where("false"), path)
-    blobs.commit(_tree_blobs(spark, d, after, tree.patch_apply(p, e)), record, path)
+    blobs.commit(_tree_blobs(spark, d, n, p), record.where("false"), path, fresh=True)
+    none = spark.createDataFrame([], "hash string, bytes binary")
+    up = diff.commit_blobs(fresh, e, siblings.unionByName(fresh.drop("page_base")), none, none.select("hash"), FANOUT)  # the next versions' other blobs are held
+    blobs.commit(up.select("hash", "bytes"), record, path)
     return reach.orphans(blobs.stored(spark, path), blobs.records(spark, path), list(blobs.ARTIFACTS), P, FANOUT)
 
 

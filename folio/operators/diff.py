@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.geometry import div, subtree_pages
 from folio.operators.scans import before
-from folio.operators.tree import NODE, node_text
+from folio.operators.tree import NODE, node_text, packed, unpacked
 
 
 def with_marked_above(nodes: DataFrame, marked: Column, fanout: int) -> DataFrame:
@@ -71,13 +71,13 @@ def commit_blobs(missing: DataFrame, pages: DataFrame, nodes: DataFrame, artifac
     children in ``nodes``; of ``artifacts`` (hash, bytes) go those that ``store`` (hash) lacks.
     Reading fails at a blob without bytes, or with bytes that don't hash to its name.
     """
-    at = missing.groupBy("hash", "level").agg(F.min(F.struct("image_id", "node_idx")).alias("at")).select("hash", "level", "at.*")
+    at = missing.groupBy(packed("hash").alias("hash"), (F.col("level") > 0).alias("inner")).agg(F.min(F.struct("level", "image_id", "node_idx")).alias("at")).select("hash", "at.*")
     leaf = at.where("level = 0").select("hash", "image_id", F.col("node_idx").alias("page_no")).join(pages.select("image_id", "page_no", "bytes"), ["image_id", "page_no"], "left")
-    below = nodes.select("image_id", (F.col("level") + 1).alias("level"), div(F.col("node_idx"), fanout).alias("up"), F.struct("node_idx", "hash").alias("c"))
-    inner = at.where("level > 0").withColumnRenamed("node_idx", "up").join(below, ["image_id", "level", "up"], "left").groupBy("hash").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    below = nodes.select("image_id", (F.col("level") + 1).alias("level"), div(F.col("node_idx"), fanout).alias("up"), F.struct("node_idx", packed("hash").alias("hash")).alias("c"))
+    inner = at.where("level > 0").withColumnRenamed("node_idx", "up").join(below, ["image_id", "level", "up"], "left").groupBy("image_id", "level", "up", "hash").agg(F.array_sort(F.collect_list("c")).alias("c"))
     parts = [
-        leaf.select("hash", F.lit("page").alias("kind"), "bytes"),
-        inner.select("hash", F.lit("node").alias("kind"), F.encode(node_text(F.col("c.hash")), "utf-8").alias("bytes")),
+        leaf.select(unpacked("hash").alias("hash"), F.lit("page").alias("kind"), "bytes"),
+        inner.select(unpacked("hash").alias("hash"), F.lit("node").alias("kind"), F.encode(node_text(F.transform("c.hash", unpacked)), "utf-8").alias("bytes")),
         artifacts.groupBy("hash").agg(F.any_value("bytes").alias("bytes")).join(store.select("hash"), "hash", "left_anti").select("hash", F.lit("artifact").alias("kind"), "bytes"),
     ]
     rows = reduce(DataFrame.unionByName, parts)

@@ -27,6 +27,18 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+def packed(name: Column | str) -> Column:
+    """A hash in hex as its 32 bytes, to be moved; any other name as itself, after as many bytes that are none."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.when(name.rlike("^[0-9a-f]{64}$"), F.unhex(name)).otherwise(F.concat(F.lit(bytes(33)), F.encode(name, "utf-8")))
+
+
+def unpacked(name: Column | str) -> Column:
+    """What packed() was given."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.when(F.octet_length(name) == 32, F.lower(F.hex(name))).otherwise(F.decode(F.substring(name, 34, F.octet_length(name)), "utf-8"))
+
+
 def node_text(children: Column) -> Column:
     """What a node's hash covers: the number of its children, and their hashes in order."""
     return F.concat(F.size(children).cast("string"), F.lit(":"), F.array_join(children, ""))
@@ -281,10 +293,10 @@ def _rebuilt(nodes: DataFrame, dirty: DataFrame, shape: DataFrame, fanout: int,
     power = F.element_at(F.array(*[F.lit(fanout**k).cast("long") for k in range(1, max(top, 1) + 1)]), F.col("up_level"))
     paths = touched.withColumn("up_level", levels).select("image_id", "height", "up_level", div(F.col("page_no"), power).alias("up")).distinct()
     # children of touched nodes that aren't touched themselves
-    kids = nodes.select("image_id", "level", "node_idx", "hash").withColumns({"up_level": F.col("level") + 1, "up": div(F.col("node_idx"), fanout)})
+    kids = nodes.select("image_id", "level", "node_idx", packed("hash").alias("hash")).withColumns({"up_level": F.col("level") + 1, "up": div(F.col("node_idx"), fanout)})
     inner = paths.select("image_id", F.col("up_level").alias("level"), F.col("up").alias("node_idx"))
     changed = inner.unionByName(touched.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx")))
-    old = kids.join(paths, ["image_id", "up_level", "up"]).join(changed, ["image_id", "level", "node_idx"], "left_anti").select("image_id", "height", "level", "node_idx", "hash", F.lit(False).alias("fresh"))
+    old = kids.join(paths, ["image_id", "up_level", "up"]).join(changed, ["image_id", "level", "node_idx"], "left_anti").select("image_id", "height", "level", "node_idx", unpacked("hash").alias("hash"), F.lit(False).alias("fresh"))
     now = touched.select("image_id", "height", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), "hash", F.lit(True).alias("fresh"))
     out = [dirty.select("image_id", F.lit(0).alias("level"), F.col("page_no").alias("node_idx"), F.col("page_no").alias("page_base"), "hash")]
     if top > s or both:

@@ -6,12 +6,12 @@ commit that is repeated, or made twice at the same time, adds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.operators.tree import content_hash
+from folio.operators.tree import content_hash, packed, unpacked
 from folio.sources.commits import CommitLog, Entry
-from folio.sources.shared import written
+from folio.sources.shared import COMPRESSION, passing_shuffles, written
 
 #: The hashes of a version record besides its tree.
 ARTIFACTS = ("kernel", "initrd", "store_disk", "cmdline", "snapshot")
@@ -71,7 +71,30 @@ def _new_records(record: DataFrame, known: DataFrame) -> DataFrame:
     return record if most == 1 else record.groupBy("id").agg(F.any_value(F.struct(*rest)).alias("r")).select("id", "r.*")
 
 
-def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = None, log: CommitLog | None = None) -> int:
+def _lacking(blobs: DataFrame, held: DataFrame) -> DataFrame:
+    """(hash, bytes, n_bytes, good): blobs whose names ``held`` (hash) lacks, each once."""
+    lacking = blobs.select(packed("hash").alias("name"), "bytes").join(held.select(packed("hash").alias("name")), "name", "left_anti")
+    once = lacking.withColumn("good", _good(unpacked("name"))).groupBy("name").agg(F.any_value("bytes").alias("bytes"), F.bool_and("good").alias("good"))
+    return once.select(unpacked("name").alias("hash"), "bytes", _size(), "good")
+
+
+def _fresh(staged: DataFrame, held: DataFrame | None) -> bool:
+    """Whether blobs have each name once, and ``held`` none of them."""
+    names = staged.select(packed("hash").alias("name"))
+    if names.groupBy("name").count().where("count > 1").take(1):
+        return False
+    return held is None or not names.join(held.select(packed("hash").alias("name")), "name", "left_semi").take(1)
+
+
+def _good(name: Column) -> Column:
+    return content_hash(F.col("bytes")).eqNullSafe(name)
+
+
+def _size() -> Column:
+    return F.octet_length("bytes").cast("long").alias("n_bytes")
+
+
+def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = None, log: CommitLog | None = None, fresh: bool = False) -> int:
     """Commit (hash, bytes) and records (RECORD) to the folder ``path``; returns the number of blobs written.
 
     What is held already is passed over by name. The rest is checked and staged, a blob in one pass and a
@@ -79,6 +102,8 @@ def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = N
     visible, and what was staged goes. Else an entry of the log makes blobs and records visible together.
     A commit that is repeated changes nothing; one whose ``batch`` has been committed isn't even read.
     Of writers at the same time the later one drops what the earlier ones brought.
+    Where blobs are ``fresh``, each once and none held, they are staged where they are and only their names
+    are compared; those that aren't fresh are dropped as ever, but bytes move once more.
     """
     spark, log = blobs.sparkSession, log or CommitLog(blobs.sparkSession, path)
     seen = log.entries()
@@ -86,13 +111,19 @@ def commit(blobs: DataFrame, record: DataFrame, path: str, batch: str | None = N
         return 0
     part, at = log.new_part()
     try:
-        lacking = blobs.join(_blobs(spark, log, seen).select("hash"), "hash", "left_anti")
-        checked = lacking.withColumn("good", content_hash(F.col("bytes")).eqNullSafe(F.col("hash")))
-        once = checked.groupBy("hash").agg(F.any_value("bytes").alias("bytes"), F.bool_and("good").alias("good"))
-        once.select("hash", "bytes", F.octet_length("bytes").cast("long").alias("n_bytes"), "good").write.parquet(f"{at}/blobs")
-        n, bad = spark.read.parquet(f"{at}/blobs").agg(F.count("*"), F.min(F.when(~F.col("good"), F.coalesce("hash", F.lit("null"))))).first()
-        if bad:
-            raise ValueError(f"commit refused: blob {bad} doesn't hash to its name")
+        held = _blobs(spark, log, seen).select("hash")
+        with passing_shuffles(spark):
+            staged = blobs.select("hash", "bytes", _size(), _good(F.col("hash")).alias("good")) if fresh else _lacking(blobs, held)
+            staged.write.parquet(f"{at}/blobs", compression=COMPRESSION)
+            n, bad = spark.read.parquet(f"{at}/blobs").agg(F.count("*"), F.min(F.when(~F.col("good"), F.coalesce("hash", F.lit("null"))))).first()
+            if bad:
+                raise ValueError(f"commit refused: blob {bad} doesn't hash to its name")
+            if fresh and not _fresh(spark.read.parquet(f"{at}/blobs"), held if any(e.rows for e in log.live(seen)) else None):
+                staged, old = _lacking(spark.read.parquet(f"{at}/blobs"), held), part
+                part, at = log.new_part()
+                staged.write.parquet(f"{at}/blobs", compression=COMPRESSION)
+                log.drop(old)
+                n = spark.read.parquet(f"{at}/blobs").count()
         _new_records(record, _records(spark, log, seen)).write.json(f"{at}/records", ignoreNullFields=True, compression="gzip")
     except Exception:
         log.drop(part)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+#: Hashes in hex take half their length.
+COMPRESSION = "zstd"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a table that is written meanwhile goes as soon as it is written, not when the driver happens to collect its garbage."""
+    set_here = spark.conf.get(_CLEANUP, "false") != "true"
+    if set_here:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if set_here:
+            spark.conf.unset(_CLEANUP)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with passing_shuffles(df.sparkSession):
+        df.write.parquet(path, compression=COMPRESSION)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -49,7 +49,7 @@ def capture_batch(table: Versions, store: CommitLog, shape: DataFrame, dirty: Da
     # a version has its parent's artifacts but for its own snapshot
     parents = blobs.records(spark, store.path, store).select(F.col("id").alias("parent"), *[a for a in blobs.ARTIFACTS if a != "snapshot"])
     record = record.join(parents, "parent", "left").select("id", "parent", "mem_tree", "created_unix_ms", *blobs.ARTIFACTS)
-    blobs.commit(up.select("hash", "bytes"), record, store.path, batch, store)
+    blobs.commit(up.select("hash", "bytes"), record, store.path, batch, store, fresh=True)
     return table.append(fresh, heads, batch)
 
 

@@ -167,3 +167,41 @@ def test_versions_of_a_large_batch_have_ids_of_their_own(spark, tmp_path):
     heads = table.heads().collect()
     assert len({r.root for r in heads}) == 2 == len({r.id for r in heads})
     assert sorted(r.id for r in blobs.records(spark, store.path, store).collect()) == sorted(r.id for r in heads)
+
+
+def test_rounds_of_a_walk_move_their_frontier_alone(spark, trees):
+    """Nodes are dealt out once; no round shuffles them to its frontier."""
+    stored = trees[-1]
+    frontier = reach.written(stored.select(tree.packed("hash").alias("name")), "frontier")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    inner = reach._inner(stored)
+    try:
+        for _ in range(2):
+            found = frontier.join(reach._held(inner), "name", "left")
+            assert sum(bool(r.there) for r in found.collect()) == inner.count() > 0
+            plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning(") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        inner.unpersist()
+
+
+def test_fresh_blobs_stay_where_they_are_unless_they_are_not(spark, tmp_path):
+    """Blobs said to be new and each once are dropped all the same where they aren't, and refused where they don't hash to their names."""
+    path, none = str(tmp_path / "store"), spark.createDataFrame([], blobs.RECORD)
+    blob = lambda *xs: spark.createDataFrame([(hashlib.sha256(x).hexdigest(), x) for x in xs], "hash string, bytes binary")
+    for given, added in (((b"a", b"b"), 2), ((b"c", b"c"), 1), ((b"a", b"d"), 1), ((b"a", b"c"), 0), ((), 0)):
+        assert blobs.commit(blob(*given), none, path, fresh=True) == added
+    assert sorted(bytes(r.bytes) for r in blobs.stored(spark, path).collect()) == [b"a", b"b", b"c", b"d"]
+    for name in ("0" * 64, "no hash", None):
+        with pytest.raises(ValueError, match="doesn't hash"):
+            blobs.commit(spark.createDataFrame([(name, b"e")], "hash string, bytes binary"), none, path, fresh=True)
+    assert blobs.stored(spark, path).count() == 4
+
+
+def test_packed_names_come_back(spark):
+    names = ["", "no hash", "0" * 64, "AB" * 32, "ab" * 32, "x" * 32, "0" * 31, "é" * 16, None]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", tree.packed("name").alias("p"))
+    got = df.select("name", tree.unpacked("p").alias("back"), "p").collect()
+    assert [r.name for r in got] == [r.back for r in got] and len({bytes(r.p) for r in got if r.p is not None}) == len(names) - 1
+    assert [len(r.p) for r in got if r.name in ("0" * 64, "ab" * 32)] == [32, 32]

@@ -5,6 +5,8 @@ import subprocess
 import sys
 import time
 
+from folio.sources.shared import written
+
 _RUN = """
 import os
 import sys
@@ -31,3 +33,20 @@ def test_tables_go_with_the_application(tmp_path):
             break
         time.sleep(0.1)
     assert not (shared / own).exists() and other.exists()
+
+
+def test_what_a_table_shuffled_goes_when_it_is_written(spark):
+    left = lambda: {f.getName() for f in _files(spark) if f.getName().startswith("shuffle_")}
+    before = left()
+    table = written(spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count(), "counts")
+    for _ in range(100):  # executors drop it in their own time
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and table.count() == 700
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def _files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(k) for k in range(found.length())]
