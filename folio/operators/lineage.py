@@ -87,29 +87,106 @@ def _ranked(counts: DataFrame, score: str, top: int | None) -> DataFrame:
     return placed if top is None else placed.where(F.col("place") <= top)
 
 
-#: Holders of a blob that travel as one value.
-TOGETHER = 4096
-
-
-def _pairs(wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """(version, holder, ...) for each blob that both have, dealt by version; ``held`` (holder, hash, ...).
-
-    A blob's holders travel to its versions as arrays of about TOGETHER at most, so pairs are only made
-    where they are counted, and counting and ranking by version move nothing.
-    """
-    rest = [c for c in held.columns if c != "hash"]
-    size = held.groupBy("hash").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("parts"))
-    lists = held.join(size, "hash").groupBy("hash", F.pmod(F.xxhash64("holder"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(*rest)).alias("holders")).drop("part")
-    return wanted.join(lists, "hash").drop("hash").repartition("version").select(*[c for c in wanted.columns if c != "hash"], F.explode("holders").alias("h")).select("*", "h.*").drop("h")
+#: Holders of a blob that travel as one value, and blobs of versions that a task counts, about.
+TOGETHER, ROWS = 4096, 1 << 20
+
+
+def _packing():
+    """packed() and unpacked(), which travel to tasks whole."""
+
+    def packed(lists: pa.Array) -> pa.Array:
+        """Sorted lists of whole numbers, each once, as bytes: whether null is there, and the steps from one to the next, 7 bits a byte."""
+        n, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+        null = pc.is_null(flat).to_numpy(zero_copy_only=False)
+        row, v = np.repeat(np.arange(len(n)), n), pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        nulls, row, v = np.bincount(row[null], minlength=len(n)), row[~null], v[~null]
+        step = v - np.append(np.uint64(0), v)[:-1]  # modulo 2 ** 64
+        starts = np.searchsorted(row, np.arange(len(n)))
+        first = starts[starts < np.searchsorted(row, np.arange(len(n)), "right")]
+        step[first] = v[first]
+        step = np.insert(step, starts, nulls.astype(np.uint64))
+        size = 1 + sum(((step >> np.uint64(7 * k)) > 0).astype(np.int64) for k in range(1, 10))
+        at = np.append(0, np.cumsum(size))
+        out = np.empty(at[-1], np.uint8)
+        for k in range(10):
+            more = size > k
+            out[at[:-1][more] + k] = ((step[more] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((size[more] > k + 1) << 7).astype(np.uint8)
+        ends = np.append(starts + np.arange(len(n)), len(step))  # of rows, in steps
+        return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at[ends].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+    def unpacked(data: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What packed() was given: all numbers, and how many each row has."""
+        data = data.cast(pa.large_binary())
+        rows = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        b = np.frombuffer(data.buffers()[2], np.uint8)[rows[0] : rows[-1]]
+        at = np.append(0, np.flatnonzero(b < 128) + 1)
+        size, v = np.diff(at), np.zeros(len(at) - 1, np.uint64)
+        for k in range(size.max(initial=0)):
+            more = size > k
+            v[more] |= (b[at[:-1][more] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+        heads = np.searchsorted(at, rows[:-1] - rows[0])
+        row = np.repeat(np.arange(len(data)), np.diff(np.append(heads, len(v))))
+        total = np.cumsum(v, dtype=np.uint64)
+        head = np.zeros(len(v), bool)
+        head[heads] = True
+        kept = ~head | (v > 0)
+        return pa.array((total - total[heads][row])[kept].view(np.int64), mask=head[kept]), np.bincount(row[kept], minlength=len(data))
+
+    return packed, unpacked
+
+
+def _lists(held: DataFrame) -> DataFrame:
+    """(hash, holders): holders of each blob in arrays of about TOGETHER at most; those that are numbers packed."""
+    many = held.groupBy("hash").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("parts")).where(F.col("parts") > 1)  # one in TOGETHER rows at most
+    part = F.coalesce(F.pmod(F.xxhash64("holder"), F.col("parts")), F.lit(0))
+    lists = held.join(F.broadcast(many), "hash", "left").groupBy("hash", part.alias("part")).agg(F.collect_list(F.struct("holder")).alias("holders")).select("hash", F.sort_array("holders.holder").alias("holders"))
+    if held.schema["holder"].dataType.simpleString() not in ("bigint", "int"):
+        return lists
+    packed, _ = _packing()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays([b.column("hash"), packed(b.column("holders"))], names=["hash", "holders"])
+
+    return lists.mapInArrow(pack, f"hash {held.schema['hash'].dataType.simpleString()}, holders binary")
 
 
 def affinity(wanted: DataFrame, held: DataFrame, top: int | None = None) -> DataFrame:
     """(version, holder, overlap, place): holders in order of how many of a version's blobs they have, the first ``top`` of each.
 
     Exact: counts every pair that shares a blob. wanted (version, hash) and held (holder, hash) have a
-    pair once. affinity_sketched() looks at sketches first.
+    pair once. A blob's holders travel to its versions as one value, and a version's pairs are made, counted and
+    ranked in one place, some at a time, so pairs themselves are neither moved nor sorted on disk.
+    affinity_sketched() looks at sketches first.
     """
-    return _ranked(_pairs(wanted, held).groupBy("version", "holder").agg(F.count("*").alias("overlap")), "overlap", top)
+    types = {c: df.schema[c].dataType.simpleString() for c, df in (("version", wanted), ("holder", held))}
+    wanted, lists = written(wanted.select("version", "hash"), "wanted"), written(_lists(held.select("holder", "hash")), "holders")
+    n = max(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-wanted.count() // ROWS))
+    rows = wanted.join(lists, "hash").select("version", "holders").repartition(n, "version").sortWithinPartitions("version")
+    return rows.mapInArrow(_placed(top, types["holder"] == "int"), f"version {types['version']}, holder {types['holder']}, overlap long, place long")
+
+
+def _placed(top: int | None, narrow: bool):
+    """From rows (version, holders), sorted by version, to affinity()'s."""
+    rank, (_, unpacked) = _likeliest(top), _packing()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            lists = batch.column("holders")
+            if pa.types.is_list(lists.type) or pa.types.is_large_list(lists.type):
+                holder, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            else:
+                holder, n = unpacked(lists)
+            version = batch.column("version").take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([version, holder.cast(pa.int32()) if narrow else holder, pa.array(np.ones(len(holder)))], names=["version", "holder", "bound"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in rank(pairs(batches)):
+            run = found.column("version").dictionary_encode("encode").indices.to_numpy()  # versions are together, in order
+            place = np.arange(len(run)) - np.searchsorted(run, run) + 1
+            yield pa.RecordBatch.from_arrays([*map(found.column, ("version", "holder", "overlap")), pa.array(place.astype(np.int64))], names=["version", "holder", "overlap", "place"])
+
+    return each
 
 
 #: Hashes of a sketch; ranges in which a large set's are sought first.
@@ -138,8 +215,8 @@ def bottom_hashes(sets: DataFrame, by: str, k: int = SKETCH) -> DataFrame:
 STEP = 1 << 18
 
 
-def _likeliest(most: int):
-    """From pairs (version, holder, bound), sorted by version, to each version's ``most`` likeliest holders: version, holder, overlap, about, whole.
+def _likeliest(most: int | None):
+    """From pairs (version, holder, bound), sorted by version, to each version's ``most`` likeliest holders, or all, the likeliest first: version, holder, overlap, about, whole.
 
     A pair's bound is the same at each blob; a null bound is a blob that was left out. Versions are counted
     as they come, about STEP pairs at a time; the pairs of the one that breaks off wait for the next.
@@ -163,7 +240,8 @@ def _likeliest(most: int):
             bound = bound[there][at]
         v, h = np.divmod(keys, len(order))
         best = np.lexsort((-(n / bound), v))  # stable: equal ones stay in order of holder
-        best = best[np.arange(len(v)) - np.searchsorted(v, v) < most]
+        if most is not None:
+            best = best[np.arange(len(v)) - np.searchsorted(v, v) < most]
         v, h, n, bound = v[best], h[best], n[best], bound[best]
         columns = [version.dictionary.take(pa.array(v)), holder.dictionary.take(pa.array(order[h])), pa.array(n.astype(np.int64)), pa.array(n / bound), pa.array((bound == 1) & ~left_out[v])]
         return pa.RecordBatch.from_arrays(columns, names=["version", "holder", "overlap", "about", "whole"])

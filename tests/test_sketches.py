@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from folio.catalog import stores
@@ -138,3 +141,39 @@ def test_sketched_pairs_are_counted_where_they_are_made(spark, monkeypatch):
     lineage.affinity_sketched(wanted, held, 4, k=100)
     plan = dict(made)["likely"]._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not any("version#" in x.split(")")[0] and "holder#" in x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_lists_of_numbers_are_packed_and_come_back():
+    rng, most = random.Random(4), 2**63 - 1
+    packed, unpacked = lineage._packing()
+    for _ in range(100):
+        lists = [[None] * rng.randrange(2) + sorted({rng.choice([rng.randrange(9), rng.randrange(-300, 300), rng.randrange(-most - 1, most), most, -most - 1]) for _ in range(rng.randrange(9))}) for _ in range(rng.randrange(1, 12))]
+        found, n = unpacked(packed(pa.array(lists, pa.list_(pa.int64()))))
+        found = iter(found.to_pylist())
+        assert [[next(found) for _ in range(k)] for k in n] == lists
+    assert len(packed(pa.array([list(range(1000, 2000, 33))], pa.list_(pa.int64())))[0].as_py()) < 40
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_affinity_ranks_where_pairs_are_made(spark, kind, monkeypatch):
+    """Every place as by hand, without a version or holder too; no aggregate and no window that could spill what pairs make."""
+    rng = random.Random(kind)
+    w = {(rng.choice([None, *range(9)]), rng.randrange(50)) for _ in range(200)}
+    h = {(rng.choice([None, -7, *range(12)]), rng.choice([None, *range(50)])) for _ in range(250)}
+    wanted = spark.createDataFrame(sorted(w, key=str), "version long, hash long")
+    held = spark.createDataFrame(sorted(h, key=str), "holder long, hash long").select(F.col("holder").cast(kind).alias("holder"), "hash")
+    n = Counter((v, x) for v, a in w for x, b in h if a == b)
+    of = str if kind == "string" else int
+    order = lambda x: (x is not None, x if x is None else of(x))
+    want = []
+    for version in {v for v, _ in n}:
+        best = sorted((-k, order(x), x) for (v, x), k in n.items() if v == version)
+        want += [(version, x if x is None else of(x), -k, place) for place, (k, _, x) in enumerate(best, 1)]
+    monkeypatch.setattr(lineage, "ROWS", 20)
+    monkeypatch.setattr(lineage, "TOGETHER", 3)
+    got = lineage.affinity(wanted, held)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got.dtypes == [("version", "bigint"), ("holder", held.dtypes[0][1]), ("overlap", "bigint"), ("place", "bigint")]
+    assert sorted(map(tuple, lineage.affinity(wanted, held, 2).collect()), key=str) == sorted((r for r in want if r[3] <= 2), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Window" not in plan
